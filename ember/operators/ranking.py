@@ -19,7 +19,7 @@ def hotspot_cell(px: DataFrame) -> DataFrame:
     return px.withColumns(
         {
             "shared_grid": shared,
-            "cell_owner": F.when(shared, F.concat_ws("@", "source_scene_id", stamp)).otherwise(F.col("scene_id")),
+            "cell_owner": F.when(shared, F.concat_ws(":", "source_scene_id", stamp)).otherwise(F.col("scene_id")),
             "cell_row": F.when(shared, F.col("rw") + F.col("grid_row_offset")).otherwise(F.col("rw")),
             "cell_col": F.when(shared, F.col("cl") + F.col("grid_col_offset")).otherwise(F.col("cl")),
         }
