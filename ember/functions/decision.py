@@ -33,15 +33,12 @@ def decide_af(score: Column, threshold: Column | float) -> Column:
 def decide_bs(scores: Sequence[Column], multipliers: Sequence[Column | float]) -> Column:
     """Index of the first largest ``score * multiplier`` (float32 products).
 
-    Written as comparisons instead of array functions so that it stays inside
-    generated code.
+    Both array functions have generated code; the products appear twice in the
+    expression, not once per comparison, which keeps filters on the class small
+    when Spark inlines them.
     """
-    weighted = [s.cast("float") * _f(m) for s, m in zip(scores, multipliers)]
-    top = F.greatest(*weighted)
-    choice = F.when(weighted[0] == top, 0)
-    for index in range(1, len(weighted) - 1):
-        choice = choice.when(weighted[index] == top, index)
-    return choice.otherwise(len(weighted) - 1)
+    weighted = F.array(*[s.cast("float") * _f(m) for s, m in zip(scores, multipliers)])
+    return (F.array_position(weighted, F.array_max(weighted)) - 1).cast("int")
 
 
 def decide_dnbr(score: Column, thresholds: Sequence[Column | float]) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ember.functions import geometry as G
 from ember.functions import projection as P
@@ -81,7 +82,7 @@ def _ha(ring: np.ndarray) -> float:
     return abs(float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))) / 2 / 10000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def clipped_ha(quads: pd.Series, rings: pd.Series) -> pd.Series:
     """Hectares of a convex cell inside a polygon: outer rings minus holes."""
     out = []

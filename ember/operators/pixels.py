@@ -28,7 +28,7 @@ def pack_bands(px: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("chip
     """Pixel rows back to one row per chip (a chip is bounded by contract)."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *bands)))
     packed = px.groupBy(*keys).agg(rows.alias("_rows"))
-    return packed.select(*keys, *[F.transform("_rows", lambda r, b=b: r[b]).alias(b) for b in bands])
+    return packed.select(*keys, *[F.col("_rows").getField(b).alias(b) for b in bands])
 
 
 def label_pixels(masks: DataFrame, label: str, width: Column | int, ignore: int = 255) -> DataFrame:

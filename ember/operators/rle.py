@@ -70,14 +70,13 @@ def tokens(rle: Column) -> Column:
 
 
 def pairs(rle: Column) -> Column:
-    """Text to an array of zero-based ``start, len`` pairs."""
+    """Text to an array of zero-based ``start, len`` pairs (one linear pass)."""
     parts = tokens(rle)
-    count = F.floor(F.size(parts) / 2).cast("int")
-    pick = lambda i: F.get(parts, i.cast("int")).try_cast("bigint")
-    built = F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.struct((pick(2 * i) - 1).alias("start"), pick(2 * i + 1).alias("len"))
+    starts = F.filter(parts, lambda _t, i: i % 2 == 0)
+    lengths = F.filter(parts, lambda _t, i: i % 2 == 1)
+    return F.zip_with(
+        starts, lengths, lambda a, b: F.struct((a.try_cast("bigint") - 1).alias("start"), b.try_cast("bigint").alias("len"))
     )
-    return F.when(count > 0, built).otherwise(F.array().cast(f"array<{PAIR}>"))
 
 
 def rle_decode(df: DataFrame, width: Column | int, rle: str = "rle") -> DataFrame:
@@ -91,26 +90,52 @@ def rle_decode(df: DataFrame, width: Column | int, rle: str = "rle") -> DataFram
     )
 
 
+# Broken rules in order of precedence; the fold below keeps the smallest index.
+RLE_RULES = (
+    "missing", "odd tokens", "not an integer", "start below one", "empty run", "beyond the mask",
+    "unordered, overlapping or adjacent", "not canonical text",
+)
+
+
 def rle_problem(rle: Column, size: Column) -> Column:
-    """First broken rule of a canonical mask text, NULL when it is canonical."""
-    parts = tokens(rle)
-    p = pairs(rle)
-    n = F.size(p)
-    clash = F.exists(
-        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.get(p, i)["start"] <= F.get(p, i - 1)["start"] + F.get(p, i - 1)["len"],
-    )
-    return (
-        F.when(rle.isNull() | F.lower(rle).isin("nan", "null", "none"), "missing")
-        .when(F.size(parts) % 2 == 1, "odd tokens")
-        .when(F.exists(parts, lambda t: ~t.rlike(r"^[+-]?\d+$")), "not an integer")
-        .when(F.exists(p, lambda r: r["start"] < 0), "start below one")
-        .when(F.exists(p, lambda r: r["len"] <= 0), "empty run")
-        .when(F.exists(p, lambda r: r["start"] + r["len"] > size), "beyond the mask")
-        .when(clash, "unordered, overlapping or adjacent")
-        .when(rle != _join_runs(p), "not canonical text")
+    """First broken rule of a canonical mask text, NULL when it is canonical.
+
+    A single fold over the tokens: state is the token number, the open start,
+    the previous end and the smallest broken rule so far.
+    """
+    fine = len(RLE_RULES)
+    start = F.struct(
+        F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"), F.lit(fine).alias("rule"), F.lit(True).alias("plain")
     )
 
+    def step(acc: Column, token: Column) -> Column:
+        value = token.try_cast("bigint")
+        is_start = acc["i"] % 2 == 0
+        stop = acc["start"] + value
+        rule = (
+            F.when(value.isNull(), 2)
+            .when(is_start & (value < 1), 3)
+            .when(~is_start & (value <= 0), 4)
+            .when(~is_start & (stop > size), 5)
+            .when(~is_start & (acc["start"] <= acc["end"]), 6)
+            .otherwise(fine)
+        )
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(is_start, F.coalesce(value, F.lit(1)) - 1).otherwise(acc["start"]).alias("start"),
+            F.when(is_start, acc["end"]).otherwise(F.coalesce(stop, acc["end"])).alias("end"),
+            F.least(acc["rule"], rule).alias("rule"),
+            (acc["plain"] & F.coalesce(value.cast("string") == token, F.lit(False))).alias("plain"),
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["i"] % 2 == 1, 1).when(acc["rule"] < fine, acc["rule"]).when(~acc["plain"], 7)
+
+    found = F.aggregate(tokens(rle), start, step, finish)
+    spacing = (F.length(rle) != F.length(F.trim(rle))) | rle.rlike(r"\s\s|[\t\r\n]")
+    code = F.when(rle.isNull() | F.lower(rle).isin("nan", "null", "none"), 0).otherwise(F.coalesce(found, F.when(spacing, 7)))
+    return F.get(F.array(*map(F.lit, RLE_RULES)), code)
+
 
 def rle_violations(df: DataFrame, height: Column | int, width: Column | int, rle: str = "rle") -> DataFrame:
     size = (height if isinstance(height, Column) else F.lit(int(height))) * (width if isinstance(width, Column) else F.lit(int(width)))
