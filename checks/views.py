@@ -74,9 +74,14 @@ VIEWS: dict[str, str] = {
  SELECT chip_id, CASE WHEN chip_id%2=0 THEN 'af' ELSE 'bs' END AS kind, 32637+place%2 AS epsg, 300000+(place%7)*240 AS x_min,
   5000000+CAST(floor(place/7) AS BIGINT)*240 AS y_min, date_pre, date_pre+INTERVAL 40 DAY AS date_post, date_pre+INTERVAL 1 HOUR AS acquired_at,
   CAST(cloud AS DOUBLE)/100 AS cloud_frac, CASE WHEN chip_id%5=0 THEN 'val' ELSE 'train' END AS split, n1 AS n_fire_px, n1 AS sev1_px, n2 AS sev2_px, n3 AS sev3_px
- FROM (SELECT chip_id, chip_id-CASE WHEN chip_id%10=6 THEN 1 ELSE 0 END AS place, min(o_orderdate) AS date_pre, sum(o_custkey)%50 AS cloud,
+ FROM (SELECT chip_id, chip_id-CASE WHEN chip_id%10=6 THEN 1 ELSE 0 END AS place, max(CASE WHEN pos=0 THEN o_orderdate END) AS date_pre, sum(o_custkey)%50 AS cloud,
    sum(CASE WHEN o_custkey%4=1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN o_custkey%4=2 THEN 1 ELSE 0 END) AS n2, sum(CASE WHEN o_custkey%4=3 THEN 1 ELSE 0 END) AS n3
    FROM fx_grid GROUP BY chip_id) m) k""",
+    # the same chips on a 0.01 degree lattice: whole-number cells, exact rectangles
+    "fx_geo": """SELECT chip_id, 's'||CAST(chip_id AS VARCHAR(20)) AS scene_id, kind AS task, acquired_at, date_pre, date_post, 4326 AS epsg,
+ (place%7)*12 AS gx0, (CAST(floor(place/7) AS BIGINT)%400)*9 AS gy0 FROM (SELECT *, chip_id-CASE WHEN chip_id%10=6 THEN 1 ELSE 0 END AS place FROM fx_meta) m""",
+    "fx_aoi": """SELECT s_suppkey AS request_id, CAST((s_suppkey*7)%70 AS DOUBLE)/100+30.003 AS aw, 49.9-CAST((s_suppkey*9)%630 AS DOUBLE)/100-0.004 AS as_,
+ CAST((s_suppkey*7)%70 AS DOUBLE)/100+30.153 AS ae, 50.02-CAST((s_suppkey*9)%630 AS DOUBLE)/100-0.004 AS an, 1992+s_suppkey%3 AS start_year FROM supplier""",
     "fx_band": None,  # array unnesting differs; see load() and oracle_view()
     "fx_hotspot": """SELECT event_id, CASE WHEN event_id%4=0 THEN 's'||CAST(user_id%10 AS VARCHAR(20)) END AS source_scene_id,
  CASE WHEN event_id%4=0 THEN CAST(0 AS BIGINT) END AS grid_row_offset, CASE WHEN event_id%4=0 THEN CAST(0 AS BIGINT) END AS grid_col_offset,
