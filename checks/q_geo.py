@@ -57,9 +57,9 @@ def l1_pixel_xy(inp):
 
 @query("l2_utm_to_lonlat", f"SELECT chip_id, pos, {Q.r('lon', 8)} AS lon, {Q.r('lat', 8)} AS lat FROM ({lonlat_sql(_XY + ' q', 'chip_id, pos')}) z")
 def l2_utm_to_lonlat(inp):
-    x, y = P.pixel_xy(F.col("rw"), F.col("cl"), [F.col(c) for c in A.TRANSFORM])
-    lon, lat = P.utm_to_lonlat(x, y, F.col("epsg"))
-    return rounded(placed(inp).select("chip_id", "pos", lon.alias("lon"), lat.alias("lat")), 8)
+    point = P.pixel_xy(F.col("rw"), F.col("cl"), [F.col(c) for c in A.TRANSFORM])
+    out = P.with_lonlat(placed(inp), {"p": point})
+    return rounded(out.select("chip_id", "pos", F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat")), 8)
 
 
 @query("l3_lonlat_to_cea", f"SELECT aoi_id, CAST(seq AS BIGINT) AS seq, {Q.r(_cx('lon'), 4)} AS x, {Q.r(_cy('lat'), 4)} AS y FROM fx_vertex")
@@ -85,8 +85,7 @@ _SIDES = """(SELECT chip_id, epsg, CASE side WHEN 0 THEN x_min+400*t WHEN 1 THEN
 
 @query("l5_footprint", f"SELECT chip_id, {Q.r('min(lon)', 8)} AS w, {Q.r('min(lat)', 8)} AS s, {Q.r('max(lon)', 8)} AS e, {Q.r('max(lat)', 8)} AS n FROM ({lonlat_sql(_SIDES + ' q', 'chip_id')}) z GROUP BY chip_id")
 def l5_footprint(inp):
-    box = P.footprint_bounds(F.col("x_min"), F.col("y_min"), F.col("x_max"), F.col("y_max"), F.col("epsg"))
-    return rounded(inp.fx_meta.select("chip_id", *[c.alias(n) for c, n in zip(box, "wsen")]), 8)
+    return rounded(P.with_footprint(inp.fx_meta, ("w", "s", "e", "n")).select("chip_id", "w", "s", "e", "n"), 8)
 
 
 @query("l6_bbox_ring", "SELECT request_id, CAST(k AS BIGINT) AS k, " + f"{Q.r('CASE WHEN k IN (1,2) THEN ae ELSE aw END')} AS lon, {Q.r('CASE WHEN k IN (2,3) THEN an ELSE as_ END')} AS lat FROM fx_request, range(5) r(k)")
@@ -222,10 +221,10 @@ def l10_contour_features(inp):
 
     def corner(p):
         x, y = P.pixel_xy(p["r"], p["c"], t, centre=False)
-        lon, lat = P.to_lonlat(x, y, F.col("epsg"))
-        return F.struct(F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+        return F.struct(x.alias("x"), y.alias("y"))
 
-    lines = rings.withColumn("lonlat", F.transform(F.slice("line", 1, F.size("line") - 1), corner))
+    corners = F.transform(F.slice("line", 1, F.size("line") - 1), corner)
+    lines = rings.withColumn("lonlat", P.ring_to_lonlat(corners, F.col("epsg")))
     return rounded(lines.select("chip_id", "comp", "ring", "hole", severity_name(F.col("cls")).alias("severity"), P.ring_area_ha(F.col("lonlat")).alias("area_ha")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import sqlbits as Q
@@ -375,8 +376,6 @@ def u3_candidate_spec(inp):
 @query("u4_grouped_arrow", f"SELECT half, {Q.r('score')} AS score FROM (SELECT half, b_score AS score FROM {_half('b', DEC_VALID)} z) q")
 def u4_grouped_arrow(inp):
     """Score from counts in a grouped Arrow aggregate over 16 rows per group."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def burn_score(truth: pd.Series, pred: pd.Series, n: pd.Series) -> float:
         hit = n[(truth > 0) & (pred > 0)].sum()

@@ -205,7 +205,7 @@ def m3_epsg_code(inp):
     return on(inp, _EPSG, "orders").select("id", F.coalesce(X.epsg_code(F.col("text")), F.lit(-1)).cast("bigint").alias("epsg"))
 
 
-@query("m4_iso_utc", "SELECT event_id, strftime(ts,'%Y-%m-%dT%H:%M:%S')||'.'||lpad(CAST(epoch_ms(ts)%1000 AS VARCHAR),3,'0')||'000Z' AS iso, epoch_ms(ts)//1000-7200 AS shifted FROM events WHERE epoch_ms(ts)%1000<>0 UNION ALL SELECT event_id, strftime(ts,'%Y-%m-%dT%H:%M:%S')||'Z', epoch_ms(ts)//1000-7200 FROM events WHERE epoch_ms(ts)%1000=0")
+@query("m4_iso_utc", "SELECT event_id, strftime(ts,'%Y-%m-%dT%H:%M:%S')||'.'||lpad(CAST((epoch_us(ts)//1000)%1000 AS VARCHAR),3,'0')||'000Z' AS iso, (epoch_us(ts)//1000)//1000-7200 AS shifted FROM events WHERE (epoch_us(ts)//1000)%1000<>0 UNION ALL SELECT event_id, strftime(ts,'%Y-%m-%dT%H:%M:%S')||'Z', (epoch_us(ts)//1000)//1000-7200 FROM events WHERE (epoch_us(ts)//1000)%1000=0")
 def m4_iso_utc(inp):
     e = inp.events.select("event_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), "ts")
     stamped = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))

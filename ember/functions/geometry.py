@@ -83,14 +83,16 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
 
 
 def edge_hits_box(e: Column, w: Column, s: Column, east: Column, n: Column) -> Column:
-    """Edge shares at least one point with a closed box."""
-    a, b = (e["x1"], e["y1"]), (e["x2"], e["y2"])
-    inside = (a[0] >= w) & (a[0] <= east) & (a[1] >= s) & (a[1] <= n)
-    corners = [(w, s), (east, s), (east, n), (w, n)]
-    hit = inside
-    for c, d in zip(corners, corners[1:] + corners[:1]):
-        hit = hit | segments_touch(a, b, c, d)
-    return hit
+    """Edge shares at least one point with a closed box.
+
+    Separating axes: the two box axes, and the edge's own normal - the box
+    misses the edge exactly when all four corners lie strictly on one side.
+    """
+    overlap = (
+        (F.least(e["x1"], e["x2"]) <= east) & (F.greatest(e["x1"], e["x2"]) >= w) & (F.least(e["y1"], e["y2"]) <= n) & (F.greatest(e["y1"], e["y2"]) >= s)
+    )
+    sides = [cross(e["x1"], e["y1"], e["x2"], e["y2"], x, y) for x, y in ((w, s), (east, s), (east, n), (w, n))]
+    return overlap & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
 
 def box_intersects(edges: Column, w: Column, s: Column, e: Column, n: Column) -> Column:

@@ -8,9 +8,9 @@ published series / closed forms and stay in generated code.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 ellipsoid, UTM scale and offsets, standard parallel.
@@ -41,21 +41,70 @@ def central_meridian(epsg: Column) -> Column:
     return (epsg % 100) * F.lit(6.0) - F.lit(183.0)
 
 
-def utm_to_lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
-    north = F.floor(epsg / 100) == 326
-    y0 = F.when(north, F.lit(0.0)).otherwise(F.lit(FALSE_NORTHING))
-    xi = (y - y0) / F.lit(RECTIFYING * UTM_SCALE)
-    eta = (x - F.lit(FALSE_EASTING)) / F.lit(RECTIFYING * UTM_SCALE)
+def _is_north(epsg: Column) -> Column:
+    return F.floor(epsg / 100) == 326
+
+
+def _normal(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """Map metres to the unit transverse Mercator plane (xi, eta)."""
+    y0 = F.when(_is_north(epsg), F.lit(0.0)).otherwise(F.lit(FALSE_NORTHING))
+    return (y - y0) / F.lit(RECTIFYING * UTM_SCALE), (x - F.lit(FALSE_EASTING)) / F.lit(RECTIFYING * UTM_SCALE)
+
+
+def _straighten(xi: Column, eta: Column) -> tuple[Column, Column]:
     xi1, eta1 = xi, eta
     for j, beta in enumerate(BETA, 1):
         xi1 = xi1 - F.lit(beta) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         eta1 = eta1 - F.lit(beta) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    return xi1, eta1
+
+
+def _conformal(xi1: Column, eta1: Column) -> Column:
+    return F.asin(F.sin(xi1) / F.cosh(eta1))
+
+
+def _geodetic(xi1: Column, eta1: Column, chi: Column, epsg: Column) -> tuple[Column, Column]:
     lat = chi
     for j, delta in enumerate(DELTA, 1):
         lat = lat + F.lit(delta) * F.sin(2 * j * chi)
-    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + central_meridian(epsg)
-    return lon, F.degrees(lat)
+    return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + central_meridian(epsg), F.degrees(lat)
+
+
+def utm_to_lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """One point as a pair of expressions; use ``with_lonlat`` for many."""
+    xi1, eta1 = _straighten(*_normal(x, y, epsg))
+    return _geodetic(xi1, eta1, _conformal(xi1, eta1), epsg)
+
+
+def with_lonlat(df: DataFrame, points: Mapping[str, tuple[Column, Column]], epsg: str = "epsg", digits: int | None = None) -> DataFrame:
+    """Add ``<name>_lon, <name>_lat`` for several map points of a row.
+
+    The series is laid out as four projections, each reading the previous one,
+    so intermediate angles are computed once per point; EPSG 4326 passes
+    through.
+    """
+    code = F.col(epsg)
+    plain = code == 4326
+    one = {f"_{n}_{k}": v for n, (x, y) in points.items() for k, v in (("x", x), ("y", y))}
+    df = df.withColumns(one)
+    at = lambda n, k: F.col(f"_{n}_{k}")
+    step = {}
+    for n in points:
+        step[f"_{n}_xi"], step[f"_{n}_eta"] = _normal(at(n, "x"), at(n, "y"), code)
+    df, step = df.withColumns(step), {}
+    for n in points:
+        step[f"_{n}_p"], step[f"_{n}_q"] = _straighten(at(n, "xi"), at(n, "eta"))
+    df, step = df.withColumns(step), {}
+    df = df.withColumns({f"_{n}_chi": _conformal(at(n, "p"), at(n, "q")) for n in points})
+    for n in points:
+        lon, lat = _geodetic(at(n, "p"), at(n, "q"), at(n, "chi"), code)
+        lon, lat = F.when(plain, at(n, "x")).otherwise(lon), F.when(plain, at(n, "y")).otherwise(lat)
+        if digits is not None:
+            unit = F.lit(float(10**digits))
+            lon, lat = F.rint(lon * unit) / unit, F.rint(lat * unit) / unit
+        step[f"{n}_lon"], step[f"{n}_lat"] = lon, lat
+    helpers = [f"_{n}_{k}" for n in points for k in ("x", "y", "xi", "eta", "p", "q", "chi")]
+    return df.withColumns(step).drop(*helpers)
 
 
 def lonlat_to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
@@ -130,45 +179,49 @@ def ring_area_ha(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / 2 / 10000
 
 
-def cell_corners(rw: Column, cl: Column, transform: Sequence[Column], epsg: Column, digits: int | None = 7):
-    """The four lon/lat corners of a pixel, rounded like exported geometry."""
-    out = []
-    for dr, dc in ((0, 0), (0, 1), (1, 1), (1, 0)):
-        x, y = pixel_xy(rw + F.lit(dr), cl + F.lit(dc), transform, centre=False)
-        lon, lat = to_lonlat(x, y, epsg)
-        if digits is not None:
-            lon, lat = F.round(lon, digits), F.round(lat, digits)
-        out.append((lon, lat))
-    return out
-
-
 def cell_area_ha(corners: Sequence[tuple[Column, Column]]) -> Column:
     return shoelace([lonlat_to_cea(lon, lat) for lon, lat in corners]) / 10000
 
 
-def footprint_bounds(x_min: Column, y_min: Column, x_max: Column, y_max: Column, epsg: Column, points: int = 21):
-    """West, south, east, north of a map rectangle, its edges densified.
+def ring_to_lonlat(ring: Column, epsg: Column) -> Column:
+    """Array of ``x, y`` structs to an array of ``lon, lat`` structs.
+
+    Nested transforms carry each point's intermediate angles in a struct, so
+    they are computed once per point.
+    """
+
+    def first(p: Column) -> Column:
+        xi, eta = _normal(p["x"], p["y"], epsg)
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), xi.alias("xi"), eta.alias("eta"))
+
+    def second(p: Column) -> Column:
+        xi1, eta1 = _straighten(p["xi"], p["eta"])
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), xi1.alias("p"), eta1.alias("q"))
+
+    def third(p: Column) -> Column:
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), p["p"].alias("p"), p["q"].alias("q"), _conformal(p["p"], p["q"]).alias("chi"))
+
+    def fourth(p: Column) -> Column:
+        lon, lat = _geodetic(p["p"], p["q"], p["chi"], epsg)
+        plain = epsg == 4326
+        return F.struct(F.when(plain, p["x"]).otherwise(lon).alias("lon"), F.when(plain, p["y"]).otherwise(lat).alias("lat"))
+
+    return F.transform(F.transform(F.transform(F.transform(ring, first), second), third), fourth)
+
+
+def with_footprint(df: DataFrame, out: Sequence[str] = ("fw", "fs", "fe", "fn"), points: int = 21) -> DataFrame:
+    """Add west, south, east, north of the map rectangle ``x_min .. y_max``.
 
     Each edge is cut into ``points + 1`` parts before projection so that the
     bulge of a projected edge is inside the envelope.
     """
-    steps = F.sequence(F.lit(0), F.lit(points + 1))
-
-    def along(fx, fy):
-        def at(i: Column) -> Column:
-            t = i / F.lit(float(points + 1))
-            lon, lat = to_lonlat(fx(t), fy(t), epsg)
-            return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-        return F.transform(steps, at)
-
-    dx, dy = x_max - x_min, y_max - y_min
-    ring = F.concat(
-        along(lambda t: x_min + dx * t, lambda t: y_min + dy * 0 * t),
-        along(lambda t: x_min + dx * t, lambda t: y_max + dy * 0 * t),
-        along(lambda t: x_min + dx * 0 * t, lambda t: y_min + dy * t),
-        along(lambda t: x_max + dx * 0 * t, lambda t: y_min + dy * t),
-    )
-    lons = F.transform(ring, lambda p: p["lon"])
-    lats = F.transform(ring, lambda p: p["lat"])
-    return F.array_min(lons), F.array_min(lats), F.array_max(lons), F.array_max(lats)
+    x_min, y_min, x_max, y_max = (F.col(c).cast("double") for c in ("x_min", "y_min", "x_max", "y_max"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points + 1)), lambda i: i / F.lit(float(points + 1)))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    across = lambda y: F.transform(steps, lambda t: point(x_min + (x_max - x_min) * t, y))
+    up = lambda x: F.transform(steps, lambda t: point(x, y_min + (y_max - y_min) * t))
+    ring = F.concat(across(y_min), across(y_max), up(x_min), up(x_max))
+    placed = df.withColumn("_ring", ring_to_lonlat(ring, F.col("epsg")))
+    lons, lats = F.col("_ring.lon"), F.col("_ring.lat")
+    bounds = (F.array_min(lons), F.array_min(lats), F.array_max(lons), F.array_max(lats))
+    return placed.withColumns(dict(zip(out, bounds))).drop("_ring")

@@ -25,20 +25,14 @@ def place_cells(px: DataFrame) -> DataFrame:
     exactly across scenes.
     """
     t = [F.col(c) for c in TRANSFORM]
-    epsg = F.col("epsg")
-    corners = P.cell_corners(F.col("rw"), F.col("cl"), t, epsg)
-    x, y = P.pixel_xy(F.col("rw"), F.col("cl"), t)
-    lon, lat = P.to_lonlat(x, y, epsg)
-    columns = {n: v for n, v in zip(CORNERS, [v for c in corners for v in c])}
-    return px.withColumns(
-        {
-            **columns,
-            "lon": F.round(lon, 7),
-            "lat": F.round(lat, 7),
-            "gx": F.floor(x / F.abs(F.col("ga"))).cast("bigint"),
-            "gy": F.floor(y / F.abs(F.col("ge"))).cast("bigint"),
-        }
-    )
+    points = {"c": P.pixel_xy(F.col("rw"), F.col("cl"), t)}
+    for i, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))):
+        points[f"k{i}"] = P.pixel_xy(F.col("rw") + dr, F.col("cl") + dc, t, centre=False)
+    x, y = points["c"]
+    cells = px.withColumns({"gx": F.floor(x / F.abs(F.col("ga"))).cast("bigint"), "gy": F.floor(y / F.abs(F.col("ge"))).cast("bigint")})
+    placed = P.with_lonlat(cells, points, digits=7)
+    names = {"c_lon": "lon", "c_lat": "lat"} | {f"k{i}_{a}": f"{b}{i}" for i in range(4) for a, b in (("lon", "x"), ("lat", "y"))}
+    return placed.withColumnsRenamed(names)
 
 
 def cell_area(cells: DataFrame, out: str = "cell_ha") -> DataFrame:
@@ -87,6 +81,9 @@ def clipped_ha(quads: pd.Series, rings: pd.Series) -> pd.Series:
     """Hectares of a convex cell inside a polygon: outer rings minus holes."""
     out = []
     for quad, polygon in zip(quads, rings):
+        if quad is None:
+            out.append(0.0)
+            continue
         corners = np.asarray(quad, dtype=float).reshape(4, 2)
         total = 0.0
         for ring in polygon:
@@ -123,15 +120,19 @@ def clip_cells(cells: DataFrame, out: str = "inside_ha") -> DataFrame:
     """Hectares of each cell inside its AOI (``edges``, ``rings`` on the row).
 
     Cells no AOI edge comes near are whole or dropped in generated code; only
-    boundary cells go through Arrow for exact clipping.
+    boundary cells carry their corners and rings through Arrow for exact
+    clipping, all others send NULLs.  One pass, nothing upstream runs twice.
     """
     xs, ys = [F.col(CORNERS[i]) for i in (0, 2, 4, 6)], [F.col(CORNERS[i]) for i in (1, 3, 5, 7)]
-    w, e, s, n = F.least(*xs), F.greatest(*xs), F.least(*ys), F.greatest(*ys)
-    near = F.exists("edges", lambda edge: G.edge_hits_box(edge, w, s, e, n))
-    tagged = cell_area(cells, "_whole").withColumn("_near", near)
-    inside = tagged.where(~F.col("_near")).where(G.covers(F.col("edges"), F.col("lon"), F.col("lat"))).withColumn(out, F.col("_whole"))
-    border = tagged.where("_near").withColumn(out, clipped_ha(F.array(*[F.col(c) for c in CORNERS]), F.col("rings")))
-    return inside.unionByName(border).where(F.col(out) > 0).drop("_whole", "_near")
+    box = cells.withColumns({"_w": F.least(*xs), "_e": F.greatest(*xs), "_s": F.least(*ys), "_n": F.greatest(*ys)})
+    near = F.exists("edges", lambda edge: G.edge_hits_box(edge, F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n")))
+    tagged = box.withColumn("_near", near)
+    sent = tagged.withColumns({"_quad": F.when(F.col("_near"), F.array(*[F.col(c) for c in CORNERS])), "_rings": F.when(F.col("_near"), F.col("rings"))})
+    clipped = cell_area(sent.withColumn("_clip", clipped_ha(F.col("_quad"), F.col("_rings"))), "_whole")
+    inside = F.when(G.covers(F.col("edges"), F.col("lon"), F.col("lat")), F.col("_whole")).otherwise(0.0)
+    area = F.when(F.col("_near"), F.col("_clip")).otherwise(inside)
+    helpers = ["_w", "_e", "_s", "_n", "_near", "_quad", "_rings", "_clip", "_whole"]
+    return clipped.withColumn(out, area).where(F.col(out) > 0).drop(*helpers)
 
 
 def severity_areas(cells: DataFrame, keys: Sequence[str], area: str = "inside_ha") -> DataFrame:

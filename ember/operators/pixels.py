@@ -103,18 +103,23 @@ def features_bs(px: DataFrame, height: int, width: int, keep: Sequence[str] = ()
 
 
 def af_feature_names() -> list[str]:
+    """The 23 names in contract order."""
     from ember.functions import spectral as S
 
-    names = [*S.af_scaled(), *S.af_thermal(), *S.af_ratios()]
+    names = [*S.VIIRS, *S.AF_AUX, "I4_minus_I5", "I4_minus_t2m", "I5_minus_t2m", "reflectance_nd21", "reflectance_nd32"]
     for k in (3, 11):
         names += [f"thermal_mean_{k}", f"thermal_contrast_{k}"]
     return [*names, "I4_contrast_11"]
 
 
 def bs_feature_names() -> list[str]:
+    """The 55 names in contract order."""
     from ember.functions import spectral as S
 
-    names = [*S.bs_scaled(), *S.bs_deltas(), *S.bs_indices()]
+    names = [f"{when}_{band}" for when in ("pre", "post") for band in (*S.OPTICAL, "SCL")]
+    names += [f"{when}_{band}_db" for when in ("pre", "post") for band in S.SAR]
+    names += [*S.BS_AUX, *[f"delta_{band}" for band in S.OPTICAL], *[f"delta_{band}_db" for band in S.SAR]]
+    names += [f"{what}_{index}" for index in S.INDICES for what in ("pre", "post", "delta")]
     for k in (3, 9):
         names += [f"dNBR_mean_{k}", f"dNDVI_mean_{k}"]
     return [*names, "sar_VH_delta_mean_5"]

@@ -73,10 +73,11 @@ def admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS) -> Data
     return ordered.mapInPandas(walk, OUT)
 
 
-def stream_admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def stream_admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS, lateness: str = "1 minute") -> DataFrame:
     """The same rule on a stream; state is the admitted times of a client.
 
-    State never exceeds ``limit`` times and expires with the window.
+    State never exceeds ``limit`` times and expires in event time once the
+    watermark has passed the window.
     """
     span = seconds * 1_000_000
 
@@ -88,11 +89,12 @@ def stream_admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS)
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         rows["admitted"] = [_admit(times, int(us), limit, span) for us in rows["us"]]
         state.update((list(times),))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        expiry = int(rows["us"].iloc[-1]) // 1000 + seconds * 1000
+        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "admitted": rows["admitted"]})
 
-    keyed = log.select(F.col("client").cast("string").alias("client"), "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(step, OUT, "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = log.withWatermark("ts", lateness).select(F.col("client").cast("string").alias("client"), "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return keyed.groupBy("client").applyInPandasWithState(step, OUT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def idempotency(log: DataFrame) -> DataFrame:
