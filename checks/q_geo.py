@@ -120,7 +120,10 @@ def geo_aoi(inp):
 
 
 def geo_pixels(inp):
-    return inp.fx_class.select("chip_id", "rw", "cl", "valid", F.when(F.col("task") == "af", (F.col("cls") == 1).cast("bigint")).otherwise(F.col("cls")).alias("cls")).withColumn("score", F.lit(0.5))
+    """Pixels spread by chip; the one-file test tables would be a single task."""
+    return inp.fx_class.select("chip_id", "rw", "cl", "valid", F.when(F.col("task") == "af", (F.col("cls") == 1).cast("bigint")).otherwise(F.col("cls")).alias("cls")).withColumn("score", F.lit(0.5)).repartition(
+        inp.spark.sparkContext.defaultParallelism, "chip_id"
+    )
 
 
 _PICKED = """(SELECT r.request_id, g.*, r.aw, r.as_, r.ae, r.an FROM fx_geo g JOIN fx_aoi r ON 30+gx0*0.01<=r.ae AND r.aw<=30+gx0*0.01+0.2 AND 50-gy0*0.01-0.15<=r.an AND r.as_<=50-gy0*0.01
@@ -135,7 +138,8 @@ _MOSAIC = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
 
 
 def observed(inp):
-    return Y.observations(geo_requests(inp), geo_scenes(inp), geo_pixels(inp))
+    picks = Y.pick_scenes(geo_requests(inp), geo_scenes(inp))
+    return Y.observations(picks, Y.scene_cells(geo_scenes(inp), geo_pixels(inp)))
 
 
 @query("l7_clip_cells", f"SELECT request_id, gx, gy, {Q.r('ha', 4)} AS inside_ha, scene_id FROM {_MOSAIC} m WHERE ha>1e-9")

@@ -172,6 +172,16 @@ def f16_mask_counts(inp):
     return C.mask_counts(inp.fx_class)
 
 
+@query(
+    "f17_overall_digest",
+    """WITH d AS (SELECT chip_id, sha256(unhex(string_agg('0'||CAST(cls AS VARCHAR),'' ORDER BY pos))) AS h FROM fx_class GROUP BY chip_id),
+ b AS (SELECT substr(md5(CAST(chip_id AS VARCHAR)),1,3) AS bucket, sha256(string_agg(h,'' ORDER BY chip_id)) AS h, count(*) AS n FROM d GROUP BY 1)
+ SELECT sha256(string_agg(h,'' ORDER BY bucket)) AS sha256, CAST(sum(n) AS BIGINT) AS masks FROM b""",
+)
+def f17_overall_digest(inp):
+    return C.overall_digest(C.mask_digest(inp.fx_class))
+
+
 @query("f17_mask_digest", "SELECT chip_id, sha256(unhex(string_agg('0'||CAST(cls AS VARCHAR),'' ORDER BY pos))) AS sha256 FROM fx_class GROUP BY chip_id")
 def f17_mask_digest(inp):
     return C.mask_digest(inp.fx_class)

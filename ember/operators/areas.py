@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ember.functions import geometry as G
 from ember.functions import projection as P
 
 TRANSFORM = ("ga", "gb", "gc", "gd", "ge", "gf")
+WHOLE = "cell_ha"
 CORNERS = ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")
 
 
@@ -46,34 +47,50 @@ def planar_area(px: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return px.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), F.sum(one).alias("area"))
 
 
-def _clip(ring: np.ndarray, quad: np.ndarray) -> np.ndarray:
-    """Clip any ring to a convex quad (half-plane by half-plane)."""
-    if np.sum(quad[:, 0] * np.roll(quad[:, 1], -1) - np.roll(quad[:, 0], -1) * quad[:, 1]) < 0:
+def _clip(ring: list, quad: list) -> list:
+    """Clip any ring to a convex quad, half-plane by half-plane.
+
+    Plain floats: the rings are short, and small arrays would cost more than
+    they save.
+    """
+    following = quad[1:] + quad[:1]
+    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(quad, following)) < 0:
         quad = quad[::-1]
-    for a, b in zip(quad, np.roll(quad, -1, axis=0)):
-        if not len(ring):
+        following = quad[1:] + quad[:1]
+    for (ax, ay), (bx, by) in zip(quad, following):
+        if not ring:
             return ring
-        side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
-        after, side_after = np.roll(ring, -1, axis=0), np.roll(side, -1)
-        pieces = []
-        for p, q, sp, sq in zip(ring, after, side, side_after):
-            if sp >= 0:
-                pieces.append(p)
+        dx, dy = bx - ax, by - ay
+        kept = []
+        px, py = ring[-1]
+        sp = dx * (py - ay) - dy * (px - ax)
+        for qx, qy in ring:
+            sq = dx * (qy - ay) - dy * (qx - ax)
             if (sp >= 0) != (sq >= 0):
-                pieces.append(p + (q - p) * (sp / (sp - sq)))
-        ring = np.array(pieces) if pieces else np.empty((0, 2))
+                t = sp / (sp - sq)
+                kept.append((px + (qx - px) * t, py + (qy - py) * t))
+            if sq >= 0:
+                kept.append((qx, qy))
+            px, py, sp = qx, qy, sq
+        ring = kept
     return ring
 
 
-def _ha(ring: np.ndarray) -> float:
+def _ha(ring: list) -> float:
+    """Equal-area hectares of a lon/lat ring."""
     if len(ring) < 3:
         return 0.0
-    s = np.sin(np.radians(ring[:, 1]))
-    es = P.E * s
-    q = (1 - P.E2) * (s / (1 - es * es) - 1 / (2 * P.E) * np.log((1 - es) / (1 + es)))
-    x, y = P.A * P.CEA_K0 * np.radians(ring[:, 0]), P.A / (2 * P.CEA_K0) * q
-    x, y = x - x[0], y - y[0]
-    return abs(float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y))) / 2 / 10000
+    points = []
+    for lon, lat in ring:
+        s = math.sin(math.radians(lat))
+        es = P.E * s
+        q = (1 - P.E2) * (s / (1 - es * es) - math.log((1 - es) / (1 + es)) / (2 * P.E))
+        points.append((P.A * P.CEA_K0 * math.radians(lon), P.A / (2 * P.CEA_K0) * q))
+    x0, y0 = points[0]
+    total = 0.0
+    for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1]):
+        total += (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+    return abs(total) / 2 / 10000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -84,12 +101,13 @@ def clipped_ha(quads: pd.Series, rings: pd.Series) -> pd.Series:
         if quad is None:
             out.append(0.0)
             continue
-        corners = np.asarray(quad, dtype=float).reshape(4, 2)
+        flat = quad.tolist()
+        corners = list(zip(flat[0::2], flat[1::2]))
         total = 0.0
         for ring in polygon:
-            points = np.column_stack([ring["lons"], ring["lats"]]).astype(float)
-            if len(points) > 1 and (points[0] == points[-1]).all():
-                points = points[:-1]
+            points = list(zip(ring["lons"].tolist(), ring["lats"].tolist()))
+            if len(points) > 1 and points[0] == points[-1]:
+                points.pop()
             total += (-1 if ring["hole"] else 1) * _ha(_clip(points, corners))
         out.append(max(0.0, total))
     return pd.Series(out, dtype="float64")
@@ -128,10 +146,12 @@ def clip_cells(cells: DataFrame, out: str = "inside_ha") -> DataFrame:
     near = F.exists("edges", lambda edge: G.edge_hits_box(edge, F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n")))
     tagged = box.withColumn("_near", near)
     sent = tagged.withColumns({"_quad": F.when(F.col("_near"), F.array(*[F.col(c) for c in CORNERS])), "_rings": F.when(F.col("_near"), F.col("rings"))})
-    clipped = cell_area(sent.withColumn("_clip", clipped_ha(F.col("_quad"), F.col("_rings"))), "_whole")
-    inside = F.when(G.covers(F.col("edges"), F.col("lon"), F.col("lat")), F.col("_whole")).otherwise(0.0)
+    clipped = sent.withColumn("_clip", clipped_ha(F.col("_quad"), F.col("_rings")))
+    if WHOLE not in cells.columns:
+        clipped = cell_area(clipped, WHOLE)
+    inside = F.when(G.covers(F.col("edges"), F.col("lon"), F.col("lat")), F.col(WHOLE)).otherwise(0.0)
     area = F.when(F.col("_near"), F.col("_clip")).otherwise(inside)
-    helpers = ["_w", "_e", "_s", "_n", "_near", "_quad", "_rings", "_clip", "_whole"]
+    helpers = ["_w", "_e", "_s", "_n", "_near", "_quad", "_rings", "_clip", WHOLE]
     return clipped.withColumn(out, area).where(F.col(out) > 0).drop(*helpers)
 
 

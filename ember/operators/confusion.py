@@ -160,6 +160,21 @@ def mask_digest(px: DataFrame, keys: Sequence[str] = ("chip_id",), cls: str = "c
     return px.groupBy(*keys).agg(F.sha2(F.unhex(text), 256).alias("sha256"))
 
 
+def overall_digest(digests: DataFrame, key: str = "chip_id", digits: int = 3) -> DataFrame:
+    """One sha256 over all mask digests, independent of partitioning.
+
+    Two levels: masks are hashed in key order inside buckets of the key's own
+    digest, then the bucket digests (at most ``16 ** digits``) in bucket order.
+    """
+    bucket = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, digits)
+
+    def chain(order: str) -> Column:
+        return F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("sha256")))), lambda x: x["sha256"])), 256)
+
+    parts = digests.groupBy(bucket.alias("bucket")).agg(chain(key).alias("sha256"), F.count(F.lit(1)).alias("n"))
+    return parts.agg(chain("bucket").alias("sha256"), F.sum("n").alias("masks"))
+
+
 def subgroup_report(px: DataFrame, meta: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """Global, per-year and per-cloud-bin confusions in one pass.
 

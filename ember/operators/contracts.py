@@ -163,47 +163,72 @@ def check_rings(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
 def ring_self_intersections(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
     """Open rings (``aoi_id, seq, lon, lat``) with their first failed rule.
 
-    Rings are bounded by contract, so a ring travels as one array and its edge
-    pairs are tested inside the row: nothing is exploded or shuffled per pair.
+    Edges of one ring meet only in tiles of a grid fitted to that ring (about
+    as many tiles as edges), so pairs are not enumerated; the exact crossing
+    test then runs on the few pairs whose boxes overlap.
     """
+    from ember.operators.spatial import box_join
+
+    lon, lat = F.col("lon"), F.col("lat")
+    by_ring = Window.partitionBy("aoi_id").orderBy("seq")
+    step = vertices.select(
+        "aoi_id",
+        "seq",
+        "lon",
+        "lat",
+        (F.row_number().over(by_ring) - 1).alias("k"),
+        F.lead("lon").over(by_ring).alias("_x2"),
+        F.lead("lat").over(by_ring).alias("_y2"),
+    )
+    inside = F.coalesce(~F.isnan(lon) & ~F.isnan(lat) & lon.between(-180, 180) & lat.between(-90, 90), F.lit(False))
     rings = vertices.groupBy("aoi_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("_p")
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct(F.struct("lon", "lat")).alias("n_distinct"),
+        F.max((~inside).cast("int")).alias("outside"),
+        F.min_by(F.struct("lon", "lat"), "seq").alias("head"),
+        F.max_by(F.struct("lon", "lat"), "seq").alias("tail"),
+        F.min("lon").alias("x_lo"),
+        F.min("lat").alias("y_lo"),
+        F.max("lon").alias("x_hi"),
+        F.max("lat").alias("y_hi"),
     )
-    n = F.size("_p")
-    p = F.col("_p")
-
-    def vertex(i: Column) -> tuple[Column, Column]:
-        at = p[(i % n).cast("int")]
-        return at["lon"], at["lat"]
-
-    def crosses(a: Column) -> Column:
-        def with_b(b: Column) -> Column:
-            neighbours = (b == a + 1) | ((a == 0) & (b == n - 1))
-            return ~neighbours & segments_touch(vertex(a), vertex(a + 1), vertex(b), vertex(b + 1))
-
-        return F.exists(F.sequence(a + 1, n - 1), with_b)
-
-    # sequence() counts downwards when stop < start, hence the guard on n.
-    crossing = F.exists(F.sequence(F.lit(0), n - 2), crosses)
-    lons, lats = F.transform(p, lambda v: v["lon"]), F.transform(p, lambda v: v["lat"])
-    distinct = F.size(F.array_distinct(F.transform(p, lambda v: F.struct(v["lon"], v["lat"]))))
-
-    def term(i: Column) -> Column:
-        (x1, y1), (x2, y2) = vertex(i), vertex(i + 1)
-        return x1 * y2 - x2 * y1
-
-    twice = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), term), F.lit(0.0), lambda acc, t: acc + t)
-    outside = (F.array_min(lons) < -180) | (F.array_max(lons) > 180) | (F.array_min(lats) < -90) | (F.array_max(lats) > 90)
-    problem = (
-        F.when(n < 3, "too few vertices")
-        .when(outside, "outside WGS84")
-        .when((F.get(p, F.lit(0))["lon"] == F.get(p, n - 1)["lon"]) & (F.get(p, F.lit(0))["lat"] == F.get(p, n - 1)["lat"]), "repeated closing vertex")
-        .when(distinct < 3, "too few distinct vertices")
-        .when(n > max_vertices, "too many vertices")
-        .when(crossing, "self-intersection")
-        .when(twice == 0, "zero area")
+    simple = (
+        F.when(F.col("n") < 3, "too few vertices")
+        .when(F.col("outside") == 1, "outside WGS84")
+        .when(F.col("head") == F.col("tail"), "repeated closing vertex")
+        .when(F.col("n_distinct") < 3, "too few distinct vertices")
+        .when(F.col("n") > max_vertices, "too many vertices")
+    )
+    judged = rings.withColumn("simple", simple)
+    # last vertex connects back to the first one
+    edges = step.join(judged.where(F.col("simple").isNull()), "aoi_id").select(
+        "aoi_id", "k", "n", "x_lo", "y_lo", "x_hi", "y_hi", lon.alias("x1"), lat.alias("y1"), F.coalesce("_x2", F.col("head.lon")).alias("x2"), F.coalesce("_y2", F.col("head.lat")).alias("y2")
     )
-    return rings.select("aoi_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+    grid = F.ceil(F.sqrt("n"))
+
+    def fit(value: Column, lo: str, hi: str) -> Column:
+        return F.coalesce(F.try_divide((value - F.col(lo)) * grid, F.col(hi) - F.col(lo)), F.lit(0.0))
+
+    def side(tag: str) -> DataFrame:
+        return edges.select(
+            "aoi_id",
+            F.col("k").alias(f"{tag}k"),
+            F.col("n").alias(f"{tag}n"),
+            *[F.col(c).alias(f"{tag}{c}") for c in ("x1", "y1", "x2", "y2")],
+            fit(F.least("x1", "x2"), "x_lo", "x_hi").alias(f"{tag}w"),
+            fit(F.least("y1", "y2"), "y_lo", "y_hi").alias(f"{tag}s"),
+            fit(F.greatest("x1", "x2"), "x_lo", "x_hi").alias(f"{tag}e"),
+            fit(F.greatest("y1", "y2"), "y_lo", "y_hi").alias(f"{tag}t"),
+        )
+
+    pairs = box_join(side("a"), side("b"), ("aw", "as", "ae", "at"), ("bw", "bs", "be", "bt"), 1.0, keys=("aoi_id",), spread="ak")
+    apart = (F.col("bk") > F.col("ak") + 1) & ~((F.col("ak") == 0) & (F.col("bk") == F.col("an") - 1))
+    corner = lambda tag, i: (F.col(f"{tag}x{i}"), F.col(f"{tag}y{i}"))
+    crossed = pairs.where(apart & segments_touch(corner("a", 1), corner("a", 2), corner("b", 1), corner("b", 2))).select("aoi_id").distinct().withColumn("crossed", F.lit(True))
+    twice = edges.groupBy("aoi_id").agg(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).alias("twice"))
+    found = judged.join(crossed, "aoi_id", "left").join(twice, "aoi_id", "left")
+    problem = F.coalesce(F.col("simple"), F.when(F.col("crossed"), "self-intersection"), F.when(F.col("twice") == 0, "zero area"))
+    return found.select("aoi_id", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def check_periods(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

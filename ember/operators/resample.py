@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ember.functions import scores as S
 from ember.operators.confusion import CELLS, score_wide
 from ember.operators.indexing import dense_index, draw
+from ember.session import cut_lineage
 
 AF_CELLS = ["tp", "fp", "fn"]
 
@@ -44,7 +45,8 @@ def bootstrap_deltas(pairs: DataFrame, replicates: int, seed: int, cells: Sequen
     slot), so a lost task redraws the same units.  The draws shuffle to the
     units and are summed per replicate map-side.
     """
-    indexed = dense_index(pairs, key)
+    # the statistics are narrow; written once, pixels are not counted again
+    indexed = dense_index(cut_lineage(pairs), key)
     slots = indexed.select(F.col("idx").alias("slot"), "n_total", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     draws = slots.select("rep", F.pmod(draw(seed, F.col("rep"), F.col("slot")), F.col("n_total")).alias("idx"))
     both = [f"{p}{c}" for p in ("a_", "b_") for c in cells]

@@ -9,20 +9,37 @@ from ember.functions import geometry as G
 from ember.operators import areas as A
 from ember.operators.ranking import dedup_hotspots, hotspot_id, mosaic_latest
 from ember.operators.spatial import select_scenes
+from ember.session import cut_lineage
 
 CELL = ("epsg", "gx", "gy")
 
 
-def observations(requests: DataFrame, scenes: DataFrame, px: DataFrame) -> DataFrame:
-    """Valid, placed pixels of every scene each request selected.
+def pick_scenes(requests: DataFrame, scenes: DataFrame) -> DataFrame:
+    """``(request_id, task, scene_id)`` of selected scenes with the AOI bounds."""
+    return select_scenes(scenes, requests).select("request_id", "task", "scene_id", "aw", "as", "ae", "an")
 
-    The request's polygon travels with the few selected scenes, not with the
-    pixels; it is joined back after pixels have become cells.
+
+def scene_cells(scenes: DataFrame, px: DataFrame) -> DataFrame:
+    """Pixels of every scene as placed ground cells with their hectares.
+
+    Projection and area are worked out once per scene pixel, however many
+    requests look at the scene.
     """
-    picked = select_scenes(scenes, requests).select(
-        "request_id", "task", "scene_id", "chip_id", "observed_at", "date_post", "epsg", *A.TRANSFORM, "source_scene_id", "grid_row_offset", "grid_col_offset"
+    frame = scenes.select(
+        "scene_id", "chip_id", "task", "observed_at", "date_post", "epsg", *A.TRANSFORM, "source_scene_id", "grid_row_offset", "grid_col_offset"
     )
-    return A.place_cells(px.join(picked, "chip_id"))
+    return A.cell_area(A.place_cells(px.where(F.col("valid")).join(frame, "chip_id")), A.WHOLE).drop(*A.TRANSFORM)
+
+
+def observations(picks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Valid cells each request sees inside the bounds of its AOI.
+
+    Rivals for one ground cell share its location, so dropping what lies
+    outside the bounds first does not change any winner.
+    """
+    xs, ys = [F.col(c) for c in A.CORNERS[0::2]], [F.col(c) for c in A.CORNERS[1::2]]
+    inside = (F.least(*xs) <= F.col("ae")) & (F.greatest(*xs) >= F.col("aw")) & (F.least(*ys) <= F.col("an")) & (F.greatest(*ys) >= F.col("as"))
+    return cells.join(picks, ["scene_id", "task"]).where(inside).drop("aw", "as", "ae", "an")
 
 
 def hotspots(obs: DataFrame, aoi: DataFrame, height: Column, width: Column) -> DataFrame:
@@ -56,14 +73,14 @@ def hotspots(obs: DataFrame, aoi: DataFrame, height: Column, width: Column) -> D
 def burned_cells(obs: DataFrame, aoi: DataFrame) -> DataFrame:
     """Visible class of every ground cell (newest wins) with hectares inside."""
     bs = obs.where(F.col("task") == "bs")
-    newest = mosaic_latest(bs, ("request_id", *CELL), (*A.CORNERS, "lon", "lat", "rw", "cl"))
+    newest = mosaic_latest(bs, ("request_id", *CELL), (*A.CORNERS, "lon", "lat", A.WHOLE))
     return A.clip_cells(newest.join(aoi.select("request_id", "edges", "rings"), "request_id")).drop("edges", "rings")
 
 
 def observed_cells(obs: DataFrame, aoi: DataFrame) -> DataFrame:
     """Distinct valid ground cells per request and task with hectares inside."""
     valid = obs.where(F.col("valid"))
-    keep = [*A.CORNERS, "lon", "lat"]
+    keep = [*A.CORNERS, "lon", "lat", A.WHOLE]
     cells = valid.groupBy("request_id", "task", *CELL).agg(*[F.min(c).alias(c) for c in keep])
     return A.clip_cells(cells.join(aoi.select("request_id", "edges", "rings"), "request_id")).drop("edges", "rings")
 
@@ -74,10 +91,13 @@ def analyse(requests: DataFrame, scenes: DataFrame, px: DataFrame, aoi: DataFram
     ``requests`` as for ``select_scenes`` (one row per requested task); ``aoi``:
     request_id, edges, rings, aoi_ha.
     """
-    obs = observations(requests, scenes, px)
+    # three products read the same picks and cells: write both once
+    picks = cut_lineage(pick_scenes(requests, scenes))
+    wanted_scenes = scenes.join(picks.select("scene_id").distinct(), "scene_id", "left_semi")
+    obs = cut_lineage(observations(picks, scene_cells(wanted_scenes, px)))
     spots = hotspots(obs, aoi, height, width).groupBy("request_id").agg(F.count(F.lit(1)).alias("hotspot_count")).withColumn("task", F.lit("af"))
     burned = A.severity_areas(burned_cells(obs, aoi).where(F.col("cls") > 0), ["request_id"]).withColumn("task", F.lit("bs"))
-    chosen = select_scenes(scenes, requests).groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
+    chosen = picks.groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
     wanted = (
         requests.select("request_id", "task")
         .join(aoi.select("request_id", "aoi_ha"), "request_id")

@@ -115,7 +115,7 @@ def test_clipping_matches_exact_rectangles(spark):
         s, n = max(r[4], 50.0), min(r[2], 50.1)
         want = 0.0
         if e > w and n > s:
-            want = A._ha(np.array([(w, s), (e, s), (e, n), (w, n)]))
+            want = A._ha([(w, s), (e, s), (e, n), (w, n)])
         assert got.get(r[0], 0.0) == pytest.approx(want, abs=1e-6)
 
 
@@ -157,10 +157,17 @@ def test_components_and_contours(spark, pixels):
 
 
 def test_ring_rules(spark):
-    bow, tri = [(0, 0), (2, 2), (0, 2), (2, 0)], [(0, 0), (2, 0), (1, 2)]
-    rows = [(k, i, float(x), float(y)) for k, ring in (("bow", bow), ("tri", tri)) for i, (x, y) in enumerate(ring)]
+    circle = [(10 * np.cos(t), 10 * np.sin(t)) for t in np.linspace(0, 2 * np.pi, 60, endpoint=False)]
+    crossed = circle[:20] + [circle[45]] + circle[20:45] + circle[46:]
+    rings = {
+        "bow": [(0, 0), (2, 2), (0, 2), (2, 0)], "tri": [(0, 0), (2, 0), (1, 2)], "line": [(0, 0), (1, 1)], "far": [(0, 0), (200, 0), (1, 2)],
+        "closed": [(0, 0), (2, 0), (1, 2), (0, 0)], "flat": [(0, 0), (1, 1), (2, 2)], "circle": circle, "crossed": crossed,
+    }
+    rows = [(k, i, float(x), float(y)) for k, ring in rings.items() for i, (x, y) in enumerate(ring)]
     got = {r.aoi_id: r.problem for r in V.ring_self_intersections(spark.createDataFrame(rows, "aoi_id string, seq int, lon double, lat double")).collect()}
-    assert got == {"bow": "self-intersection"}
+    assert got == {
+        "bow": "self-intersection", "line": "too few vertices", "far": "outside WGS84", "closed": "repeated closing vertex", "flat": "zero area", "crossed": "self-intersection",
+    }
 
 
 def test_touching_rectangles_do_not_overlap(spark):
