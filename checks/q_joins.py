@@ -121,7 +121,7 @@ def e9_requested_scenes(inp):
     return J.requested_scenes(sc, inp.events.select(F.col("user_id").alias("chip_id")))
 
 
-@query("e10_with_candidates", f"SELECT chip_id, cand, {Q.r('w')} AS w, count(*) AS pixels, {Q.r('sum(CAST(t1 AS DOUBLE)*w)')} AS total FROM fx_pixel, (VALUES (0,0.0::DOUBLE),(1,0.25::DOUBLE),(2,1.0::DOUBLE)) g(cand,w) GROUP BY chip_id, cand, w")
+@query("e10_with_candidates", f"SELECT chip_id, CAST(cand AS BIGINT) AS cand, {Q.r('w')} AS w, count(*) AS pixels, {Q.r('sum(CAST(t1 AS DOUBLE)*w)')} AS total FROM fx_pixel, (VALUES (0,0.0::DOUBLE),(1,0.25::DOUBLE),(2,1.0::DOUBLE)) g(cand,w) GROUP BY chip_id, cand, w")
 def e10_with_candidates(inp):
     grid = [{"cand": i, "w": w} for i, w in enumerate((0.0, 0.25, 1.0))]
     wide = J.with_candidates(inp.fx_pixel.select("chip_id", "t1"), grid)

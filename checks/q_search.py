@@ -59,7 +59,7 @@ def grid_sql(prefix: str, sets, where: str = "valid", source: str = "fx_pixel",
     return Q.score_select(f"(SELECT {k}cand, m1, m2, m3, truth, {pred} AS pred FROM {source}, {grid_values(sets)} WHERE {where}) q", f"{k}cand, m1, m2, m3", rounded=False)
 
 
-@query("g2_grid_multipliers", f"SELECT cand, {Q.r('m1')} AS m1, {Q.r('m2')} AS m2, {Q.r('m3')} AS m3, {Q.r('IoU_burn')} AS IoU_burn, {Q.r('mIoU_sev')} AS mIoU_sev, {Q.r('score')} AS score FROM ({grid_sql('t', COARSE)}) z ORDER BY z.score DESC, cand LIMIT 1")
+@query("g2_grid_multipliers", f"SELECT CAST(cand AS BIGINT) AS cand, {Q.r('m1')} AS m1, {Q.r('m2')} AS m2, {Q.r('m3')} AS m3, {Q.r('IoU_burn')} AS IoU_burn, {Q.r('mIoU_sev')} AS mIoU_sev, {Q.r('score')} AS score FROM ({grid_sql('t', COARSE)}) z ORDER BY z.score DESC, cand LIMIT 1")
 def g2_grid_multipliers(inp):
     best = G.grid_multipliers(inp.fx_pixel.where("valid"), TREE)
     return longs(rounded(best.select("cand", "m1", "m2", "m3", "IoU_burn", "mIoU_sev", "score")))
