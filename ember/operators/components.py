@@ -35,13 +35,28 @@ def run_edges(tagged: DataFrame, keys: Sequence[str] = ("chip_id",)) -> DataFram
     return above.where(F.col("up").isNotNull()).select(*keys, F.col("run").alias("u"), F.col("up").alias("v")).distinct()
 
 
+def _contract(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One large-star and one small-star step; reads its input once."""
+    keys = list(keys)
+    around = Window.partitionBy(*keys, "u")
+    pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    u, v = F.col("u"), F.col("v")
+    both = edges.select(*keys, F.inline(F.array(pair(u, v), pair(v, u))))
+    low = both.withColumn("_m", F.least(u, F.min("v").over(around)))
+    large = low.where("v > u").select(*keys, v.alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
+    downward = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    ranked = downward.withColumn("_m", F.min("v").over(around))
+    small = ranked.select(*keys, F.inline(F.array(pair(v, F.col("_m")), pair(u, F.col("_m")))))
+    return small.where("u <> v").distinct()
+
+
 def connect(edges: DataFrame, keys: Sequence[str] = ("chip_id",), max_rounds: int = 60) -> DataFrame:
     """Smallest reachable vertex per vertex of an undirected edge table.
 
     Alternates large-star and small-star contraction, which needs a logarithmic
-    number of rounds however long a component winds.  Every round is written to
-    the checkpoint folder, so lost executors only repeat one round.  Only a
-    count and a digest of the edges reach the driver.
+    number of rounds however long a component winds.  Every second round is
+    written to the checkpoint folder, so lost executors repeat at most two.
+    Only a count and a digest of the edges reach the driver.
     """
     keys = list(keys)
 
@@ -49,22 +64,10 @@ def connect(edges: DataFrame, keys: Sequence[str] = ("chip_id",), max_rounds: in
         row = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*keys, "u", "v")).alias("h")).first()
         return row["n"], row["h"]
 
-    around = Window.partitionBy(*keys, "u")
-    current = cut_lineage(edges.where("u <> v"))
+    current = cut_lineage(_contract(edges.where("u <> v"), keys))
     state = mark(current)
     for _ in range(max_rounds):
-        both = current.union(current.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.col("u"), F.min("v").over(around))
-        large = both.withColumn("_m", low).where("v > u").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
-        downward = large.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        ranked = downward.withColumn("_m", F.min("v").over(around))
-        small = (
-            ranked.select(*keys, F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("_m").alias("b")), F.struct(F.col("u").alias("a"), F.col("_m").alias("b")))))
-            .where("a <> b")
-            .select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))
-            .distinct()
-        )
-        current = cut_lineage(small)
+        current = cut_lineage(_contract(_contract(current, keys), keys))
         now = mark(current)
         if now == state:
             break
