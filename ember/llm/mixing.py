@@ -90,6 +90,11 @@ def _narrow(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
 
 
+def _salted(cuts: DataFrame) -> DataFrame:
+    """One copy of a source's row per first digit of a key, so that a hot source spreads."""
+    return cuts.withColumn("_salt", F.explode(F.array(*[F.lit(d) for d in "0123456789abcdef"])))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """Words each document gives to the mix.
 
@@ -101,8 +106,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     after works on the written narrow rows.
     """
     narrow = stored(_narrow(docs, seed), "mix")
-    cuts = source_cuts(narrow, weights, share, max_epochs).withColumnRenamed("source", "_source")
-    placed = narrow.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    cuts = _salted(source_cuts(narrow, weights, share, max_epochs).withColumnRenamed("source", "_source"))
+    placed = narrow.join(cuts, F.col("source").eqNullSafe(F.col("_source")) & (F.substring("key", 1, 1) == F.col("_salt")))
     extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(0).cast("bigint")
     placed = placed.withColumn("extra", extra).withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint"))
     return placed.select("doc_id", "key", "source", "size", "source_size", "target", "whole", "extra", "taken")
@@ -115,10 +120,10 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), shar
     since a text is kept whole or not at all.  Columns are those of ``docs``.
     """
     cuts = source_cuts(stored(_narrow(docs, seed), "mix"), weights, share, max_epochs)
-    cuts = cuts.select(F.col("source").alias("_source"), "whole", "cut_key", "cut_whole")
+    cuts = _salted(cuts.select(F.col("source").alias("_source"), "whole", "cut_key", "cut_whole"))
     text = F.coalesce(docs["text"], F.lit(""))
     keyed = docs.withColumn("_key", seeded_key(seed, docs["doc_id"], F.md5(text.cast("binary"))))
     more = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & F.col("cut_whole"))
     times = F.col("whole").cast("int") + F.coalesce(more, F.lit(False)).cast("int")
-    placed = keyed.join(cuts, docs["source"].cast("string").eqNullSafe(F.col("_source"))).withColumn("_times", times)
+    placed = keyed.join(cuts, docs["source"].cast("string").eqNullSafe(F.col("_source")) & (F.substring("_key", 1, 1) == F.col("_salt"))).withColumn("_times", times)
     return placed.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bloom_cascade, mixing
+from ember.llm import bloom_cascade, bpe, mixing, token_counts
 from ember.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,25 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+# --- 1: BPE encoding and decoding --------------------------------------------
+
+
+@query("op1_bpe_words")
+def op1(spark, sf_dir):
+    """Encode and decode all documents through the distinct-word table."""
+    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+# --- 2: token counts ---------------------------------------------------------
+
+
+@query("op2_token_counts")
+def op2(spark, sf_dir):
+    """Token counts of all documents by the whole-token shortcut."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 # --- 3: mixing ---------------------------------------------------------------
 
 MIX_SQL = r"""
