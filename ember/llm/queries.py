@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bloom_cascade, bpe, mixing, token_counts
+from ember.llm import bloom_cascade, bpe, mixing, ordinal, token_counts
 from ember.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,17 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+# --- 7: quality classifier ---------------------------------------------------
+
+
+@query("op7_ordinal_quality")
+def op7(spark, sf_dir):
+    """Expected grade and top-grade probability of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, table(spark, sf_dir, "labels"))
+    return ordinal.grade_documents(docs, model).select("doc_id", "expected_grade", "tail", "keep")
+
+
 # --- 8: URL filters ----------------------------------------------------------
 
 # Rules and the labels of listed hosts.
