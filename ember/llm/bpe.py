@@ -1,11 +1,14 @@
 """BPE encoding through a table of distinct words, and decoding through a join.
 
 1. Tasks split texts into words; counts per word are combined before the shuffle.
-2. Every distinct word is encoded once.  Its ids are exploded, joined to the
-   id-to-piece table and put together again: the word table has ids and pieces.
+2. Every distinct word is encoded once into the word table.
 3. Words come back to their positions.  The ``hot`` most frequent words, a fixed
    number, are broadcast; all other words are joined by shuffle.  Each document
    travels as a sequence of word numbers (1-2 bytes a word), not as text.
+4. Decoding joins the ids of a row to the id-to-piece table.
+
+Character classes are those of the Unicode version of the ``regex`` package;
+characters assigned later than the tokenizer's own tables may split otherwise.
 
 Null texts are empty and have no tokens; repeated rows give repeated results;
 rows with equal id and text share one dictionary of rare words.
@@ -29,8 +32,8 @@ from ember.llm.vocabulary import WHITE, Vocabulary, read_vocabulary
 #: Fixed value: the word pattern of the tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 #: White-space-free strings whose words a task remembers.
-REMEMBERED = 200_000
-#: Most frequent words that are broadcast (about 20 MB); the rest is joined.
+REMEMBERED = 600_000
+#: Most frequent words that are broadcast (about 12 MB); the rest is joined.
 HOT = 1 << 19
 
 
@@ -52,6 +55,12 @@ class Splitter:
         return text.split()
 
     def words(self, chunk: str) -> list[str]:
+        low = chunk.lower()
+        if low.isascii():  # plain words, often with one mark behind them
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and not low[-1].isalnum():
+                return [low[:-1], low[-1]]
         parts = self.special.split(chunk) if "<|" in chunk else [chunk]
         out: list[str] = []
         for part in parts:
@@ -89,41 +98,37 @@ def count_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def decode(tokens: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """Decode exploded ids (``keys, pos, id``): ``keys, ids, decoded``.
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """Add the decoded text of an array column of ids.
 
-    The id-to-piece table has one row per vocabulary entry, a fixed number, and
-    is broadcast.  Pieces are joined by blanks in order of ``pos``, as a
-    tokenizer without a decoder does; an unknown id gives no piece.
+    The id-to-piece table is folded into one row, an array indexed by id of a
+    fixed number of entries, and joined to every row; the pieces are joined by
+    blanks, as a tokenizer without a decoder does.  An id that is not in the
+    vocabulary gives no piece; null ids give null.
     """
-    pieces = tokens.sparkSession.createDataFrame(vocabulary.pieces(), "id int, piece string")
-    named = tokens.join(F.broadcast(pieces), "id", "left")
-    rows = named.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("_t"))
-    return rows.select(*keys, F.col("_t.id").alias("ids"), F.array_join("_t.piece", " ").alias("decoded"))
+    by_id = dict(vocabulary.pieces())
+    row = encoded.sparkSession.createDataFrame([([by_id.get(i) for i in range(max(by_id) + 1)],)], "_pieces array<string>")
+    joined = encoded.join(F.broadcast(row), F.lit(True))
+    return joined.withColumn(name, F.array_join(F.transform(ids, lambda i: F.get(F.col("_pieces"), i)), " ")).drop("_pieces")
 
 
-def word_table(words: DataFrame, vocabulary: Vocabulary, shared) -> DataFrame:
-    """Encode each distinct word once: ``word, n, ids, decoded``."""
+def word_table(words: DataFrame, shared) -> DataFrame:
+    """Encode each distinct word once: ``word, n, ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
         for batch in batches:
-            words, counts, pos, ids = [], [], [], []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = [voc.specials[word]] if word in voc.specials else voc.encode(word)
-                words += [word] * len(got)
-                counts += [n] * len(got)
-                pos += range(len(got))
-                ids += got
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(pos, pa.int32()), pa.array(ids, pa.int32())], ["word", "n", "pos", "id"])
+            ids = [[voc.specials[w]] if w in voc.specials else voc.encode(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    tokens = words.select("word", "n").mapInArrow(run, "word string, n bigint, pos int, id int")
-    return stored(decode(tokens, vocabulary, ["word", "n"]), "words")
+    return stored(words.select("word", "n").mapInArrow(run, "word string, n bigint, ids array<int>"), "words")
 
 
-def _pack(codes: list[int]) -> bytes:
+def _pack(codes: np.ndarray) -> bytes:
     """Word numbers as three byte planes, compressed."""
-    planes = np.array(codes, dtype="<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    if len(codes) == 0:
+        return b""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
@@ -134,50 +139,87 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
+class Numbering(dict):
+    """White-space-free strings to lists of word numbers.
+
+    Frequent words have their rank, rare ones numbers from ``base`` in the order
+    in which this task meets them; ``flat[start[k]:start[k + 1]]`` are those of
+    string number ``k``.
+    """
+
+    def __init__(self, split: Splitter, rank: dict[str, int]) -> None:
+        super().__init__()
+        self.split, self.rank, self.base = split, rank, len(rank)
+        self.rare: dict[str, int] = {}
+        self.flat: list[int] = []
+        self.start = [0]
+
+    def __missing__(self, chunk: str) -> int:
+        for word in self.split.words(chunk):
+            number = self.rank.get(word)
+            if number is None:
+                number = self.rare.setdefault(word, self.base + len(self.rare))
+            self.flat.append(number)
+        self.start.append(len(self.flat))
+        self[chunk] = got = len(self.start) - 2
+        return got
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Concatenated slices ``values[begin:begin + length]``."""
+    total = int(length.sum())
+    if total == 0:
+        return values[:0]
+    return values[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)]
+
+
 def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
-    """Encode whole texts and decode them again.
+    """Encode whole texts: ``doc_id, n_tokens, ids, packed``.
 
-    Returns ``doc_id, n_tokens, ids, decoded``; ``ids`` is binary: the token ids
-    in order as little-endian unsigned 32-bit integers.  A text may hold up to
-    ``2 ** 24 - hot`` distinct rare words.
+    ``ids`` is an array, ``packed`` the same ids as little-endian unsigned
+    32-bit integers.  A text may hold up to ``2 ** 24 - hot`` distinct rare words.
     """
     spark = docs.sparkSession
-    vocabulary = read_vocabulary(path)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    table = word_table(count_words(docs, shared), vocabulary, shared)
+    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    table = word_table(count_words(docs, shared), shared)
     # ``hot`` bounds what reaches the driver and the workers
-    top = table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids", "decoded").toArrow().combine_chunks()
+    top = table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").toArrow().combine_chunks()
     hot_words = spark.sparkContext.broadcast(top.column("word").to_pylist())
     lists = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    hot_ids = spark.sparkContext.broadcast((np.asarray(lists.offsets), np.asarray(lists.values).astype("<u4"), top.column("decoded").to_pylist()))
+    hot_ids = spark.sparkContext.broadcast((np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype("<i4")))
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[int]], list[list[str]]]]:
-        split = Splitter(shared.value)
-        number = {w: i for i, w in enumerate(hot_words.value)}
-        base = len(number)
-        known: dict[str, tuple] = {}
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[list[str]]]]:
+        """Word numbers of every text, its rare words numbered from ``base`` in order of appearance."""
+        split, rank = Splitter(shared.value), {w: i for i, w in enumerate(hot_words.value)}
+        known = Numbering(split, rank)
         for batch in batches:
-            codes_out, rare_out = [], []
+            if len(known) > REMEMBERED:
+                known = Numbering(split, rank)
+            strings = []
             for value in batch.column("text"):
-                if len(known) > REMEMBERED:
-                    known.clear()
-                codes: list[int] = []
-                rare: dict[str, int] = {}
-                for chunk in split.chunks(value.as_py()):
-                    got = known.get(chunk)
-                    if got is None:
-                        got = known[chunk] = tuple(number.get(w, w) for w in split.words(chunk))
-                    codes += got
-                if any(type(c) is str for c in codes):
-                    codes = [rare.setdefault(c, base + len(rare)) if type(c) is str else c for c in codes]
-                codes_out.append(codes)
-                rare_out.append(list(rare))
-            yield batch, codes_out, rare_out
+                chunks = split.chunks(value.as_py())
+                strings.append(np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks)))
+            flat, start, names = np.array(known.flat, dtype=np.int64), np.array(known.start, dtype=np.int64), list(known.rare)
+            codes, rare = [], []
+            for at in strings:
+                code = _gather(flat, start[at], start[at + 1] - start[at])
+                high = np.flatnonzero(code >= known.base)
+                own: list[str] = []
+                if len(high):
+                    found, first, place = np.unique(code[high], return_index=True, return_inverse=True)
+                    order = np.argsort(first)
+                    rank_of = np.empty(len(order), dtype=np.int64)
+                    rank_of[order] = np.arange(len(order))
+                    code[high] = known.base + rank_of[place]
+                    own = [names[i] for i in (found[order] - known.base).tolist()]
+                codes.append(code)
+                rare.append(own)
+            yield batch, codes, rare
 
     def sequences(batches):
         for batch, codes, _ in numbered(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array([len(c) for c in codes], pa.int32()), pa.array([_pack(c) if c else b"" for c in codes], pa.binary())],
+                [batch.column("doc_id"), batch.column("h"), pa.array([len(c) for c in codes], pa.int32()), pa.array([_pack(c) for c in codes], pa.binary())],
                 ["doc_id", "h", "n_words", "codes"],
             )
 
@@ -191,50 +233,36 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
             )
 
     def assembled(batches):
-        offsets, flat, pieces = hot_ids.value
-        base = len(pieces)
+        offsets, flat = hot_ids.value
+        base = len(offsets) - 1
         for batch in batches:
-            n_tokens, ids_out, text_out = [], [], []
-            for n, data, rare in zip(batch.column("n_words").to_pylist(), batch.column("codes"), batch.column("rare").to_pylist(), strict=True):
-                codes = _unpack(data.as_py(), n)
-                if rare:
-                    own = [np.array(r["ids"], dtype="<u4") for r in rare]
-                    ends = np.cumsum([len(o) for o in own]) + len(flat)
-                    values = np.concatenate([flat, *own])
-                    begin = np.where(codes < base, offsets[np.minimum(codes, base - 1)] if base else 0, np.concatenate([[len(flat)], ends])[np.maximum(codes - base, 0)])
-                    stop = np.where(codes < base, offsets[np.minimum(codes, base - 1) + 1] if base else 0, ends[np.maximum(codes - base, 0)])
-                    words = [pieces[c] if c < base else rare[c - base]["decoded"] for c in codes.tolist()]
+            counts, data = batch.column("n_words").to_pylist(), batch.column("codes")
+            ids, keep = [], []
+            rare = batch.column("rare")
+            for row, n in enumerate(counts):
+                codes = _unpack(data[row].as_py(), n)
+                if rare[row].is_valid:
+                    own = [np.array(r, dtype="<i4") for r in rare[row].as_py()]
+                    values, ends = np.concatenate([flat, *own]), np.concatenate([offsets, len(flat) + np.cumsum([len(o) for o in own])])
                 else:
-                    values, begin, stop = flat, offsets[codes], offsets[codes + 1]
-                    words = [pieces[c] for c in codes.tolist()]
-                length = stop - begin
-                total = int(length.sum())
-                starts = np.cumsum(length) - length
-                ids = values[np.repeat(begin - starts, length) + np.arange(total)]
-                n_tokens.append(total)
-                ids_out.append(ids.tobytes())
-                text_out.append(" ".join(words))
-                if len(ids_out) == 500:
-                    yield n_tokens, ids_out, text_out
-                    n_tokens, ids_out, text_out = [], [], []
-            yield n_tokens, ids_out, text_out
-
-    def finished(batches):
-        for batch in batches:
-            done = 0
-            for n_tokens, ids, text in assembled([batch]):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(done, len(ids)), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary()), pa.array(text, pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-                done += len(ids)
+                    values, ends = flat, offsets
+                ids.append(_gather(values, ends[codes], ends[codes + 1] - ends[codes]))
+                keep.append(row)
+                if sum(map(len, ids[-1:])) > 500_000 or len(ids) == 500 or row == len(counts) - 1:
+                    sizes = np.array([len(i) for i in ids])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(keep[0], len(keep)), pa.array(sizes, pa.int64()), lists, pa.array([i.tobytes() for i in ids], pa.binary())],
+                        ["doc_id", "n_tokens", "ids", "packed"],
+                    )
+                    ids, keep = [], []
 
     source = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     coded = source.mapInArrow(sequences, f"doc_id {kind}, h bigint, n_words int, codes binary")
     rare = source.mapInArrow(rare_words, f"doc_id {kind}, h bigint, i int, word string")
-    rare = rare.join(table.select("word", "ids", "decoded"), "word").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    rare = rare.agg(F.sort_array(F.collect_set(F.struct("i", "ids", "decoded"))).alias("rare"))
+    rare = rare.join(table.select("word", "ids"), "word").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    rare = rare.agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare"))
     both = coded.join(rare, coded["doc_id"].eqNullSafe(rare["_id"]) & (coded["h"] == rare["_h"]), "left")
-    rows = both.select("doc_id", "n_words", "codes", F.col("rare").alias("rare"))
-    return rows.mapInArrow(finished, f"doc_id {kind}, n_tokens bigint, ids binary, decoded string")
+    rows = both.select("doc_id", "n_words", "codes", F.col("rare.ids").alias("rare"))
+    return rows.mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ember.llm import bloom_cascade, bpe, mixing, ordinal, token_counts
 from ember.llm.common import table
+from ember.llm.vocabulary import read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,8 +34,9 @@ def query(name: str, sql: str | None = None):
 @query("op1_bpe_words")
 def op1(spark, sf_dir):
     """Encode and decode all documents through the distinct-word table."""
-    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), read_vocabulary(path))
+    return done.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 # --- 2: token counts ---------------------------------------------------------
