@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bloom_cascade, bpe, mixing, ordinal, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, mixing, ordinal, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -110,3 +110,12 @@ def op8(spark, sf_dir):
     """All page URLs against the rules and a cascade over all hosts."""
     listed = F.col("key").rlike(r"(^|\.)(" + "|".join(LISTED) + r")\.")
     return bloom_cascade.filter_urls(table(spark, sf_dir, "pages"), RULES, listed)
+
+
+# --- 10: near duplicates -----------------------------------------------------
+
+
+@query("op10_bag_minhash")
+def op10(spark, sf_dir):
+    """Near-duplicate class of every document; five words, similarity 0.8."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id")
