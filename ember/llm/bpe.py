@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ember.llm.common import stored
+from ember.llm.split import slices
 from ember.llm.vocabulary import WHITE, Vocabulary, read_vocabulary
 
 #: Fixed value: the word pattern of the tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 #: White-space-free strings whose words a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Most frequent words that are broadcast (about 12 MB); the rest is joined.
 HOT = 1 << 19
 
@@ -55,11 +56,11 @@ class Splitter:
         return text.split()
 
     def words(self, chunk: str) -> list[str]:
-        low = chunk.lower()
-        if low.isascii():  # plain words, often with one mark behind them
-            if low.isalpha():
+        if chunk.isascii() or ("Σ" not in chunk and unicodedata.is_normalized("NFC", chunk)):
+            low = chunk.lower()
+            if low.isalpha():  # one word, often with one mark behind it
                 return [low]
-            if low[:-1].isalpha() and not low[-1].isalnum():
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
                 return [low[:-1], low[-1]]
         parts = self.special.split(chunk) if "<|" in chunk else [chunk]
         out: list[str] = []
@@ -88,10 +89,11 @@ def count_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                chunks.update(split.chunks(value.as_py()))
-                if len(chunks) > 2 * REMEMBERED:
-                    yield flush()
+            for a, b in slices(batch.column(0)):
+                for text in batch.column(0).slice(a, b - a).to_pylist():
+                    chunks.update(split.chunks(text))
+            if len(chunks) > REMEMBERED:
+                yield flush()
         if chunks:
             yield flush()
 
@@ -188,49 +190,36 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     lists = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
     hot_ids = spark.sparkContext.broadcast((np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype("<i4")))
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[list[str]]]]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Word numbers of every text, its rare words numbered from ``base`` in order of appearance."""
         split, rank = Splitter(shared.value), {w: i for i, w in enumerate(hot_words.value)}
         known = Numbering(split, rank)
         for batch in batches:
-            if len(known) > REMEMBERED:
-                known = Numbering(split, rank)
-            strings = []
-            for value in batch.column("text"):
-                chunks = split.chunks(value.as_py())
-                strings.append(np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks)))
-            flat, start, names = np.array(known.flat, dtype=np.int64), np.array(known.start, dtype=np.int64), list(known.rare)
-            codes, rare = [], []
-            for at in strings:
-                code = _gather(flat, start[at], start[at + 1] - start[at])
-                high = np.flatnonzero(code >= known.base)
-                own: list[str] = []
-                if len(high):
-                    found, first, place = np.unique(code[high], return_index=True, return_inverse=True)
-                    order = np.argsort(first)
-                    rank_of = np.empty(len(order), dtype=np.int64)
-                    rank_of[order] = np.arange(len(order))
-                    code[high] = known.base + rank_of[place]
-                    own = [names[i] for i in (found[order] - known.base).tolist()]
-                codes.append(code)
-                rare.append(own)
-            yield batch, codes, rare
-
-    def sequences(batches):
-        for batch, codes, _ in numbered(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("h"), pa.array([len(c) for c in codes], pa.int32()), pa.array([_pack(c) for c in codes], pa.binary())],
-                ["doc_id", "h", "n_words", "codes"],
-            )
-
-    def rare_words(batches):
-        for batch, _, rare in numbered(batches):
-            sizes = [len(r) for r in rare]
-            at = pa.array(np.repeat(np.arange(len(rare)), sizes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array([i for n in sizes for i in range(n)], pa.int32()), pa.array([w for r in rare for w in r], pa.string())],
-                ["doc_id", "h", "i", "word"],
-            )
+            for a, b in slices(batch.column("text")):
+                if len(known) > REMEMBERED:
+                    known = Numbering(split, rank)
+                strings = []
+                for text in batch.column("text").slice(a, b - a).to_pylist():
+                    chunks = split.chunks(text)
+                    strings.append(np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks)))
+                flat, start, names = np.array(known.flat, dtype=np.int64), np.array(known.start, dtype=np.int64), list(known.rare)
+                sizes, packed, rare = [], [], []
+                for at in strings:
+                    code = _gather(flat, start[at], start[at + 1] - start[at])
+                    high = np.flatnonzero(code >= known.base)
+                    own: list[str] = []
+                    if len(high):
+                        found, first, place = np.unique(code[high], return_index=True, return_inverse=True)
+                        order = np.argsort(first)
+                        rank_of = np.empty(len(order), dtype=np.int64)
+                        rank_of[order] = np.arange(len(order))
+                        code[high] = known.base + rank_of[place]
+                        own = [names[i] for i in (found[order] - known.base).tolist()]
+                    sizes.append(len(code))
+                    packed.append(_pack(code))
+                    rare.append(own)
+                words = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["n", "codes", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), words], ["doc_id", "k", "words"])
 
     def assembled(batches):
         offsets, flat = hot_ids.value
@@ -257,12 +246,14 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
                     )
                     ids, keep = [], []
 
-    source = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    identity = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), text).cast("binary")))
+    source = docs.select("doc_id", identity.alias("k"), text.alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    coded = source.mapInArrow(sequences, f"doc_id {kind}, h bigint, n_words int, codes binary")
-    rare = source.mapInArrow(rare_words, f"doc_id {kind}, h bigint, i int, word string")
-    rare = rare.join(table.select("word", "ids"), "word").groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    rare = rare.agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare"))
-    both = coded.join(rare, coded["doc_id"].eqNullSafe(rare["_id"]) & (coded["h"] == rare["_h"]), "left")
-    rows = both.select("doc_id", "n_words", "codes", F.col("rare.ids").alias("rare"))
+    # one exchange, read twice: for the rare words and for the documents themselves
+    coded = source.mapInArrow(numbered, f"doc_id {kind}, k binary, words struct<n int, codes binary, rare array<string>>").repartition("k")
+    rare = coded.select("k", F.posexplode("words.rare").alias("i", "word"))
+    rare = rare.join(table.select("word", "ids"), "word").groupBy(F.col("k").alias("_k")).agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare"))
+    both = coded.join(rare, F.col("k") == F.col("_k"), "left")
+    rows = both.select("doc_id", F.col("words.n").alias("n_words"), F.col("words.codes").alias("codes"), F.col("rare.ids").alias("rare"))
     return rows.mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary")
