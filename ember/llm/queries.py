@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bagminhash, bloom_cascade, bpe, mixing, ordinal, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, mixing, ordinal, pivot_index, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -112,6 +112,24 @@ def op8(spark, sf_dir):
     return bloom_cascade.filter_urls(table(spark, sf_dir, "pages"), RULES, listed)
 
 
+# --- 9: exact top-k search ---------------------------------------------------
+
+TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256*CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0 AND len(embedding)>0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op9_pivot_topk", TOP_SQL)
+def op9(spark, sf_dir):
+    """Five best whole-number inner products of every 50th vector against all rows."""
+    return pivot_index.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 # --- 10: near duplicates -----------------------------------------------------
 
 
