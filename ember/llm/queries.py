@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bagminhash, bloom_cascade, bpe, mixing, ordinal, pivot_index, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, mixing, nn_descent, ordinal, pivot_index, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -75,6 +75,15 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+# --- 5: approximate nearest neighbours ---------------------------------------
+
+
+@query("op5_nn_descent")
+def op5(spark, sf_dir):
+    """Ten nearest found of every 100th vector, all rows being candidates."""
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 # --- 7: quality classifier ---------------------------------------------------
 
 
