@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bagminhash, bloom_cascade, bpe, mixing, nn_descent, ordinal, pivot_index, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, mixing, nn_descent, ordinal, pivot_index, quotes, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -75,6 +75,35 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+# --- 4: chat formatting ------------------------------------------------------
+
+QUOTE_SQL = """
+WITH RECURSIVE m AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+q AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR)||'-'||CAST(turn AS VARCHAR) AS msg_id, CASE WHEN trim(coalesce(text,''))='' THEN '' ELSE text END AS own_text,
+  trim(regexp_replace(lower(lag(text,1) OVER w),'\s+',' ','g')) AS q1, trim(regexp_replace(lower(lag(text,2) OVER w),'\s+',' ','g')) AS q2
+  FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, trim(regexp_replace(lower(unnest([own_text]||string_split_regex(own_text,'\n\s*\n')||string_split(own_text,chr(10)))),'\s+',' ','g')) AS piece FROM q),
+f AS (SELECT conv_id, piece, min(turn) AS turn FROM p WHERE length(piece)>=8 GROUP BY ALL),
+l AS (SELECT q.*, f1.turn AS t1, f2.turn AS t2 FROM q LEFT JOIN f f1 ON f1.conv_id=q.conv_id AND f1.piece=q.q1 AND f1.turn<q.turn
+  LEFT JOIN f f2 ON f2.conv_id=q.conv_id AND f2.piece=q.q2 AND f2.turn<q.turn),
+r AS (SELECT msg_id, turn, own_text, CASE WHEN coalesce(q2,'')<>'' THEN 2 WHEN coalesce(q1,'')<>'' THEN 1 ELSE 0 END AS quote_levels,
+  CAST(coalesce(length(q1)>=8,false) AS BIGINT)+CAST(coalesce(length(q2)>=8,false) AS BIGINT) AS n_quotes,
+  CAST(t1 IS NOT NULL AS BIGINT)+CAST(t2 IS NOT NULL AS BIGINT) AS n_linked,
+  CASE WHEN coalesce(t1,t2) IS NOT NULL THEN CAST(conv_id AS VARCHAR)||'-'||CAST(coalesce(t1,t2) AS VARCHAR) END AS parent_id FROM l),
+u AS (SELECT msg_id, msg_id AS root_id, CAST(0 AS BIGINT) AS depth FROM r WHERE parent_id IS NULL
+  UNION ALL SELECT r.msg_id, u.root_id, u.depth+1 FROM r JOIN u ON r.parent_id=u.msg_id)
+SELECT r.msg_id, r.turn AS position, own_text, quote_levels, n_quotes, n_linked, parent_id, root_id, depth,
+ CAST(row_number() OVER (PARTITION BY root_id ORDER BY depth, r.turn, r.msg_id) AS INTEGER) AS reply_order FROM r JOIN u ON r.msg_id=u.msg_id
+"""
+
+
+@query("op4_quote_links", QUOTE_SQL)
+def op4(spark, sf_dir):
+    """Reply-ordered conversations of all turns, written as mail that quotes what it answers."""
+    mail = quotes.as_mail(table(spark, sf_dir, "conversations"))
+    return quotes.thread(quotes.link_quotations(mail, group="conv_id"))
+
+
 # --- 5: approximate nearest neighbours ---------------------------------------
 
 
