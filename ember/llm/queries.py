@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bagminhash, bloom_cascade, bpe, mixing, nn_descent, ordinal, pivot_index, quotes, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, katz, mixing, nn_descent, ordinal, pivot_index, quotes, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -113,6 +113,15 @@ def op5(spark, sf_dir):
     return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+# --- 6: LM scoring -----------------------------------------------------------
+
+
+@query("op6_katz_scores")
+def op6(spark, sf_dir):
+    """Katz and add-0.1 scores of all documents, learned from nine tenths of them."""
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 # --- 7: quality classifier ---------------------------------------------------
 
 
