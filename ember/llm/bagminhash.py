@@ -8,9 +8,11 @@ in a component with probability equal to their weighted Jaccard similarity.
 
 Texts with equal fingerprint are one node.  Bands of signature components give
 bucket keys.  In every bucket each node is compared with the bucket's leader;
-then, in rounds, nodes of buckets that still join different classes are
-compared with further leaders until no pair of different classes is left
-unverified.  Multiset overlap of every compared pair is computed exactly.
+then, in buckets that still hold different classes, the nodes outside the
+leader's class are compared with all others by sketches of the signatures, block
+by block inside tasks.  Multiset overlap of every remaining pair is computed
+exactly.  The leader is the node that meets most others: copies of a text differ
+from each other more than from it.
 
 Words are runs between white space, compared as they stand.  A text of 1 to 4
 words is one shingle; null texts and texts without words are never duplicates
@@ -22,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +143,13 @@ def _slices(sizes: list[int], limit: int = 4_000_000) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """One byte per component; bytes of two texts agree about as often as their components."""
+    return (mix(signature.view(U)) & U(255)).astype(np.uint8)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """``node, n`` (shingles) and band keys of every text with words."""
+    """``node, n`` (shingles), band keys and sketch of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -153,17 +159,18 @@ def signed(docs: DataFrame) -> DataFrame:
                 owner, shingle, count = shingle_bags(texts[a:b], known)
                 n = b - a
                 total = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
-                keys = band_keys(signatures(owner, shingle, count, n))
+                signature = signatures(owner, shingle, count, n)
+                keys, sketch = band_keys(signature), pa.array([r.tobytes() for r in sketches(signature)], pa.binary())
                 full = pa.array(np.flatnonzero(total))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n).take(full), batch.column("node").slice(a, n).take(full), pa.array(total[total > 0]), lists.take(full)],
-                    ["doc_id", "node", "n", "bands"],
+                    [batch.column("doc_id").slice(a, n).take(full), batch.column("node").slice(a, n).take(full), pa.array(total[total > 0]), lists.take(full), sketch.take(full)],
+                    ["doc_id", "node", "n", "bands", "sketch"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
     text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, bands array<bigint>")
+    return docs.select("doc_id", F.xxhash64(text).alias("node"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, node bigint, n bigint, bands array<bigint>, sketch binary")
 
 
 def overlap(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -195,20 +202,25 @@ def overlap(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "u bigint, v bigint, alike boolean")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, leaders: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Class of every document: ``doc_id, node, class_id`` (smallest ``doc_id`` of the class).
 
     Classes are the connected components of texts whose similarity reaches
-    ``threshold``.  ``leaders`` sets how many leaders a bucket has per round, not
-    the result: rounds go on until every stranger to a bucket's class has led.
+    ``threshold``.
     """
     rows = stored(signed(docs), "signed")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep")).withColumnRenamed("node", "_node")
     # one row per text: repeats of a text carry the same bands
-    single = nodes.join(rows.select("doc_id", F.col("node").alias("_node"), "bands"), (F.col("node") == F.col("_node")) & F.col("rep").eqNullSafe(F.col("doc_id")))
-    buckets = stored(single.select("node", "n", F.explode("bands").alias("key")).distinct(), "bands")
-    heads = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("node", "n")).alias("_head")).where("_size > 1")
-    shared = stored(buckets.join(heads, "key").select("key", "node", "n", F.col("_head.node").alias("head"), F.col("_head.n").alias("head_n")), "shared")
+    single = rows.join(reps, (F.col("node") == F.col("_node")) & F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "rep", "n", "bands", "sketch")
+    nodes = stored(single.dropDuplicates(["node"]), "nodes")
+    buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
+    crowds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select(F.col("key").alias("_key"), "_size")
+    shared = stored(buckets.join(crowds, F.col("key") == F.col("_key")).select("key", "node", "n", "_size"), "shared")
+    # the text that meets most others leads: copies of one text differ from each other more than from it
+    fame = shared.groupBy("node").agg(F.sum("_size").alias("fame")).withColumnRenamed("node", "_node")
+    famed = shared.join(fame, F.col("node") == F.col("_node"))
+    heads = famed.groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("_head")).withColumnRenamed("key", "_key")
+    shared = stored(shared.join(heads, F.col("key") == F.col("_key")).select("key", "node", "n", F.col("_head.node").alias("head"), F.col("_head.n").alias("head_n")), "shared")
     near_in_size = F.least("n", "head_n") >= threshold * F.greatest("n", "head_n") - 1e-9
     pairs = shared.where((F.col("node") != F.col("head")) & near_in_size).groupBy(F.col("head").alias("u"), F.col("node").alias("v")).agg(F.lit(1).alias("_1")).select("u", "v")
 
@@ -218,19 +230,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, leaders: int = 32)
     texts = named.join(candidates, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "text")
     texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    tried = [stored(overlap(pairs, texts, threshold), "pairs")]
-    edges = tried[0].where("alike").select("u", "v")
+    tried = stored(overlap(pairs, texts, threshold), "pairs")
+    edges = tried.where("alike").select("u", "v")
     labels = components(edges)
-    strangers = stored(_strangers(shared, labels, leaders), "strangers")
-    rounds = strangers.agg(F.max("parts")).first()[0] or 0
-    for part in range(rounds):
-        pairs = stored(_open_pairs(shared, strangers.where((F.col("part") == part) & (F.col("parts") > part)), labels, reduce(DataFrame.unionByName, tried), threshold), "open")
-        if pairs.isEmpty():
-            continue
-        tried.append(stored(overlap(pairs, texts, threshold), "pairs"))
-        if tried[-1].where("alike").isEmpty():
-            continue
-        labels = components(reduce(DataFrame.unionByName, tried).where("alike").select("u", "v"))
+    more = stored(_late_links(shared, labels, nodes, texts, threshold), "late")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     classes = nodes.join(labels.withColumnRenamed("u", "_u"), F.col("node") == F.col("_u"), "left").withColumn("_root", F.coalesce("root", "node"))
     names = classes.groupBy("_root").agg(F.min("rep").alias("class_id"))
@@ -245,25 +250,86 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataF
     return rows.join(known, F.col(node) == F.col("_u"), "left").withColumn(name, F.coalesce("_root", node)).drop("_u", "_root")
 
 
-def _strangers(shared: DataFrame, labels: DataFrame, leaders: int) -> DataFrame:
-    """Nodes of a bucket outside the class of its head, dealt into parts of about ``leaders``.
+def _late_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, strangers: int = 256, members: int = 1024) -> DataFrame:
+    """Links ``u, v`` between different classes among nodes that share a bucket.
 
-    A large group with a few strangers thus compares only the strangers; every
-    pair of different classes has a stranger among its two nodes.
+    Nodes of the buckets of one leader form a group; its strangers are those
+    outside the leader's class.  Of two nodes of different classes one is a
+    stranger, so strangers meet all members, in blocks of about ``strangers`` by
+    ``members`` rows, however large the group.  Inside a task pairs whose
+    sketches agree to within 4.2 standard deviations of the threshold are
+    compared exactly.  Only links that join two classes of the block are sent
+    on, fewer than the block has nodes; pairs never become rows.
     """
-    tagged = _labelled(_labelled(shared, labels, "node", "root"), labels, "head", "head_root").where("root <> head_root")
-    parts = tagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / leaders).cast("int").alias("parts"))
-    dealt = tagged.select("key", F.col("node").alias("l"), F.col("n").alias("l_n")).join(parts, "key")
-    return dealt.withColumn("part", F.pmod(F.xxhash64("l", "key"), F.col("parts")).cast("int"))
-
-
-def _open_pairs(shared: DataFrame, leading: DataFrame, labels: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Untried pairs of a bucket's leaders with its nodes of other classes."""
-    pairs = shared.select("key", "node", "n").join(leading, "key").where((F.col("node") != F.col("l")) & (F.least("n", "l_n") >= threshold * F.greatest("n", "l_n") - 1e-9))
-    pairs = pairs.groupBy(F.least("node", "l").alias("u"), F.greatest("node", "l").alias("v")).agg(F.lit(1).alias("_1")).select("u", "v")
-    pairs = _labelled(_labelled(pairs, labels, "u", "ru"), labels, "v", "rv").where("ru <> rv").select("u", "v")
-    done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return pairs.join(done, ["u", "v"], "left_anti")
+    rows = shared.groupBy("head", "node").agg(F.max("n").alias("n"))
+    rows = _labelled(_labelled(rows, labels, "node", "root"), labels, "head", "head_root")
+    size = rows.groupBy("head").agg(F.count(F.lit(1)).alias("_m"), F.sum((F.col("root") != F.col("head_root")).cast("bigint")).alias("_s")).where("_s > 0 and _m > 2")
+    size = stored(size.select(F.col("head").alias("_head"), F.ceil(F.col("_s") / strangers).cast("int").alias("sp"), F.ceil(F.col("_m") / members).cast("int").alias("mp"), "_m"), "sizes")
+    total = size.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0]
+    groups = max(1, -(-total // members))  # small groups share a task
+    whole = nodes.select(F.col("node").alias("_node"), "sketch").join(texts.select(F.col("node").alias("_text_node"), "text"), F.col("_node") == F.col("_text_node")).drop("_text_node")
+    rows = rows.join(size, F.col("head") == F.col("_head")).join(whole, F.col("node") == F.col("_node"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("node", "head"), F.col(c)).cast("int")
+    group = F.pmod(F.xxhash64("head"), F.lit(groups)).cast("int")
+    held = ("head", "node", "n", "root", "sketch", "text")
+    left = rows.where("root <> head_root").select(group.alias("g"), part("sp").alias("a"), every("mp").alias("b"), *held)
+    right = rows.select(group.alias("_g"), part("mp").alias("_b"), every("sp").alias("_a"), *[F.col(c).alias(f"_{c}") for c in held])
+    agree = COMPONENTS * threshold - 4.2 * np.sqrt(COMPONENTS * threshold * (1 - threshold))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if one.num_rows and two.num_rows:
+            known = WordHash()
+            heads, others = one.column("head").to_numpy(), two.column("_head").to_numpy()
+            for head in np.unique(heads):
+                links += _block_links(one.filter(pa.array(heads == head)), two.filter(pa.array(others == head)), threshold, agree, known)
+        return pa.table({"u": pa.array([x[0] for x in links], pa.int64()), "v": pa.array([x[1] for x in links], pa.int64())})
+
+    return left.groupBy("g", "a", "b").cogroup(right.groupBy("_g", "_a", "_b")).applyInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _block_links(one: pa.Table, two: pa.Table, threshold: float, agree: float, known: WordHash) -> list[tuple[int, int]]:
+    """Links that join classes of one block of strangers and members."""
+    if not one.num_rows or not two.num_rows:
+        return []
+    columns = []
+    for t, own in ((one, ""), (two, "_")):
+        bits = np.frombuffer(b"".join(t.column(f"{own}sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        columns.append([t.column(f"{own}{c}").to_numpy() for c in ("node", "n", "root")] + [bits])
+    (x, nx, rx, bx), (y, ny, ry, by) = columns
+    owner, shingle, count = shingle_bags(one.column("text").to_pylist() + two.column("_text").to_pylist(), known)
+    # the k-th occurrence of a shingle is an element of its own
+    with np.errstate(over="ignore"):
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        element = np.unique(mix(np.repeat(shingle, count) + nth.astype(U) * U(0x9E3779B97F4A7C15)), return_inverse=True)[1]
+    size = np.bincount(owner, weights=count, minlength=len(x) + len(y)).astype(np.int64)
+    start = np.cumsum(size) - size
+    mark, parent, links = np.zeros(len(element), bool), {}, []
+
+    def root(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    for i in range(len(x)):
+        at = np.flatnonzero((ry != rx[i]) & (np.minimum(ny, nx[i]) >= threshold * np.maximum(ny, nx[i]) - 1e-9))
+        at = at[(by[at] == bx[i]).sum(axis=1) >= agree]
+        at = at[[root(int(r)) != root(int(rx[i])) for r in ry[at]]] if len(at) else at
+        if not len(at):
+            continue
+        own = element[start[i] : start[i] + size[i]]
+        mark[own] = True
+        sizes = size[len(x) + at]
+        inside = np.repeat(start[len(x) + at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        common = np.add.reduceat(mark[element[inside]].astype(np.int64), np.cumsum(sizes) - sizes)
+        mark[own] = False
+        for j in at[common >= threshold * (nx[i] + ny[at] - common) - 1e-9]:
+            a, b = root(int(rx[i])), root(int(ry[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(x[i]), int(y[j])))
+    return links
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
