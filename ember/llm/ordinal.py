@@ -81,17 +81,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -40, 40)))
 
 
-def fit(rows: list[tuple[list[int], list[float], int]], dims: int, grades: int, rounds: int = 300, ridge: float = 1e-4, sparse: float = 3e-4, rate: float = 0.05) -> OrdinalModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int, grades: int, rounds: int = 300, ridge: float = 1e-4, sparse: float = 3e-4, rate: float = 0.05) -> OrdinalModel:
     """Maximum penalised likelihood by Adam steps over the whole sample.
 
     ``ridge`` shrinks word weights, ``sparse`` (an absolute penalty) sets those
     of uninformative words to zero, so that long texts gather no noise.
     """
-    rows = [r for r in rows if r[1]]
+    rows = [r for r in rows if len(r[1])]
     y = np.array([r[2] for r in rows], dtype=np.int64)
-    at = np.concatenate([np.array(r[0], dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    used, col = np.unique(at, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    at = np.concatenate([np.asarray(r[0], dtype=np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
+    used = np.flatnonzero(np.bincount(at, minlength=dims))
+    place = np.zeros(dims, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    col = place[at]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     shape = np.array([r[1] for r in rows]).reshape(len(rows), len(SHAPES))
     k = grades - 1
     p = np.zeros(len(used) + len(SHAPES) + k)
@@ -133,7 +136,7 @@ def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(quality.isNull() | toxic.isNull(), None).when(toxic == 1, 0).when(quality == 0, 1).otherwise(2)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, dims: int) -> list[tuple[list[int], list[float], int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, dims: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Sparse features and grade of at most ``sample`` labelled documents, by digest of the id."""
     graded = labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).cast("int").alias("grade")).where("grade is not null and doc_id is not null")
     graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -144,20 +147,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, dims: int)
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grade"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("grade"), *[pa.array([np.array(g[i], dtype=t).tobytes() for g in got], pa.binary()) for i, t in enumerate(("<i4", "<f8"))]],
                 ["doc_id", "grade", "words", "shapes"],
             )
 
     # the sample is bounded by its parameter, so it may be broadcast
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    found = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, grade int, words array<int>, shapes array<double>")
-    rows = sorted((r["doc_id"], r["words"], r["shapes"], r["grade"]) for r in found.collect())
-    return [r[1:] for r in rows][: 2 * sample]
+    found = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, grade int, words binary, shapes binary")
+    rows = found.toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    read = lambda c, t: [np.frombuffer(v.as_py(), dtype=t) for v in rows.column(c)]
+    return list(zip(read("words", "<i4"), read("shapes", "<f8"), rows.column("grade").to_pylist(), strict=True))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, dims: int = 1 << 18) -> OrdinalModel | None:
     rows = labelled_sample(docs, labels, sample, dims)
-    return fit(rows, dims, 3) if any(r[1] for r in rows) else None
+    return fit(rows, dims, 3) if any(len(r[1]) for r in rows) else None
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5, dims: int = 1 << 18) -> DataFrame:
