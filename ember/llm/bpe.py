@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,15 +116,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
 
 
 def word_table(words: DataFrame, shared) -> DataFrame:
-    """Encode each distinct word once: ``word, n, ids``."""
+    """Encode each distinct word once: ``word, n, ids`` (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
         for batch in batches:
             ids = [[voc.specials[w]] if w in voc.specials else voc.encode(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.array(i, "<i4").tobytes() for i in ids], pa.binary())], ["word", "n", "ids"])
 
-    return stored(words.select("word", "n").mapInArrow(run, "word string, n bigint, ids array<int>"), "words")
+    return stored(words.select("word", "n").mapInArrow(run, "word string, n bigint, ids binary"), "words")
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -131,7 +132,7 @@ def _pack(codes: np.ndarray) -> bytes:
     if len(codes) == 0:
         return b""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
@@ -185,10 +186,12 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     shared = spark.sparkContext.broadcast(read_vocabulary(path))
     table = word_table(count_words(docs, shared), shared)
     # ``hot`` bounds what reaches the driver and the workers
-    top = table.orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").toArrow().combine_chunks()
+    top = table.orderBy(F.desc("n"), "word").limit(hot).toArrow()
     hot_words = spark.sparkContext.broadcast(top.column("word").to_pylist())
-    lists = top.column("ids").combine_chunks() if top.num_rows else pa.array([], pa.list_(pa.int32()))
-    hot_ids = spark.sparkContext.broadcast((np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values).astype("<i4")))
+    lists = [np.frombuffer(i, "<i4") for i in top.column("ids").to_pylist()]
+    hot_ids = spark.sparkContext.broadcast((np.cumsum([0, *map(len, lists)]), np.concatenate([np.zeros(0, "<i4"), *lists])))
+    lowest = pc.min(top.column("n")).as_py() or 0
+    del top, lists
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Word numbers of every text, its rare words numbered from ``base`` in order of appearance."""
@@ -219,41 +222,48 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
                     packed.append(_pack(code))
                     rare.append(own)
                 words = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["n", "codes", "rare"])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("k").slice(a, b - a), words], ["doc_id", "k", "words"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "k", "k2")], words], ["doc_id", "k", "k2", "words"])
+
+    def listed(batches):
+        """The rare words of every text as rows."""
+        for batch in batches:
+            rare = batch.column("words").field("rare")
+            at = pc.list_parent_indices(rare)
+            first = np.repeat(rare.offsets.to_numpy()[:-1], np.diff(rare.offsets.to_numpy())) - rare.offsets.to_numpy()[0]
+            i = np.arange(len(at)) - first
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("k2").take(at), pa.array(i, pa.int32()), rare.flatten()], ["_k", "_k2", "i", "word"])
 
     def assembled(batches):
         offsets, flat = hot_ids.value
         base = len(offsets) - 1
         for batch in batches:
-            counts, data = batch.column("n_words").to_pylist(), batch.column("codes")
-            ids, keep = [], []
-            rare = batch.column("rare")
-            for row, n in enumerate(counts):
-                codes = _unpack(data[row].as_py(), n)
-                if rare[row].is_valid:
-                    own = [np.array(r, dtype="<i4") for r in rare[row].as_py()]
-                    values, ends = np.concatenate([flat, *own]), np.concatenate([offsets, len(flat) + np.cumsum([len(o) for o in own])])
-                else:
-                    values, ends = flat, offsets
-                ids.append(_gather(values, ends[codes], ends[codes + 1] - ends[codes]))
-                keep.append(row)
-                if sum(map(len, ids[-1:])) > 500_000 or len(ids) == 500 or row == len(counts) - 1:
-                    sizes = np.array([len(i) for i in ids])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(keep[0], len(keep)), pa.array(sizes, pa.int64()), lists, pa.array([i.tobytes() for i in ids], pa.binary())],
-                        ["doc_id", "n_tokens", "ids", "packed"],
-                    )
-                    ids, keep = [], []
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                words, rare = part.column("words"), part.column("rare").to_pylist()
+                own = [np.frombuffer(x, "<i4") for r in rare for x in r or ()]
+                values = np.concatenate([flat, *own])
+                ends = np.concatenate([offsets, len(flat) + np.cumsum([len(o) for o in own], dtype=np.int64)])
+                shift, ids = 0, []
+                for n, data, r in zip(words.field("n").to_pylist(), words.field("codes").to_pylist(), rare, strict=True):
+                    codes = _unpack(data, n)
+                    if r:
+                        codes[codes >= base] += shift
+                        shift += len(r)
+                    ids.append(_gather(values, ends[codes], ends[codes + 1] - ends[codes]))
+                sizes = np.array([len(i) for i in ids])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "packed"]
+                )
 
     text = F.col("text").cast("string")
-    identity = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), text).cast("binary")))
-    source = docs.select("doc_id", identity.alias("k"), text.alias("text"))
+    identity = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), text), F.hash(text, F.col("doc_id").cast("string"))]
+    source = docs.select("doc_id", identity[0].alias("k"), identity[1].alias("k2"), text.alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    # one exchange, read twice: for the rare words and for the documents themselves
-    coded = source.mapInArrow(numbered, f"doc_id {kind}, k binary, words struct<n int, codes binary, rare array<string>>").repartition("k")
-    rare = coded.select("k", F.posexplode("words.rare").alias("i", "word"))
-    rare = rare.join(table.select("word", "ids"), "word").groupBy(F.col("k").alias("_k")).agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare"))
-    both = coded.join(rare, F.col("k") == F.col("_k"), "left")
-    rows = both.select("doc_id", F.col("words.n").alias("n_words"), F.col("words.codes").alias("codes"), F.col("rare.ids").alias("rare"))
-    return rows.mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary")
+    # one exchange, read whole by two consumers: for the rare words and for the documents themselves
+    coded = source.mapInArrow(numbered, f"doc_id {kind}, k bigint, k2 int, words struct<n int, codes binary, rare array<string>>").repartition("k", "k2")
+    rare = coded.mapInArrow(listed, "_k bigint, _k2 int, i int, word string")
+    seldom = table.where(F.col("n") <= lowest).select("word", "ids")
+    rare = rare.join(seldom, "word").groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare")).select("_k", "_k2", F.col("rare.ids").alias("rare"))
+    both = coded.join(rare, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
+    return both.select("doc_id", "k", "k2", "words", "rare").mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary")
