@@ -127,9 +127,9 @@ def b11_valid_bbox(inp):
 
 @query(
     "b12_check_rings",
-    """WITH s AS (SELECT aoi_id, ring, count(*) AS n_vertices, arg_min(lon,seq)=arg_max(lon,seq) AND arg_min(lat,seq)=arg_max(lat,seq) AS closed, max(CASE WHEN lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 THEN 0 ELSE 1 END) AS outside FROM fx_vertex GROUP BY aoi_id, ring),
- a AS (SELECT aoi_id, ring, abs(sum(x*ny-nx*y))/2 AS area FROM (SELECT aoi_id, ring, lon-first_value(lon) OVER w AS x, lat-first_value(lat) OVER w AS y, lead(lon) OVER w-first_value(lon) OVER w AS nx, lead(lat) OVER w-first_value(lat) OVER w AS ny FROM fx_vertex WINDOW w AS (PARTITION BY aoi_id, ring ORDER BY seq)) t GROUP BY aoi_id, ring)
- SELECT * FROM (SELECT aoi_id, CAST(ring AS BIGINT) AS ring, n_vertices, CASE WHEN n_vertices<4 THEN 'too few positions' WHEN NOT closed THEN 'not closed' WHEN outside=1 THEN 'outside WGS84' WHEN n_vertices>10000 THEN 'too many vertices' WHEN area=0 THEN 'zero area' END AS problem FROM s JOIN a USING (aoi_id, ring)) q WHERE problem IS NOT NULL""",
+    """WITH s AS (SELECT aoi_id, part, ring, count(*) AS n_vertices, arg_min(lon,seq)=arg_max(lon,seq) AND arg_min(lat,seq)=arg_max(lat,seq) AS closed, max(CASE WHEN lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 THEN 0 ELSE 1 END) AS outside FROM fx_vertex GROUP BY aoi_id, part, ring),
+ a AS (SELECT aoi_id, part, ring, abs(sum(x*ny-nx*y))/2 AS area FROM (SELECT aoi_id, part, ring, lon-first_value(lon) OVER w AS x, lat-first_value(lat) OVER w AS y, lead(lon) OVER w-first_value(lon) OVER w AS nx, lead(lat) OVER w-first_value(lat) OVER w AS ny FROM fx_vertex WINDOW w AS (PARTITION BY aoi_id, part, ring ORDER BY seq)) t GROUP BY aoi_id, part, ring)
+ SELECT * FROM (SELECT aoi_id, CAST(part AS BIGINT) AS part, CAST(ring AS BIGINT) AS ring, n_vertices, CASE WHEN n_vertices<4 THEN 'too few positions' WHEN NOT closed THEN 'not closed' WHEN outside=1 THEN 'outside WGS84' WHEN n_vertices>10000 THEN 'too many vertices' WHEN area=0 THEN 'zero area' END AS problem FROM s JOIN a USING (aoi_id, part, ring)) q WHERE problem IS NOT NULL""",
 )
 def b12_check_rings(inp):
     return longs(K.check_rings(inp.fx_vertex))
@@ -216,11 +216,13 @@ def b17_check_recipe(inp):
     return K.check_recipe(df).select("id", "problem")
 
 
-_TRAIN = """SELECT o_orderkey AS id, CASE o_custkey%5 WHEN 0 THEN '{"mode":"demo","source":{"split":"validation"}}' WHEN 1 THEN '{"label":"train set","source":{"name":"public"}}'
- WHEN 2 THEN '{"dataset":"public train"}' WHEN 3 THEN '{"provenance":["x","Training"]}' ELSE '{"source":{"name":"retrained"},"note":"val"}' END AS doc FROM orders"""
+_TRAIN = """SELECT o_orderkey AS id, CASE o_custkey%9 WHEN 0 THEN '{"mode":"demo","source":{"split":"validation"}}' WHEN 1 THEN '{"label":"train set","source":{"name":"public"}}'
+ WHEN 2 THEN '{"dataset":"public train"}' WHEN 3 THEN '{"provenance":["x",["y","Training"]]}' WHEN 4 THEN '{"source":{"a":{"note":"train"}}}' WHEN 5 THEN '"val"'
+ WHEN 6 THEN '{"train":1,"split":{"validation":["test"]}}' WHEN 7 THEN '[]' ELSE '{"source":{"name":"retrained"},"note":"valid"}' END AS doc FROM orders"""
 
 
-@query("b18_is_training", f"SELECT id, doc LIKE '%validation%' OR doc LIKE '%public train%' OR doc LIKE '%Training%' AS training FROM ({_TRAIN}) q")
+# keys are stripped before the words are looked for
+@query("b18_is_training", f"""SELECT id, regexp_matches(regexp_replace(doc, '"[^"]*" *:', '', 'g'), '(?i)\\b(train|training|validation|val)\\b') AS training FROM ({_TRAIN}) q""")
 def b18_is_training(inp):
     from ember.sources.manifests import is_training
 

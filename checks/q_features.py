@@ -220,11 +220,11 @@ _DRAW = lambda *p: Q.draw(7, "chip_id", *p)
 
 @query(
     "d5_crop_windows",
-    f"""WITH p AS (SELECT chip_id, truth, min({_DRAW('truth', 'rw', 'cl')}*1048576+rw*{WIDTH}+cl) AS k FROM fx_pixel WHERE valid AND truth IN (1,2,3) GROUP BY chip_id, truth),
+    f"""WITH p AS (SELECT chip_id, truth, min(struct_pack(draw:={_DRAW('truth', 'rw', 'cl')}, rw:=rw, cl:=cl)) AS k FROM fx_pixel WHERE valid AND truth IN (1,2,3) GROUP BY chip_id, truth),
  l AS (SELECT chip_id, list(k ORDER BY truth) AS ks FROM p GROUP BY chip_id),
- c AS (SELECT chip_id, ks, CASE WHEN ks IS NOT NULL THEN ks[{_DRAW("'class'")}%len(ks)+1]%1048576 END AS px FROM (SELECT DISTINCT chip_id FROM fx_pixel) a LEFT JOIN l USING (chip_id))
- SELECT chip_id, CAST(CASE WHEN ks IS NOT NULL AND {_DRAW("'centre'")}%100<70 THEN greatest(0,least(px//{WIDTH}-4,{HEIGHT - 8})) ELSE {_DRAW("'top'")}%{HEIGHT - 8 + 1} END AS BIGINT) AS top,
- CAST(CASE WHEN ks IS NOT NULL AND {_DRAW("'centre'")}%100<70 THEN greatest(0,least(px%{WIDTH}-4,{WIDTH - 8})) ELSE {_DRAW("'left'")}%{WIDTH - 8 + 1} END AS BIGINT) AS "left" FROM c""",
+ c AS (SELECT chip_id, ks, CASE WHEN ks IS NOT NULL THEN ks[{_DRAW("'class'")}%len(ks)+1] END AS px FROM (SELECT DISTINCT chip_id FROM fx_pixel) a LEFT JOIN l USING (chip_id))
+ SELECT chip_id, CAST(CASE WHEN ks IS NOT NULL AND {_DRAW("'centre'")}%100<70 THEN greatest(0,least(px.rw-4,{HEIGHT - 8})) ELSE {_DRAW("'top'")}%{HEIGHT - 8 + 1} END AS BIGINT) AS top,
+ CAST(CASE WHEN ks IS NOT NULL AND {_DRAW("'centre'")}%100<70 THEN greatest(0,least(px.cl-4,{WIDTH - 8})) ELSE {_DRAW("'left'")}%{WIDTH - 8 + 1} END AS BIGINT) AS "left" FROM c""",
 )
 def d5_crop_windows(inp):
     return T.crop_windows(inp.fx_pixel.withColumn("y", F.col("truth")), HEIGHT, WIDTH, 8, 7)

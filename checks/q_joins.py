@@ -214,20 +214,31 @@ def i3_top_chips(inp):
     return longs(N.top_chips(inp.fx_meta).select("chip_id", "kind", "richness", "rank"))
 
 
-@query(
-    "i4_search_scenes",
-    f"""SELECT request_id, scene_id, k AS rank, total>lim AS truncated FROM (SELECT request_id, scene_id, r.request_id%5+1 AS lim, row_number() OVER (PARTITION BY request_id ORDER BY t_post DESC, scene_id) AS k, count(*) OVER (PARTITION BY request_id) AS total
- FROM fx_scene s JOIN fx_request r ON {_MEET} WHERE t_post>=make_timestamp(start_year,1,1,0,0,0.0) AND t_post<make_timestamp(start_year+1,1,1,0,0,0.0) AND cloud_percent<=80) q WHERE k<=lim""",
-)
-def i4_search_scenes(inp):
+def _search_sql(limit: str) -> str:
+    return f"""SELECT request_id, scene_id, k AS rank, total>lim AS truncated FROM (SELECT request_id, scene_id, {limit} AS lim, row_number() OVER (PARTITION BY request_id ORDER BY t_post DESC, scene_id) AS k, count(*) OVER (PARTITION BY request_id) AS total
+ FROM fx_scene s JOIN fx_request r ON {_MEET} WHERE t_post>=make_timestamp(start_year,1,1,0,0,0.0) AND t_post<make_timestamp(start_year+1,1,1,0,0,0.0) AND cloud_percent<=80) q WHERE k<=lim"""
+
+
+def _search(inp, limit):
     sc = inp.fx_scene.select("scene_id", F.col("t_post").alias("acquired_at"), "cloud_percent", "w", "s", "e", "n")
     rq = inp.fx_request.withColumnRenamed("as_", "as").select(
         "request_id", "aw", "as", "ae", "an", F.to_timestamp_ntz(F.concat(F.col("start_year").cast("string"), F.lit("-01-01"))).alias("date_start"),
-        F.to_date(F.concat(F.col("start_year").cast("string"), F.lit("-12-31"))).alias("date_end"), F.lit(80.0).alias("cloud_max"), (F.col("request_id") % 5 + 1).alias("max_results"),
+        F.to_date(F.concat(F.col("start_year").cast("string"), F.lit("-12-31"))).alias("date_end"), F.lit(80.0).alias("cloud_max"), limit.alias("max_results"),
     )
     return longs(N.search_scenes(sc, rq).select("request_id", "scene_id", "rank", "truncated"))
 
 
+@query("i4_search_scenes", _search_sql("r.request_id%5+1"))
+def i4_search_scenes(inp):
+    return _search(inp, F.col("request_id") % 5 + 1)
+
+
+@query("i4_search_scenes_wide", _search_sql("r.request_id%60+1"))
+def i4_search_scenes_wide(inp):
+    """Limits on both sides of 20: nothing but the request's own limit cuts."""
+    return _search(inp, F.col("request_id") % 60 + 1)
+
+
 @query("i7_order_features", "SELECT cell_owner, cell_row, cell_col FROM (SELECT scene_id AS cell_owner, rw AS cell_row, cl AS cell_col, row_number() OVER (ORDER BY scene_id) AS k FROM fx_hotspot WHERE valid AND cls=1) q")
 def i7_order_features(inp):
     fires = inp.fx_hotspot.where("valid and cls = 1").select(F.col("scene_id").alias("cell_owner"), F.col("rw").alias("cell_row"), F.col("cl").alias("cell_col"))

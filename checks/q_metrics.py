@@ -284,10 +284,10 @@ def f27_combined_with_fixed(inp):
 @query(
     "a19_band_profile",
     "SELECT label AS grp, band, count(*) AS n, "
-    + f"{Q.r('min(v)')} AS low, {Q.r('max(v)')} AS high, count(DISTINCT v) AS n_values FROM (SELECT CAST(valid AS INTEGER) AS label, unnest(['I1','I5','dem']) AS band, unnest([CAST(I1 AS DOUBLE),CAST(I5 AS DOUBLE),CAST(dem AS DOUBLE)]) AS v FROM fx_af WHERE NOT isnan(I1)) q GROUP BY label, band",
+    + f"{Q.r('min(v)')} AS low, {Q.r('max(v)')} AS high, count(DISTINCT v) AS n_values FROM (SELECT CAST(valid AS INTEGER) AS label, unnest(['I1','I5','dem']) AS band, unnest([CAST(I1 AS DOUBLE),CAST(I5 AS DOUBLE),CAST(dem AS DOUBLE)]) AS v FROM fx_af) q GROUP BY label, band",
 )
 def a19_band_profile(inp):
-    px = inp.fx_af.where(~F.isnan("I1")).withColumn("grp", F.col("valid").cast("int"))
+    px = inp.fx_af.withColumn("grp", F.col("valid").cast("int"))
     return rounded(C.band_profile(px, "grp", ["I1", "I5", "dem"]))
 
 

@@ -74,4 +74,4 @@ def binary(truth: str = "truth", pred: str = "pred") -> str:
 
 def draw(seed: int, *parts: str) -> str:
     text = "||':'||".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
-    return f"('0x'||substr(md5({text}),1,8))::BIGINT"
+    return f"('0x'||substr(md5({text}),1,15))::BIGINT"

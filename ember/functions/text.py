@@ -80,9 +80,14 @@ def clean_url(url: Column) -> tuple[Column, Column]:
     return F.when(ok, F.concat(scheme, F.lit("://"), host, path)), F.when(ok, redacted)
 
 
+# Words that mark training material.
+SPLIT_WORDS = ("train", "training", "val", "validation")
+
+
 def training_text(value: Column) -> Column:
-    """Text mentions a training or validation split."""
-    return value.rlike(r"(?i)\b(train(ing)?|validation|val)\b")
+    """One of the text's words names a training or validation split."""
+    words = F.split(F.lower(value), "[^a-z0-9_]+")
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in SPLIT_WORDS]))
 
 
 def days_to_period(start_day: Column, end_day: Column) -> tuple[Column, Column]:

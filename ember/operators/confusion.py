@@ -256,7 +256,7 @@ def combined_with_fixed(metrics: DataFrame, fixed_f1: float, baseline: float) ->
     return metrics.withColumns({"combined_score": total, "delta_vs_baseline": total - F.lit(float(baseline))})
 
 
-def band_profile(px: DataFrame, group: str, bands: Sequence[str], max_classes: int = 256) -> DataFrame:
+def band_profile(px: DataFrame, group: str, bands: Sequence[str]) -> DataFrame:
     """Per group and band: count, minimum, maximum and number of distinct values.
 
     Bands are unpivoted before the aggregation; distinct values are counted by

@@ -120,14 +120,19 @@ def check_bbox(df: DataFrame, w: str = "w", s: str = "s", e: str = "e", n: str =
 def check_rings(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
     """Stored rings that are open, short, outside WGS84, empty or too long.
 
-    ``vertices``: ``aoi_id, ring, seq, lon, lat`` with a repeated closing vertex.
+    ``vertices``: ``aoi_id, part, ring, seq, lon, lat`` with a repeated closing
+    vertex; ``part`` tells the polygons of a multipolygon apart (0 if it is
+    missing).  Positions are counted over all parts of an area.
     One aggregation per ring; the shoelace sum takes coordinates relative to the
     ring's own first vertex through one lead window.
     """
-    by_ring = Window.partitionBy("aoi_id", "ring").orderBy("seq")
+    if "part" not in vertices.columns:
+        vertices = vertices.withColumn("part", F.lit(0))
+    by_ring = Window.partitionBy("aoi_id", "part", "ring").orderBy("seq")
     lon, lat = F.col("lon"), F.col("lat")
     step = vertices.select(
         "aoi_id",
+        "part",
         "ring",
         "seq",
         "lon",
@@ -142,7 +147,7 @@ def check_rings(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
     twice = (lon - F.col("_lon0")) * (F.col("_lat1") - F.col("_lat0")) - (F.col("_lon1") - F.col("_lon0")) * (lat - F.col("_lat0"))
     last = F.max_by(F.struct("lon", "lat"), "seq")
     first = F.min_by(F.struct("lon", "lat"), "seq")
-    per_ring = step.groupBy("aoi_id", "ring").agg(
+    per_ring = step.groupBy("aoi_id", "part", "ring").agg(
         F.count(F.lit(1)).alias("n_vertices"),
         F.max(F.when(~inside, 1).otherwise(0)).alias("_outside"),
         first.alias("_first"),
@@ -157,10 +162,10 @@ def check_rings(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
         .when(F.sum("n_vertices").over(whole) > max_vertices, "too many vertices")
         .when(F.coalesce(F.col("area"), F.lit(0.0)) == 0, "zero area")
     )
-    return per_ring.select("aoi_id", "ring", "n_vertices", problem.alias("problem")).where(F.col("problem").isNotNull())
+    return per_ring.select("aoi_id", "part", "ring", "n_vertices", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
-def ring_self_intersections(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
+def ring_self_intersections(vertices: DataFrame) -> DataFrame:
     """Open rings (``aoi_id, seq, lon, lat``) with their first failed rule.
 
     Edges of one ring meet only in tiles of a grid fitted to that ring (about
@@ -197,7 +202,6 @@ def ring_self_intersections(vertices: DataFrame, max_vertices: int = 10_000) ->
         .when(F.col("outside") == 1, "outside WGS84")
         .when(F.col("head") == F.col("tail"), "repeated closing vertex")
         .when(F.col("n_distinct") < 3, "too few distinct vertices")
-        .when(F.col("n") > max_vertices, "too many vertices")
     )
     judged = rings.withColumn("simple", simple)
     # last vertex connects back to the first one

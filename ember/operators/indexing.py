@@ -68,6 +68,6 @@ def salted_join(
 
 
 def draw(seed: int, *parts: Column) -> Column:
-    """Reproducible 32-bit draw from a seed and identifying values."""
+    """Reproducible 60-bit draw from a seed and identifying values."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")

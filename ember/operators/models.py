@@ -37,7 +37,9 @@ def fit_boosted(sample: DataFrame, names: Sequence[str], task: str, rounds: int
     booster = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed)
     if weight:
         booster = booster.setWeightCol(weight)
-    if validation and task == "af":
+    if validation and task != "af":
+        raise ValueError("early stopping is defined for the fire task only: one-vs-rest drops the indicator column")
+    if validation:
         booster = booster.setValidationIndicatorCol(validation)
     if task == "af":
         return booster.fit(_labelled(sample, names))
@@ -103,11 +105,12 @@ def recipes(raw: DataFrame) -> DataFrame:
     ``ensemble_cnn_<w>`` carries the second scorer's weight; ``tree`` and
     ``cnn`` are the pure cases.
     """
-    text = F.regexp_extract("selected", r"^ensemble_cnn_(0(?:\.\d+)?|1(?:\.0+)?)$", 1)
-    second: Column = (
-        F.when(F.col("selected") == "tree", 0.0).when(F.col("selected") == "cnn", 1.0).when(text != "", text.try_cast("double"))
-    )
-    backend = F.when(text != "", "ensemble").otherwise(F.col("selected"))
+    prefix = "ensemble_cnn_"  # fixed value: the name's prefix
+    number = F.when(F.col("selected").startswith(prefix), F.substring("selected", len(prefix) + 1, 40))
+    share = F.when(~number.rlike("[^0-9.]"), number.try_cast("double"))
+    share = F.when(share.between(0, 1), share)
+    second: Column = F.when(F.col("selected") == "tree", 0.0).when(F.col("selected") == "cnn", 1.0).otherwise(share)
+    backend = F.when(share.isNotNull(), "ensemble").otherwise(F.col("selected"))
     return raw.withColumns({"second_weight": second, "tree_weight": 1 - second, "backend": backend})
 
 

@@ -72,9 +72,8 @@ def search_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, row
 
     ``scenes``: scene_id, acquired_at, cloud_percent, w,s,e,n; ``requests``:
     request_id, date_start, date_end, cloud_max, max_results, aw,as,ae,an.
-    ``truncated`` tells that more scenes matched than the request admits; it
-    needs only one extra row per request, which the ranked limit keeps
-    map-side.
+    ``truncated`` tells that more scenes matched than the request admits; one
+    row beyond the request's own limit is kept to see that.
     """
     from ember.operators.spatial import box_join
 
@@ -84,8 +83,7 @@ def search_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, row
         & (F.col("cloud_percent") <= F.col("cloud_max"))
     )
     newest = Window.partitionBy("request_id").orderBy(F.desc("acquired_at"), "scene_id")
-    # 21 = largest admitted limit plus one: the constant lets Spark prune per group
-    ranked = pairs.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= 21)
+    ranked = pairs.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= F.col("max_results") + 1)
     more = F.max(F.when(F.col("rank") > F.col("max_results"), 1).otherwise(0)).over(Window.partitionBy("request_id"))
     return ranked.withColumn("truncated", more == 1).where(F.col("rank") <= F.col("max_results"))
 

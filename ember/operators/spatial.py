@@ -47,7 +47,7 @@ def box_join(
     rw, rs, re, rn = right_box
     tiled_left = tile_boxes(left, lw, ls, le, ln, size)
     tiled_right = tile_boxes(right, rw, rs, re, rn, size)
-    pairs = salted_join(tiled_left, tiled_right, [*keys, "tx", "ty"], F.col(spread or lw), rows_per_task)
+    pairs = salted_join(tiled_left, tiled_right, [*keys, "tx", "ty"], F.col(spread) if spread else F.xxhash64(*left.columns), rows_per_task)
     if touching:
         meets = (F.col(lw) <= F.col(re)) & (F.col(rw) <= F.col(le)) & (F.col(ls) <= F.col(rn)) & (F.col(rs) <= F.col(ln))
     else:
@@ -161,12 +161,12 @@ def points_in_aoi(points: DataFrame, aoi: DataFrame, size: float = 1.0, lon: str
     """
     placed = points.withColumn("tx", _tile(F.col(lon), size)).withColumn("ty", _tile(F.col(lat), size))
     tiled = tile_boxes(aoi, "aw", "as", "ae", "an", size)
-    pairs = salted_join(placed, tiled, ["tx", "ty"], F.col(lon), rows_per_task)
+    pairs = salted_join(placed, tiled, ["tx", "ty"], F.xxhash64(*points.columns), rows_per_task)
     in_box = F.col(lon).between(F.col("aw"), F.col("ae")) & F.col(lat).between(F.col("as"), F.col("an"))
     return pairs.where(in_box).where(G.covers(F.col("edges"), F.col(lon), F.col(lat))).drop("tx", "ty")
 
 
 def footprints_intersecting(scenes: DataFrame, aoi: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000) -> DataFrame:
     """Scene boxes that share a point with an AOI polygon."""
-    pairs = box_join(scenes, aoi, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, spread="w", rows_per_task=rows_per_task)
+    pairs = box_join(scenes, aoi, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, rows_per_task=rows_per_task)
     return pairs.where(G.box_intersects(F.col("edges"), F.col("w"), F.col("s"), F.col("e"), F.col("n")))

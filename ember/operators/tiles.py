@@ -94,7 +94,7 @@ def crop_windows(px: DataFrame, height: int, width: int, size: int, seed: int, c
     uniformly chosen present class, clamped to the chip; otherwise it is
     uniform.  All draws are digests of seed and chip, so the choice does not
     depend on partitioning.  Per class the winning pixel is the one with the
-    smallest digest - a plain minimum, combined map-side.
+    smallest digest, then position: a struct minimum, combined map-side.
     """
     counts = px.select("chip_id", "rw", "cl", "y", "valid")
     picks = counts.groupBy("chip_id").agg(
@@ -102,7 +102,7 @@ def crop_windows(px: DataFrame, height: int, width: int, size: int, seed: int, c
             F.min(
                 F.when(
                     (F.col("y") == c) & F.col("valid"),
-                    draw(seed, F.col("chip_id"), F.lit(c), F.col("rw"), F.col("cl")) * 1048576 + F.col("rw") * width + F.col("cl"),
+                    F.struct(draw(seed, F.col("chip_id"), F.lit(c), F.col("rw"), F.col("cl")).alias("draw"), "rw", "cl"),
                 )
             ).alias(f"_p{c}")
             for c in classes
@@ -110,16 +110,16 @@ def crop_windows(px: DataFrame, height: int, width: int, size: int, seed: int, c
     )
     present = F.array_compact(F.array(*[F.col(f"_p{c}") for c in classes]))
     chip = F.col("chip_id")
-    chosen = F.col("_present")[F.pmod(draw(seed, chip, F.lit("class")), F.size("_present")).cast("int")] % 1048576
+    chosen = F.col("_present")[F.pmod(draw(seed, chip, F.lit("class")), F.size("_present")).cast("int")]
     use = (F.size("_present") > 0) & (F.pmod(draw(seed, chip, F.lit("centre")), F.lit(100)) < centred)
 
     def clamp(at: Column, extent: int) -> Column:
         return F.greatest(F.lit(0), F.least(at - size // 2, F.lit(extent - size)))
 
-    top = F.when(use, clamp(F.floor(F.col("_pixel") / width), height)).otherwise(
+    top = F.when(use, clamp(F.col("_pixel.rw"), height)).otherwise(
         F.pmod(draw(seed, chip, F.lit("top")), F.lit(height - size + 1))
     )
-    left = F.when(use, clamp(F.col("_pixel") % width, width)).otherwise(
+    left = F.when(use, clamp(F.col("_pixel.cl"), width)).otherwise(
         F.pmod(draw(seed, chip, F.lit("left")), F.lit(width - size + 1))
     )
     return (

@@ -30,11 +30,12 @@ def read_probs(spark: SparkSession, path: str, task: str | None = None) -> DataF
     return cache if task is None else cache.where(F.col("task") == task)
 
 
-def write_submission(sub: DataFrame, path: str, single_file: bool = True) -> None:
+def write_submission(sub: DataFrame, path: str, single_file: bool = False) -> None:
     """Quoted CSV in template order, empty masks as empty text.
 
-    Rows are one per chip and class - tiny next to the pixels - so the format's
-    single file is affordable; otherwise range-sorted part files are written.
+    Range-sorted part files by default; their concatenation in name order is the
+    submission.  ``single_file`` sends all rows (one per chip and class) through
+    one task, for consumers that read one file only.
     """
     ordered = sub.orderBy("template_pos").select("chip_id", "class_id", "rle")
     if single_file:

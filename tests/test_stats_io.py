@@ -43,7 +43,7 @@ def test_bootstrap_equals_replayed_draws(spark):
     order = sorted(rows, key=lambda r: (hashlib.md5(r[0].encode()).hexdigest(), r[0]))
     want = []
     for rep in range(20):
-        picks = [int(hashlib.md5(f"7:{rep}:{i}".encode()).hexdigest()[:8], 16) % 6 for i in range(6)]
+        picks = [int(hashlib.md5(f"7:{rep}:{i}".encode()).hexdigest()[:15], 16) % 6 for i in range(6)]
         total = np.sum([order[p][1:] for p in picks], axis=0)
         f = [2 * a / (2 * a + b + c) for a, b, c in (total[:3], total[3:])]
         want.append(f[1] - f[0])
