@@ -250,33 +250,42 @@ def _focal_sql(col: str, k: int, out: str, source: str) -> str:
     return f" JOIN {mirrored(col, source, k, out)} j_{out} USING (chip_id, rw, cl)"
 
 
-_AF_BASE = f"""SELECT chip_id, rw, cl, {_THERMAL} AS th, {fin(f'((I4-{FL("273.15")})/{FL(50)})')} AS i4n FROM fx_af"""
+_AF_ALL = {n: fin(e) for n, e in _AF_SCALE.items()} | {
+    "I4_minus_I5": _THERMAL,
+    "I4_minus_t2m": fin(f"((I4-t2m)/{FL(20)})"),
+    "I5_minus_t2m": fin(f"((I5-t2m)/{FL(20)})"),
+    "reflectance_nd21": nd("I2", "I1"),
+    "reflectance_nd32": nd("I3", "I2"),
+}
+_AF_BASE = f"""SELECT chip_id, rw, cl, {', '.join(f'{e} AS {n}' for n, e in _AF_ALL.items())}, {fin(f'((I4-{FL("273.15")})/{FL(50)})')} AS i4n, (valid>0.5 AND NOT isnan(I1) AND NOT isnan(I4)) AS observed FROM fx_af"""
+_FOCAL_AF = {
+    "thermal_mean_3": "CAST(tm3 AS FLOAT)", "thermal_contrast_3": "I4_minus_I5-CAST(tm3 AS FLOAT)",
+    "thermal_mean_11": "CAST(tm11 AS FLOAT)", "thermal_contrast_11": "I4_minus_I5-CAST(tm11 AS FLOAT)", "I4_contrast_11": "i4n-CAST(im11 AS FLOAT)",
+}
 
 
 @query(
     "c14_af_features",
-    f"""WITH b AS ({_AF_BASE}) SELECT chip_id, rw, cl, {Q.r('th')} AS I4_minus_I5, {Q.r('tm3')} AS thermal_mean_3, {Q.r('th-CAST(tm3 AS FLOAT)', 5)} AS thermal_contrast_3,
- {Q.r('tm11')} AS thermal_mean_11, {Q.r('i4n-CAST(im11 AS FLOAT)', 5)} AS I4_contrast_11 FROM b{_focal_sql('th', 3, 'tm3', 'b')}{_focal_sql('th', 11, 'tm11', 'b')}{_focal_sql('i4n', 11, 'im11', 'b')}""".replace(
-        Q.r("tm3"), Q.r("CAST(tm3 AS FLOAT)", 5)
-    ).replace(Q.r("tm11"), Q.r("CAST(tm11 AS FLOAT)", 5)),
+    f"""WITH b AS ({_AF_BASE}) SELECT chip_id, rw, cl, observed, {', '.join(f'{Q.r(n)} AS {n}' for n in _AF_ALL)}, {', '.join(f'{Q.r(e, 5)} AS {n}' for n, e in _FOCAL_AF.items())}
+ FROM b{_focal_sql('I4_minus_I5', 3, 'tm3', 'b')}{_focal_sql('I4_minus_I5', 11, 'tm11', 'b')}{_focal_sql('i4n', 11, 'im11', 'b')}""",
 )
 def c14_af_features(inp):
+    """All 23 features and the observed flag."""
     out = P.features_af(inp.fx_af, HEIGHT, WIDTH)
-    five = ["thermal_mean_3", "thermal_contrast_3", "thermal_mean_11", "I4_contrast_11"]
-    return rounded(out.select("chip_id", "rw", "cl", "I4_minus_I5", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in five]))
+    return rounded(out.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in _FOCAL_AF}))
 
 
-_BS_BASE = f"SELECT chip_id, rw, cl, {', '.join(f'{e} AS {n}' for n, e in _bs_index_sql().items())}, {_bs_delta_sql()['delta_VH_db']} AS delta_VH_db FROM fx_bs"
+_BS_ALL = {**_bs_scale_sql(), **_bs_delta_sql(), **_bs_index_sql()}
+_BS_BASE = f"SELECT chip_id, rw, cl, {', '.join(f'{e} AS {n}' for n, e in _BS_ALL.items())}, (pre_SCL IN (2,4,5,6,7) AND post_SCL IN (2,4,5,6,7)) AS observed FROM fx_bs"
+_FOCAL_BS = {"dNBR_mean_3": ("delta_NBR", 3), "dNDVI_mean_3": ("delta_NDVI", 3), "dNBR_mean_9": ("delta_NBR", 9), "dNDVI_mean_9": ("delta_NDVI", 9), "sar_VH_delta_mean_5": ("delta_VH_db", 5)}
 
 
 @query(
     "c13_bs_features",
-    f"""WITH b AS ({_BS_BASE}) SELECT chip_id, rw, cl, {Q.r('delta_NBR')} AS delta_NBR, {Q.r('pre_NDWI')} AS pre_NDWI, {Q.r('CAST(n3 AS FLOAT)', 5)} AS dNBR_mean_3, {Q.r('CAST(v9 AS FLOAT)', 5)} AS dNDVI_mean_9, {Q.r('CAST(h5 AS FLOAT)', 5)} AS sar_VH_delta_mean_5
- FROM b{_focal_sql('delta_NBR', 3, 'n3', 'b')}{_focal_sql('delta_NDVI', 9, 'v9', 'b')}{_focal_sql('delta_VH_db', 5, 'h5', 'b')}""",
+    f"""WITH b AS ({_BS_BASE}) SELECT chip_id, rw, cl, observed, {', '.join(f'{Q.r(n)} AS {n}' for n in _BS_ALL)}, {', '.join(f"{Q.r(f'CAST(m_{n} AS FLOAT)', 5)} AS {n}" for n in _FOCAL_BS)}
+ FROM b{''.join(_focal_sql(c, k, f'm_{n}', 'b') for n, (c, k) in _FOCAL_BS.items())}""",
 )
 def c13_bs_features(inp):
+    """All 55 features and the observed flag."""
     out = P.features_bs(inp.fx_bs, HEIGHT, WIDTH)
-    five = ["dNBR_mean_3", "dNDVI_mean_9", "sar_VH_delta_mean_5"]
-    return rounded(out.select("chip_id", "rw", "cl", "delta_NBR", "pre_NDWI", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in five]))
-
-
+    return rounded(out.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in _FOCAL_BS}))
