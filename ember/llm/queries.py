@@ -77,7 +77,7 @@ def op3(spark, sf_dir):
 
 # --- 4: chat formatting ------------------------------------------------------
 
-QUOTE_SQL = """
+QUOTE_SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 q AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR)||'-'||CAST(turn AS VARCHAR) AS msg_id, CASE WHEN trim(coalesce(text,''))='' THEN '' ELSE text END AS own_text,
   trim(regexp_replace(lower(lag(text,1) OVER w),'\s+',' ','g')) AS q1, trim(regexp_replace(lower(lag(text,2) OVER w),'\s+',' ','g')) AS q2
