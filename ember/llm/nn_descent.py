@@ -152,12 +152,19 @@ def build_graph(nodes: DataFrame, n: int, degree: int = 24, rounds: int = 4) ->
     return lists
 
 
-def _distances(wanted: DataFrame, nodes: DataFrame, kind: str, n: int, most: int) -> DataFrame:
-    """Squared distances of queries to wanted nodes: ``q, v, d``, per block of nodes."""
+def _distances(wanted: DataFrame, nodes: DataFrame, kind: str, n: int, most: int, bounds: DataFrame | None = None) -> DataFrame:
+    """Squared distances of queries to wanted nodes: ``q, v, d``, per block of nodes.
+
+    With ``bounds`` (``q, bound``) only nodes nearer than the bound come back.
+    """
     blocks = max(1, -(-n // BLOCK))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     asked = wanted.groupBy("q", block("v").alias("block")).agg(F.collect_set("v").alias("vs"))
     asked = asked.join(nodes.select(F.col("id").alias("_q"), F.col("vec").alias("qvec")), F.col("q") == F.col("_q")).select("q", "block", "vs", "qvec")
+    if bounds is None:
+        asked = asked.withColumn("bound", F.lit(float("inf")))
+    else:
+        asked = asked.join(bounds.select(F.col("q").alias("_q"), "bound"), F.col("q") == F.col("_q"), "left").select("q", "block", "vs", "qvec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         q, v, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -165,11 +172,12 @@ def _distances(wanted: DataFrame, nodes: DataFrame, kind: str, n: int, most: int
             ids = right.column("id").to_numpy()
             order = np.argsort(ids)
             x = np.frombuffer(b"".join(right.column("vec").to_pylist()), dtype=kind).reshape(len(ids), -1)
-            for i, vec, near in zip(left.column("q").to_pylist(), left.column("qvec"), left.column("vs"), strict=True):
+            for i, vec, near, bound in zip(left.column("q").to_pylist(), left.column("qvec"), left.column("vs"), left.column("bound").to_pylist(), strict=True):
                 near = near.values.to_numpy()
                 rows = order[np.searchsorted(ids, near, sorter=order)]
                 diff = x[rows].astype(np.float64) - np.frombuffer(vec.as_py(), dtype=kind).astype(np.float64)
                 dist = np.einsum("ij,ij->i", diff, diff)
+                near, dist = near[dist < bound], dist[dist < bound]
                 if len(near) > most:
                     kept = np.argpartition(dist, most)[:most]
                     near, dist = near[kept], dist[kept]
@@ -196,8 +204,11 @@ def greedy_search(nodes: DataFrame, lists: DataFrame, n: int, kind: str, beam: i
         fresh = stored(fresh, "fresh")
         if fresh.isEmpty():
             break
-        near = fresh.join(graph, F.col("v") == F.col("c")).select("q", F.col("m").alias("v")).where("q <> v")
-        more = _distances(near, nodes, kind, n, beam).withColumn("expanded", F.lit(False))
+        near = fresh.join(graph, F.col("v") == F.col("c")).select("q", F.col("m").alias("v")).where("q <> v").distinct()
+        near = near.join(state.select("q", "v"), ["q", "v"], "left_anti")
+        # a full beam admits only what is nearer than its last node
+        bounds = state.groupBy("q").agg(F.count(F.lit(1)).alias("_n"), F.max("d").alias("bound")).where(F.col("_n") >= beam)
+        more = _distances(near, nodes, kind, n, beam, bounds).withColumn("expanded", F.lit(False))
         done = state.unionByName(more).unionByName(fresh.select("q", "v", F.lit(None).cast("double").alias("d"), F.lit(True).alias("expanded")))
         done = done.groupBy("q", "v").agg(F.min("d").alias("d"), F.max("expanded").alias("expanded"))
         state = stored(done.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).drop("_r"), "beam")
