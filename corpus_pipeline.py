@@ -20,7 +20,7 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled sample, keeps."""
     model = ordinal.train(docs, table(spark, sf_dir, "labels"))
-    return ordinal.grade_documents(docs, model).where("keep").select(*docs.columns)
+    return ordinal.select_documents(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -339,9 +339,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rows one stays.  Rows without an id are kept.
     """
     classes = near_duplicates(docs, threshold)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_node"), F.count(F.lit(1)).alias("_rows"))
-    named = docs.withColumn("_n", F.xxhash64(docs["text"].cast("string")))
-    kept = named.join(first.withColumnRenamed("class_id", "_class"), (named["doc_id"] == F.col("_class")) & (F.col("_n") == F.col("_node")))
-    once = kept.where("_rows = 1").select(*[docs[c] for c in docs.columns])
-    several = kept.where("_rows > 1").dropDuplicates(["_class"]).select(*[docs[c] for c in docs.columns])
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__kept"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("class_id", "__class")
+    kept = docs.join(first, (docs["doc_id"] == F.col("__class")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__kept")))
+    once = kept.where(F.col("__rows") == 1).select(*[docs[c] for c in docs.columns])
+    several = kept.where(F.col("__rows") > 1).dropDuplicates(["__class"]).select(*[docs[c] for c in docs.columns])
     return once.unionByName(several).unionByName(docs.where(docs["doc_id"].isNull()))

@@ -120,10 +120,11 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), shar
     since a text is kept whole or not at all.  Columns are those of ``docs``.
     """
     cuts = source_cuts(stored(_narrow(docs, seed), "mix"), weights, share, max_epochs)
-    cuts = _salted(cuts.select(F.col("source").alias("_source"), "whole", "cut_key", "cut_whole"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    keyed = docs.withColumn("_key", seeded_key(seed, docs["doc_id"], F.md5(text.cast("binary"))))
-    more = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & F.col("cut_whole"))
-    times = F.col("whole").cast("int") + F.coalesce(more, F.lit(False)).cast("int")
-    placed = keyed.join(cuts, docs["source"].cast("string").eqNullSafe(F.col("_source")) & (F.substring("_key", 1, 1) == F.col("_salt"))).withColumn("_times", times)
-    return placed.where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    names = {"source": "__source", "whole": "__whole", "cut_key": "__cut", "cut_whole": "__full"}
+    cuts = _salted(cuts.select(*[F.col(c).alias(n) for c, n in names.items()])).withColumnRenamed("_salt", "__salt")
+    key = seeded_key(seed, docs["doc_id"], F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    placed = docs.join(cuts, docs["source"].cast("string").eqNullSafe(F.col("__source")) & (F.substring(key, 1, 1) == F.col("__salt")))
+    more = (key < F.col("__cut")) | ((key == F.col("__cut")) & F.col("__full"))
+    times = F.col("__whole").cast("int") + F.coalesce(more, F.lit(False)).cast("int")
+    repeated = placed.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("__copy"))
+    return repeated.drop("__copy")

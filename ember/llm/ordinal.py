@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHAPES = ("repeat", "upper", "tail", "bar", "distinct", "long")
@@ -164,12 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, dims: int =
     return fit(rows, dims, 3) if any(len(r[1]) for r in rows) else None
 
 
-def grade_documents(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5, dims: int = 1 << 18) -> DataFrame:
-    """All columns of ``docs`` and ``expected_grade, tail, keep``.
-
-    ``tail`` is P(top grade); ``keep`` means ``tail >= cut``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model and (model.weights, model.shapes, model.thresholds))
+def graded(spark: SparkSession, text: Column, model: OrdinalModel | None, dims: int = 1 << 18) -> Column:
+    """Struct ``expected_grade, tail`` of a text; ``tail`` is P(top grade)."""
+    shared = spark.sparkContext.broadcast(model and (model.weights, model.shapes, model.thresholds))
 
     @F.pandas_udf("struct<expected_grade double, tail double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -189,5 +186,19 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.
                 tail.append(float(probabilities[-1]))
             yield pd.DataFrame({"expected_grade": grade, "tail": tail})
 
-    graded = docs.withColumn("_s", score(F.col("text").cast("string")))
-    return graded.select(*[docs[c] for c in docs.columns], F.col("_s.expected_grade").alias("expected_grade"), F.col("_s.tail").alias("tail"), (F.col("_s.tail") >= cut).alias("keep"))
+    return score(text.cast("string"))
+
+
+def grade_documents(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5, dims: int = 1 << 18) -> DataFrame:
+    """``docs`` with ``expected_grade, tail, keep`` (``tail >= cut``).
+
+    Columns of ``docs`` that have one of these names are replaced.
+    """
+    added = ("expected_grade", "tail", "keep")
+    rows = docs.select(*[docs[c] for c in docs.columns if c not in added], graded(docs.sparkSession, docs["text"], model, dims).alias("__grade"))
+    return rows.select("*", F.col("__grade.expected_grade").alias("expected_grade"), F.col("__grade.tail").alias("tail"), (F.col("__grade.tail") >= cut).alias("keep")).drop("__grade")
+
+
+def select_documents(docs: DataFrame, model: OrdinalModel | None, cut: float = 0.5, dims: int = 1 << 18) -> DataFrame:
+    """The rows of ``docs`` whose top-grade probability reaches ``cut``, columns unchanged."""
+    return docs.where(graded(docs.sparkSession, docs["text"], model, dims)["tail"] >= cut)
