@@ -122,14 +122,16 @@ def thread(linked: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``root_id, depth, reply_order`` (depth, then position, from 1); a
     conversation's messages are numbered in their own group.
     """
-    # an ancestor may have a third of all messages below it: its side is one row
-    state = stored(linked.select("msg_id", F.coalesce("parent_id", "msg_id").alias("up"), F.col("parent_id").isNotNull().cast("bigint").alias("steps")), "up")
+    root = F.col("parent_id").isNull()
+    state = stored(linked.select("msg_id", F.coalesce("parent_id", "msg_id").alias("up"), (~root).cast("bigint").alias("steps"), root.alias("settled")), "up")
     for _ in range(max_rounds):
-        above = state.select(F.col("msg_id").alias("_id"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
-        step = state.join(above, F.col("up") == F.col("_id")).select("msg_id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"))
-        state, before = stored(step, "up"), state
-        if state.agg(F.sum("steps")).first() == before.agg(F.sum("steps")).first():
+        moving = state.where(~F.col("settled"))
+        if moving.isEmpty():
             break
+        # only messages that have not reached their root are joined again
+        above = state.select(F.col("msg_id").alias("_id"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("settled").alias("_settled"))
+        step = moving.join(above, F.col("up") == F.col("_id")).select("msg_id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_settled").alias("settled"))
+        state = stored(state.where("settled").unionByName(step), "up")
     placed = linked.select("msg_id", "position").join(state.select(F.col("msg_id").alias("_id"), F.col("up").alias("root_id"), F.col("steps").alias("depth")), F.col("msg_id") == F.col("_id"))
     ordered = placed.withColumn("reply_order", F.row_number().over(Window.partitionBy("root_id").orderBy("depth", "position", "msg_id")))
     # texts come back after the numbering, which sorts narrow rows only
