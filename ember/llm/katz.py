@@ -189,31 +189,24 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     unknown = held / n if n else 1.0
     base_floor = n + 0.1 * (types + 1)
 
-    # frequent words: the sampled top first, then by count; a fixed number
-    first = {w: i + 2 for i, w in enumerate(top)}
-    ranked = words.orderBy(F.desc("every"), "word").limit(hot).collect()
-    rank = dict(first)
-    for r in ranked:
-        rank.setdefault(bytes(r["word"]), len(rank) + 2)
-    hot_count = np.zeros(len(rank) + 2, dtype=np.int64)
-    hot_count[END] = n_train
-    for r in ranked:
-        hot_count[rank[bytes(r["word"])]] = r["train"]
-    known_top = {bytes(r["word"]) for r in ranked}
-    late = [w for w in top if w not in known_top]
-    if late:
-        for r in words.where(F.col("word").isin([bytearray(w) for w in late])).collect():
-            hot_count[rank[bytes(r["word"])]] = r["train"]
+    # frequent words: the sampled top first, then by count; a fixed number, kept in columns
+    ranked = words.where(~F.col("word").isin([bytearray(w) for w in top])) if top else words
+    ranked = ranked.orderBy(F.desc("every"), "word").limit(hot).select("word", "train").toArrow()
+    first = {bytes(r["word"]): r["train"] for r in words.where(F.col("word").isin([bytearray(w) for w in top])).collect()} if top else {}
+    names = [*top, *ranked.column("word").to_pylist()]
+    hot_count = np.concatenate([[0, n_train], [first.get(w, 0) for w in top], ranked.column("train").to_numpy()]).astype(np.int64)
+    del ranked
     as_context = hot_count.copy()
     as_context[BOS], as_context[END] = n_train, 0
+    dense = counts.where("pair is not null").select("pair", "train").toArrow()
     cells = np.zeros((TOP, TOP), dtype=np.int64)
-    for r in counts.where("pair is not null").select("pair", "train").collect():
-        cells.flat[r["pair"]] = r["train"]
-    shared = context.broadcast((rank, hot_count, as_context, cells))
+    cells.flat[dense.column("pair").to_numpy()] = dense.column("train").to_numpy()
+    shared = context.broadcast((names, hot_count, as_context, cells))
+    del names, dense
     buckets = max(1, -(-every // bucket_size))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(shared.value[0])
+        known = Known({w: i + 2 for i, w in enumerate(shared.value[0])})
         names = ["bucket", "dense", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -250,7 +243,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     own = parts.select(F.col("bucket").alias("_bucket"), F.explode("seg.wr").alias("id")).distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value[0]
+        rank = set(shared.value[0])
         for batch in batches:
             rows = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") | (1 << 63), c) for w, c in zip(batch.column("word").to_pylist(), batch.column("train").to_pylist(), strict=True) if w not in rank]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in rows], dtype=U).view(np.int64)), pa.array([r[1] for r in rows], pa.int64())], ["word_id", "count"])
