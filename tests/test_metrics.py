@@ -15,27 +15,46 @@ def pairs(pixels, truth, pred):
     return pixels(truth, "truth", {"pred": pred})
 
 
-def test_micro_counts_over_unequal_chips(pixels):
-    px = pairs(pixels, {"a": [[1, 0]], "b": [[1, 1], [1, 1]]}, {"a": [[1, 1]], "b": [[0, 0], [0, 0]]})
-    row = C.precision_recall(C.confusion_binary(px)).first()
-    assert (row.tp, row.fp, row.fn) == (1, 1, 4)
-    assert row.f1 == pytest.approx(2 / 7)
+def random_masks(seed, classes, shapes):
+    rng = np.random.default_rng(seed)
+    return {f"c{i}": rng.integers(0, classes, shape).tolist() for i, shape in enumerate(shapes)}
+
+
+def flat(masks):
+    return np.concatenate([np.ravel(masks[k]) for k in sorted(masks)])
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_counts_pool_all_chips(pixels, seed):
+    shapes = [(1, 5), (4, 3), (2, 7)]
+    truth, pred = random_masks(seed, 2, shapes), random_masks(seed + 50, 2, shapes)
+    row = C.precision_recall(C.confusion_binary(pairs(pixels, truth, pred))).first()
+    t, p = flat(truth).astype(bool), flat(pred).astype(bool)
+    want = int((t & p).sum()), int((~t & p).sum()), int((t & ~p).sum())
+    assert (row.tp, row.fp, row.fn) == want
+    assert row.f1 == pytest.approx(2 * want[0] / (2 * want[0] + want[1] + want[2]))
 
 
-def test_empty_masks_are_perfect(pixels):
-    z = {"a": [[0, 0, 0], [0, 0, 0]]}
-    px = pairs(pixels, z, z)
-    row = C.competition_score(px, px).first()
-    assert all(row[c] == 1.0 for c in ("F1_af", "IoU_burn", "IoU_1", "IoU_2", "IoU_3", "mIoU_sev", "Score"))
+@pytest.mark.parametrize("seed", [21, 22])
+def test_class_overlap_by_brute_force(pixels, seed):
+    shapes = [(3, 4), (2, 6)]
+    truth, pred = random_masks(seed, 4, shapes), random_masks(seed + 50, 4, shapes)
+    row = C.score_confusion(C.confusion(pairs(pixels, truth, pred))).first()
+    t, p = flat(truth), flat(pred)
+    for name, a, b in [("IoU_burn", t > 0, p > 0), *[(f"IoU_{c}", t == c, p == c) for c in (1, 2, 3)]]:
+        assert row[name] == pytest.approx((a & b).sum() / (a | b).sum())
 
 
-def test_severity_iou_small(pixels):
-    row = C.score_confusion(C.confusion(pairs(pixels, {"a": [[1, 2, 0]]}, {"a": [[1, 0, 0]]}))).first()
-    assert (row.IoU_1, row.IoU_2, row.IoU_3) == (1.0, 0.0, 1.0)
-    row = C.score_confusion(C.confusion(pairs(pixels, {"a": [[1, 2, 3, 0]]}, {"a": [[3, 2, 1, 0]]}))).first()
-    assert (row.IoU_burn, row.IoU_1, row.IoU_2, row.IoU_3) == (1.0, 0.0, 1.0, 0.0)
+def test_absent_classes_count_as_perfect(pixels):
+    none = {"only": np.zeros((4, 5), int).tolist()}
+    row = C.competition_score(pairs(pixels, none, none), pairs(pixels, none, none)).first()
+    assert {row[c] for c in ("F1_af", "IoU_burn", "IoU_1", "IoU_2", "IoU_3", "mIoU_sev", "Score")} == {1.0}
+    some = {"only": [[2, 2, 0], [0, 2, 2]]}
+    row = C.score_confusion(C.confusion(pairs(pixels, some, some))).first()
+    assert (row.IoU_1, row.IoU_2, row.IoU_3) == (1.0, 1.0, 1.0)
 
 
+# Published confusion matrices, counts and the scores they give.
 def test_known_confusion_scores(spark):
     cm = [[9912186, 385120, 243209, 69681], [66892, 395306, 13277, 210], [9891, 10857, 429098, 7655], [4007, 0, 11098, 237993]]
     long = spark.createDataFrame([(t, p, cm[t][p]) for t in range(4) for p in range(4)], "truth int, pred int, n bigint")

@@ -13,16 +13,18 @@ def encode(mask):
     return " ".join(f"{s + 1} {e - s}" for s, e in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1)))
 
 
-def test_small_example(pixels):
-    px = pixels({"a": [[0, 1, 1], [0, 0, 1]]})
-    assert R.rle_encode(px).first().rle == "2 2 6 1"
-    empty = R.rle_encode_classes(pixels({"a": [[0, 0]]}), (1,)).first()
-    assert empty.rle == ""
+def test_single_class_by_brute_force(pixels):
+    rng = np.random.default_rng(8)
+    masks = {f"m{i}": (rng.random((5, 4 + i)) < 0.4).astype(int).tolist() for i in range(3)} | {"none": np.zeros((3, 3), int).tolist()}
+    for name, mask in masks.items():
+        got = R.rle_encode_classes(pixels({name: mask}), (1,)).first()
+        assert got.rle == encode(mask)
 
 
-def test_severity_example(pixels):
-    got = {r.class_id: r.rle for r in R.rle_encode_classes(pixels({"a": [[0, 1, 2], [3, 2, 1]]}), (1, 2, 3)).collect()}
-    assert got == {1: "2 1 6 1", 2: "3 1 5 1", 3: "4 1"}
+def test_every_class_by_brute_force(pixels):
+    mask = np.random.default_rng(9).integers(0, 4, (4, 9))
+    got = {r.class_id: r.rle for r in R.rle_encode_classes(pixels({"m": mask.tolist()}), (1, 2, 3)).collect()}
+    assert got == {c: encode((mask == c).astype(int)) for c in (1, 2, 3)}
 
 
 def test_random_masks_round_trip(pixels):
@@ -66,10 +68,13 @@ def test_submission_keeps_template(spark, pixels, tmp_path):
     assert B.validate_submission(sub, t, F.lit(4), F.lit(2)).first().status == "pass"
     assert B.template_problems(t, px, {"af": (1,), "bs": (1, 2, 3)}).count() == 0
     path = str(tmp_path / "sub")
-    write_submission(sub, path)
+    write_submission(sub, path, single_file=True)
     part = next((tmp_path / "sub").glob("part-*.csv")).read_text().splitlines()
     assert part == ['"chip_id","class_id","rle"', '"BS_2","3","4 1"', '"AF_1","1","2 3"', '"BS_2","1","1 2"', '"BS_2","2",""']
     assert [r.rle for r in read_submission(spark, path).collect()] == ["4 1", "2 3", "1 2", ""]
+    write_submission(sub, path)  # sorted parts: in name order they are the same file
+    rows = [line for f in sorted((tmp_path / "sub").glob("part-*.csv")) for line in f.read_text().splitlines() if "chip_id" not in line]
+    assert rows == part[1:]
 
 
 def test_runs_cross_row_borders_only_when_adjacent(pixels):
