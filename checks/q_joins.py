@@ -106,7 +106,7 @@ def e7_shared_grids(inp):
 @query("j2_common_grids", "SELECT epsg, x_min, y_min FROM fx_meta WHERE kind='af' INTERSECT SELECT epsg, x_min, y_min FROM fx_meta WHERE kind='bs'")
 def j2_common_grids(inp):
     m = inp.fx_meta
-    return m.where("kind = 'af'").select("epsg", "x_min", "y_min").intersect(m.where("kind = 'bs'").select("epsg", "x_min", "y_min"))
+    return X.common_grids(m.where("kind = 'af'"), m.where("kind = 'bs'"))
 
 
 @query("e8_missing_ids", "SELECT DISTINCT user_id AS chip_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F')")

@@ -161,7 +161,7 @@ def f14_subgroup_report(inp):
 
 @query("f15_split_counts", "SELECT kind, split, count(*) AS n FROM fx_meta GROUP BY kind, split")
 def f15_split_counts(inp):
-    return inp.fx_meta.groupBy("kind", "split").agg(F.count(F.lit(1)).alias("n"))
+    return C.split_counts(inp.fx_meta)
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import sqlbits as Q
@@ -376,16 +375,6 @@ def u3_candidate_spec(inp):
 @query("u4_grouped_arrow", f"SELECT half, {Q.r('score')} AS score FROM (SELECT half, b_score AS score FROM {_half('b', DEC_VALID)} z) q")
 def u4_grouped_arrow(inp):
     """Score from counts in a grouped Arrow aggregate over 16 rows per group."""
-    @F.pandas_udf("double")
-    def burn_score(truth: pd.Series, pred: pd.Series, n: pd.Series) -> float:
-        hit = n[(truth > 0) & (pred > 0)].sum()
-        union = n[(truth > 0) | (pred > 0)].sum()
-        parts = []
-        for c in (1, 2, 3):
-            u = n[(truth == c) | (pred == c)].sum()
-            parts.append(1.0 if u == 0 else n[(truth == c) & (pred == c)].sum() / u)
-        return float(0.35 * (1.0 if union == 0 else hit / union) + 0.30 * sum(parts) / 3)
-
     px = decided(inp.fx_pixel.where("valid")).withColumn("half", R.half_of(F.col("chip_id")).cast("bigint"))
     counts = C.confusion(px, ["half"])
-    return rounded(counts.groupBy("half").agg(burn_score("truth", "pred", "n").alias("score")))
+    return rounded(counts.groupBy("half").agg(C.grouped_burn_score().alias("score")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,3 +284,22 @@ def prior_weights(population: DataFrame, keys: Sequence[str] = ("y",), power: fl
     whole = Window.partitionBy()
     mean = F.sum(F.col("weight") * F.col("selected")).over(whole) / F.sum("selected").over(whole)
     return weighted.withColumn("weight_mean1", F.col("weight") / mean)
+
+
+def split_counts(meta: DataFrame, keys: Sequence[str] = ("kind", "split")) -> DataFrame:
+    """Chips per kind and split."""
+    return meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grouped_burn_score(truth: str = "truth", pred: str = "pred", n: str = "n"):
+    """Burn score as a grouped Arrow aggregate over the 16 cells of a confusion."""
+    @F.pandas_udf("double")
+    def burn_score(t: pd.Series, p: pd.Series, k: pd.Series) -> float:
+        def overlap(a: pd.Series, b: pd.Series) -> float:
+            union = k[a | b].sum()
+            return 1.0 if union == 0 else k[a & b].sum() / union
+
+        severity = sum(overlap(t == c, p == c) for c in (1, 2, 3)) / 3
+        return float(S.W_BURN * overlap(t > 0, p > 0) + S.W_SEVERITY * severity)
+
+    return burn_score(truth, pred, n)

@@ -169,15 +169,15 @@ def rle_round_trip(px: DataFrame, width: Column | int, keys: Sequence[str] = ("c
 
 
 def register_rle_udtf(spark) -> None:
-    """SQL table function ``rle_pixels(rle, width)`` -> (pos, rw, cl)."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="pos bigint, rw bigint, cl bigint")
-    class RlePixels:
-        def eval(self, rle: str, width: int):
-            values = [int(t) for t in (rle or "").split()]
-            for start, length in zip(values[::2], values[1::2]):
-                for pos in range(start - 1, start - 1 + length):
-                    yield pos, pos // width, pos % width
-
-    spark.udtf.register("rle_pixels", RlePixels)
+    """SQL table function ``rle_pixels(rle, width)`` -> (pos, rw, cl).
+
+    A SQL function over ``sequence``: it is inlined into the calling plan, so no
+    Python worker sees a pixel.
+    """
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION rle_pixels(rle STRING, width BIGINT)
+        RETURNS TABLE (pos BIGINT, rw BIGINT, cl BIGINT)
+        RETURN SELECT pos, pos DIV width, pos % width FROM (
+          SELECT explode(sequence(CAST(t[2 * i] AS BIGINT) - 1, CAST(t[2 * i] AS BIGINT) + CAST(t[2 * i + 1] AS BIGINT) - 2)) AS pos
+          FROM (SELECT t, explode(sequence(0, size(t) DIV 2 - 1)) AS i FROM (SELECT split(trim(rle), ' +') AS t) WHERE size(t) > 1))
+    """)

@@ -103,6 +103,11 @@ def split_overlap(grids: DataFrame, size: float = 10_240.0, rows_per_task: int =
     )
 
 
+def common_grids(left: DataFrame, right: DataFrame, columns: Sequence[str] = ("epsg", "x_min", "y_min")) -> DataFrame:
+    """Grids that occur on both sides."""
+    return left.select(*columns).intersect(right.select(*columns))
+
+
 def shared_grids(grids: DataFrame) -> DataFrame:
     """Grids that occur in both splits."""
     cols = ("epsg", "x_min", "y_min", "x_max", "y_max")
