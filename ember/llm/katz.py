@@ -40,7 +40,7 @@ from ember.llm.split import slices
 
 CUT, ESCAPE = 5, 0.01
 TOP, SPREAD, HOT = 512, 8192, 1 << 19
-BUCKET = 2_000_000
+BUCKET = 600_000
 REMEMBERED = 250_000
 BOS, END = 0, 1  # first two numbers of frequent words
 RARE = np.uint64(1) << np.uint64(63)
@@ -263,7 +263,9 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
         return pa.concat_tables(out) if out else _rows([], [])
 
     schema = "kind tinyint, k bigint, h bigint, x double, base double, tokens int, known int, c bigint, " + ", ".join(f"n{r} int" for r in range(1, CUT + 2))
-    found = stored(parts.groupBy("bucket").cogroup(own.groupBy("_bucket")).applyInArrow(evaluated, schema), "katz")
+    found = parts.groupBy("bucket").cogroup(own.groupBy("_bucket")).applyInArrow(evaluated, schema)
+    # rows of one text or context from several buckets are combined before the shuffle
+    found = stored(found.groupBy("kind", "k", "h").agg(*[F.sum(m).alias(m) for m in names[3:]]), "katz")
 
     # contexts: sums over all followers; those among top words come from the cells
     dense_rows = _dense_contexts(cells, hot_count, d1, n)
@@ -278,7 +280,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     backed = backed.select("k", (F.col("n1") * F.coalesce("alpha", F.lit(0.0))).alias("x"))
     factor = sum((F.col(f"n{r}") * float(np.log10(d2[r - 1])) for r in range(1, CUT + 1)), F.lit(0.0))
     plain = found.where("kind = 0").select("k", (F.col("x").cast("double") + factor).alias("x"), F.col("base").cast("double").alias("base"), "tokens", "known")
-    sums = plain.unionByName(backed.select("k", "x", F.lit(0.0).alias("base"), F.lit(0).alias("tokens"), F.lit(0).alias("known"))).groupBy(F.col("k").alias("_k"))
+    sums = plain.unionByName(backed.select("k", "x", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("known"))).groupBy(F.col("k").alias("_k"))
     sums = sums.agg(F.sum("x").alias("_x"), F.sum("base").alias("_base"), F.sum("tokens").alias("_tokens"), F.sum("known").alias("_known"))
     rows = source.select("doc_id", "k", "train")
     same = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_rows")).select(F.col("k").alias("_k"), "_rows")
@@ -311,7 +313,7 @@ def _evaluate(rows, ids, count, hot_count, as_context, cells, d1, n, unknown, ba
     w = np.concatenate([_unpack(r["w"], np.array(r["wr"], dtype=np.int64).tobytes(), r["n"]) for r in rows])
     runs = np.concatenate([np.frombuffer(r["runs"], "<u4") for r in rows]).astype(np.int64)
     key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), runs)
-    learn = np.repeat(np.concatenate([np.frombuffer(r["train"], np.uint8) for r in rows]), runs).astype(np.int64)
+    learn = np.repeat(np.concatenate([np.frombuffer(r["train"], np.uint8) for r in rows]), runs)
     last = U(len(hot_count) - 1)
     word_count = hot_count[np.minimum(w, last).astype(np.int64)]
     rare = np.flatnonzero(w >= RARE)
@@ -326,7 +328,7 @@ def _evaluate(rows, ids, count, hot_count, as_context, cells, d1, n, unknown, ba
             pair = mix(h * U(0x9E3779B97F4A7C15) + mix(w))
         order = np.argsort(pair)
         starts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
-        total = np.add.reduceat(learn[order], starts)
+        total = np.add.reduceat(learn[order].astype(np.int64), starts)
         place = np.empty(len(order), np.int64)
         place[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
         pair_count = total[place]
