@@ -264,3 +264,32 @@ def m11_file_digests(inp):
     """Fingerprints of the table files themselves."""
     files = A.file_digests(inp.spark, inp.sf_dir, "*.parquet")
     return files.select("name", "size_bytes", "sha256", "mtime_utc")
+
+
+_ARTIFACTS = """SELECT o_orderkey AS k, CASE o_custkey%3 WHEN 0 THEN '{"summary":"s.json","mask":["m/0.tif",7,"m/2.tif"],"extra":{"log":"l.txt","n":1,"up":"../x"}}'
+ WHEN 1 THEN '["a.json"]' ELSE '{"bad id":"x","abs":"/etc","nested":[["y"]],"ok":"r.tif"}' END AS doc FROM orders"""
+
+
+@query(
+    "m8_artifact_entries",
+    "SELECT o_orderkey AS k, id, href FROM orders JOIN (VALUES (0,'summary','s.json'),(0,'mask_0','m/0.tif'),(0,'mask_2','m/2.tif'),(0,'extra_log','l.txt'),(2,'ok','r.tif')) v(c,id,href) ON o_custkey%3=c",
+)
+def m8_artifact_entries(inp):
+    docs = inp.spark.sql(_ARTIFACTS.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=inp.orders)
+    return docs.select("k", F.inline(X.artifact_entries(F.col("doc"))))
+
+
+_FEATURE = """'{"type":"Feature","geometry":{"type":"Point","coordinates":['||CAST(rw AS VARCHAR)||','||CAST(cl AS VARCHAR)||']},"properties":{"event_id":'||CAST(event_id AS VARCHAR)||',"scene_id":"'||scene_id||'"}}'"""
+
+
+@query(
+    "a14_feature_collection",
+    f"""WITH f AS (SELECT event_id, {_FEATURE} AS v FROM fx_hotspot WHERE valid AND cls=1)
+ SELECT CAST(0 AS BIGINT) AS pos, '{{"type":"FeatureCollection","features":[' AS value UNION ALL SELECT 2, ']}}' UNION ALL
+ SELECT 1, CASE WHEN event_id=(SELECT min(event_id) FROM f) THEN v ELSE ','||v END FROM f""",
+)
+def a14_feature_collection(inp):
+    fires = inp.fx_hotspot.where("valid and cls = 1")
+    fires = fires.withColumn("point", F.struct(F.lit("Point").alias("type"), F.array("rw", "cl").alias("coordinates")))
+    keyed = S.geojson_features(fires, "point", ["event_id", "scene_id"]).withColumn("event_id", F.get_json_object("value", "$.properties.event_id").cast("bigint"))
+    return S.feature_collection(keyed, "event_id").select(F.col("pos").cast("bigint").alias("pos"), "value")

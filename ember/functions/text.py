@@ -100,7 +100,33 @@ def period_to_days(start: Column, end: Column) -> tuple[Column, Column]:
     return start.cast("date"), (end - F.expr("INTERVAL 0.001 SECOND")).cast("date")
 
 
+def _safe_pairs(pairs: Column) -> Column:
+    return F.filter(pairs, lambda p: p["id"].rlike(SAFE_ID) & p["href"].isNotNull() & ~p["href"].rlike(r"^/|(^|/)\.\.(/|$)"))
+
+
 def artifact_pairs(fields: Column) -> Column:
     """``map<string,string>`` of artifacts to safe ``(id, href)`` pairs."""
-    pairs = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("href")))
-    return F.filter(pairs, lambda p: p["id"].rlike(SAFE_ID) & p["href"].isNotNull() & ~p["href"].rlike(r"^/|(^|/)\.\.(/|$)"))
+    return _safe_pairs(F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("href"))))
+
+
+def artifact_entries(doc: Column) -> Column:
+    """Safe ``(id, href)`` pairs of a JSON object of texts, lists and objects.
+
+    A list gives ``key_0, key_1, ...``, an object ``key_name``; members that are
+    not texts are left out.  Anything but an object gives no pairs.
+    """
+
+    def text(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def pair(name: Column, v: Column) -> Column:
+        return F.struct(name.alias("id"), text(v).alias("href"))
+
+    def members(e: Column) -> Column:
+        key, value, kind = e["key"], e["value"], F.schema_of_variant(e["value"])
+        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v, i: pair(F.concat_ws("_", key, i), v))
+        fields = F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda f: pair(F.concat_ws("_", key, f["key"]), f["value"]))
+        return F.when(kind.startswith("ARRAY"), items).when(kind.startswith("OBJECT"), fields).otherwise(F.array(pair(key, value)))
+
+    fields = F.try_variant_get(F.try_parse_json(doc), "$", "map<string,variant>")
+    return _safe_pairs(F.coalesce(F.flatten(F.transform(F.map_entries(fields), members)), F.array().cast("array<struct<id:string,href:string>>")))

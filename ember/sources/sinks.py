@@ -58,6 +58,26 @@ def write_geojson(features: DataFrame, path: str) -> None:
     features.select("value").write.mode("overwrite").text(path)
 
 
+def feature_collection(features: DataFrame, order: str) -> DataFrame:
+    """Lines ``pos, order, value`` of one FeatureCollection: head, Features, foot.
+
+    Features are put in order of ``order`` (equal lines once); all but the first
+    carry a comma in front.  Sorted by ``pos`` and ``order`` the lines are one document.
+    """
+    lines = features.select(F.col(order).alias("order"), "value").distinct()
+    first = lines.agg(F.min(F.struct("order", "value")).alias("_first"))
+    mark = F.when(F.struct("order", "value") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    body = lines.join(F.broadcast(first), F.lit(True)).select(F.lit(1).alias("pos"), "order", F.concat(mark, "value").alias("value"))
+    kind = dict(lines.dtypes)["order"]
+    ends = features.sparkSession.createDataFrame([(0, None, '{"type":"FeatureCollection","features":['), (2, None, "]}")], f"pos int, order {kind}, value string")
+    return body.unionByName(ends)
+
+
+def write_feature_collection(features: DataFrame, path: str, order: str) -> None:
+    """Range-sorted text parts whose concatenation in name order is one FeatureCollection."""
+    feature_collection(features, order).orderBy("pos", "order", "value").select("value").write.mode("overwrite").text(path)
+
+
 def finite_or_null(df: DataFrame) -> DataFrame:
     """NaN and infinities to NULL: JSON has neither."""
     fixed = {
