@@ -148,13 +148,13 @@ _C = [_cross("a", "a2", "b"), _cross("a", "a2", "b2"), _cross("b", "b2", "a"), _
 
 @query(
     "b13_ring_self_intersections",
-    f"""WITH v AS (SELECT aoi_id, seq, lon, lat FROM fx_vertex WHERE seq<6),
+    f"""WITH v AS (SELECT aoi_id, seq, lon, lat FROM {Q.OPEN_RINGS} w),
  bad AS (SELECT DISTINCT a.aoi_id FROM v a JOIN v a2 ON a2.aoi_id=a.aoi_id AND a2.seq=(a.seq+1)%6 JOIN v b ON b.aoi_id=a.aoi_id AND b.seq>a.seq+1 AND NOT (a.seq=0 AND b.seq=5) JOIN v b2 ON b2.aoi_id=a.aoi_id AND b2.seq=(b.seq+1)%6
   WHERE (sign({_C[0]})*sign({_C[1]})<0 AND sign({_C[2]})*sign({_C[3]})<0) OR ({_C[0]}=0 AND {_within('a', 'a2', 'b')}) OR ({_C[1]}=0 AND {_within('a', 'a2', 'b2')}) OR ({_C[2]}=0 AND {_within('b', 'b2', 'a')}) OR ({_C[3]}=0 AND {_within('b', 'b2', 'a2')}))
  SELECT aoi_id, 'self-intersection' AS problem FROM bad""",
 )
 def b13_ring_self_intersections(inp):
-    return K.ring_self_intersections(inp.fx_vertex.where("seq < 6"))
+    return K.ring_self_intersections(K.strip_closing(inp.fx_vertex))
 
 
 _PERIOD = "SELECT o_orderkey AS id, CASE WHEN o_custkey%47=0 THEN NULL ELSE o_orderdate END AS start_at, CASE WHEN o_custkey%5=0 THEN o_orderdate ELSE o_orderdate+INTERVAL 3 DAY END AS end_at FROM orders"

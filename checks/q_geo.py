@@ -14,6 +14,7 @@ from ember.functions import geometry as G
 from ember.functions import projection as P
 from ember.operators import areas as A
 from ember.operators import components as K
+from ember.operators.contracts import strip_closing
 from ember.plans import analysis as Y
 from ember.plans import inference as I
 
@@ -70,12 +71,12 @@ def l3_lonlat_to_cea(inp):
 
 @query(
     "l4_area_ha",
-    f"""WITH p AS (SELECT aoi_id, seq, {_cx('lon')} AS x, {_cy('lat')} AS y FROM fx_vertex WHERE seq<6), o AS (SELECT aoi_id, x AS x0, y AS y0 FROM p WHERE seq=0),
+    f"""WITH p AS (SELECT aoi_id, seq, {_cx('lon')} AS x, {_cy('lat')} AS y FROM {Q.OPEN_RINGS} v), o AS (SELECT aoi_id, x AS x0, y AS y0 FROM p WHERE seq=0),
  s AS (SELECT p.aoi_id, x-x0 AS x, y-y0 AS y, lead(x-x0,1,0) OVER w AS nx, lead(y-y0,1,0) OVER w AS ny FROM p JOIN o USING (aoi_id) WINDOW w AS (PARTITION BY p.aoi_id ORDER BY seq))
  SELECT aoi_id, {Q.r('abs(sum(x*ny-nx*y))/2/10000', 3)} AS area_ha FROM s GROUP BY aoi_id""",
 )
 def l4_area_ha(inp):
-    rings = inp.fx_vertex.where("seq < 6").groupBy("aoi_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("ring"))
+    rings = strip_closing(inp.fx_vertex).groupBy("aoi_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("ring"))
     return rounded(rings.select("aoi_id", P.ring_area_ha(F.col("ring")).alias("area_ha")), 3)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import sqlbits as Q
 from checks.common import longs, rounded
 from checks.registry import query
+from ember.operators import contracts as K
 from ember.operators import joins as J
 from ember.operators import pixels as P
 from ember.operators import ranking as N
@@ -27,15 +28,19 @@ def e2_join_scores(inp):
     return rounded(J.join_scores(a, b))
 
 
-@query("e3_with_meta", "SELECT c.chip_id, pos, coalesce(kind,'none') AS kind, kind IS NOT NULL AS has_meta FROM fx_class c LEFT JOIN (SELECT * FROM fx_meta WHERE split='train') m USING (chip_id)")
+def supplied(inp):
+    """Benchmark items as chip metadata: whatever chips they do not cover lack it."""
+    return inp.benchmark.select(F.col("item_id").alias("chip_id"), F.concat(F.lit("n"), (F.length("text") % 7).cast("string")).alias("kind"))
+
+
+@query("e3_with_meta", "SELECT c.chip_id, pos, coalesce(kind,'none') AS kind, kind IS NOT NULL AS has_meta FROM fx_class c LEFT JOIN (SELECT item_id AS chip_id, 'n'||CAST(length(text)%7 AS VARCHAR) AS kind FROM benchmark) m USING (chip_id)")
 def e3_with_meta(inp):
-    meta = inp.fx_meta.where("split = 'train'").select("chip_id", "kind")
-    return J.with_meta(inp.fx_class.select("chip_id", "pos"), meta).withColumn("kind", F.coalesce("kind", F.lit("none")))
+    return J.with_meta(inp.fx_class.select("chip_id", "pos"), supplied(inp)).withColumn("kind", F.coalesce("kind", F.lit("none")))
 
 
-@query("e3_missing_meta", "SELECT DISTINCT chip_id FROM fx_class WHERE chip_id NOT IN (SELECT chip_id FROM fx_meta WHERE split='train')")
+@query("e3_missing_meta", "SELECT DISTINCT chip_id FROM fx_class WHERE chip_id NOT IN (SELECT item_id FROM benchmark)")
 def e3_missing_meta(inp):
-    return J.missing_meta(inp.fx_class, inp.fx_meta.where("split = 'train'"))
+    return J.missing_meta(inp.fx_class, supplied(inp))
 
 
 _TPL = "SELECT o_orderkey AS chip_id, k.class_id, o_orderkey*3+k.class_id AS template_pos FROM orders, (VALUES (1),(2),(3)) k(class_id)"
@@ -109,10 +114,10 @@ def j2_common_grids(inp):
     return X.common_grids(m.where("kind = 'af'"), m.where("kind = 'bs'"))
 
 
-@query("e8_missing_ids", "SELECT DISTINCT user_id AS chip_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus='F')")
+@query("e8_missing_ids", "SELECT doc_id AS chip_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def e8_missing_ids(inp):
-    reg = inp.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("chip_id"))
-    return J.missing_ids(inp.events.select(F.col("user_id").alias("chip_id")), reg)
+    """Documents that nobody labelled."""
+    return J.missing_ids(inp.documents.select(F.col("doc_id").alias("chip_id")), inp.labels.select(F.col("doc_id").alias("chip_id")))
 
 
 @query("e9_requested_scenes", "SELECT o_orderkey AS scene_id, o_custkey AS chip_id FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")
@@ -134,7 +139,8 @@ _EDGES = "SELECT aoi_id, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat)
 
 def aoi(inp):
     """Closed rings only: the open ones are contract violations."""
-    return X.polygon_edges(inp.fx_vertex.where("aoi_id % 13 <> 0"))
+    unclosed = K.check_rings(inp.fx_vertex).where("problem = 'not closed'").select("aoi_id")
+    return X.polygon_edges(inp.fx_vertex.join(unclosed, "aoi_id", "left_anti"))
 
 
 def points(inp):
@@ -145,7 +151,7 @@ def points(inp):
     "e11_points_in_aoi",
     f"""SELECT point_id, aoi_id FROM (SELECT point_id, aoi_id, sum(CASE WHEN (y1>lat)<>(y2>lat) AND lon<(x2-x1)*(lat-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END)%2=1 AS odd,
  max(CASE WHEN (x2-x1)*(lat-y1)-(y2-y1)*(lon-x1)=0 AND lon BETWEEN least(x1,x2) AND greatest(x1,x2) AND lat BETWEEN least(y1,y2) AND greatest(y1,y2) THEN 1 ELSE 0 END)=1 AS edge
- FROM ({_POINTS}) p JOIN ({_EDGES}) e ON e.x2 IS NOT NULL AND e.aoi_id%13<>0 JOIN (SELECT aoi_id AS id, min(lon) AS lo, max(lon) AS hi, min(lat) AS bo, max(lat) AS tp FROM fx_vertex GROUP BY aoi_id) b ON b.id=e.aoi_id AND lon BETWEEN lo AND hi AND lat BETWEEN bo AND tp
+ FROM ({_POINTS}) p JOIN ({_EDGES}) e ON e.x2 IS NOT NULL AND e.aoi_id NOT IN {Q.UNCLOSED} JOIN (SELECT aoi_id AS id, min(lon) AS lo, max(lon) AS hi, min(lat) AS bo, max(lat) AS tp FROM fx_vertex GROUP BY aoi_id) b ON b.id=e.aoi_id AND lon BETWEEN lo AND hi AND lat BETWEEN bo AND tp
  GROUP BY point_id, aoi_id) q WHERE odd OR edge""",
 )
 def e11_points_in_aoi(inp):
@@ -161,7 +167,7 @@ _HIT = "greatest(0.0,greatest(least(x1,x2)-e,w-greatest(x1,x2)))=0 AND greatest(
 
 @query(
     "e12_footprints_intersecting",
-    f"""WITH eb AS (SELECT * FROM ({_EDGES}) q WHERE x2 IS NOT NULL AND aoi_id%13<>0),
+    f"""WITH eb AS (SELECT * FROM ({_EDGES}) q WHERE x2 IS NOT NULL AND aoi_id NOT IN {Q.UNCLOSED}),
  c AS (SELECT scene_id, aoi_id, x1,y1,x2,y2,w,s,e,n, (x2-x1)*(s-y1)-(y2-y1)*(w-x1) AS k1, (x2-x1)*(s-y1)-(y2-y1)*(e-x1) AS k2, (x2-x1)*(n-y1)-(y2-y1)*(e-x1) AS k3, (x2-x1)*(n-y1)-(y2-y1)*(w-x1) AS k4
   FROM fx_scene JOIN eb ON {_HIT}),
  touch AS (SELECT DISTINCT scene_id, aoi_id FROM c WHERE NOT ((k1>0 AND k2>0 AND k3>0 AND k4>0) OR (k1<0 AND k2<0 AND k3<0 AND k4<0))),

@@ -75,3 +75,12 @@ def binary(truth: str = "truth", pred: str = "pred") -> str:
 def draw(seed: int, *parts: str) -> str:
     text = "||':'||".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
     return f"('0x'||substr(md5({text}),1,15))::BIGINT"
+
+
+#: Ring vertices without the closing one.
+OPEN_RINGS = (
+    "(SELECT aoi_id, seq, lon, lat FROM (SELECT *, first_value(lon) OVER w AS lon0, first_value(lat) OVER w AS lat0, max(seq) OVER (PARTITION BY aoi_id, part, ring) AS last"
+    " FROM fx_vertex WINDOW w AS (PARTITION BY aoi_id, part, ring ORDER BY seq)) z WHERE NOT (seq=last AND seq>0 AND lon=lon0 AND lat=lat0))"
+)
+#: Areas that have an open ring.
+UNCLOSED = "(SELECT aoi_id FROM fx_vertex GROUP BY aoi_id, part, ring HAVING arg_min(lon,seq)<>arg_max(lon,seq) OR arg_min(lat,seq)<>arg_max(lat,seq))"

@@ -165,6 +165,14 @@ def check_rings(vertices: DataFrame, max_vertices: int = 10_000) -> DataFrame:
     return per_ring.select("aoi_id", "part", "ring", "n_vertices", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
+def strip_closing(vertices: DataFrame, keys: Sequence[str] = ("aoi_id", "part", "ring")) -> DataFrame:
+    """Rings without their closing vertex: the last one where it repeats the first."""
+    order = Window.partitionBy(*keys).orderBy("seq")
+    first, later = F.first(F.struct("lon", "lat")).over(order), F.lead("seq").over(order)
+    tagged = vertices.withColumn("_closing", (F.struct("lon", "lat") == first) & later.isNull() & (F.row_number().over(order) > 1))
+    return tagged.where(~F.coalesce(F.col("_closing"), F.lit(False))).drop("_closing")
+
+
 def ring_self_intersections(vertices: DataFrame) -> DataFrame:
     """Open rings (``aoi_id, seq, lon, lat``) with their first failed rule.
 
