@@ -105,7 +105,7 @@ def test_url_rules_and_cascade(spark):
 @pytest.mark.parametrize("share,most", [(0.02, 64 << 20), (0.5, 64 << 20), (0.0, 64 << 20), (1.0, 64 << 20), (0.3, 100)])
 def test_cascade_is_exact_on_its_universe(spark, share, most):
     keys = spark.range(4000).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.pmod(F.hash("id"), F.lit(1000)) < share * 1000).alias("listed"))
-    universe = keys.unionByName(spark.createDataFrame([(None, False)], keys.schema))
+    universe = keys.unionByName(spark.createDataFrame([(None, False)], "key string, listed boolean"))
     cascade = bloom_cascade.build_cascade(universe, rate=0.2, max_bytes=most)
     assert (cascade is None) == (most == 100)
     rows = bloom_cascade.is_listed(universe, "key", universe, cascade, "found").collect()
