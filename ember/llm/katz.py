@@ -39,9 +39,10 @@ from ember.llm.common import stored
 from ember.llm.split import slices
 
 CUT, ESCAPE = 5, 0.01
-TOP, SPREAD, HOT = 512, 8192, 1 << 19
+TOP, SPREAD, HOT = 512, 8192, 1 << 18
 BUCKET = 600_000
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+SLICE = 2_500_000
 BOS, END = 0, 1  # first two numbers of frequent words
 RARE = np.uint64(1) << np.uint64(63)
 U = np.uint64
@@ -79,16 +80,16 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Known(dict):
     """Word to number: rank of a frequent word, else its hash with the top bit set."""
 
-    def __init__(self, rank: dict[bytes, int]) -> None:
-        super().__init__(rank)
-        self.rank = rank
+    def __init__(self, names: list[bytes]) -> None:
+        super().__init__(zip(names, range(2, len(names) + 2), strict=True))
+        self.names = names
 
     def __missing__(self, word: bytes) -> int:
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | (1 << 63)
         return got
 
     def trimmed(self) -> Known:
-        return Known(self.rank) if len(self) > len(self.rank) + REMEMBERED else self
+        return Known(self.names) if len(self) > len(self.names) + REMEMBERED else self
 
 
 def positions(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,10 +207,10 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     buckets = max(1, -(-every // bucket_size))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known({w: i + 2 for i, w in enumerate(shared.value[0])})
+        known = Known(shared.value[0])
         names = ["bucket", "dense", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SLICE):
                 known = known.trimmed()
                 owner, h, w = positions(batch.column("text").slice(a, b - a).to_pylist(), known)
                 keys = batch.column("k").slice(a, b - a).to_numpy(zero_copy_only=False)
