@@ -178,6 +178,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.xxhash64(identity, F.coalesce(text, F.lit(""))).alias("k"), (F.crc32(identity.cast("binary")) % 10 != 0).alias("train"), text.alias("text"))
     top = _sample_words(docs)
+    inside = U(len(top) + 2)  # a sample of few words leaves numbers below TOP to words whose pairs are not in the cells
     counts = _counted(source, top)
     words = counts.where("word is not null").select("word", "train", "every")
     totals = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("train").cast("bigint")), F.lit(0))).first()
@@ -215,7 +216,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
                 owner, h, w = positions(batch.column("text").slice(a, b - a).to_pylist(), known)
                 keys = batch.column("k").slice(a, b - a).to_numpy(zero_copy_only=False)
                 learn = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False)
-                dense = (h < TOP) & (w < TOP)
+                dense = (h < inside) & (w < inside)
                 with np.errstate(over="ignore"):
                     place = (mix(np.where(h < SPREAD, h * U(0x9E3779B97F4A7C15) + mix(w), h)) % U(buckets)).astype(np.int64)
                 # dense positions may go anywhere: one bucket per slice

@@ -222,6 +222,16 @@ def test_katz_equals_the_definition(spark, messy, nothing, hot, size):
     assert katz.score_texts(nothing).count() == 0
 
 
+def test_katz_with_a_poor_sample(spark):
+    """2000 short texts in front: the sampled words are few, the other frequent ones are not among them."""
+    random.seed(6)
+    words = [f"t{int(random.paretovariate(0.7))}" for _ in range(6000)]
+    rows = [(i, "a b") for i in range(2000)] + [(5000 + i, " ".join(words[i * 60 : i * 60 + 60])) for i in range(100)]
+    want = katz_by_hand(rows)
+    for r in katz.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect():
+        assert r.score == pytest.approx(want[r.doc_id][0][-1], rel=1e-9, abs=1e-6)
+
+
 def bag(text, words=5):
     split = (text or "").split()
     return collections.Counter(tuple(split[i : i + words]) for i in range(max(1, len(split) - words + 1))) if split else collections.Counter()
