@@ -14,7 +14,9 @@ tables.  Pair counts live in buckets of positions: pairs are dealt by their
 context, those of frequent contexts by the pair; every bucket counts its pairs
 and evaluates its positions in one pass.  Positions between two of the ``TOP``
 most frequent words are counted densely (``TOP ** 2`` cells, a fixed bound) and
-need no common bucket, so no bucket grows with a frequent pair.  Counts of the
+need no common bucket.  Nor do other frequent pairs: ``KEPT`` counters per task
+find all that stand at more than ``max(bucket / 4, 4 n / KEPT)`` of the ``n``
+positions, and their counts, at most ``KEPT / 2``, are broadcast.  Counts of the
 ``HOT`` most frequent words are broadcast, those of other words are joined to the
 buckets in which they occur.
 
@@ -42,6 +44,7 @@ CUT, ESCAPE = 5, 0.01
 TOP, SPREAD, HOT = 512, 8192, 1 << 18
 BUCKET = 600_000
 REMEMBERED = 150_000
+KEPT = 1 << 17  # pair counters of a task
 SLICE = 2_500_000
 BOS, END = 0, 1  # first two numbers of frequent words
 RARE = np.uint64(1) << np.uint64(63)
@@ -92,21 +95,56 @@ class Known(dict):
         return Known(self.names) if len(self) > len(self.names) + REMEMBERED else self
 
 
+def _row(split: list[bytes], known: Known) -> np.ndarray:
+    """Numbers of a text's words between its start and its end."""
+    row = np.empty(len(split) + 2, dtype=U)
+    row[0], row[-1] = BOS, END
+    row[1:-1] = np.fromiter(map(known.__getitem__, split), U, len(split))
+    return row
+
+
 def positions(texts: list[str | None], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(text number, context, word)`` of every token of a batch."""
-    rows = []
-    for text in texts:
-        split = words_of(text)
-        row = np.empty(len(split) + 2, dtype=U)
-        row[0], row[-1] = BOS, END
-        row[1:-1] = np.fromiter(map(known.__getitem__, split), U, len(split))
-        rows.append(row)
+    return _between([_row(words_of(text), known) for text in texts])
+
+
+def _between(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(r) - 1 for r in rows], dtype=np.int64)
     flat = np.concatenate(rows)
     word = np.ones(len(flat), bool)
     word[np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])] = False
     at = np.flatnonzero(word)
-    return np.repeat(np.arange(len(texts)), sizes), flat[at - 1], flat[at]
+    return np.repeat(np.arange(len(rows)), sizes), flat[at - 1], flat[at]
+
+
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h * U(0x9E3779B97F4A7C15) + mix(w))
+
+
+class Heavy:
+    """Counters of frequent pairs (Misra-Gries): each falls short of the true count by at most ``n / kept``."""
+
+    def __init__(self, kept: int = KEPT) -> None:
+        self.kept, self.n = kept, 0
+        self.h, self.w, self.count = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray, w: np.ndarray) -> None:
+        self.n += len(h)
+        count = np.concatenate([self.count, np.ones(len(h), np.int64)])
+        h, w = np.concatenate([self.h, h]), np.concatenate([self.w, w])
+        _, first, at = np.unique(_pair(h, w), return_index=True, return_inverse=True)
+        count = np.bincount(at, weights=count, minlength=len(first)).astype(np.int64)
+        if len(count) > self.kept:
+            place = len(count) - self.kept - 1
+            count -= np.partition(count, place)[place]
+        left = count > 0
+        self.h, self.w, self.count = h[first[left]], w[first[left]], count[left]
+
+    def batch(self) -> pa.RecordBatch:
+        """Counters above ``n / kept``; leaving out the others costs as much again."""
+        some = self.count > self.n / self.kept
+        return pa.RecordBatch.from_arrays([pa.array(self.h[some].view(np.int64)), pa.array(self.w[some].view(np.int64)), pa.array(self.count[some])], ["h", "w", "every"])
 
 
 def _pack(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -130,40 +168,86 @@ def _sample_words(docs: DataFrame, rows: int = 2000) -> list[bytes]:
     return [r["w"].encode("utf-8") for r in top]
 
 
-def _counted(source: DataFrame, top: list[bytes]) -> DataFrame:
-    """``word, pair, train, every``: word counts, and counts of pairs of top words as cells."""
+def _counted(source: DataFrame, top: list[bytes]) -> tuple[DataFrame, DataFrame]:
+    """``word, pair, train, every``: word counts, and counts of pairs of top words as cells; ``h, w, every``: counters of other frequent pairs."""
     shared = source.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i + 2 for i, w in enumerate(shared.value)}
+        known, inside, heavy = Known(shared.value), U(len(shared.value) + 2), Heavy()
         train, other, cells = Counter(), Counter(), np.zeros(TOP * TOP, np.int64)
+        names = ["word", "pair", "h", "w", "train", "every"]
 
         def flush():
             words = list(train.keys() | other.keys())
             at = np.flatnonzero(cells)
+            none = pa.nulls(len(words) + len(at), pa.int64())
             out = pa.RecordBatch.from_arrays(
-                [pa.array(words + [None] * len(at), pa.binary()), pa.array([None] * len(words) + at.tolist(), pa.int32()), pa.array([train[w] for w in words] + cells[at].tolist(), pa.int64()), pa.array([train[w] + other[w] for w in words] + cells[at].tolist(), pa.int64())],
-                ["word", "pair", "train", "every"],
+                [pa.array(words + [None] * len(at), pa.binary()), pa.array([None] * len(words) + at.tolist(), pa.int32()), none, none, pa.array([train[w] for w in words] + cells[at].tolist(), pa.int64()), pa.array([train[w] + other[w] for w in words] + cells[at].tolist(), pa.int64())],
+                names,
             )
             train.clear(), other.clear()
             cells[:] = 0
             return out
 
         for batch in batches:
-            for a, b in slices(batch.column("text")):
-                for text, learn in zip(batch.column("text").slice(a, b - a).to_pylist(), batch.column("train").slice(a, b - a).to_pylist(), strict=True):
+            for a, b in slices(batch.column("text"), SLICE):
+                known, rows = known.trimmed(), []
+                learns = batch.column("train").slice(a, b - a).to_pylist()
+                for text, learn in zip(batch.column("text").slice(a, b - a).to_pylist(), learns, strict=True):
                     split = words_of(text)
                     (train if learn else other).update(split)
-                    if learn:
-                        row = np.array([BOS, *[number.get(w, -1) for w in split], END])
-                        both = (row[:-1] >= 0) & (row[1:] >= 0)
-                        np.add.at(cells, row[:-1][both] * TOP + row[1:][both], 1)
+                    rows.append(_row(split, known))
+                owner, h, w = _between(rows)
+                both = (h < inside) & (w < inside)
+                heavy.add(h[~both], w[~both])
+                both &= np.array(learns, bool)[owner]
+                cells += np.bincount((h[both] * U(TOP) + w[both]).astype(np.int64), minlength=TOP * TOP)
                 if len(train) + len(other) > 2 * REMEMBERED:
                     yield flush()
         yield flush()
+        h, w, every = heavy.batch().columns
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.int32()), h, w, pa.array(np.zeros(len(h), np.int64)), every], names)
 
-    counted = source.mapInArrow(run, "word binary, pair int, train bigint, every bigint")
-    return stored(counted.groupBy("word", "pair").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "unigrams")
+    counted = source.mapInArrow(run, "word binary, pair int, h bigint, w bigint, train bigint, every bigint")
+    counted = stored(counted.groupBy("word", "pair", "h", "w").agg(F.sum("train").alias("train"), F.sum("every").alias("every")), "unigrams")
+    return counted.where("h is null").drop("h", "w"), counted.where("h is not null").select("h", "w", "every")
+
+
+def hot_pairs(source: DataFrame, counters: DataFrame, words, names: list[bytes], every: int, bucket_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs of frequent words outside the cells: sorted pair hashes, contexts, words and training counts.
+
+    Every pair that stands at ``max(bucket_size / 4, 4 every / KEPT)`` positions is among them.
+    """
+    least = max(bucket_size // 4, -(-4 * every // KEPT)) - 2 * every / KEPT
+    found = counters.where(F.col("every") >= float(least)).toArrow()
+    h, w = (found.column(c).to_numpy().view(U) for c in ("h", "w"))
+    if len(h):
+        number = {int.from_bytes(hashlib.blake2b(n, digest_size=8).digest(), "little") | (1 << 63): i + 2 for i, n in enumerate(names)}
+        h, w = (np.array([number.get(i, i) for i in c.tolist()], dtype=U) for c in (h, w))
+        both = (h < RARE) & (w < RARE)
+        h, w = h[both], w[both]
+    pair, at = np.unique(_pair(h, w), return_index=True)
+    h, w, total = h[at], w[at], np.zeros(len(pair), np.int64)
+    if not len(pair):
+        return pair, h, w, total
+    shared = source.sparkSession.sparkContext.broadcast(pair)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pairs = Known(words.value), shared.value
+        count = np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column("text"), SLICE):
+                known = known.trimmed()
+                _, h, w = positions(batch.column("text").slice(a, b - a).to_pylist(), known)
+                one = _pair(h, w)
+                place = np.minimum(np.searchsorted(pairs, one), len(pairs) - 1)
+                count += np.bincount(place[pairs[place] == one], minlength=len(pairs))
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], ["at", "train"])
+
+    counted = source.where("train").select("text").mapInArrow(run, "at int, train bigint").groupBy("at").agg(F.sum("train").alias("train")).toArrow()
+    total[counted.column("at").to_numpy()] = counted.column("train").to_numpy()
+    return pair, h, w, total
 
 
 def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> DataFrame:
@@ -179,7 +263,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     source = docs.select("doc_id", F.xxhash64(identity, F.coalesce(text, F.lit(""))).alias("k"), (F.crc32(identity.cast("binary")) % 10 != 0).alias("train"), text.alias("text"))
     top = _sample_words(docs)
     inside = U(len(top) + 2)  # a sample of few words leaves numbers below TOP to words whose pairs are not in the cells
-    counts = _counted(source, top)
+    counts, counters = _counted(source, top)
     words = counts.where("word is not null").select("word", "train", "every")
     totals = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("train").cast("bigint")), F.lit(0))).first()
     n_docs, n_train = int(totals[0]), int(totals[1])
@@ -203,12 +287,14 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     dense = counts.where("pair is not null").select("pair", "train").toArrow()
     cells = np.zeros((TOP, TOP), dtype=np.int64)
     cells.flat[dense.column("pair").to_numpy()] = dense.column("train").to_numpy()
-    shared = context.broadcast((names, hot_count, as_context, cells))
+    listed = context.broadcast(names)
+    pairs, pairs_h, pairs_w, pair_counts = hot_pairs(source, counters, listed, names, every, bucket_size)
+    shared = context.broadcast((hot_count, as_context, cells, inside, pairs, pair_counts))
     del names, dense
     buckets = max(1, -(-every // bucket_size))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(shared.value[0])
+        known, pairs = Known(listed.value), shared.value[4]
         names = ["bucket", "dense", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE):
@@ -217,6 +303,9 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
                 keys = batch.column("k").slice(a, b - a).to_numpy(zero_copy_only=False)
                 learn = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False)
                 dense = (h < inside) & (w < inside)
+                if len(pairs):
+                    one = _pair(h, w)
+                    dense |= pairs[np.minimum(np.searchsorted(pairs, one), len(pairs) - 1)] == one
                 with np.errstate(over="ignore"):
                     place = (mix(np.where(h < SPREAD, h * U(0x9E3779B97F4A7C15) + mix(w), h)) % U(buckets)).astype(np.int64)
                 # dense positions may go anywhere: one bucket per slice
@@ -245,7 +334,7 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     own = parts.select(F.col("bucket").alias("_bucket"), F.explode("seg.wr").alias("id")).distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = set(shared.value[0])
+        rank = set(listed.value)
         for batch in batches:
             rows = [(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") | (1 << 63), c) for w, c in zip(batch.column("word").to_pylist(), batch.column("train").to_pylist(), strict=True) if w not in rank]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([r[0] for r in rows], dtype=U).view(np.int64)), pa.array([r[1] for r in rows], pa.int64())], ["word_id", "count"])
@@ -255,8 +344,8 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     names = ["kind", "k", "h", "x", "base", "tokens", "known", "c", *[f"n{r}" for r in range(1, CUT + 2)]]
 
     def evaluated(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, hot_count, as_context, cells = shared.value
-        out = [_evaluate(s.as_py(), None, None, hot_count, as_context, cells, d1, n, unknown, base_floor) for s in left.column("seg") if s["dense"].as_py()]
+        hot_count, as_context, *counted = shared.value
+        out = [_evaluate(s.as_py(), None, None, hot_count, as_context, counted, d1, n, unknown, base_floor) for s in left.column("seg") if s["dense"].as_py()]
         rows = [s.as_py() for s in left.column("seg") if not s["dense"].as_py()]
         if rows:
             ids, count = right.column("id").to_numpy().view(U), right.column("count").to_numpy()
@@ -269,8 +358,8 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     # rows of one text or context from several buckets are combined before the shuffle
     found = stored(found.groupBy("kind", "k", "h").agg(*[F.sum(m).alias(m) for m in names[3:]]), "katz")
 
-    # contexts: sums over all followers; those among top words come from the cells
-    dense_rows = _dense_contexts(cells, hot_count, d1, n)
+    # contexts: sums over all followers; those of frequent pairs are known here
+    dense_rows = _dense_contexts(cells, hot_count, d1, n) + _pair_contexts(pairs_h, pairs_w, pair_counts, hot_count, d1, n)
     contexts = found.where("kind = 1").select("h", "x", "c", *names[8:]).unionByName(spark.createDataFrame(dense_rows, "h bigint, x double, c bigint, " + ", ".join(f"{m} bigint" for m in names[8:])))
     contexts = contexts.groupBy("h").agg(F.sum("x").alias("mass"), F.sum("c").alias("c"), *[F.sum(m).alias(m) for m in names[8:]])
     contexts = stored(contexts, "contexts")
@@ -308,8 +397,8 @@ def _probability(count: np.ndarray, d1: np.ndarray, n: int, unknown: float) -> n
     return np.where(count > 0, discounted(count, d1) / max(n, 1), unknown)
 
 
-def _evaluate(rows, ids, count, hot_count, as_context, cells, d1, n, unknown, base_floor) -> pa.Table:
-    """Count the pairs of one bucket and evaluate its positions."""
+def _evaluate(rows, ids, count, hot_count, as_context, counted, d1, n, unknown, base_floor) -> pa.Table:
+    """Count the pairs of one bucket, unless they are ``counted``, and evaluate its positions."""
     rows = rows if isinstance(rows, list) else [rows]
     h = np.concatenate([_unpack(r["h"], r["hr"], r["n"]) for r in rows])
     w = np.concatenate([_unpack(r["w"], np.array(r["wr"], dtype=np.int64).tobytes(), r["n"]) for r in rows])
@@ -322,12 +411,15 @@ def _evaluate(rows, ids, count, hot_count, as_context, cells, d1, n, unknown, ba
     if len(rare):
         word_count[rare] = count[np.searchsorted(ids, w[rare])]
     contexts = None
-    if cells is not None:
-        pair_count = cells[h.astype(np.int64), w.astype(np.int64)]
+    if counted is not None:
+        cells, inside, pairs, counts = counted
+        both = (h < inside) & (w < inside)
+        pair_count = np.empty(len(h), np.int64)
+        pair_count[both] = cells[h[both].astype(np.int64), w[both].astype(np.int64)]
+        pair_count[~both] = counts[np.searchsorted(pairs, _pair(h[~both], w[~both]))]
         context_count = as_context[h.astype(np.int64)]
     else:
-        with np.errstate(over="ignore"):
-            pair = mix(h * U(0x9E3779B97F4A7C15) + mix(w))
+        pair = _pair(h, w)
         order = np.argsort(pair)
         starts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
         total = np.add.reduceat(learn[order].astype(np.int64), starts)
@@ -337,8 +429,8 @@ def _evaluate(rows, ids, count, hot_count, as_context, cells, d1, n, unknown, ba
         one = order[starts][total > 0]  # one position of every pair of the training texts
         names, inverse = np.unique(h, return_inverse=True)
         context_count = np.bincount(inverse, weights=learn, minlength=len(names)).astype(np.int64)[inverse]
-        spread = h < SPREAD  # their pairs are dealt over buckets, but their counts are known
-        context_count[spread] = as_context[np.minimum(h[spread], last).astype(np.int64)]
+        known = h <= last  # their pairs are dealt over buckets or counted apart, but their counts are known
+        context_count[known] = as_context[h[known].astype(np.int64)]
         group, c = inverse[one], pair_count[one]
         sums = {"h": names.view(np.int64), "x": np.bincount(group, weights=_probability(word_count[one], d1, n, unknown), minlength=len(names)), "c": np.bincount(group, weights=c, minlength=len(names)).astype(np.int64)}
         sums |= {f"n{r}": np.bincount(group[c == r], minlength=len(names)) for r in range(1, CUT + 2)}
@@ -373,3 +465,13 @@ def _dense_contexts(cells: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n:
         row = cells[h]
         out.append((int(h), float(p[row > 0].sum()), int(row.sum()), *[int((row == r).sum()) for r in range(1, CUT + 2)]))
     return out
+
+
+def _pair_contexts(h: np.ndarray, w: np.ndarray, count: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n: int) -> list[tuple]:
+    """Context sums of frequent pairs outside the cells."""
+    some = count > 0
+    h, w, count = h[some], w[some].astype(np.int64), count[some]
+    names, at = np.unique(h, return_inverse=True)
+    add = lambda weights: np.bincount(at, weights=weights, minlength=len(names))
+    sums = [add(discounted(hot_count[w], d1) / max(n, 1)).tolist(), *[add(c).astype(np.int64).tolist() for c in (count, *[count == r for r in range(1, CUT + 2)])]]
+    return list(zip(names.astype(np.int64).tolist(), *sums, strict=True))

@@ -232,6 +232,37 @@ def test_katz_with_a_poor_sample(spark):
         assert r.score == pytest.approx(want[r.doc_id][0][-1], rel=1e-9, abs=1e-6)
 
 
+def test_heavy_counters_keep_their_bound():
+    rng = np.random.default_rng(8)
+    heavy, true = katz.Heavy(50), collections.Counter()
+    for _ in range(20):
+        h, w = (np.minimum(rng.pareto(0.8, 2000).astype(np.uint64), 99) for _ in "hw")
+        heavy.add(h, w)
+        true.update(zip(h.tolist(), w.tolist()))
+    got = dict(zip(zip(heavy.h.tolist(), heavy.w.tolist()), heavy.count.tolist()))
+    assert heavy.n == 40_000 and len(got) <= 50
+    assert all(c - 40_000 / 50 <= got.get(p, 0) <= c for p, c in true.items())
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_katz_with_a_copied_long_text(spark, monkeypatch, edits):
+    """Pairs of a long text that a third of all rows hold are counted apart from the buckets."""
+    rng = random.Random(9)
+    words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(12_000)]
+    rows = [(i, " ".join(words[i * 60 : i * 60 + 60])) for i in range(200)]
+    for i in range(100):
+        text = [f"c{j}" for j in range(900)]
+        for _ in range(edits):
+            text[rng.randrange(900)] = f"e{i}"
+        rows.append((1000 + i, " ".join(text)))
+    found = []
+    monkeypatch.setattr(katz, "hot_pairs", lambda *a, f=katz.hot_pairs: found.append(f(*a)) or found[-1])
+    want = katz_by_hand(rows)
+    for r in katz.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), bucket_size=200).collect():
+        assert r.score == pytest.approx(want[r.doc_id][0][-1], rel=1e-9, abs=1e-6)
+    assert len(found[0][0]) > 300
+
+
 def bag(text, words=5):
     split = (text or "").split()
     return collections.Counter(tuple(split[i : i + words]) for i in range(max(1, len(split) - words + 1))) if split else collections.Counter()
