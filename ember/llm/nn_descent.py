@@ -1,16 +1,16 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent and greedy search.
 
-Building.  A first graph comes from random hyperplane cells.  Every round joins
-neighbours of neighbours: edges in both directions are joined to the vectors,
-members of one centre are compared with each other, and a pair is sent on only
-if it beats the last neighbour in one of the two lists.  Lists keep ``degree``
-neighbours.  A centre with many members is split into parts that are dealt anew
+Building.  Equal vectors are one node.  A first graph comes from random
+hyperplane cells.  Every round joins neighbours of neighbours: edges in both directions are joined
+to the vectors, members of one centre are compared with each other, and a pair is
+sent on only if it comes before the last neighbour of a list.  Lists keep the
+``degree`` first neighbours by distance, then id.  A centre with many members is split into parts that are dealt anew
 each round, so no group is unbounded and none is dropped.
 
 Searching.  Each query keeps its ``beam`` nearest nodes so far and expands, in
 every round, the nearest of them that it has not expanded, over edges of both
-directions, until none is left.  Distances of the result are computed in double
-precision on the original vectors.
+directions, until none is left.  Distances are computed in double precision on
+the original vectors.
 
 Null, empty and zero vectors and those with null or non-finite components take
 no part, nor rows without ``vec_id`` or of another length than the most frequent
@@ -32,17 +32,10 @@ from ember.llm.vectors import common_size, sound
 
 TABLES, CELL = 3, 256
 PART, BUCKET, BLOCK = 128, 512, 4096
-TINY = 1e-30
-
-
-def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as whole bytes with a scale; graph building compares these."""
-    scale = np.maximum(np.abs(x).max(axis=1), TINY) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
 def _packed(vectors: DataFrame, kind: str, bits: int, seed: int) -> DataFrame:
-    """``id, is_query, vec, small, scale, cells`` (hyperplane cell per table)."""
+    """``id, is_query, vec, cells`` (hyperplane cell per table)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,51 +45,59 @@ def _packed(vectors: DataFrame, kind: str, bits: int, seed: int) -> DataFrame:
             planes = np.random.default_rng(seed).normal(size=(x.shape[1], TABLES * bits))
             side = (x @ planes > 0).reshape(len(x), TABLES, bits)
             cells = (side * (1 << np.arange(bits))).sum(axis=2) + (np.arange(TABLES) << bits)
-            small, scale = _small(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("is_query"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary()), pa.array(scale), pa.array(cells.tolist(), pa.list_(pa.int64()))],
-                ["id", "is_query", "vec", "small", "scale", "cells"],
+                [batch.column("id"), batch.column("is_query"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(cells.tolist(), pa.list_(pa.int64()))],
+                ["id", "is_query", "vec", "cells"],
             )
 
-    return vectors.mapInArrow(run, "id bigint, is_query boolean, vec binary, small binary, scale float, cells array<bigint>")
+    return vectors.mapInArrow(run, "id bigint, is_query boolean, vec binary, cells array<bigint>")
 
 
-def _floats(table: pa.Table) -> np.ndarray:
-    data = np.frombuffer(b"".join(table.column("small").to_pylist()), dtype=np.int8).reshape(table.num_rows, -1)
-    return data.astype(np.float32) * table.column("scale").to_numpy().astype(np.float32)[:, None]
+def _doubles(vec: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(vec.to_pylist()), dtype=kind).reshape(len(vec), -1).astype(np.float64)
 
 
-def _better(ids: np.ndarray, x: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per member its nearest others below ``last``: positions, ids and squared distances."""
-    square = (x**2).sum(axis=1)
-    d = np.maximum(square[:, None] + square - 2 * x @ x.T, 0)
+def _better(ids: np.ndarray, x: np.ndarray, last: np.ndarray, last_id: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per member the ``most`` first others by distance and id that come before its last neighbour: positions, ids and squared distances."""
+    centred = x - x.mean(axis=0)  # near copies keep their digits
+    square = (centred**2).sum(axis=1)
+    d = np.maximum(square[:, None] + square - 2 * centred @ centred.T, 0)
+    # room for rounding; what passes is measured exactly
+    slack = 1e-13 * (square[:, None] + square)
     np.fill_diagonal(d, np.inf)
+    good = (d - slack <= last[:, None]) & np.isfinite(d)
     if len(ids) > most + 1:
-        bound = np.partition(d, most - 1, axis=1)[:, most - 1]
-        good = (d < last[:, None]) & (d <= bound[:, None])
-    else:
-        good = (d < last[:, None]) & np.isfinite(d)
+        bound = np.partition(d + slack, most - 1, axis=1)[:, most - 1]
+        good &= d - slack <= bound[:, None]
     i, j = np.nonzero(good)
-    return i, ids[j], d[i, j].astype(np.float32)
-
-
-def _local_joins(members: DataFrame, keys: list[str], centre: str, degree: int) -> DataFrame:
+    exact = np.empty(len(i))
+    for a in range(0, len(i), BLOCK):
+        exact[a : a + BLOCK] = ((x[i[a : a + BLOCK]] - x[j[a : a + BLOCK]]) ** 2).sum(axis=1)
+    before = (exact < last[i]) | ((exact == last[i]) & (ids[j] < last_id[i]))
+    i, j, exact = i[before], j[before], exact[before]
+    order = np.lexsort((ids[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[kept], ids[j[kept]], exact[kept]
+
+
+def _local_joins(members: DataFrame, keys: list[str], centre: str, degree: int, kind: str) -> DataFrame:
     """Compare the members of every centre: ``u, v, d`` in arrays per member."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(centre)
         at = table.column(centre).to_numpy()
-        ids, last, x = table.column("m").to_numpy(), table.column("last").to_numpy(), _floats(table)
+        ids, last, last_id, x = table.column("m").to_numpy(), table.column("last").to_numpy(), table.column("last_id").to_numpy(), table.column("vec")
         cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
         u, v, d = [], [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            i, near, dist = _better(ids[a:b], x[a:b], last[a:b], degree)
+            i, near, dist = _better(ids[a:b], _doubles(x.slice(a, b - a), kind), last[a:b], last_id[a:b], degree)
             u.append(ids[a:b][i])
             v.append(near)
             d.append(dist)
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v), "d": np.concatenate(d)})
 
-    return members.groupBy(*keys).applyInArrow(run, "u bigint, v bigint, d float")
+    return members.groupBy(*keys).applyInArrow(run, "u bigint, v bigint, d double")
 
 
 def _merged(found: DataFrame, lists: DataFrame | None, buckets: int, degree: int) -> DataFrame:
@@ -118,10 +119,10 @@ def _merged(found: DataFrame, lists: DataFrame | None, buckets: int, degree: int
         u, v, d = u[rank < degree], v[rank < degree], d[rank < degree]
         start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         ends = pa.array(np.append(start, len(u)), pa.int32())
-        return pa.table({"u": u[start], "vs": pa.ListArray.from_arrays(ends, pa.array(v)), "ds": pa.ListArray.from_arrays(ends, pa.array(d, pa.float32()))})
+        return pa.table({"u": u[start], "vs": pa.ListArray.from_arrays(ends, pa.array(v)), "ds": pa.ListArray.from_arrays(ends, pa.array(d, pa.float64()))})
 
     bucket = F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int").alias("bucket")
-    return found.select("u", "v", "d", bucket).groupBy("bucket").applyInArrow(run, "u bigint, vs array<bigint>, ds array<float>")
+    return found.select("u", "v", "d", bucket).groupBy("bucket").applyInArrow(run, "u bigint, vs array<bigint>, ds array<double>")
 
 
 def _edges(lists: DataFrame) -> DataFrame:
@@ -130,25 +131,28 @@ def _edges(lists: DataFrame) -> DataFrame:
     return out.unionByName(out.select(F.col("m").alias("c"), F.col("c").alias("m"))).distinct()
 
 
-def build_graph(nodes: DataFrame, n: int, degree: int = 24, rounds: int = 4) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, kind: str, degree: int = 24, rounds: int = 4) -> DataFrame:
     """Neighbour lists ``u, vs, ds`` (nearest first) of all ``nodes`` (see ``_packed``)."""
     buckets = max(1, -(-n // (4 * BUCKET)))
-    plain = nodes.select(F.col("id").alias("m"), "small", "scale")
-    cells = nodes.select(F.col("id").alias("m"), "small", "scale", F.explode("cells").alias("cell"))
+    tasks = max(1, -(-n // BUCKET))
+    plain = nodes.select(F.col("id").alias("m"), "vec")
+    cells = nodes.select(F.col("id").alias("m"), "vec", F.explode("cells").alias("cell"))
     parts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * CELL)).cast("int").alias("_parts")).withColumnRenamed("cell", "_cell")
     cells = cells.join(parts, F.col("cell") == F.col("_cell")).withColumn("part", F.pmod(F.xxhash64("m", "cell"), F.col("_parts")).cast("int"))
-    first = cells.select("m", "small", "scale", "cell", "part", F.lit(float("inf")).cast("float").alias("last"))
-    lists = stored(_merged(_local_joins(first, ["cell", "part"], "cell", degree), None, buckets, degree), "graph")
+    none = [F.lit(float("inf")).alias("last"), F.lit(0).cast("bigint").alias("last_id")]
+    first = cells.select("m", "vec", "cell", "part", *none)
+    lists = stored(_merged(_local_joins(first, ["cell", "part"], "cell", degree, kind), None, buckets, degree), "graph")
     for turn in range(rounds):
         edges = _edges(lists)
-        known = plain.join(lists.select(F.col("u").alias("_u"), F.when(F.size("ds") >= degree, F.element_at("ds", -1)).otherwise(float("inf")).cast("float").alias("last")), F.col("m") == F.col("_u"), "left")
-        known = known.select(F.col("m").alias("_m"), "small", "scale", F.coalesce("last", F.lit(float("inf")).cast("float")).alias("last"))
+        full = lists.where(F.size("ds") >= degree).select(F.col("u").alias("_u"), F.element_at("ds", -1).alias("last"), F.element_at("vs", -1).alias("last_id"))
+        known = plain.join(full, F.col("m") == F.col("_u"), "left")
+        known = known.select(F.col("m").alias("_m"), "vec", F.coalesce("last", F.lit(float("inf"))).alias("last"), F.coalesce("last_id", F.lit(0).cast("bigint")).alias("last_id"))
         hubs = edges.groupBy("c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > PART).select(F.col("c").alias("_c"), F.ceil(F.col("_n") / PART).alias("_parts"))
         members = edges.join(known, F.col("m") == F.col("_m")).join(hubs, F.col("c") == F.col("_c"), "left")
         part = F.coalesce(F.pmod(F.xxhash64("m", F.lit(turn)), F.col("_parts")), F.lit(0)).cast("int")
-        bucket = F.pmod(F.xxhash64("c"), F.lit(max(1, -(-n // BUCKET)))).cast("int")
-        members = members.select("c", "m", "small", "scale", "last", part.alias("part"), bucket.alias("bucket"))
-        lists = stored(_merged(_local_joins(members, ["bucket", "part"], "c", degree), lists, buckets, degree), "graph")
+        bucket = F.pmod(F.xxhash64("c"), F.lit(tasks)).cast("int")
+        members = members.select("c", "m", "vec", "last", "last_id", part.alias("part"), bucket.alias("bucket"))
+        lists = stored(_merged(_local_joins(members, ["bucket", "part"], "c", degree, kind), lists, buckets, degree), "graph")
     return lists
 
 
@@ -215,6 +219,17 @@ def greedy_search(nodes: DataFrame, lists: DataFrame, n: int, kind: str, beam: i
     return state.select("q", "v", "d")
 
 
+def _named(found: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The ``k + 1`` first rows of every query node by score and id, its own among them: ``q, v, score``.
+
+    Of equal vectors only the ``k + 1`` smallest ids can be among them.
+    """
+    near = found.withColumn("score", F.sqrt("d")).withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("score", "v"))).where(F.col("_r") <= k)
+    near = near.select("q", F.col("v").alias("_v"), "score").unionByName(asked.select("q", F.col("q").alias("_v"), F.lit(0.0).alias("score")))
+    rows = near.join(members, F.col("_v") == F.col("node")).select("q", F.explode("ids").alias("v"), "score")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy("score", "v"))).where(F.col("_r") <= k + 1).drop("_r")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int, column: str = "embedding", degree: int = 24, rounds: int = 4, beam: int = 400, seed: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for every query."""
     spark = vectors.sparkSession
@@ -223,12 +238,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, column: str = "embeddi
     size = common_size(good, column)
     good = good.where(F.size(column) == size).select(F.col("vec_id").cast("bigint").alias("id"), is_query.alias("is_query"), F.col(column).alias("v"))
     good = good.groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v"))
+    # equal vectors are known by two hashes of 64 bits
+    good = stored(good.select("id", "is_query", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(seed), "v").alias("b")), "rows")
     n = good.count()
     if n < 2:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     kind = "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"
     bits = max(1, int(np.ceil(np.log2(max(2, n / CELL)))))
-    nodes = stored(_packed(good, kind, min(bits, 40), seed), "nodes")
-    found = greedy_search(nodes, build_graph(nodes, n, degree, rounds), n, kind, max(beam, k))
-    ranked = found.withColumn("score", F.sqrt("d")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "v"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("v").alias("vec_id"), "score")
+    single = good.groupBy("a", "b").agg(F.min(F.struct("id", "v")).alias("_f"), F.max("is_query").alias("is_query")).select("_f.id", "is_query", "_f.v")
+    nodes = stored(_packed(single, kind, min(bits, 40), seed), "nodes")
+    few = good.select("id", "a", "b").withColumn("_r", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("_r") <= k + 1)
+    members = stored(few.groupBy("a", "b").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")), "members")
+    asked = nodes.where("is_query").select(F.col("id").alias("q"))
+    found = greedy_search(nodes, build_graph(nodes, n, kind, degree, rounds), n, kind, max(beam, k))
+    rows = _named(found, members, asked, k)
+    queries = good.where("is_query").select(F.col("id").alias("query_id"), "a", "b").join(members, ["a", "b"]).select("query_id", "node")
+    rows = queries.join(rows, F.col("node") == F.col("q")).where("v <> query_id")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "v"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("v").alias("vec_id"), "score")

@@ -79,6 +79,23 @@ def test_nn_descent_edges(spark):
     assert sorted(r.vec_id for r in rows) == [1, 2, 3]
 
 
+def test_nn_descent_of_near_and_equal_copies(spark):
+    """Copies closer than 1/127 of a component, and many equal ones: the true ten, ties by id."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 12))
+    x[:1000] = x[0] + rng.normal(size=(1000, 12)) * 1e-5
+    x[1000:1400] = x[1000]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    hits = []
+    for q, rows in _grouped(nn_descent.nearest(df, F.col("vec_id") % 50 == 0, 10)).items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        if 1000 <= q < 1400:
+            assert [r.vec_id for r in rows] == order
+        hits.append(len({r.vec_id for r in rows} & set(order)) / 10)
+    assert len(hits) == 60 and np.mean(hits) > 0.98
+
+
 def test_url_rules_and_cascade(spark):
     urls = [
         "https://a.example.com/en/1", "http://WWW.Example.com/en/x?q", "https://www.example.com/de/", "http://x.net/es/1#t", "http://x.net/fr", "http://x.net/fr/9", None, "no scheme",
