@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a neighbour graph by NN-descent and greedy search.
 
 Building.  Equal vectors are one node.  A first graph comes from random
-hyperplane cells.  Every round joins neighbours of neighbours: edges in both directions are joined
+hyperplane cells and from seeded random groups, so every node has neighbours.
+Every round joins neighbours of neighbours: edges in both directions are joined
 to the vectors, members of one centre are compared with each other, and a pair is
 sent on only if it comes before the last neighbour of a list.  Lists keep the
 ``degree`` first neighbours by distance, then id.  A centre with many members is split into parts that are dealt anew
@@ -10,7 +11,8 @@ each round, so no group is unbounded and none is dropped.
 Searching.  Each query keeps its ``beam`` nearest nodes so far and expands, in
 every round, the nearest of them that it has not expanded, over edges of both
 directions, until none is left.  Distances are computed in double precision on
-the original vectors.
+the original vectors.  Queries that end with fewer than ``k`` rows, or all others
+if there are fewer, are compared with all nodes in blocks.
 
 Null, empty and zero vectors and those with null or non-finite components take
 no part, nor rows without ``vec_id`` or of another length than the most frequent
@@ -32,6 +34,7 @@ from ember.llm.vectors import common_size, sound
 
 TABLES, CELL = 3, 256
 PART, BUCKET, BLOCK = 128, 512, 4096
+RANDOM, GROUP = 2, 32  # tables of random groups of about GROUP nodes
 
 
 def _packed(vectors: DataFrame, kind: str, bits: int, seed: int) -> DataFrame:
@@ -131,17 +134,21 @@ def _edges(lists: DataFrame) -> DataFrame:
     return out.unionByName(out.select(F.col("m").alias("c"), F.col("c").alias("m"))).distinct()
 
 
-def build_graph(nodes: DataFrame, n: int, kind: str, degree: int = 24, rounds: int = 4) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, kind: str, degree: int = 24, rounds: int = 4, seed: int = 5) -> DataFrame:
     """Neighbour lists ``u, vs, ds`` (nearest first) of all ``nodes`` (see ``_packed``)."""
     buckets = max(1, -(-n // (4 * BUCKET)))
     tasks = max(1, -(-n // BUCKET))
+    groups = max(1, n // GROUP)
     plain = nodes.select(F.col("id").alias("m"), "vec")
-    cells = nodes.select(F.col("id").alias("m"), "vec", F.explode("cells").alias("cell"))
+    # random groups have negative numbers; small ones share a task
+    drawn = [F.lit(-1 - t * groups) - F.pmod(F.xxhash64("id", F.lit(seed), F.lit(t)), F.lit(groups)) for t in range(RANDOM)]
+    cells = nodes.select(F.col("id").alias("m"), "vec", F.explode(F.concat("cells", F.array(*[c.cast("bigint") for c in drawn]))).alias("cell"))
     parts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * CELL)).cast("int").alias("_parts")).withColumnRenamed("cell", "_cell")
     cells = cells.join(parts, F.col("cell") == F.col("_cell")).withColumn("part", F.pmod(F.xxhash64("m", "cell"), F.col("_parts")).cast("int"))
+    task = F.when(F.col("cell") < 0, F.lit(-1) - F.pmod(F.xxhash64("cell"), F.lit(RANDOM * tasks))).otherwise(F.col("cell"))
     none = [F.lit(float("inf")).alias("last"), F.lit(0).cast("bigint").alias("last_id")]
-    first = cells.select("m", "vec", "cell", "part", *none)
-    lists = stored(_merged(_local_joins(first, ["cell", "part"], "cell", degree, kind), None, buckets, degree), "graph")
+    first = cells.select("m", "vec", "cell", "part", task.cast("bigint").alias("task"), *none)
+    lists = stored(_merged(_local_joins(first, ["task", "part"], "cell", degree, kind), None, buckets, degree), "graph")
     for turn in range(rounds):
         edges = _edges(lists)
         full = lists.where(F.size("ds") >= degree).select(F.col("u").alias("_u"), F.element_at("ds", -1).alias("last"), F.element_at("vs", -1).alias("last_id"))
@@ -219,6 +226,31 @@ def greedy_search(nodes: DataFrame, lists: DataFrame, n: int, kind: str, beam: i
     return state.select("q", "v", "d")
 
 
+def _scan(wanted: DataFrame, nodes: DataFrame, kind: str, n: int, most: int) -> DataFrame:
+    """The ``most`` nearest nodes of every ``q`` in each block of nodes: ``q, v, d``, compared exactly."""
+    blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-wanted.count() // CELL))
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asked = wanted.join(nodes.select(F.col("id").alias("_q"), F.col("vec").alias("qvec")), F.col("q") == F.col("_q")).select("q", "qvec", deal("q", parts).alias("part"), every(blocks).alias("block"))
+    held = nodes.select("id", "vec", deal("id", blocks).alias("_block"), every(parts).alias("_part"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, v, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            ids, x = right.column("id").to_numpy(), _doubles(right.column("vec"), kind)
+            for i, vec in zip(left.column("q").to_pylist(), _doubles(left.column("qvec"), kind), strict=True):
+                diff = x - vec
+                dist = np.einsum("ij,ij->i", diff, diff)
+                order = np.lexsort((ids, dist))
+                order = order[ids[order] != i][:most]
+                q.append(np.full(len(order), i))
+                v.append(ids[order])
+                d.append(dist[order])
+        return pa.table({"q": np.concatenate(q), "v": np.concatenate(v), "d": np.concatenate(d)})
+
+    return asked.groupBy("part", "block").cogroup(held.groupBy("_part", "_block")).applyInArrow(run, "q bigint, v bigint, d double")
+
+
 def _named(found: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The ``k + 1`` first rows of every query node by score and id, its own among them: ``q, v, score``.
 
@@ -250,8 +282,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, column: str = "embeddi
     few = good.select("id", "a", "b").withColumn("_r", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("_r") <= k + 1)
     members = stored(few.groupBy("a", "b").agg(F.min("id").alias("node"), F.sort_array(F.collect_list("id")).alias("ids")), "members")
     asked = nodes.where("is_query").select(F.col("id").alias("q"))
-    found = greedy_search(nodes, build_graph(nodes, n, kind, degree, rounds), n, kind, max(beam, k))
-    rows = _named(found, members, asked, k)
+    found = greedy_search(nodes, build_graph(nodes, n, kind, degree, rounds, seed), n, kind, max(beam, k))
+    rows = stored(_named(found, members, asked, k), "found")
+    short = rows.groupBy("q").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < min(k + 1, n)).select("q")
+    short = stored(short, "short")
+    if not short.isEmpty():
+        whole = _named(_scan(short, nodes, kind, n, k), members, short, k)
+        rows = rows.join(short, "q", "left_anti").unionByName(whole)
     queries = good.where("is_query").select(F.col("id").alias("query_id"), "a", "b").join(members, ["a", "b"]).select("query_id", "node")
     rows = queries.join(rows, F.col("node") == F.col("q")).where("v <> query_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "v"))).where(F.col("rank") <= k)

@@ -79,6 +79,29 @@ def test_nn_descent_edges(spark):
     assert sorted(r.vec_id for r in rows) == [1, 2, 3]
 
 
+def test_nn_descent_gives_every_query_its_rows(spark):
+    """Opposite vectors never share a cell; an outlier among crowded clusters may share none."""
+    two = spark.createDataFrame([(1, [1.0, 2.0]), (2, [-1.0, -2.0])], "vec_id bigint, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in nn_descent.nearest(two, F.col("vec_id") > 0, 10).collect()) == [(1, 2), (2, 1)]
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(size=(1, 12)) + rng.normal(size=(600, 12)) * 0.01, rng.normal(size=(40, 12)) * 9])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = _grouped(nn_descent.nearest(df, F.col("vec_id") >= 600, 10))
+    assert len(got) == 40 and all([r.rank for r in rows] == list(range(1, 11)) for rows in got.values())
+
+
+def test_scan_is_exact(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 5))
+    nodes = nn_descent._packed(spark.createDataFrame([(i, True, r.tolist()) for i, r in enumerate(x)], "id bigint, is_query boolean, v array<double>"), "<f8", 1, 5)
+    found = collections.defaultdict(list)
+    for r in nn_descent._scan(nodes.where("id < 5").select(F.col("id").alias("q")), nodes, "<f8", 300, 10).orderBy("q", "d").collect():
+        found[r.q].append(r.v)
+    for q in range(5):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        assert found[q] == [i for i in np.argsort(d) if i != q][:10]
+
+
 def test_nn_descent_of_near_and_equal_copies(spark):
     """Copies closer than 1/127 of a component, and many equal ones: the true ten, ties by id."""
     rng = np.random.default_rng(13)
