@@ -203,10 +203,12 @@ def overlap(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Class of every document: ``doc_id, node, class_id`` (smallest ``doc_id`` of the class).
+    """Class of every document: ``doc_id, node, class_id`` (smallest ``doc_id`` of the class) and ``root``.
 
     Classes are the connected components of texts whose similarity reaches
-    ``threshold``.
+    ``threshold``.  ``root`` tells apart classes whose smallest ``doc_id`` is the
+    same because an id stands at several texts; it is null for texts without words,
+    which are classes of their own.
     """
     rows = stored(signed(docs), "signed")
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep")).withColumnRenamed("node", "_node")
@@ -239,10 +241,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     classes = nodes.join(labels.withColumnRenamed("u", "_u"), F.col("node") == F.col("_u"), "left").withColumn("_root", F.coalesce("root", "node"))
     names = classes.groupBy("_root").agg(F.min("rep").alias("class_id"))
-    classes = stored(classes.join(names, "_root").select(F.col("node").alias("_node"), "class_id"), "classes")
+    classes = stored(classes.join(names, "_root").select(F.col("node").alias("_node"), "class_id", F.col("_root").alias("root")), "classes")
     every = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("node"))
     out = every.join(classes, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "root")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -335,12 +337,18 @@ def _block_links(one: pa.Table, two: pa.Table, threshold: float, agree: float, k
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of every near-duplicate class.
 
-    The document with the class's smallest ``doc_id`` stays; of fully repeated
-    rows one stays.  Rows without an id are kept.
+    Of every class the row with the smallest ``doc_id`` stays, rows without an id
+    after all others; of equal ids the smallest text hash, of fully repeated rows
+    one.  Texts without words are classes of their own per ``doc_id``, and kept
+    if they have none.
     """
-    classes = near_duplicates(docs, threshold)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("__kept"), F.count(F.lit(1)).alias("__rows")).withColumnRenamed("class_id", "__class")
-    kept = docs.join(first, (docs["doc_id"] == F.col("__class")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__kept")))
+    rows = near_duplicates(docs, threshold).groupBy("root", "node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    # texts without words: one row per id, all without id
+    single = F.when(F.col("root").isNull(), F.struct("node", "doc_id"))
+    rows = rows.withColumn("rows", F.when(F.col("root").isNull() & F.col("doc_id").isNull(), 1).otherwise(F.col("rows")))
+    first = rows.groupBy("root", single.alias("single")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rows")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__node"), F.col("f.rows").alias("__rows"))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__node")))
     once = kept.where(F.col("__rows") == 1).select(*[docs[c] for c in docs.columns])
-    several = kept.where(F.col("__rows") > 1).dropDuplicates(["__class"]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(several).unionByName(docs.where(docs["doc_id"].isNull()))
+    several = kept.where(F.col("__rows") > 1).dropDuplicates(["__id", "__node"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(several)

@@ -328,6 +328,16 @@ def test_one_of_each_class_stays(spark, messy):
     assert set(ids) == {1, 3, 4, 5, 6, 7, 8, 9, None} | ({2} if similarity(*[bag(r.text) for r in messy.where("doc_id in (1, 2)").dropDuplicates(["doc_id"]).collect()]) < 0.8 else set())
 
 
+def test_repeated_ids_and_copies_without_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (2, two), (3, one + " more"), (None, one), (None, one + " end"), (None, "only here without id"), (None, "only here without id"), (4, ""), (4, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = bagminhash.keep_one(docs).collect()
+    assert sorted(map(str, out)) == sorted(map(str, docs.where("(doc_id = 1) or (doc_id is null and (text is null or text = ''))").collect() + docs.where("doc_id = 4").limit(1).collect() + docs.where("text like 'only%'").limit(1).collect()))
+    roots = {(r.doc_id, r.node): r.root for r in bagminhash.near_duplicates(docs).where("doc_id < 4").collect()}
+    assert len(roots) == 4 and len(set(roots.values())) == 2
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(7)
     texts = []
