@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ember.llm import bagminhash, bloom_cascade, bpe, katz, mixing, nn_descent, ordinal, pivot_index, quotes, token_counts
+from ember.llm import bagminhash, bloom_cascade, bpe, katz, line_runs, merkle, mixing, nn_descent, ordinal, periodic_runs, pivot_index, quotes, token_counts
 from ember.llm.common import table
 from ember.llm.vocabulary import read_vocabulary
 
@@ -188,3 +188,109 @@ def op10(spark, sf_dir):
     """
     key = F.coalesce("root", F.xxhash64("node", "doc_id")).alias("class_key")
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", key)
+
+
+# --- 11: line dedup ----------------------------------------------------------
+
+LINE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text,''), chr(10)) AS l FROM documents),
+e AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l,1) AS n FROM d),
+k AS (SELECT *, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key)>=40 GROUP BY key HAVING count(DISTINCT rid)>=5),
+m AS (SELECT k.*, f.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN f ON f.key=k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone),'')) AS kept_sha256 FROM m GROUP BY rid
+"""
+
+
+@query("op11_line_runs", LINE_SQL)
+def op11(spark, sf_dir):
+    """Lines of at least 40 code points in at least 5 documents dropped but in the largest doc_id."""
+    done = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"), shortest=40, least=5)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# --- 12: periodic runs -------------------------------------------------------
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Runs of all documents, every tenth with a repeated tail, and digests of runs and collapsed texts."""
+    done = periodic_runs.find_runs(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
+    best = periodic_runs.strongest(F.col("runs"))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    done = done.withColumn("best", best)
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+# --- 13: Merkle manifest -----------------------------------------------------
+
+# crc32 of the decimal id, bit by bit
+_CRC = (
+    "xor(list_reduce([4294967295::BIGINT]||list_transform(string_split(CAST(doc_id AS VARCHAR),''), lambda c: CAST(ascii(c) AS BIGINT)),"
+    " lambda a,b: list_reduce([xor(a,b),0,0,0,0,0,0,0,0], lambda x,z: CASE WHEN x&1=1 THEN xor(x>>1,3988292384) ELSE x>>1 END)), 4294967295)"
+)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + "||".join(f"coalesce(CAST(strlen({f}) AS VARCHAR)||':'||{f},'-')" for f in fields) + ")"
+
+
+def _tree_sql(name: str, depth: int) -> str:
+    """Levels of a forest over ``{name}0 (g, idx, c, h)`` and its tops."""
+    steps = [
+        f"{name}r{k} AS (SELECT g, idx//16 AS idx, c, list(h ORDER BY idx) AS l FROM {name}{k} WHERE c>1 GROUP BY g, idx//16, c),"
+        f"{name}{k + 1} AS (SELECT g, idx, (c+15)//16 AS c, sha256(array_to_string(l,'')) AS h FROM {name}r{k})"
+        for k in range(depth)
+    ]
+    tops = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE c=1" for k in range(depth + 1))
+    return ",\n".join(steps) + f",\n{name}top AS ({tops})"
+
+
+def _fold_sql(name: str, source: str, group: str, at: str, depth: int) -> str:
+    """Siblings and folds of the leaves up one forest, level by level."""
+    steps = []
+    for k in range(depth):
+        own = f"({at}>>{4 * k})&15"
+        steps.append(
+            f"{name}f{k} AS (SELECT x.* REPLACE (CASE WHEN l IS NULL THEN sib ELSE sib||array_to_string(l[:{own}]||l[({own})+2:],'') END AS sib,"
+            f" CASE WHEN l IS NULL THEN fold ELSE sha256(array_to_string(l[:{own}]||[fold]||l[({own})+2:],'')) END AS fold)"
+            f" FROM {source} x LEFT JOIN {name}r{k} r ON r.g={group} AND r.idx={at}>>{4 * (k + 1)})"
+        )
+        source = f"{name}f{k}"
+    return ",\n".join(steps)
+
+
+MERKLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {_CRC}%5=0
+  THEN {_leaf_sql("translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS shown FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)-1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY encode(source) NULLS FIRST)-1 AS s FROM d),
+a0 AS (SELECT s AS g, pos AS idx, n AS c, leaf AS h FROM p),
+{_tree_sql("a", 7)},
+b0 AS (SELECT 0 AS g, g AS idx, count(*) OVER () AS c, h FROM atop),
+{_tree_sql("b", 5)},
+p0 AS (SELECT doc_id, leaf, s, pos, '' AS sib, shown AS fold FROM p),
+{_fold_sql("a", "p0", "x.s", "x.pos", 7)},
+{_fold_sql("b", "af6", "0", "x.s", 5)}
+SELECT doc_id, leaf, atop.h AS subroot, btop.h AS root, sha256(sib) AS proof_sha256, fold AS folded_root, fold=btop.h AS verified
+ FROM bf4 x JOIN atop ON atop.g=x.s CROSS JOIN btop
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    """Leaf, roots, proof digest and fold of all documents, every fifth presented with A-Z lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    done = merkle.manifest(docs, merkle.lowered_text(docs))
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
