@@ -3,6 +3,7 @@
     P(w | h) = d(c(h w)) c(h w) / (c(h) + ESCAPE)   if the pair occurs in training
              = alpha(h) P(w)                         otherwise
     P(w)     = d(c(w)) c(w) / N,  and the rest of the mass for unknown words
+               (N + ESCAPE instead of N if no word is discounted, so that some is left)
 
 ``d`` are Good-Turing discount factors for counts up to ``CUT`` (1 above), and
 ``alpha(h)`` is computed from the sums over all followers of ``h``, so that the
@@ -14,7 +15,8 @@ tables.  Pair counts live in buckets of positions: pairs are dealt by their
 context, those of frequent contexts by the pair; every bucket counts its pairs
 and evaluates its positions in one pass.  Positions between two of the ``TOP``
 most frequent words are counted densely (``TOP ** 2`` cells, a fixed bound) and
-need no common bucket.  Nor do other frequent pairs: ``KEPT`` counters per task
+need no common bucket: they are evaluated where the text is read, and only their
+sums per text travel.  Nor do other frequent pairs: ``KEPT`` counters per task
 find all that stand at more than ``max(bucket / 4, 4 n / KEPT)`` of the ``n``
 positions, and their counts, at most ``KEPT / 2``, are broadcast.  Counts of the
 ``HOT`` most frequent words are broadcast, those of other words are joined to the
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +46,10 @@ from ember.llm.split import slices
 CUT, ESCAPE = 5, 0.01
 TOP, SPREAD, HOT = 512, 8192, 1 << 18
 BUCKET = 600_000
-REMEMBERED = 150_000
+REMEMBERED = 80_000
 KEPT = 1 << 17  # pair counters of a task
-SLICE = 2_500_000
+SLICE = 600_000
+PORTION = 400_000  # positions taken into the pair counters at once
 BOS, END = 0, 1  # first two numbers of frequent words
 RARE = np.uint64(1) << np.uint64(63)
 U = np.uint64
@@ -174,7 +178,7 @@ def _counted(source: DataFrame, top: list[bytes]) -> tuple[DataFrame, DataFrame]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, inside, heavy = Known(shared.value), U(len(shared.value) + 2), Heavy()
-        train, other, cells = Counter(), Counter(), np.zeros(TOP * TOP, np.int64)
+        train, other, cells, waiting = Counter(), Counter(), np.zeros(TOP * TOP, np.int64), []
         names = ["word", "pair", "h", "w", "train", "every"]
 
         def flush():
@@ -199,12 +203,17 @@ def _counted(source: DataFrame, top: list[bytes]) -> tuple[DataFrame, DataFrame]
                     rows.append(_row(split, known))
                 owner, h, w = _between(rows)
                 both = (h < inside) & (w < inside)
-                heavy.add(h[~both], w[~both])
+                waiting.append((h[~both], w[~both]))
+                if sum(len(x) for x, _ in waiting) > PORTION:
+                    heavy.add(*map(np.concatenate, zip(*waiting)))
+                    waiting = []
                 both &= np.array(learns, bool)[owner]
                 cells += np.bincount((h[both] * U(TOP) + w[both]).astype(np.int64), minlength=TOP * TOP)
                 if len(train) + len(other) > 2 * REMEMBERED:
                     yield flush()
         yield flush()
+        if waiting:
+            heavy.add(*map(np.concatenate, zip(*waiting)))
         h, w, every = heavy.batch().columns
         yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.int32()), h, w, pa.array(np.zeros(len(h), np.int64)), every], names)
 
@@ -272,7 +281,10 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     seen = [int(row[2 + r] or 0) + (n_train == r) for r in range(1, CUT + 2)]
     d1 = discounts(seen)
     held = sum(r * seen[r - 1] * (1 - d1[r - 1]) for r in range(1, CUT + 1))
-    unknown = held / n if n else 1.0
+    # without discounted words the unknown word has a sliver, as contexts have
+    reserve = ESCAPE if held <= 0 else 0.0
+    mass_of_words = n + reserve
+    unknown = (held + reserve) / mass_of_words
     base_floor = n + 0.1 * (types + 1)
 
     # frequent words: the sampled top first, then by count; a fixed number, kept in columns
@@ -294,8 +306,9 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     buckets = max(1, -(-every // bucket_size))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = Known(listed.value), shared.value[4]
-        names = ["bucket", "dense", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
+        known, pairs, part, number = Known(listed.value), shared.value[4], TaskContext.get().partitionId(), 0
+        hot_count, as_context, *counted = shared.value
+        names = ["bucket", "rows", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
         for batch in batches:
             for a, b in slices(batch.column("text"), SLICE):
                 known = known.trimmed()
@@ -308,27 +321,33 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
                     dense |= pairs[np.minimum(np.searchsorted(pairs, one), len(pairs) - 1)] == one
                 with np.errstate(over="ignore"):
                     place = (mix(np.where(h < SPREAD, h * U(0x9E3779B97F4A7C15) + mix(w), h)) % U(buckets)).astype(np.int64)
-                # dense positions may go anywhere: one bucket per slice
-                place = np.where(dense, buckets + int(keys[0] % buckets), place)
+                # dense positions are evaluated here; their result rows may go anywhere
+                place = np.where(dense, buckets + (part * 7919 + number) % buckets, place)
+                number += 1
                 order = np.argsort(place, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1], [True]]))
                 columns: dict[str, list] = {c: [] for c in names}
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     at = order[x:y]
                     own = owner[at]
+                    bucket = int(place[at[0]])
+                    if bucket >= buckets:
+                        done = _evaluate(h[at], w[at], keys[own], learn[own], None, None, hot_count, as_context, counted, d1, mass_of_words, unknown, base_floor)
+                        for c, v in zip(names, [bucket - buckets, _packed_rows(done), 0, b"", b"", b"", b"", b"", b"", []], strict=True):
+                            columns[c].append(v)
+                        continue
                     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     hd, hr = _pack(h[at])
                     wd, _ = _pack(w[at])
-                    number = int(place[at[0]])
                     wr = w[at][w[at] >= RARE].view(np.int64).tolist()
-                    values = [number % buckets, number >= buckets, len(at), keys[own[starts]].tobytes(), np.diff(np.append(starts, len(own))).astype("<u4").tobytes(), learn[own[starts]].astype(np.uint8).tobytes(), hd, hr, wd, wr]
+                    values = [bucket, None, len(at), keys[own[starts]].tobytes(), np.diff(np.append(starts, len(own))).astype("<u4").tobytes(), learn[own[starts]].astype(np.uint8).tobytes(), hd, hr, wd, wr]
                     for c, v in zip(names, values, strict=True):
                         columns[c].append(v)
-                kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+                kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
                 packed = [pa.array(columns[c], t) for c, t in zip(names, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([packed[0], pa.StructArray.from_arrays(packed[1:], names[1:])], ["bucket", "seg"])
 
-    seg = "struct<dense boolean, n int, keys binary, runs binary, train binary, h binary, hr binary, w binary, wr array<bigint>>"
+    seg = "struct<rows binary, n int, keys binary, runs binary, train binary, h binary, hr binary, w binary, wr array<bigint>>"
     parts = source.select("k", "train", "text").mapInArrow(dealt, f"bucket int, seg {seg}").repartition("bucket")
     # counts of rare words for the buckets in which they stand
     own = parts.select(F.col("bucket").alias("_bucket"), F.explode("seg.wr").alias("id")).distinct()
@@ -344,29 +363,33 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     names = ["kind", "k", "h", "x", "base", "tokens", "known", "c", *[f"n{r}" for r in range(1, CUT + 2)]]
 
     def evaluated(left: pa.Table, right: pa.Table) -> pa.Table:
-        hot_count, as_context, *counted = shared.value
-        out = [_evaluate(s.as_py(), None, None, hot_count, as_context, counted, d1, n, unknown, base_floor) for s in left.column("seg") if s["dense"].as_py()]
-        rows = [s.as_py() for s in left.column("seg") if not s["dense"].as_py()]
+        hot_count, as_context, *_ = shared.value
+        segments = [s.as_py() for s in left.column("seg")]
+        out = [_unpacked_rows(s["rows"]) for s in segments if s["rows"] is not None]
+        rows = [s for s in segments if s["rows"] is None]
         if rows:
             ids, count = right.column("id").to_numpy().view(U), right.column("count").to_numpy()
             order = np.argsort(ids)
-            out.append(_evaluate(rows, ids[order], count[order], hot_count, as_context, None, d1, n, unknown, base_floor))
+            out.append(_evaluate(*_positions_of(rows), ids[order], count[order], hot_count, as_context, None, d1, mass_of_words, unknown, base_floor))
         return pa.concat_tables(out) if out else _rows([], [])
 
     schema = "kind tinyint, k bigint, h bigint, x double, base double, tokens int, known int, c bigint, " + ", ".join(f"n{r} int" for r in range(1, CUT + 2))
     found = parts.groupBy("bucket").cogroup(own.groupBy("_bucket")).applyInArrow(evaluated, schema)
     # rows of one text or context from several buckets are combined before the shuffle
     found = stored(found.groupBy("kind", "k", "h").agg(*[F.sum(m).alias(m) for m in names[3:]]), "katz")
+    for sent in (listed, shared):  # else reused workers keep them
+        sent.unpersist()
 
     # contexts: sums over all followers; those of frequent pairs are known here
-    dense_rows = _dense_contexts(cells, hot_count, d1, n) + _pair_contexts(pairs_h, pairs_w, pair_counts, hot_count, d1, n)
+    dense_rows = _dense_contexts(cells, hot_count, d1, mass_of_words) + _pair_contexts(pairs_h, pairs_w, pair_counts, hot_count, d1, mass_of_words)
     contexts = found.where("kind = 1").select("h", "x", "c", *names[8:]).unionByName(spark.createDataFrame(dense_rows, "h bigint, x double, c bigint, " + ", ".join(f"{m} bigint" for m in names[8:])))
     contexts = contexts.groupBy("h").agg(F.sum("x").alias("mass"), F.sum("c").alias("c"), *[F.sum(m).alias(m) for m in names[8:]])
     contexts = stored(contexts, "contexts")
     totals = contexts.agg(*[F.coalesce(F.sum(m), F.lit(0)) for m in names[8:]]).first()
     d2 = discounts([int(t) for t in totals])
     kept = F.col("c") - sum((F.col(f"n{r}") * float(r * (1 - d2[r - 1])) for r in range(1, CUT + 1)), F.lit(0.0))
-    contexts = contexts.select(F.col("h").alias("_h"), F.log10((1 - kept / (F.col("c") + ESCAPE)) / (1 - F.col("mass"))).alias("alpha"))
+    contexts = contexts.select(F.col("h").alias("_h"), F.log10((1 - kept / (F.col("c") + ESCAPE)) / F.greatest(1 - F.col("mass"), F.lit(unknown))).alias("alpha"))
+    # followers never hold the unknown word's share, so the divisor is exact but for rounding
     backed = found.where("kind = 2").select("k", "h", "n1").join(contexts, F.col("h") == F.col("_h"), "left")
     backed = backed.select("k", (F.col("n1") * F.coalesce("alpha", F.lit(0.0))).alias("x"))
     factor = sum((F.col(f"n{r}") * float(np.log10(d2[r - 1])) for r in range(1, CUT + 1)), F.lit(0.0))
@@ -393,18 +416,32 @@ def _rows(kinds: list[int], columns: list[dict]) -> pa.Table:
     return pa.concat_tables(tables) if tables else pa.table({c: pa.array([], t) for c, t in kind.items()})
 
 
-def _probability(count: np.ndarray, d1: np.ndarray, n: int, unknown: float) -> np.ndarray:
-    return np.where(count > 0, discounted(count, d1) / max(n, 1), unknown)
+def _probability(count: np.ndarray, d1: np.ndarray, n: float, unknown: float) -> np.ndarray:
+    return np.where(count > 0, discounted(count, d1) / n, unknown)
 
 
-def _evaluate(rows, ids, count, hot_count, as_context, counted, d1, n, unknown, base_floor) -> pa.Table:
-    """Count the pairs of one bucket, unless they are ``counted``, and evaluate its positions."""
-    rows = rows if isinstance(rows, list) else [rows]
+def _packed_rows(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked_rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _positions_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word, text and training mark of the positions of a bucket."""
     h = np.concatenate([_unpack(r["h"], r["hr"], r["n"]) for r in rows])
     w = np.concatenate([_unpack(r["w"], np.array(r["wr"], dtype=np.int64).tobytes(), r["n"]) for r in rows])
     runs = np.concatenate([np.frombuffer(r["runs"], "<u4") for r in rows]).astype(np.int64)
     key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), runs)
-    learn = np.repeat(np.concatenate([np.frombuffer(r["train"], np.uint8) for r in rows]), runs)
+    return h, w, key, np.repeat(np.concatenate([np.frombuffer(r["train"], np.uint8) for r in rows]), runs)
+
+
+def _evaluate(h, w, key, learn, ids, count, hot_count, as_context, counted, d1, n, unknown, base_floor) -> pa.Table:
+    """Count the pairs of one bucket, unless they are ``counted``, and evaluate its positions."""
     last = U(len(hot_count) - 1)
     word_count = hot_count[np.minimum(w, last).astype(np.int64)]
     rare = np.flatnonzero(w >= RARE)
@@ -455,11 +492,11 @@ def _evaluate(rows, ids, count, hot_count, as_context, counted, d1, n, unknown,
     return _rows(kinds, columns)
 
 
-def _dense_contexts(cells: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n: int) -> list[tuple]:
+def _dense_contexts(cells: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n: float) -> list[tuple]:
     """Context sums of pairs of top words."""
     counts = np.zeros(TOP, dtype=np.int64)
     counts[: min(TOP, len(hot_count))] = hot_count[:TOP]
-    p = discounted(counts, d1) / max(n, 1)
+    p = discounted(counts, d1) / n
     out = []
     for h in np.flatnonzero(cells.sum(axis=1)):
         row = cells[h]
@@ -467,11 +504,11 @@ def _dense_contexts(cells: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n:
     return out
 
 
-def _pair_contexts(h: np.ndarray, w: np.ndarray, count: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n: int) -> list[tuple]:
+def _pair_contexts(h: np.ndarray, w: np.ndarray, count: np.ndarray, hot_count: np.ndarray, d1: np.ndarray, n: float) -> list[tuple]:
     """Context sums of frequent pairs outside the cells."""
     some = count > 0
     h, w, count = h[some], w[some].astype(np.int64), count[some]
     names, at = np.unique(h, return_inverse=True)
     add = lambda weights: np.bincount(at, weights=weights, minlength=len(names))
-    sums = [add(discounted(hot_count[w], d1) / max(n, 1)).tolist(), *[add(c).astype(np.int64).tolist() for c in (count, *[count == r for r in range(1, CUT + 2)])]]
+    sums = [add(discounted(hot_count[w], d1) / n).tolist(), *[add(c).astype(np.int64).tolist() for c in (count, *[count == r for r in range(1, CUT + 2)])]]
     return list(zip(names.astype(np.int64).tolist(), *sums, strict=True))

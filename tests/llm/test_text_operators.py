@@ -352,3 +352,34 @@ def test_signatures_are_unbiased():
     assert abs((found - exact).mean()) < 0.02
     assert (found - exact).std() < 0.06
     assert hashlib.md5(s[:3].tobytes()).digest() == hashlib.md5(bagminhash.signatures(owner, shingle, count, 240)[:3].tobytes()).digest()
+
+
+@pytest.mark.parametrize("train,held", [("a b c", "a zzz"), ("a a", "a"), ("a a", "b b"), ("", "x"), (None, None)])
+def test_katz_without_discounted_words(spark, train, held):
+    """Every word occurs too often for a discount: unknown words and exhausted contexts keep a sliver."""
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    inside = [i for i in range(400) if i not in out and zlib.crc32(str(i).encode()) % 10][:30]
+    rows = [(i, train) for i in inside] + [(i, held) for i in out]
+    got = {r.doc_id: r for r in katz.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    words = [*(train or "").split(), "</s>"]
+    n, e = 30 * len(words), katz.ESCAPE
+    p = lambda w: 30 * words.count(w) / (n + e) if w in words else e / (n + e)
+    follow = collections.Counter(zip(["<s>", *words], words))
+    context = collections.Counter(["<s>", *words[:-1]])
+
+    def score(text):
+        total, before = 0.0, "<s>"
+        for w in [*(text or "").split(), "</s>"]:
+            if (before, w) in follow:
+                q = 30 * follow[before, w] / (30 * context[before] + e)
+            elif before in context:
+                kept = 30 * context[before] / (30 * context[before] + e)
+                q = (1 - kept) / (1 - sum(p(x) for h, x in follow if h == before)) * p(w)
+            else:
+                q = p(w)
+            total += math.log10(q)
+            before = w
+        return total
+
+    for i, text in rows:
+        assert math.isfinite(got[i].score) and abs(got[i].score - score(text)) < 1e-6
