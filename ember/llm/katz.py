@@ -46,9 +46,9 @@ from ember.llm.split import slices
 CUT, ESCAPE = 5, 0.01
 TOP, SPREAD, HOT = 512, 8192, 1 << 18
 BUCKET = 600_000
-REMEMBERED = 80_000
+REMEMBERED = 120_000
 KEPT = 1 << 17  # pair counters of a task
-SLICE = 600_000
+SLICE, DEALT = 600_000, 1_800_000  # bytes of text counted and dealt at once
 PORTION = 400_000  # positions taken into the pair counters at once
 BOS, END = 0, 1  # first two numbers of frequent words
 RARE = np.uint64(1) << np.uint64(63)
@@ -127,16 +127,27 @@ def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 class Heavy:
-    """Counters of frequent pairs (Misra-Gries): each falls short of the true count by at most ``n / kept``."""
+    """Counters of frequent pairs (Misra-Gries): each falls short of the true count by at most ``2 n / kept``.
+
+    Of a portion of m positions only pairs above ``m / kept`` reach the counters.
+    """
 
     def __init__(self, kept: int = KEPT) -> None:
         self.kept, self.n = kept, 0
         self.h, self.w, self.count = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64)
 
     def add(self, h: np.ndarray, w: np.ndarray) -> None:
+        if not len(h):
+            return
         self.n += len(h)
-        count = np.concatenate([self.count, np.ones(len(h), np.int64)])
-        h, w = np.concatenate([self.h, h]), np.concatenate([self.w, w])
+        pair = _pair(h, w)
+        order = np.argsort(pair)
+        starts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1], [True]]))
+        count = np.diff(starts)
+        some = count > len(h) // self.kept
+        one = order[starts[:-1][some]]
+        h, w = np.concatenate([self.h, h[one]]), np.concatenate([self.w, w[one]])
+        count = np.concatenate([self.count, count[some]])
         _, first, at = np.unique(_pair(h, w), return_index=True, return_inverse=True)
         count = np.bincount(at, weights=count, minlength=len(first)).astype(np.int64)
         if len(count) > self.kept:
@@ -158,6 +169,19 @@ def _pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     return pa.compress(np.ascontiguousarray(codes).tobytes(), codec="zstd", asbytes=True), ids[rare].tobytes()
 
 
+def _squeeze(small: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, one byte each but for those of 255 and more."""
+    big = small >= 255
+    return len(small).to_bytes(4, "little") + np.where(big, 255, small).astype(np.uint8).tobytes() + small[big].astype("<u4").tobytes()
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u4", offset=4 + n)
+    return out
+
+
 def _unpack(data: bytes, rare: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 3 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, n).astype(U)
     ids = planes[0] | planes[1] << U(8) | planes[2] << U(16)
@@ -227,7 +251,7 @@ def hot_pairs(source: DataFrame, counters: DataFrame, words, names: list[bytes],
 
     Every pair that stands at ``max(bucket_size / 4, 4 every / KEPT)`` positions is among them.
     """
-    least = max(bucket_size // 4, -(-4 * every // KEPT)) - 2 * every / KEPT
+    least = max(bucket_size // 4, -(-4 * every // KEPT)) - 3 * every / KEPT
     found = counters.where(F.col("every") >= float(least)).toArrow()
     h, w = (found.column(c).to_numpy().view(U) for c in ("h", "w"))
     if len(h):
@@ -308,13 +332,14 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pairs, part, number = Known(listed.value), shared.value[4], TaskContext.get().partitionId(), 0
         hot_count, as_context, *counted = shared.value
-        names = ["bucket", "rows", "n", "keys", "runs", "train", "h", "hr", "w", "wr"]
+        names = ["bucket", "rows", "n", "base", "keys", "runs", "train", "h", "hr", "w", "wr"]
         for batch in batches:
-            for a, b in slices(batch.column("text"), SLICE):
+            for a, b in slices(batch.column("text"), DEALT):
                 known = known.trimmed()
                 owner, h, w = positions(batch.column("text").slice(a, b - a).to_pylist(), known)
                 keys = batch.column("k").slice(a, b - a).to_numpy(zero_copy_only=False)
                 learn = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False)
+                base = part << 40 | number << 20
                 dense = (h < inside) & (w < inside)
                 if len(pairs):
                     one = _pair(h, w)
@@ -323,34 +348,35 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
                     place = (mix(np.where(h < SPREAD, h * U(0x9E3779B97F4A7C15) + mix(w), h)) % U(buckets)).astype(np.int64)
                 # dense positions are evaluated here; their result rows may go anywhere
                 place = np.where(dense, buckets + (part * 7919 + number) % buckets, place)
+                names_of_texts = _rows([3], [{"k": base + np.arange(len(keys)), "c": keys}])
                 number += 1
                 order = np.argsort(place, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1], [True]]))
-                columns: dict[str, list] = {c: [] for c in names}
+                columns: dict[str, list] = {c: [v] for c, v in zip(names, [(part * 7919 + number) % buckets, _packed_rows(names_of_texts), 0, 0, b"", b"", b"", b"", b"", b"", []], strict=True)}
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     at = order[x:y]
                     own = owner[at]
                     bucket = int(place[at[0]])
                     if bucket >= buckets:
-                        done = _evaluate(h[at], w[at], keys[own], learn[own], None, None, hot_count, as_context, counted, d1, mass_of_words, unknown, base_floor)
-                        for c, v in zip(names, [bucket - buckets, _packed_rows(done), 0, b"", b"", b"", b"", b"", b"", []], strict=True):
+                        done = _evaluate(h[at], w[at], base + own, learn[own], None, None, hot_count, as_context, counted, d1, mass_of_words, unknown, base_floor)
+                        for c, v in zip(names, [bucket - buckets, _packed_rows(done), 0, 0, b"", b"", b"", b"", b"", b"", []], strict=True):
                             columns[c].append(v)
                         continue
                     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     hd, hr = _pack(h[at])
                     wd, _ = _pack(w[at])
                     wr = w[at][w[at] >= RARE].view(np.int64).tolist()
-                    values = [bucket, None, len(at), keys[own[starts]].tobytes(), np.diff(np.append(starts, len(own))).astype("<u4").tobytes(), learn[own[starts]].astype(np.uint8).tobytes(), hd, hr, wd, wr]
+                    values = [bucket, None, len(at), base, _squeeze(np.diff(own[starts], prepend=0)), _squeeze(np.diff(np.append(starts, len(own)))), learn[own[starts]].astype(np.uint8).tobytes(), hd, hr, wd, wr]
                     for c, v in zip(names, values, strict=True):
                         columns[c].append(v)
-                kinds = [pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+                kinds = [pa.int32(), pa.binary(), pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
                 packed = [pa.array(columns[c], t) for c, t in zip(names, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([packed[0], pa.StructArray.from_arrays(packed[1:], names[1:])], ["bucket", "seg"])
 
-    seg = "struct<rows binary, n int, keys binary, runs binary, train binary, h binary, hr binary, w binary, wr array<bigint>>"
+    seg = "struct<rows binary, n int, base bigint, keys binary, runs binary, train binary, h binary, hr binary, w binary, wr array<bigint>>"
     parts = source.select("k", "train", "text").mapInArrow(dealt, f"bucket int, seg {seg}").repartition("bucket")
-    # counts of rare words for the buckets in which they stand
-    own = parts.select(F.col("bucket").alias("_bucket"), F.explode("seg.wr").alias("id")).distinct()
+    # counts of rare words for the buckets in which they stand; whole rows are read, so that the exchange is shared
+    own = parts.mapInArrow(_rare_words, "_bucket int, id bigint").distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = set(listed.value)
@@ -396,6 +422,9 @@ def score_texts(docs: DataFrame, hot: int = HOT, bucket_size: int = BUCKET) -> D
     plain = found.where("kind = 0").select("k", (F.col("x").cast("double") + factor).alias("x"), F.col("base").cast("double").alias("base"), "tokens", "known")
     sums = plain.unionByName(backed.select("k", "x", F.lit(0.0).alias("base"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("known"))).groupBy(F.col("k").alias("_k"))
     sums = sums.agg(F.sum("x").alias("_x"), F.sum("base").alias("_base"), F.sum("tokens").alias("_tokens"), F.sum("known").alias("_known"))
+    named = found.where("kind = 3").select(F.col("k").alias("_number"), F.col("c").alias("_text"))
+    sums = sums.join(named, F.col("_k") == F.col("_number")).groupBy(F.col("_text").alias("_k"))
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("_x", "_base", "_tokens", "_known")])
     rows = source.select("doc_id", "k", "train")
     same = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_rows")).select(F.col("k").alias("_k"), "_rows")
     sums = sums.join(same, "_k")
@@ -420,6 +449,14 @@ def _probability(count: np.ndarray, d1: np.ndarray, n: float, unknown: float) ->
     return np.where(count > 0, discounted(count, d1) / n, unknown)
 
 
+def _rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, seg in zip(batch.column("bucket").to_pylist(), batch.column("seg")):
+            ids = np.unique(np.array(seg["wr"].as_py(), dtype=np.int64))
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bucket, np.int32)), pa.array(ids)], ["_bucket", "id"])
+
+
 def _packed_rows(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -435,8 +472,8 @@ def _positions_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Context, word, text and training mark of the positions of a bucket."""
     h = np.concatenate([_unpack(r["h"], r["hr"], r["n"]) for r in rows])
     w = np.concatenate([_unpack(r["w"], np.array(r["wr"], dtype=np.int64).tobytes(), r["n"]) for r in rows])
-    runs = np.concatenate([np.frombuffer(r["runs"], "<u4") for r in rows]).astype(np.int64)
-    key = np.repeat(np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows]), runs)
+    runs = np.concatenate([_stretch(r["runs"]) for r in rows])
+    key = np.repeat(np.concatenate([r["base"] + np.cumsum(_stretch(r["keys"])) for r in rows]), runs)
     return h, w, key, np.repeat(np.concatenate([np.frombuffer(r["train"], np.uint8) for r in rows]), runs)
 
 
