@@ -187,17 +187,6 @@ def f23_module_status(inp):
     return A.overall_status(report)
 
 
-@query(
-    "l12_analyse",
-    f"""SELECT c.request_id, c.task, {_STATUS} AS data_status, observation_count, coalesce(CASE WHEN seen>0 AND c.task='af' THEN coalesce(h.n,0) END,-1) AS hotspot_count, {Q.r("CASE WHEN seen>0 AND c.task='bs' THEN coalesce(b.burn,0) END", 4)} AS burn_area_ha, {Q.r("CASE WHEN seen>0 AND c.task='bs' THEN coalesce(b.a3,0) END", 4)} AS area_3
- FROM {_COVER} c LEFT JOIN (SELECT request_id, 'af' AS task, count(*) AS n FROM {_SPOTS} s GROUP BY request_id) h ON h.request_id=c.request_id AND h.task=c.task
- LEFT JOIN (SELECT request_id, 'bs' AS task, sum(CASE WHEN cls>0 THEN ha ELSE 0 END) AS burn, sum(CASE WHEN cls=3 THEN ha ELSE 0 END) AS a3 FROM {_MOSAIC} m GROUP BY request_id) b ON b.request_id=c.request_id AND b.task=c.task""",
-)
-def l12_analyse(inp):
-    report = Y.analyse(geo_requests(inp), geo_scenes(inp), geo_pixels(inp), geo_aoi(inp), F.lit(HEIGHT), F.lit(WIDTH))
-    return rounded(report.select("request_id", "task", "data_status", "observation_count", F.coalesce("hotspot_count", F.lit(-1)).alias("hotspot_count"), "burn_area_ha", "area_3"), 4)
-
-
 _COMP = """WITH RECURSIVE px AS (SELECT chip_id, rw, cl, pos, cls FROM fx_class WHERE cls>0), adj AS (SELECT a.chip_id, a.pos AS u, b.pos AS v FROM px a JOIN px b ON a.chip_id=b.chip_id AND a.cls=b.cls AND abs(a.rw-b.rw)+abs(a.cl-b.cl)=1 AND abs(a.pos-b.pos)<=20),
  reach AS (SELECT chip_id, pos AS u, pos AS v FROM px UNION SELECT r.chip_id, r.u, a.v FROM reach r JOIN adj a ON a.chip_id=r.chip_id AND a.u=r.v),
  comp AS (SELECT chip_id, u AS pos, min(v) AS comp FROM reach GROUP BY chip_id, u)"""
@@ -233,6 +222,49 @@ def l10_contour_features(inp):
     return rounded(lines.select("chip_id", "comp", "ring", "hole", severity_name(F.col("cls")).alias("severity"), P.ring_area_ha(F.col("lonlat")).alias("area_ha")))
 
 
+# visible fires as 4-connected regions; holes follow from Euler's formula
+_REGIONS = f"""fire AS (SELECT request_id, gx, gy, cls, ha, scene_id, date_post, row_number() OVER (ORDER BY request_id, gx, gy) AS u FROM {_MOSAIC} m WHERE cls>0 AND ha>1e-9),
+ near AS (SELECT a.u, b.u AS v FROM fire a JOIN fire b ON a.request_id=b.request_id AND a.cls=b.cls AND ((a.gx=b.gx AND abs(a.gy-b.gy)=1) OR (a.gy=b.gy AND abs(a.gx-b.gx)=1))),
+ grown AS (SELECT u, u AS v FROM fire UNION SELECT g.u, n.v FROM grown g JOIN near n ON n.u=g.v),
+ part AS (SELECT u, min(v) AS comp FROM grown GROUP BY u),
+ block AS (SELECT a.u FROM fire a JOIN fire b ON b.request_id=a.request_id AND b.cls=a.cls AND b.gx=a.gx+1 AND b.gy=a.gy JOIN fire c ON c.request_id=a.request_id AND c.cls=a.cls AND c.gx=a.gx AND c.gy=a.gy+1
+  JOIN fire d ON d.request_id=a.request_id AND d.cls=a.cls AND d.gx=a.gx+1 AND d.gy=a.gy+1),
+ region AS (SELECT request_id, cls, comp, min(gx) AS gx, max(gy) FILTER (gx=lowest) AS gy, count(*) AS cells, sum(ha) AS ha, CAST(sum(touch) AS BIGINT) AS touch, CAST(sum(full_) AS BIGINT) AS full_, max(date_post) AS date_post, string_agg(DISTINCT scene_id, ',' ORDER BY scene_id) AS scenes
+  FROM (SELECT f.*, comp, min(gx) OVER (PARTITION BY comp) AS lowest, (SELECT count(*) FROM near n WHERE n.u=f.u) AS touch, (SELECT count(*) FROM block k WHERE k.u=f.u) AS full_ FROM fire f JOIN part USING (u)) q GROUP BY request_id, cls, comp)"""
+
+
+@query(
+    "l10_visible_contours",
+    f"""WITH RECURSIVE {_REGIONS} SELECT request_id, cls, gx, gy, cells, {Q.r('ha', 4)} AS area_ha, 2-cells+touch//2-full_ AS rings, 4*cells-touch AS sides, cells AS enclosed, true AS closed, CAST(date_post AS VARCHAR) AS date_post, scenes FROM region""",
+)
+def l10_visible_contours(inp):
+    """Regions of the newest visible class over all chips and scenes of a request."""
+    cells = Y.burned_cells(observed(inp), geo_aoi(inp)).where("inside_ha > 1e-9")
+    regions, _ = Y.burn_contours(cells)
+    x, y = F.shiftright("outer", 31) - (1 << 28), F.shiftright("outer", 2).bitwiseAND((1 << 29) - 1) - (1 << 28)
+    return longs(
+        rounded(
+            regions.select(
+                "request_id", "cls", (x - 3000).alias("gx"), (4999 - y).alias("gy"), "cells", "area_ha", "rings", "sides", "enclosed", "closed",
+                F.date_format("date_post", "yyyy-MM-dd HH:mm:ss").alias("date_post"), F.array_join("source_scene_ids", ",").alias("scenes"),
+            ),
+            4,
+        )
+    )
+
+
+@query(
+    "l12_analyse",
+    f"""WITH RECURSIVE {_REGIONS} SELECT c.request_id, c.task, {_STATUS} AS data_status, observation_count, coalesce(CASE WHEN seen>0 AND c.task='af' THEN coalesce(h.n,0) END,-1) AS hotspot_count, {Q.r("CASE WHEN seen>0 AND c.task='bs' THEN coalesce(b.burn,0) END", 4)} AS burn_area_ha, {Q.r("CASE WHEN seen>0 AND c.task='bs' THEN coalesce(b.a3,0) END", 4)} AS area_3, coalesce(CASE WHEN seen>0 AND c.task='bs' THEN coalesce(g.n,0) END,-1) AS contour_count, coalesce(CASE WHEN seen>0 AND c.task='bs' THEN coalesce(g.rings,0) END,-1) AS ring_count
+ FROM {_COVER} c LEFT JOIN (SELECT request_id, 'af' AS task, count(*) AS n FROM {_SPOTS} s GROUP BY request_id) h ON h.request_id=c.request_id AND h.task=c.task
+ LEFT JOIN (SELECT request_id, 'bs' AS task, sum(CASE WHEN cls>0 THEN ha ELSE 0 END) AS burn, sum(CASE WHEN cls=3 THEN ha ELSE 0 END) AS a3 FROM {_MOSAIC} m GROUP BY request_id) b ON b.request_id=c.request_id AND b.task=c.task
+ LEFT JOIN (SELECT request_id, 'bs' AS task, count(*) AS n, CAST(sum(2-cells+touch//2-full_) AS BIGINT) AS rings FROM region GROUP BY request_id) g ON g.request_id=c.request_id AND g.task=c.task""",
+)
+def l12_analyse(inp):
+    report = Y.analyse(geo_requests(inp), geo_scenes(inp), geo_pixels(inp), geo_aoi(inp), F.lit(HEIGHT), F.lit(WIDTH))
+    return rounded(report.select("request_id", "task", "data_status", "observation_count", F.coalesce("hotspot_count", F.lit(-1)).alias("hotspot_count"), "burn_area_ha", "area_3", *[F.coalesce(m, F.lit(-1)).alias(m) for m in ("contour_count", "ring_count")]), 4)
+
+
 @query("l11_priority_class", "SELECT rw, cl, max(cls) AS cls FROM fx_class WHERE valid GROUP BY rw, cl")
 def l11_priority_class(inp):
     return A.priority_class(inp.fx_class.where("valid"), ["rw", "cl"])

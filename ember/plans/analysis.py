@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ember.functions import geometry as G
+from ember.functions.text import severity_name
 from ember.operators import areas as A
+from ember.operators import outlines as O
 from ember.operators.ranking import dedup_hotspots, hotspot_id, mosaic_latest
 from ember.operators.spatial import select_scenes
 from ember.session import cut_lineage
@@ -26,7 +28,7 @@ def scene_cells(scenes: DataFrame, px: DataFrame) -> DataFrame:
     requests look at the scene.
     """
     frame = scenes.select(
-        "scene_id", "chip_id", "task", "observed_at", "date_post", "epsg", *A.TRANSFORM, "source_scene_id", "grid_row_offset", "grid_col_offset"
+        "scene_id", "chip_id", "task", "observed_at", "date_pre", "date_post", "epsg", *A.TRANSFORM, "source_scene_id", "grid_row_offset", "grid_col_offset"
     )
     return A.cell_area(A.place_cells(px.where(F.col("valid")).join(frame, "chip_id")), A.WHOLE).drop(*A.TRANSFORM)
 
@@ -73,10 +75,30 @@ def hotspots(obs: DataFrame, aoi: DataFrame, height: Column, width: Column) -> D
 def burned_cells(obs: DataFrame, aoi: DataFrame) -> DataFrame:
     """Visible class of every ground cell (newest wins) with hectares inside."""
     bs = obs.where(F.col("task") == "bs")
-    newest = mosaic_latest(bs, ("request_id", *CELL), (*A.CORNERS, "lon", "lat", A.WHOLE))
+    newest = mosaic_latest(bs, ("request_id", *CELL), ("date_pre", *A.CORNERS, "lon", "lat", A.WHOLE))
     return A.clip_cells(newest.join(aoi.select("request_id", "edges", "rings"), "request_id")).drop("edges", "rings")
 
 
+def burn_contours(burned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Regions of the visible burn classes and the corners of their rings.
+
+    ``burned`` comes from :func:`burned_cells`.  Chips and scenes leave no
+    seams; hectares are those inside the AOI, rings run along whole cells.
+    """
+    return O.visible_contours(burned.where("cls > 0"), ("request_id", "epsg"), corners=A.CORNERS)
+
+
+def contour_features(regions: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One feature per region: properties and closed longitude/latitude rings, the outer one first."""
+    lines = O.ring_lines(vertices, ("request_id", "epsg"))
+    rings = lines.groupBy("request_id", "epsg", "cls", "outer").agg(F.array_sort(F.collect_list(F.struct("hole", "ring", "line"))).alias("rings"))
+    number = F.concat_ws(":", F.element_at("source_scene_ids", 1), F.col("cls").cast("string"), F.hex("outer"))
+    return regions.join(rings.withColumnRenamed("rings", "_rings"), ["request_id", "epsg", "cls", "outer"]).select(
+        "request_id", number.alias("contour_id"), F.col("cls").alias("class_id"), severity_name(F.col("cls")).alias("severity"), "area_ha",
+        "date_pre", "date_post", "source_scene_ids", F.transform("_rings", lambda r: r["line"]).alias("rings"),
+    )
+
+
 def observed_cells(obs: DataFrame, aoi: DataFrame) -> DataFrame:
     """Distinct valid ground cells per request and task with hectares inside."""
     valid = obs.where(F.col("valid"))
@@ -96,7 +118,10 @@ def analyse(requests: DataFrame, scenes: DataFrame, px: DataFrame, aoi: DataFram
     wanted_scenes = scenes.join(picks.select("scene_id").distinct(), "scene_id", "left_semi")
     obs = cut_lineage(observations(picks, scene_cells(wanted_scenes, px)))
     spots = hotspots(obs, aoi, height, width).groupBy("request_id").agg(F.count(F.lit(1)).alias("hotspot_count")).withColumn("task", F.lit("af"))
-    burned = A.severity_areas(burned_cells(obs, aoi).where(F.col("cls") > 0), ["request_id"]).withColumn("task", F.lit("bs"))
+    fires = cut_lineage(burned_cells(obs, aoi).where(F.col("cls") > 0))
+    burned = A.severity_areas(fires, ["request_id"]).withColumn("task", F.lit("bs"))
+    regions, _ = burn_contours(fires)
+    shapes = regions.groupBy("request_id").agg(F.count(F.lit(1)).alias("contour_count"), F.sum("rings").alias("ring_count")).withColumn("task", F.lit("bs"))
     chosen = picks.groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
     wanted = (
         requests.select("request_id", "task")
@@ -105,12 +130,13 @@ def analyse(requests: DataFrame, scenes: DataFrame, px: DataFrame, aoi: DataFram
         .withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
     )
     cov = A.coverage(observed_cells(obs, aoi), wanted, ["request_id", "task"])
-    full = cov.join(spots, ["request_id", "task"], "left").join(burned, ["request_id", "task"], "left")
+    full = cov.join(spots, ["request_id", "task"], "left").join(burned, ["request_id", "task"], "left").join(shapes, ["request_id", "task"], "left")
     is_af = F.col("task") == "af"
     filled = full.withColumns(
         {
             "hotspot_count": F.when(is_af, F.coalesce("hotspot_count", F.lit(0))),
             **{m: F.when(~is_af, F.coalesce(F.col(m), F.lit(0.0))) for m in ("area_1", "area_2", "area_3", "burn_area_ha")},
+            **{m: F.when(~is_af, F.coalesce(F.col(m), F.lit(0))) for m in ("contour_count", "ring_count")},
         }
     )
-    return A.module_status(filled, ["hotspot_count", "area_1", "area_2", "area_3", "burn_area_ha"])
+    return A.module_status(filled, ["hotspot_count", "area_1", "area_2", "area_3", "burn_area_ha", "contour_count", "ring_count"])
