@@ -8,10 +8,12 @@ from checks import sqlbits as Q
 from checks.common import longs, rounded
 from checks.registry import query
 from ember.operators import contracts as K
+from ember.operators import cover as V
 from ember.operators import joins as J
 from ember.operators import pixels as P
 from ember.operators import ranking as N
 from ember.operators import spatial as X
+from ember.session import cut_lineage
 
 KEY = "chip_id, rw, cl"
 
@@ -137,10 +139,9 @@ _POINTS = "SELECT o_orderkey AS point_id, CAST((o_orderkey*31337)%35700 AS DOUBL
 _EDGES = "SELECT aoi_id, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat) OVER w AS y2 FROM fx_vertex WINDOW w AS (PARTITION BY aoi_id ORDER BY seq)"
 
 
-def aoi(inp):
-    """Closed rings only: the open ones are contract violations."""
+def closed_edges(inp):
     unclosed = K.check_rings(inp.fx_vertex).where("problem = 'not closed'").select("aoi_id")
-    return X.polygon_edges(inp.fx_vertex.join(unclosed, "aoi_id", "left_anti"))
+    return cut_lineage(V.ring_edges(inp.fx_vertex.join(unclosed, "aoi_id", "left_anti")))
 
 
 def points(inp):
@@ -155,7 +156,8 @@ def points(inp):
  GROUP BY point_id, aoi_id) q WHERE odd OR edge""",
 )
 def e11_points_in_aoi(inp):
-    return X.points_in_aoi(points(inp), aoi(inp)).select("point_id", "aoi_id")
+    cover = cut_lineage(V.aoi_cover(closed_edges(inp)))
+    return V.points_in_cover(points(inp), cover).select("point_id", "aoi_id")
 
 
 def boxes(inp):
@@ -176,7 +178,8 @@ _HIT = "greatest(0.0,greatest(least(x1,x2)-e,w-greatest(x1,x2)))=0 AND greatest(
  SELECT scene_id, aoi_id FROM touch UNION SELECT scene_id, aoi_id FROM inside""",
 )
 def e12_footprints_intersecting(inp):
-    return X.footprints_intersecting(boxes(inp), aoi(inp)).select("scene_id", "aoi_id")
+    edges = closed_edges(inp)
+    return V.boxes_meeting(boxes(inp), edges, cut_lineage(V.aoi_cover(edges)), "scene_id")
 
 
 _BUNDLES = "SELECT c_custkey AS bundle_id, CASE WHEN c_custkey%50=0 THEN 'ready' ELSE 'unavailable' END AS status, CASE c_custkey%3 WHEN 0 THEN 'af' WHEN 1 THEN 'bs' ELSE 'af,bs' END AS tasks FROM customer"

@@ -65,7 +65,7 @@ def segments_touch(a, b, c, d) -> Column:
     )
 
 
-def covers(edges: Column, x: Column, y: Column) -> Column:
+def covers(edges: Column, x: Column, y: Column, beyond: Column | None = None) -> Column:
     """Point inside or on the boundary (even-odd rule over all rings)."""
 
     def touches(e: Column) -> Column:
@@ -79,9 +79,16 @@ def covers(edges: Column, x: Column, y: Column) -> Column:
         return acc + F.when(straddles & (x < at), 1).otherwise(0)
 
     odd = F.aggregate(edges, F.lit(0), crossing) % 2 == 1
+    if beyond is not None:
+        odd = odd != beyond
     return odd | F.exists(edges, touches)
 
 
+def covers_beside(edges: Column, x: Column, y: Column, beyond: Column) -> Column:
+    """:func:`covers` from the edges near a point; ``beyond`` tells whether what lies to their right is inside."""
+    return covers(edges, x, y, beyond)
+
+
 def edge_hits_box(e: Column, w: Column, s: Column, east: Column, n: Column) -> Column:
     """Edge shares at least one point with a closed box.
 
