@@ -141,7 +141,7 @@ _EDGES = "SELECT aoi_id, lon AS x1, lat AS y1, lead(lon) OVER w AS x2, lead(lat)
 
 def closed_edges(inp):
     unclosed = K.check_rings(inp.fx_vertex).where("problem = 'not closed'").select("aoi_id")
-    return cut_lineage(V.ring_edges(inp.fx_vertex.join(unclosed, "aoi_id", "left_anti")))
+    return V.ring_edges(inp.fx_vertex.join(unclosed, "aoi_id", "left_anti"))
 
 
 def points(inp):
@@ -156,8 +156,8 @@ def points(inp):
  GROUP BY point_id, aoi_id) q WHERE odd OR edge""",
 )
 def e11_points_in_aoi(inp):
-    cover = cut_lineage(V.aoi_cover(closed_edges(inp)))
-    return V.points_in_cover(points(inp), cover).select("point_id", "aoi_id")
+    cover = cut_lineage(V.aoi_cover(closed_edges(inp), size=2.0))
+    return V.points_in_cover(points(inp), cover, 2.0).select("point_id", "aoi_id")
 
 
 def boxes(inp):
@@ -178,8 +178,8 @@ _HIT = "greatest(0.0,greatest(least(x1,x2)-e,w-greatest(x1,x2)))=0 AND greatest(
  SELECT scene_id, aoi_id FROM touch UNION SELECT scene_id, aoi_id FROM inside""",
 )
 def e12_footprints_intersecting(inp):
-    edges = closed_edges(inp)
-    return V.boxes_meeting(boxes(inp), edges, cut_lineage(V.aoi_cover(edges)), "scene_id")
+    edges = cut_lineage(closed_edges(inp))
+    return V.boxes_meeting(boxes(inp), edges, cut_lineage(V.aoi_cover(edges, size=2.0)), "scene_id", size=2.0)
 
 
 _BUNDLES = "SELECT c_custkey AS bundle_id, CASE WHEN c_custkey%50=0 THEN 'ready' ELSE 'unavailable' END AS status, CASE c_custkey%3 WHEN 0 THEN 'af' WHEN 1 THEN 'bs' ELSE 'af,bs' END AS tasks FROM customer"

@@ -35,10 +35,11 @@ def n1_admission(inp):
     return R.admission(log(inp), LIMIT, 3600).select("client", "event_id", "admitted")
 
 
-@query("n1_stream_admission")
+@query("n1_stream_admission", _ADMIT)
 def n1_stream_admission(inp):
     source = event_stream(inp).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"))
-    return H.run_to_table(R.stream_admission(source, LIMIT, 3600), "admission").groupBy("client").agg(F.count(F.lit(1)).alias("seen"), F.count_if("admitted").alias("admitted"))
+    flags = H.run_to_end(lambda events: R.stream_admission(events, LIMIT, 3600), source, "ts", "admission")
+    return flags.select("client", "event_id", "admitted")
 
 
 _IDEM = """SELECT event_id, kind, idem_key, CASE WHEN k=1 THEN 'new' WHEN payload_hash=f THEN 'replay' ELSE 'conflict' END AS verdict FROM (SELECT *, row_number() OVER w AS k, first_value(payload_hash) OVER w AS f FROM fx_log WINDOW w AS (PARTITION BY kind, idem_key ORDER BY ts, event_id)) q"""

@@ -29,9 +29,14 @@ FINEST = 12
 
 
 def ring_edges(vertices: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
-    """One row per edge of closed rings (``part, ring, seq, lon, lat``): ``keys, x1, y1, x2, y2``."""
+    """One row per edge of closed rings (``part, ring, seq, lon, lat``): ``keys, x1, y1, x2, y2``.
+
+    Rows are dealt by polygon, which the cover's windows then find in place; the
+    contract bounds a polygon to 10 000 vertices.
+    """
     ring = Window.partitionBy(*keys, "part", "ring").orderBy("seq")
-    step = vertices.select(*keys, F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(ring).alias("x2"), F.lead("lat").over(ring).alias("y2"))
+    tasks = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work on few bytes: not to be coalesced
+    step = vertices.repartition(tasks, *keys).select(*keys, F.col("lon").alias("x1"), F.col("lat").alias("y1"), F.lead("lon").over(ring).alias("x2"), F.lead("lat").over(ring).alias("y2"))
     return step.where(F.col("x2").isNotNull())
 
 
@@ -46,13 +51,12 @@ def aoi_cover(edges: DataFrame, keys: Sequence[str] = ("aoi_id",), size: float =
     if math.frexp(size)[0] != 0.5:
         raise ValueError("size must be a power of two")
     keys = list(keys)
-    per = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.least("y1", "y2")).alias("_lo"), F.max(F.greatest("y1", "y2")).alias("_hi"))
-    slabs = F.floor(F.col("_hi") / size) - F.floor(F.col("_lo") / size) + 1
-    level = F.ceil(F.log2(F.col("_n") / (slabs * per_slab))).cast("int")
-    per = per.select(*keys, F.least(F.greatest(level, F.lit(0)), F.lit(FINEST)).alias("level"))
-    height = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
+    whole = Window.partitionBy(*keys)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    cut = edges.join(per, keys).withColumn("_h", height)
+    slabs = F.floor(F.max(high).over(whole) / size) - F.floor(F.min(low).over(whole) / size) + 1
+    level = F.ceil(F.log2(F.count(F.lit(1)).over(whole) / (slabs * per_slab))).cast("int")
+    cut = edges.withColumn("level", F.least(F.greatest(level, F.lit(0)), F.lit(FINEST)))
+    cut = cut.withColumn("_h", F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level")))
     cut = cut.withColumn("slab", F.explode(F.sequence(F.floor(low / F.col("_h")).cast("bigint"), F.floor(high / F.col("_h")).cast("bigint"))))
     floor = F.col("slab") * F.col("_h")
     cut = cut.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def stream_hotspots(stream: DataFrame, lateness: str = "1 hour", time: str = "ts
     return timed.dropDuplicatesWithinWatermark(["shared_grid", "cell_owner", "cell_row", "cell_col"])
 
 
+def _drain(query: DataFrame, out: str, progress: str, mode: str) -> None:
+    running = query.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start(out)
+    running.awaitTermination()
+
+
 def run_to_table(query: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain a stream into a Parquet table of the shared folder and read it back.
 
@@ -27,7 +34,24 @@ def run_to_table(query: DataFrame, name: str, mode: str = "append") -> DataFrame
     resumes instead of starting over.
     """
     spark: SparkSession = query.sparkSession
-    out, progress = scratch(spark, name), scratch(spark, f"{name}-progress")
-    running = query.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start(out)
-    running.awaitTermination()
+    out = scratch(spark, name)
+    _drain(query, out, scratch(spark, f"{name}-progress"), mode)
+    return spark.read.schema(query.schema).parquet(out)
+
+
+def run_to_end(build: Callable[[DataFrame], DataFrame], events: DataFrame, time: str, name: str) -> DataFrame:
+    """Like :func:`run_to_table` for a query that answers when the watermark passes.
+
+    After the events are drained, one row far in the future arrives by a second
+    source and moves the watermark past everything that still waits.  The row
+    has nulls but for ``time``; what waits for it is never answered.
+    """
+    spark: SparkSession = events.sparkSession
+    closing, out, progress = scratch(spark, f"{name}-closing"), scratch(spark, name), scratch(spark, f"{name}-progress")
+    spark.createDataFrame([], events.schema).write.parquet(closing)
+    query = build(events.unionByName(spark.readStream.schema(events.schema).parquet(closing)))
+    _drain(query, out, progress, "append")
+    last = [(F.to_timestamp(F.lit("2200-01-01")) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+    spark.range(1).select(*last).write.mode("append").parquet(closing)
+    _drain(query, out, progress, "append")
     return spark.read.schema(query.schema).parquet(out)

@@ -74,27 +74,40 @@ def admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS) -> Data
 
 
 def stream_admission(log: DataFrame, limit: int, seconds: int = WINDOW_SECONDS, lateness: str = "1 minute") -> DataFrame:
-    """The same rule on a stream; state is the admitted times of a client.
-
-    State never exceeds ``limit`` times and expires in event time once the
-    watermark has passed the window.
+    """The same rule on a stream, with a flag per request.
+
+    A request is judged when the watermark has passed it: until then it waits
+    in its client's state, so the flags do not depend on how the log is cut
+    into triggers.  Event-time timers wake clients that send nothing more.
+    State holds at most ``limit`` admitted times and the requests of the last
+    ``lateness``; it is removed once both are gone.  Requests older than the
+    watermark are dropped by Spark before they arrive here.
     """
     span = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept, us, ids = state.get if state.exists else ((), (), ())
+        times, waiting = deque(kept), list(zip(us, ids))
+        for rows in batches:  # none when a timer wakes the client
+            waiting += zip(rows["us"].tolist(), rows["event_id"].tolist())
+        waiting.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = [w for w in waiting if w[0] <= mark]
+        waiting = waiting[len(ready) :]
+        flags = [_admit(times, at, limit, span) for at, _ in ready]
+        while times and times[0] <= mark - span:
+            times.popleft()
+        if waiting or times:
+            state.update((list(times), [w[0] for w in waiting], [w[1] for w in waiting]))
+            wake = waiting[0][0] if waiting else times[-1] + span
+            state.setTimeoutTimestamp(max(-(-wake // 1000), mark // 1000 + 1))
+        elif state.exists:
             state.remove()
-            return
-        times = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        rows["admitted"] = [_admit(times, int(us), limit, span) for us in rows["us"]]
-        state.update((list(times),))
-        expiry = int(rows["us"].iloc[-1]) // 1000 + seconds * 1000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "admitted": rows["admitted"]})
+        yield pd.DataFrame({"client": key[0], "event_id": [i for _, i in ready], "ts": pd.to_datetime([at for at, _ in ready], unit="us", utc=True), "admitted": flags})
 
     keyed = log.withWatermark("ts", lateness).select(F.col("client").cast("string").alias("client"), "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(step, OUT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "times array<bigint>, us array<bigint>, ids array<bigint>"
+    return keyed.groupBy("client").applyInPandasWithState(step, OUT, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def idempotency(log: DataFrame) -> DataFrame:
