@@ -58,9 +58,20 @@ def n2_stream_idempotency(inp):
     return H.run_to_table(R.stream_idempotency(source), "idempotency").select("event_id", "kind", "idem_key", "verdict")
 
 
-@query("n3_stream_hotspots", "SELECT coalesce(source_scene_id||':'||strftime(observed_at,'%Y-%m-%d %H:%M:%S'), scene_id) AS cell_owner, rw AS cell_row, cl AS cell_col FROM fx_hotspot WHERE valid AND cls=1 GROUP BY ALL")
+_OWNER = "coalesce(source_scene_id||':'||strftime(observed_at,'%Y-%m-%d %H:%M:%S'), scene_id)"
+
+
+@query(
+    "n3_stream_hotspots",
+    f"""SELECT CAST(day AS VARCHAR) AS period, cell_owner, rw AS cell_row, cl AS cell_col, scene_id, event_id, round(CAST(score AS DOUBLE),6)+0.0 AS score FROM (SELECT *, date_trunc('day', ts) AS day, {_OWNER} AS cell_owner,
+ row_number() OVER (PARTITION BY source_scene_id IS NOT NULL, {_OWNER}, rw, cl, date_trunc('day', ts) ORDER BY least(rw+1,cl+1,40-rw,40-cl) DESC, scene_id, event_id) AS k FROM fx_hotspot WHERE valid AND (source_scene_id IS NOT NULL OR cls=1)) q WHERE k=1 AND cls=1""",
+)
 def n3_stream_hotspots(inp):
-    source = event_stream(inp)
+    """Winners per cell and day, an hour behind the newest report."""
     sql = VIEWS["fx_hotspot"].replace("FROM events", "FROM {events}")
-    fires = H.stream_hotspots(inp.spark.sql(sql, events=source), "400 days")
-    return H.run_to_table(fires, "hotspots").select("cell_owner", "cell_row", "cell_col")
+
+    def build(events):
+        return H.stream_hotspots(inp.spark.sql(sql, events=events), F.lit(40), F.lit(40), carry=("score", "event_id"), ties=("event_id",))
+
+    won = H.run_to_end(build, event_stream(inp), "ts", "hotspots")
+    return won.select(F.date_format("period", "yyyy-MM-dd HH:mm:ss").alias("period"), "cell_owner", "cell_row", "cell_col", "scene_id", "event_id", (F.round(F.col("score").cast("double"), 6) + 0.0).alias("score"))

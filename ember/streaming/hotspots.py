@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ember.operators.ranking import hotspot_cell
 from ember.session import scratch
 
 
-def stream_hotspots(stream: DataFrame, lateness: str = "1 hour", time: str = "ts") -> DataFrame:
-    """First valid fire report per ground cell within the lateness bound.
+def stream_hotspots(
+    stream: DataFrame, height: Column, width: Column, lateness: str = "1 hour", period: str = "1 day", time: str = "ts", carry: Sequence[str] = ("score",), ties: Sequence[str] = ()
+) -> DataFrame:
+    """One winning report per ground cell and period, by the rule of ``dedup_hotspots``.
 
-    State is dropped once the watermark passes, so it follows the arrival rate,
-    not the history.  The exact winner rule is the batch ``dedup_hotspots``.
+    The best candidate of a cell is all that is kept of it; it leaves when the
+    watermark, ``lateness`` behind the newest report, passes the end of the
+    period, so state follows the arrival rate and not the history.  Later
+    reports of a closed period are dropped.  Among reports of equal rank the
+    smallest ``ties`` win, whatever the order of arrival.
     """
-    fires = hotspot_cell(stream.where(F.col("valid") & (F.col("cls") == 1)))
-    timed = fires.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
-    return timed.dropDuplicatesWithinWatermark(["shared_grid", "cell_owner", "cell_row", "cell_col"])
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    # naming the time keeps these filters above the watermark, which rows without a fire move as well
+    timely = F.col(time).isNotNull()
+    cells = hotspot_cell(timed.where(F.when(timely, F.col("valid")))).where(F.when(timely, F.col("shared_grid") | (F.col("cls") == 1)))
+    context = F.least(F.col("rw") + 1, F.col("cl") + 1, height - F.col("rw"), width - F.col("cl"))
+    rank = F.struct((-context).alias("p"), F.col("scene_id"), *ties)
+    payload = F.struct("scene_id", "observed_at", "rw", "cl", "cls", *carry)
+    won = cells.groupBy(F.window(time, period), "shared_grid", "cell_owner", "cell_row", "cell_col").agg(F.min_by(payload, rank).alias("_w"))
+    return won.where(F.col("_w.cls") == 1).select(F.col("window.start").alias("period"), "shared_grid", "cell_owner", "cell_row", "cell_col", "_w.*").drop("cls")
 
 
 def _drain(query: DataFrame, out: str, progress: str, mode: str) -> None:

@@ -55,3 +55,60 @@ def test_batch_and_stream_agree(spark, tmp_path):
     batch = R.admission(log, 2, 90).select("client", "event_id", "admitted")
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert batch.where(~F.col("admitted")).count() > 0
+
+
+SPOTS = "event_id bigint, source_scene_id string, grid_row_offset bigint, grid_col_offset bigint, scene_id string, observed_at timestamp, ts timestamp, rw bigint, cl bigint, cls int, valid boolean, score double"
+
+
+def spot_rows():
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(500):
+        shared, day = i % 3 == 0, i // 100
+        ts = BASE + datetime.timedelta(days=day, seconds=float(rng.integers(0, 86_000)))
+        seen = BASE + datetime.timedelta(days=day)
+        rows.append((i, f"src{i % 2}" if shared else None, 0 if shared else None, 0 if shared else None, f"sc{rng.integers(4)}", seen, ts, int(rng.integers(6)), int(rng.integers(6)), int(rng.integers(2)), bool(rng.random() < 0.9), float(i)))
+    return sorted(rows, key=lambda r: r[6])
+
+
+def best_spots(rows):
+    best = {}
+    for i, src, _, _, scene, seen, ts, rw, cl, cls, valid, score in rows:
+        if valid and (src is not None or cls == 1):
+            owner = f"{src}:{seen}" if src else scene
+            rank = (-min(rw + 1, cl + 1, 6 - rw, 6 - cl), scene, i)
+            key = (ts.replace(hour=0, minute=0, second=0), src is not None, owner, rw, cl)
+            best[key] = min(best.get(key, (rank, (cls, i))), (rank, (cls, i)))
+    return {(k[0], k[2], k[3], k[4], i) for k, (_, (cls, i)) in best.items() if cls == 1}
+
+
+def test_stream_hotspots_keep_the_best_and_forget(spark, tmp_path):
+    rows, folder = spot_rows(), str(tmp_path / "spots")
+    for day in range(5):
+        spark.createDataFrame([r for r in rows if (r[6] - BASE).days == day], SPOTS).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(spark.createDataFrame([], SPOTS).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    build = lambda e: H.stream_hotspots(e, F.lit(6), F.lit(6), carry=("score", "event_id"), ties=("event_id",))
+    got = H.run_to_end(build, events, "ts", "spots").collect()
+    found = {(r.period, r.cell_owner, r.cell_row, r.cell_col, r.event_id) for r in got}
+    assert len(got) == len(found) and found == best_spots(rows)
+
+    run = build(events).writeStream.format("memory").queryName("spots").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    assert held[-1] < 0.5 * sum(len([r for r in rows if (r[6] - BASE).days == d]) for d in range(5))  # closed days are gone
+    assert max(held) <= 2 * 100
+
+
+def test_stream_hotspots_drop_what_comes_too_late(spark, tmp_path):
+    rows = [r for r in spot_rows() if (r[6] - BASE).days in (0, 2)]
+    folder = str(tmp_path / "late")
+    early, late = [r for r in rows if r[0] % 7], [r for r in rows if r[0] % 7 == 0 and (r[6] - BASE).days == 0]
+    spark.createDataFrame(early, SPOTS).coalesce(1).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(spark.createDataFrame([], SPOTS).schema).parquet(folder)
+    build = lambda e: H.stream_hotspots(e, F.lit(6), F.lit(6), carry=("score", "event_id"), ties=("event_id",))
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    H._drain(build(events), out, progress, "append")
+    spark.createDataFrame(late, SPOTS).coalesce(1).write.mode("append").parquet(folder)
+    H._drain(build(events), out, progress, "append")
+    got = {(r.period, r.cell_owner, r.cell_row, r.cell_col, r.event_id) for r in spark.read.parquet(out).collect()}
+    assert late and got == {w for w in best_spots(early) if w[0] == BASE}
