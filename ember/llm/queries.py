@@ -83,11 +83,11 @@ q AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR)||'-'||CAST(turn AS VARCHAR)
   trim(regexp_replace(lower(lag(text,1) OVER w),'\s+',' ','g')) AS q1, trim(regexp_replace(lower(lag(text,2) OVER w),'\s+',' ','g')) AS q2
   FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT conv_id, turn, trim(regexp_replace(lower(unnest([own_text]||string_split_regex(own_text,'\n\s*\n')||string_split(own_text,chr(10)))),'\s+',' ','g')) AS piece FROM q),
-f AS (SELECT conv_id, piece, min(turn) AS turn FROM p WHERE length(piece)>=8 GROUP BY ALL),
+f AS (SELECT conv_id, piece, min(turn) AS turn FROM p WHERE length(piece)>0 GROUP BY ALL),
 l AS (SELECT q.*, f1.turn AS t1, f2.turn AS t2 FROM q LEFT JOIN f f1 ON f1.conv_id=q.conv_id AND f1.piece=q.q1 AND f1.turn<q.turn
   LEFT JOIN f f2 ON f2.conv_id=q.conv_id AND f2.piece=q.q2 AND f2.turn<q.turn),
 r AS (SELECT msg_id, turn, own_text, CASE WHEN coalesce(q2,'')<>'' THEN 2 WHEN coalesce(q1,'')<>'' THEN 1 ELSE 0 END AS quote_levels,
-  CAST(coalesce(length(q1)>=8,false) AS BIGINT)+CAST(coalesce(length(q2)>=8,false) AS BIGINT) AS n_quotes,
+  CAST(coalesce(length(q1)>0,false) AS BIGINT)+CAST(coalesce(length(q2)>0,false) AS BIGINT) AS n_quotes,
   CAST(t1 IS NOT NULL AS BIGINT)+CAST(t2 IS NOT NULL AS BIGINT) AS n_linked,
   CASE WHEN coalesce(t1,t2) IS NOT NULL THEN CAST(conv_id AS VARCHAR)||'-'||CAST(coalesce(t1,t2) AS VARCHAR) END AS parent_id FROM l),
 u AS (SELECT msg_id, msg_id AS root_id, CAST(0 AS BIGINT) AS depth FROM r WHERE parent_id IS NULL

@@ -72,7 +72,9 @@ def link_quotations(messages: DataFrame, group: str | None = None, least: int =
     """Link the messages ``msg_id, position, text`` (and ``group``).
 
     Returns per message ``msg_id, position, own_text, quote_levels, n_quotes,
-    n_linked, parent_id``; ``position`` is any sortable order of sending.
+    n_linked, parent_id``; ``position`` is any sortable order of sending.  Inside
+    a group passages of any length are linked; across groups, or without any,
+    those of at least ``least`` characters.
     """
     keys = [group] if group else []
     rows = messages.where(F.col("msg_id").isNotNull()).groupBy("msg_id").agg(F.min(F.struct("position", "text", *keys)).alias("_m"))
@@ -81,16 +83,17 @@ def link_quotations(messages: DataFrame, group: str | None = None, least: int =
 
     # originals: the whole own text and its paragraphs
     pieces = F.array_distinct(F.concat(F.array(F.col("own_text")), F.split("own_text", r"\n\s*\n"), F.split("own_text", r"\n")))
-    said = parsed.select("msg_id", "position", *keys, F.explode(F.array_distinct(F.transform(pieces, normal))).alias("piece")).where(F.length("piece") >= least)
-    said = said.withColumn("hash", F.xxhash64("piece", F.length("piece"))).select("hash", F.struct("position", "msg_id").alias("who"), *keys)
+    said = parsed.select("msg_id", "position", *keys, F.explode(F.array_distinct(F.transform(pieces, normal))).alias("piece")).where("piece <> ''")
+    said = said.select(F.xxhash64("piece", F.length("piece")).alias("hash"), (F.length("piece") >= least).alias("long"), F.struct("position", "msg_id").alias("who"), *keys)
     quotes = parsed.select("msg_id", "position", *keys, F.posexplode("runs").alias("at", "run")).where(F.col("run.level") > 0)
-    quotes = quotes.select("msg_id", "position", *keys, "at", F.col("run.level").alias("level"), normal(F.col("run.text")).alias("piece")).where(F.length("piece") >= least)
-    quotes = quotes.withColumn("hash", F.xxhash64("piece", F.length("piece")))
+    quotes = quotes.select("msg_id", "position", *keys, "at", F.col("run.level").alias("level"), normal(F.col("run.text")).alias("piece")).where("piece <> ''")
+    quotes = quotes.withColumn("hash", F.xxhash64("piece", F.length("piece"))).drop("piece")
 
     linked = quotes
     names = []
     for scope in ([keys, []] if group else [[]]):
-        first = said.groupBy("hash", *scope).agg(F.min("who").alias("_who"))
+        # without a group a few characters say nothing about who wrote them
+        first = (said if scope else said.where("long")).groupBy("hash", *scope).agg(F.min("who").alias("_who"))
         name = f"_found{len(names)}"
         first = first.select(F.col("hash").alias("_hash"), *[F.col(c).alias(f"_{c}") for c in scope], F.col("_who").alias(name))
         same = F.col("hash") == F.col("_hash")

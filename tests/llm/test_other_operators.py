@@ -226,3 +226,14 @@ def test_entry_registers_the_eleven(spark):
     assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 11))
     assert "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_short_turns_are_linked_inside_their_conversation(spark):
+    """Two characters name an original in its own conversation, not in any other."""
+    turns = [(1, 1, "Shall we meet at noon by the gate?"), (1, 2, "Yes."), (1, 3, "Then bring the maps."), (2, 1, "Yes."), (2, 2, "Good, see you there."), (2, 3, "")]
+    mail = quotes.as_mail(spark.createDataFrame(turns, "conv_id bigint, turn int, text string"))
+    got = {r.msg_id: r for r in quotes.thread(quotes.link_quotations(mail, group="conv_id")).collect()}
+    assert [got[m].parent_id for m in ("1-1", "1-2", "1-3", "2-1", "2-2", "2-3")] == [None, "1-1", "1-2", None, "2-1", "2-2"]
+    assert got["1-3"].n_quotes == got["1-3"].n_linked == 2 and got["2-2"].root_id == "2-1"
+    free = {r.msg_id: r for r in quotes.link_quotations(mail.drop("conv_id")).collect()}
+    assert free["2-2"].parent_id is None and free["1-2"].parent_id == "1-1"
