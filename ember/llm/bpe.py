@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ember.llm.common import stored
 from ember.llm.split import slices
@@ -34,7 +35,7 @@ from ember.llm.vocabulary import WHITE, Vocabulary, read_vocabulary
 #: Fixed value: the word pattern of the tokenizer.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 #: White-space-free strings whose words a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Most frequent words that are broadcast (about 12 MB); the rest is joined.
 HOT = 1 << 19
 
@@ -104,15 +105,33 @@ def count_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the decoded text of an array column of ids.
 
-    The id-to-piece table is folded into one row, an array indexed by id of a
-    fixed number of entries, and joined to every row; the pieces are joined by
-    blanks, as a tokenizer without a decoder does.  An id that is not in the
-    vocabulary gives no piece; null ids give null.
+    The id-to-piece table has the fixed size of the vocabulary and is
+    broadcast; each batch joins its distinct ids to it once and takes the
+    pieces back to their positions.  Pieces are joined by blanks, as a tokenizer
+    without a decoder does.  An id that is not in the vocabulary gives no piece;
+    null ids give null.
     """
-    by_id = dict(vocabulary.pieces())
-    row = encoded.sparkSession.createDataFrame([([by_id.get(i) for i in range(max(by_id) + 1)],)], "_pieces array<string>")
-    joined = encoded.join(F.broadcast(row), F.lit(True))
-    return joined.withColumn(name, F.array_join(F.transform(ids, lambda i: F.get(F.col("_pieces"), i)), " ")).drop("_pieces")
+    pieces = sorted(dict(vocabulary.pieces()).items())
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "piece": pa.array([p for _, p in pieces], pa.string())}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                lists = part.column(ids)
+                coded = lists.flatten().dictionary_encode()
+                wanted = pa.table({"id": coded.dictionary, "at": pa.array(np.arange(len(coded.dictionary)))})
+                found = wanted.join(shared.value, "id").sort_by("at").column("piece").combine_chunks()
+                texts = found.take(coded.indices)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                known = texts.is_valid().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.drop_null()), " ")
+                joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, name])
+
+    schema = StructType([*encoded.schema.fields, StructField(name, StringType())])
+    return encoded.mapInArrow(run, schema)
 
 
 def word_table(words: DataFrame, shared) -> DataFrame:

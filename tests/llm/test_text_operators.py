@@ -383,3 +383,13 @@ def test_katz_without_discounted_words(spark, train, held):
 
     for i, text in rows:
         assert math.isfinite(got[i].score) and abs(got[i].score - score(text)) < 1e-6
+
+
+def test_decode_of_odd_ids(spark):
+    voc = read_vocabulary(WORD)
+    pieces = dict(voc.pieces())
+    some = sorted(pieces)[5:8]
+    rows = [(1, some), (2, []), (3, None), (4, [some[0], 10**8, some[2], some[0]]), (5, [-1])]
+    got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), voc).collect()}
+    a, b, c = (pieces[i] for i in some)
+    assert got == {1: f"{a} {b} {c}", 2: "", 3: None, 4: f"{a} {c} {a}", 5: ""}
