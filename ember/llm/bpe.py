@@ -206,7 +206,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     table = word_table(count_words(docs, shared), shared)
     # ``hot`` bounds what reaches the driver and the workers
     top = table.orderBy(F.desc("n"), "word").limit(hot).toArrow()
-    hot_words = spark.sparkContext.broadcast(top.column("word").to_pylist())
+    hot_words = spark.sparkContext.broadcast(top.column("word").combine_chunks())  # compact: workers keep it
     lists = [np.frombuffer(i, "<i4") for i in top.column("ids").to_pylist()]
     hot_ids = spark.sparkContext.broadcast((np.cumsum([0, *map(len, lists)]), np.concatenate([np.zeros(0, "<i4"), *lists])))
     lowest = pc.min(top.column("n")).as_py() or 0
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Word numbers of every text, its rare words numbered from ``base`` in order of appearance."""
-        split, rank = Splitter(shared.value), {w: i for i, w in enumerate(hot_words.value)}
+        split, rank = Splitter(shared.value), {w: i for i, w in enumerate(hot_words.value.to_pylist())}
         known = Numbering(split, rank)
         for batch in batches:
             for a, b in slices(batch.column("text")):
