@@ -103,7 +103,7 @@ def count_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Add the decoded text of an array column of ids.
+    """Add the decoded text of a column of ids, an array or packed as in :func:`encode`.
 
     The id-to-piece table has the fixed size of the vocabulary and is
     broadcast; each batch joins its distinct ids to it once and takes the
@@ -119,6 +119,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 lists = part.column(ids)
+                if not pa.types.is_list(lists.type):  # packed: 4 bytes an id
+                    sizes = pc.fill_null(pc.binary_length(lists), 0).to_numpy(zero_copy_only=False) // 4
+                    flat = np.frombuffer(b"".join(x for x in lists.to_pylist() if x), "<i4")
+                    bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(bounds, pa.array(flat), mask=lists.is_null())
                 coded = lists.flatten().dictionary_encode()
                 wanted = pa.table({"id": coded.dictionary, "at": pa.array(np.arange(len(coded.dictionary)))})
                 found = wanted.join(shared.value, "id").sort_by("at").column("piece").combine_chunks()
@@ -126,7 +131,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
                 sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 known = texts.is_valid().to_numpy(zero_copy_only=False)
                 ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.drop_null()), " ")
+                texts = texts if known.all() else texts.drop_null()
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), " ")
                 joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, name])
 

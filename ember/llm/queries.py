@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     """Encode and decode all documents through the distinct-word table."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), read_vocabulary(path))
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path).drop("ids"), read_vocabulary(path), ids="packed")
     return done.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -393,3 +393,5 @@ def test_decode_of_odd_ids(spark):
     got = {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "k int, ids array<int>"), voc).collect()}
     a, b, c = (pieces[i] for i in some)
     assert got == {1: f"{a} {b} {c}", 2: "", 3: None, 4: f"{a} {c} {a}", 5: ""}
+    packed = [(k, None if i is None else bytearray(np.array(i, "<i4").tobytes())) for k, i in rows]
+    assert got == {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(packed, "k int, packed binary"), voc, ids="packed").collect()}
