@@ -102,6 +102,25 @@ def count_words(docs: DataFrame, shared, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def piece_table(vocabulary: Vocabulary) -> pa.Table:
+    """``id, piece`` of the whole vocabulary, a table of fixed size."""
+    pieces = sorted(dict(vocabulary.pieces()).items())
+    return pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "piece": pa.array([p for _, p in pieces], pa.string())})
+
+
+def _decoded(lists: pa.ListArray, pieces: pa.Table) -> pa.Array:
+    """Texts of lists of ids: the distinct ids are joined to the piece table, the pieces by blanks."""
+    coded = lists.flatten().dictionary_encode()
+    wanted = pa.table({"id": coded.dictionary, "at": pa.array(np.arange(len(coded.dictionary)))})
+    texts = wanted.join(pieces, "id").sort_by("at").column("piece").combine_chunks().take(coded.indices)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    known = texts.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+    texts = texts if known.all() else texts.drop_null()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), " ")
+    return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
+
+
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Add the decoded text of a column of ids, an array or packed as in :func:`encode`.
 
@@ -111,8 +130,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
     without a decoder does.  An id that is not in the vocabulary gives no piece;
     null ids give null.
     """
-    pieces = sorted(dict(vocabulary.pieces()).items())
-    shared = encoded.sparkSession.sparkContext.broadcast(pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "piece": pa.array([p for _, p in pieces], pa.string())}))
+    shared = encoded.sparkSession.sparkContext.broadcast(piece_table(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,17 +142,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: s
                     flat = np.frombuffer(b"".join(x for x in lists.to_pylist() if x), "<i4")
                     bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                     lists = pa.ListArray.from_arrays(bounds, pa.array(flat), mask=lists.is_null())
-                coded = lists.flatten().dictionary_encode()
-                wanted = pa.table({"id": coded.dictionary, "at": pa.array(np.arange(len(coded.dictionary)))})
-                found = wanted.join(shared.value, "id").sort_by("at").column("piece").combine_chunks()
-                texts = found.take(coded.indices)
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                known = texts.is_valid().to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
-                texts = texts if known.all() else texts.drop_null()
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts), " ")
-                joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(lists, shared.value)], [*part.schema.names, name])
 
     schema = StructType([*encoded.schema.fields, StructField(name, StringType())])
     return encoded.mapInArrow(run, schema)
@@ -201,14 +209,19 @@ def _gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.nda
     return values[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)]
 
 
-def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
-    """Encode whole texts: ``doc_id, n_tokens, ids, packed``.
+def encode(docs: DataFrame, path: str, hot: int = HOT, decoded: bool = False) -> DataFrame:
+    """Encode whole texts: ``doc_id, n_tokens, ids, packed``; with ``decoded`` also decode the ids.
+
+    Decoding in the task that has just put the ids together is :func:`decode`
+    without a second Python worker beside the first.
 
     ``ids`` is an array, ``packed`` the same ids as little-endian unsigned
     32-bit integers.  A text may hold up to ``2 ** 24 - hot`` distinct rare words.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_vocabulary(path))
+    vocabulary = read_vocabulary(path)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    pieces = spark.sparkContext.broadcast(piece_table(vocabulary)) if decoded else None
     table = word_table(count_words(docs, shared), shared)
     # ``hot`` bounds what reaches the driver and the workers
     top = table.orderBy(F.desc("n"), "word").limit(hot).toArrow()
@@ -277,9 +290,9 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
                     ids.append(_gather(values, ends[codes], ends[codes + 1] - ends[codes]))
                 sizes = np.array([len(i) for i in ids])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array([i.tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "packed"]
-                )
+                more = [_decoded(lists, pieces.value)] if pieces else []
+                columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), lists, pa.array([i.tobytes() for i in ids], pa.binary()), *more]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "packed", "decoded"][: len(columns)])
 
     text = F.col("text").cast("string")
     identity = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), text), F.hash(text, F.col("doc_id").cast("string"))]
@@ -291,4 +304,4 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     seldom = table.where(F.col("n") <= lowest).select("word", "ids")
     rare = rare.join(seldom, "word").groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare")).select("_k", "_k2", F.col("rare.ids").alias("rare"))
     both = coded.join(rare, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
-    return both.select("doc_id", "k", "k2", "words", "rare").mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary")
+    return both.select("doc_id", "k", "k2", "words", "rare").mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary" + ", decoded string" * decoded)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ember.llm import bagminhash, bloom_cascade, bpe, katz, line_runs, merkle, mixing, nn_descent, ordinal, periodic_runs, pivot_index, quotes, token_counts
 from ember.llm.common import table
-from ember.llm.vocabulary import read_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +34,7 @@ def query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     """Encode and decode all documents through the distinct-word table."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path).drop("ids"), read_vocabulary(path), ids="packed")
+    done = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
