@@ -83,7 +83,44 @@ def g3_grid_dnbr(inp):
     return rounded(G.grid_dnbr(hist).select("t1", "t2", "t3", "IoU_burn", "mIoU_sev", "score"))
 
 
-@query("g4_tune_multipliers")
+def tuning_ctes(source: str, initial, passes: int = 2) -> str:
+    """The coordinate search unrolled: one candidate table, log and state per (pass, class).
+
+    ``source`` has ``truth, z0..z3``; a pass after one without a change changes nothing.
+    """
+    first = ", ".join(f"{m}::FLOAT AS m{c}" for c, m in enumerate(initial) if c)
+    fixed = Q.argmax(["z0", "(z1*w.m1)", "(z2*w.m2)", "(z3*w.m3)"])
+    steps = ",".join(f"({i},{v}::FLOAT)" for i, v in enumerate(G.TUNING_STEPS))
+    out = [
+        f"px AS MATERIALIZED {source}, st AS MATERIALIZED (SELECT * FROM (VALUES {steps}) v(i,s)), s00 AS (SELECT {first})",
+        f"s0 AS MATERIALIZED (SELECT w.*, q.score AS best FROM s00 w, ({Q.score_select(f'(SELECT truth, {fixed} AS pred FROM px, s00 w) p', rounded=False)}) q)",
+    ]
+    for n in range(1, 3 * passes + 1):
+        c = (n - 1) % 3 + 1
+        pred = Q.argmax(["z0", *[f"(z{j}*{'st.s' if j == c else f'w.m{j}'})" for j in (1, 2, 3)]])
+        tried = Q.score_select(f"(SELECT st.i, st.s, truth, {pred} AS pred FROM px, st, s{n - 1} w) p", "i, s", rounded=False)
+        state = ", ".join(f"coalesce((SELECT arg_max(s,i) FROM l{n}),w.m{j}) AS m{j}" if j == c else f"w.m{j}" for j in (1, 2, 3))
+        out += [
+            f"k{n} AS MATERIALIZED ({tried})",
+            f"a{n} AS (SELECT k.i, k.s, k.score, w.best, w.m{c} AS m, coalesce(max(k.score) OVER (ORDER BY k.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),w.best) AS prev FROM k{n} k, s{n - 1} w)",
+            f"l{n} AS MATERIALIZED (SELECT i, s, score, coalesce(lag(s) OVER (ORDER BY i),m) AS f FROM a{n} WHERE score>greatest(prev,best)+1e-12)",
+            f"s{n} AS MATERIALIZED (SELECT {state}, coalesce((SELECT max(score) FROM l{n}),w.best) AS best FROM s{n - 1} w)",
+        ]
+    return ", ".join(out)
+
+
+def tuning_source(second_weight: float | None = None) -> str:
+    mixed = [f"t{c}" if second_weight is None else f"{second_weight}::FLOAT*n{c}+{1 - second_weight}::FLOAT*t{c}" for c in range(4)]
+    return "(SELECT truth, " + ", ".join(f"{m} AS z{c}" for c, m in enumerate(mixed)) + " FROM fx_pixel WHERE valid)"
+
+
+_LOG = " UNION ALL ".join(f"SELECT {(n - 1) // 3 + 1} AS pass_no, {(n - 1) % 3 + 1} AS class_id, f, s, score FROM l{n}" for n in range(1, 7))
+
+
+@query(
+    "g4_tune_multipliers",
+    f"WITH {tuning_ctes(tuning_source(), (1.0, 1.0, 1.0, 1.0))} SELECT pass_no, class_id, {Q.r('f')} AS from_value, {Q.r('s')} AS to_value, {Q.r('score')} AS score FROM ({_LOG} UNION ALL SELECT 0, 0, m1, m2, best FROM s6) z",
+)
 def g4_tune_multipliers(inp):
     weights, score, log = G.tune_multipliers(inp.fx_pixel.where("valid"), TREE)
     rows = [(r["pass_no"], r["class_id"], r["from_value"], r["to_value"], r["score"]) for r in log] + [(0, 0, weights[1], weights[2], score)]
@@ -208,9 +245,17 @@ def g12_hash_halves(inp):
     return longs(rounded(R.hash_halves(pairs(inp))))
 
 
-@query("g13_compare_pair")
+_PAIR_INITIAL = (1.0, 1.3, 1.3, 1.0)
+_KEPT = f"(SELECT truth, {Q.argmax(['z0', '(z1*1.3::FLOAT)', '(z2*1.3::FLOAT)', 'z3'])} AS pred FROM {tuning_source(0.0)} z) p"
+
+
+@query(
+    "g13_compare_pair",
+    f"""WITH {tuning_ctes(tuning_source(0.5), _PAIR_INITIAL)} SELECT second_weight, m0, {Q.r('m1')} AS m1, {Q.r('m2')} AS m2, {Q.r('m3')} AS m3, {Q.r('score')} AS score
+ FROM (SELECT 0.5::DOUBLE AS second_weight, 1.0::DOUBLE AS m0, m1, m2, m3, best AS score FROM s6 UNION ALL SELECT 0.0, 1.0, 1.3, 1.3, 1.0, score FROM ({Q.score_select(_KEPT, rounded=False)}) k) z""",
+)
 def g13_compare_pair(inp):
-    rows = G.compare_pair(inp.fx_pixel.where("valid"), SECOND, TREE, (1.0, 1.3, 1.3, 1.0), (0.0, 0.5))
+    rows = G.compare_pair(inp.fx_pixel.where("valid"), SECOND, TREE, _PAIR_INITIAL, (0.0, 0.5))
     flat = [(w, *[float(v) for v in m], s) for w, m, s in rows]
     return rounded(inp.spark.createDataFrame(flat, "second_weight double, m0 double, m1 double, m2 double, m3 double, score double"))
 

@@ -12,6 +12,7 @@ from ember.functions import decision as D
 from ember.functions import scores as S
 from ember.operators.confusion import CELLS, confusion, score_confusion, score_wide, widen
 from ember.operators.joins import with_candidates
+from ember.session import cut_lineage
 
 # The candidate grids.
 DNBR_EDGES = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -95,6 +96,37 @@ def score_candidates(px: DataFrame, scores: Sequence[str], grid: Sequence[dict],
     return score_confusion(confusion(decided, [*keys, *names], truth), [*keys, *names])
 
 
+def score_steps(px: DataFrame, scores: Sequence[str], weights: Sequence[float], c: int, steps: Sequence[float], truth: str = "truth") -> DataFrame:
+    """Burn scores of every multiplier of class ``c``, the others held: ``cand, step, ..., score``.
+
+    A pixel is read once: it is class ``c`` at the steps where its product beats
+    the best other class, and that other class elsewhere.  Pixels shrink map-side
+    to counts per (truth, other class, steps won); for scores that are not
+    negative the steps won start at one flip point, so there are at most
+    ``16 * (steps + 1)`` groups, whatever the number of pixels.  The steps are
+    unfolded on these counts only.  At most 62 steps, one bit each.
+    """
+    if not 1 <= c <= 3 or not 0 < len(steps) <= 62:
+        raise ValueError("need a class from 1 to 3 and 1 to 62 steps")
+    product = [F.col(s).cast("float") * F.lit(float(w)).cast("float") for s, w in zip(scores, weights)]
+    others = F.array(*[F.lit(None).cast("float") if i == c else p for i, p in enumerate(product)])
+    before = F.array_max(F.array(*product[:c]))
+    after = F.array_max(F.array(*product[c + 1:])) if c < 3 else F.lit(None).cast("float")
+    won = F.lit(0).cast("bigint")
+    for i, step in enumerate(steps):
+        own = F.col(scores[c]).cast("float") * F.lit(float(step)).cast("float")
+        # earlier classes win ties, later ones lose them
+        wins = F.coalesce(own > F.col("_before"), own.isNotNull()) & F.coalesce(own >= F.col("_after"), own.isNotNull())
+        won = won + F.when(wins, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+    rival = (F.array_position(others, F.array_max(others)) - 1).cast("int")
+    read = px.select(F.col(truth).cast("int").alias("truth"), scores[c], rival.alias("_rival"), before.alias("_before"), after.alias("_after"))
+    counts = read.groupBy("truth", "_rival", won.alias("_won")).agg(F.count(F.lit(1)).alias("n"))
+    wide = with_candidates(counts, [{"cand": i, "step": float(s)} for i, s in enumerate(steps)])
+    taken = F.expr("shiftright(_won, cand)").bitwiseAND(F.lit(1)) == 1
+    long = wide.withColumn("pred", F.when(taken, F.lit(c)).otherwise(F.col("_rival")))
+    return score_confusion(long, ["cand", "step"])
+
+
 def pick_first_best(candidates: DataFrame, score: str = "score", order: str = "cand", keys: Sequence[str] = ()) -> DataFrame:
     """Highest score, earliest declared candidate on ties; keeps all columns."""
     others = [c for c in candidates.columns if c not in keys]
@@ -129,27 +161,23 @@ def tune_multipliers(px: DataFrame, scores: Sequence[str], initial: Sequence[flo
     """Coordinate search over class multipliers.
 
     Returns ``(final multipliers, score, log rows)``.  Every (pass, class) is
-    one Spark job that scores all steps at once; the driver only replays the
-    acceptance rule on those eight rows.
+    one Spark job that scores all steps from one read of each pixel
+    (:func:`score_steps`); the driver only replays the acceptance rule on those
+    eight rows.
     """
     weights = [float(v) for v in initial]
     if len(weights) != 4 or weights[0] != 1.0 or any(not (0 < v < float("inf")) for v in weights):
         raise ValueError("need four positive finite multipliers, the first equal to 1")
 
-    def evaluate(options: Sequence[Sequence[float]]) -> list[float]:
-        grid = [{"cand": i, "m1": o[1], "m2": o[2], "m3": o[3]} for i, o in enumerate(options)]
-        rows = score_candidates(px, scores, grid, truth=truth).select("cand", "score").collect()
-        found = {r["cand"]: r["score"] for r in rows}
-        return [found[i] for i in range(len(options))]
-
-    best = evaluate([weights])[0]
+    start = {"cand": 0, "m1": weights[1], "m2": weights[2], "m3": weights[3]}
+    best = score_candidates(px, scores, [start], truth=truth).first()["score"]
     log = []
     for number in range(1, passes + 1):
         changed = False
         for c in (1, 2, 3):
             origin = weights[c]
-            options = [[*weights[:c], float(step), *weights[c + 1:]] for step in steps]
-            for step, value in zip(steps, evaluate(options)):
+            found = {r["cand"]: r["score"] for r in score_steps(px, scores, weights, c, steps, truth).select("cand", "score").collect()}
+            for step, value in zip(steps, [found[i] for i in range(len(steps))]):
                 if value > best + 1e-12:
                     log.append({"pass_no": number, "class_id": c, "from_value": origin, "to_value": float(step), "score": value})
                     weights[c], best, origin, changed = float(step), value, float(step), True
@@ -229,10 +257,6 @@ def compare_pair(px: DataFrame, second: Sequence[str], tree: Sequence[str], init
             score = score_candidates(blended, names, grid, truth=truth).first()["score"]
             out.append((w, list(initial), score))
             continue
-        kept = blended.persist()
-        try:
-            multipliers, score, _ = tune_multipliers(kept, names, initial, truth=truth)
-        finally:
-            kept.unpersist()
+        multipliers, score, _ = tune_multipliers(cut_lineage(blended), names, initial, truth=truth)
         out.append((w, multipliers, score))
     return out

@@ -175,6 +175,21 @@ def test_tuning_replays_the_coordinate_search(scored):
     assert [(r["class_id"], r["to_value"]) for r in rows] == log and log
 
 
+def test_steps_of_a_class_equal_scoring_each_candidate(spark):
+    rng = np.random.default_rng(5)
+    values = rng.choice([0.0, 0.1, 0.25, 0.5, -0.5, float("nan")], (400, 4), p=[0.2, 0.2, 0.2, 0.2, 0.1, 0.1])
+    rows = [(int(t), *[None if rng.random() < 0.05 else float(v) for v in r]) for t, r in zip(rng.integers(0, 4, 400), values)]
+    df = spark.createDataFrame(rows, "truth int, t0 float, t1 float, t2 float, t3 float")
+    names, weights, steps = ["t0", "t1", "t2", "t3"], [1.0, 0.4, 2.0, 1.0], (2.0, 0.4, 1.0, 5.0)
+    for c in (1, 2, 3):
+        grid = [{"cand": i, **{f"m{j}": s if j == c else weights[j] for j in (1, 2, 3)}} for i, s in enumerate(steps)]
+        want = {r.cand: r.score for r in G.score_candidates(df, names, grid).collect()}
+        got = {r.cand: r.score for r in G.score_steps(df, names, weights, c, steps).collect()}
+        assert got == want and len(got) == 4
+    with pytest.raises(ValueError):
+        G.score_steps(df, names, weights, 0, steps)
+
+
 def test_grid_first_strict_maximum(scored):
     df, p, truth = scored
     values = [brute_score(p, truth, (1.0, *m)) for m in product(G.COARSE_STEPS, repeat=3)]
