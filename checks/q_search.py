@@ -19,6 +19,7 @@ from ember.operators import resample as R
 from ember.operators import sampling as S
 from ember.operators import search as G
 from ember.plans import evaluation as V
+from ember.session import scratch
 
 REPS = 200
 
@@ -402,13 +403,31 @@ def h11_recipes(inp):
     return rounded(M.recipes(inp.spark.sql(_SPEC.replace("FROM orders", "FROM {o}"), o=inp.orders)))
 
 
-@query("h12_replay", f"UNPIVOT ({Q.score_select(DEC_VALID + ' d')}) ON IoU_burn, IoU_1, IoU_2, IoU_3, mIoU_sev, score INTO NAME metric VALUE value")
+def _metric_rows(source: str) -> str:
+    return f"(UNPIVOT ({Q.score_select(source + ' d', rounded=False)}) ON IoU_burn, IoU_1, IoU_2, IoU_3, mIoU_sev, score INTO NAME metric VALUE value)"
+
+
+@query("h12_replay", f"SELECT metric, {Q.r('value')} AS value FROM {_metric_rows(DEC_VALID)} m")
 def h12_replay(inp):
     recorded = V.score_long(C.score_wide(C.confusion_wide(decided(inp.fx_pixel.where("valid")), []), []))
     metrics, _ = V.replay(inp.fx_pixel, SECOND, TREE, RECIPE_WEIGHT, RECIPE, recorded)
     return rounded(metrics)
 
 
+@query(
+    "h12_replay_report",
+    f"""WITH a AS {_metric_rows(DEC_VALID)}, r AS (SELECT metric, value FROM {_metric_rows(_BASE_VALID)} m UNION ALL SELECT 'F1_af', 0.5)
+ SELECT metric, {Q.r('a.value')} AS actual, {Q.r('r.value')} AS expected, coalesce(abs(a.value-r.value)<=0.005,false) AS reproduced FROM a FULL JOIN r USING (metric)""",
+)
+def h12_replay_report(inp):
+    """A recipe replayed against a stored summary: that of the unweighted tree scores, with a metric the replay does not give."""
+    stored = scratch(inp.spark, "summary")
+    base = V.score_long(C.score_wide(C.confusion_wide(decided(inp.fx_pixel.where("valid"), 1.0, (1, 1, 1, 1)), []), []))
+    base.union(inp.spark.sql("SELECT 'F1_af', 0.5D")).write.json(stored)
+    recorded = inp.spark.read.schema("metric string, value double").json(stored)
+    return rounded(V.replay_report(inp.fx_pixel, SECOND, TREE, RECIPE_WEIGHT, RECIPE, recorded))
+
+
 _CSPEC = "SELECT o_orderkey AS id, CASE o_custkey%4 WHEN 0 THEN 'a=tree=/m/a' WHEN 1 THEN 'b=cnn=x=y' WHEN 2 THEN '=tree=/m' ELSE 'c=svm=/m' END AS spec FROM orders"
 
 

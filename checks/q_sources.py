@@ -184,6 +184,26 @@ def a21_conflicting_hashes(inp):
     return M.conflicting_hashes(M.manifest_files(on(inp, _BUNDLE, "orders")))
 
 
+# five levels, an array and a path with dots; every third customer repeats a file with another hash
+_DEEP = """SELECT o_orderkey AS k, '{"bundle_id":"b'||CAST(o_orderkey AS VARCHAR(20))||'","tasks":{"bs":{"path":"m","sha256":{"a.txt":"AA"},"components":{"t":{"members":[{"path":"m/x","sha256":{"c.txt":"cc"}},{"path":"m/x/..","sha256":{"a.txt":"'||CASE WHEN o_custkey%3=0 THEN 'ff' ELSE 'aa' END||'"},"parts":{"p":{"path":"../out","sha256":{"d.txt":"dd"}}}}]}}}}}' AS json FROM orders"""
+
+
+@query(
+    "a21_walk_manifests",
+    """SELECT 'b'||CAST(o_orderkey AS VARCHAR) AS bundle_id, place, path, file, target, escapes, CASE WHEN h='?' THEN CASE WHEN o_custkey%3=0 THEN 'ff' ELSE 'aa' END ELSE h END AS sha256 FROM orders, (VALUES
+ ('$.tasks.bs','m','a.txt','m/a.txt',false,'aa'), ('$.tasks.bs.components.t.members[0]','m/x','c.txt','m/x/c.txt',false,'cc'), ('$.tasks.bs.components.t.members[1]','m/x/..','a.txt','m/a.txt',false,'?'),
+ ('$.tasks.bs.components.t.members[1].parts.p','../out','d.txt','../out/d.txt',true,'dd')) v(place,path,file,target,escapes,h)""",
+)
+def a21_walk_manifests(inp):
+    return M.walk_manifests(on(inp, _DEEP, "orders"))
+
+
+@query("a21_conflicting_targets", "SELECT 'b'||CAST(o_orderkey AS VARCHAR) AS bundle_id, 'm/a.txt' AS target, CAST(2 AS BIGINT) AS n, '$.tasks.bs|$.tasks.bs.components.t.members[1]' AS places FROM orders WHERE o_custkey%3=0")
+def a21_conflicting_targets(inp):
+    found = M.conflicting_targets(M.walk_manifests(on(inp, _DEEP, "orders")))
+    return found.withColumn("places", F.array_join("places", "|"))
+
+
 @query("m1_task_of", f"SELECT DISTINCT chip_id, lower(substr(chip_id,1,2)) AS task FROM {_ASSETS} a")
 def m1_task_of(inp):
     return A.asset_table(on(inp, _FILES, "orders")).select("chip_id", X.task_of(F.col("chip_id")).alias("task")).distinct()

@@ -12,6 +12,7 @@ from ember.operators.confusion import CELLS, confusion_wide, score_wide
 from ember.operators.contracts import check_metrics
 from ember.operators.focal import smooth_scores
 from ember.operators.resample import bootstrap_delta, hash_halves, paired_stats
+from ember.session import cut_lineage
 
 
 def score_long(scored: DataFrame, names: Sequence[str] = ("IoU_burn", "IoU_1", "IoU_2", "IoU_3", "mIoU_sev", "score")) -> DataFrame:
@@ -28,6 +29,19 @@ def replay(px: DataFrame, second: Sequence[str], tree: Sequence[str], tree_weigh
     return metrics, check_metrics(metrics, recorded, tolerance)
 
 
+def replay_report(px: DataFrame, second: Sequence[str], tree: Sequence[str], tree_weight: float, multipliers: Sequence[float], recorded: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Every replayed or recorded metric: ``metric, actual, expected, reproduced``.
+
+    A metric on one side only is not reproduced.
+    """
+    metrics, _ = replay(px, second, tree, tree_weight, multipliers, recorded, tolerance)
+    # the replay is one row of scores; written once, the pixels are not counted for each side
+    metrics = cut_lineage(metrics)
+    failed = check_metrics(metrics, recorded, tolerance).select("metric", F.lit(False).alias("_reproduced"))
+    both = metrics.select("metric", F.col("value").alias("actual")).join(recorded.select("metric", F.col("value").alias("expected")), "metric", "full_outer")
+    return both.join(failed, "metric", "left").select("metric", "actual", "expected", F.coalesce("_reproduced", F.lit(True)).alias("reproduced"))
+
+
 def smoothing_stats(px: DataFrame, second: Sequence[str], tree: Sequence[str], tree_weight: float, multipliers: Sequence[float], window: int | None, height: int, width: int) -> DataFrame:
     """Per-chip confusion of the blend, optionally smoothed before deciding."""
     names = [f"_p{i}" for i in range(4)]

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import numpy as np
 import pytest
@@ -158,3 +159,23 @@ def test_admission_rule(spark):
             if ok:
                 kept.append(t)
             assert got[c, i] == ok
+
+
+def test_manifests_are_walked_to_any_depth(spark):
+    deep = {"path": "z", "sha256": {"f": "AB"}}
+    for i in range(7):
+        deep = {f"k{i}": deep} if i % 2 else [deep, "text", None, 3]
+    rows = [
+        (json.dumps({"bundle_id": "d", "x": deep}),),
+        (json.dumps({"bundle_id": "c", "path": "a/./b", "sha256": {"../f": "1"}, "more": {"path": "a", "sha256": {"f": "2", "/g": "3"}}}),),
+        (json.dumps({"bundle_id": "e", "path": 5, "sha256": "text", "list": []}),),
+        ("not json",), ("",), (None,), ("[]",),
+    ]
+    files = J.walk_manifests(spark.createDataFrame(rows, "json string"))
+    got = {(r.bundle_id, r.place, r.target, r.escapes, r.sha256) for r in files.collect()}
+    assert got == {
+        ("d", "$.x[0].k5[0].k3[0].k1[0]", "z/f", False, "ab"),
+        ("c", "$", "a/f", False, "1"), ("c", "$.more", "a/f", False, "2"), ("c", "$.more", "a/g", True, "3"),
+    }
+    assert [(r.bundle_id, r.target, r.n, r.places) for r in J.conflicting_targets(files).collect()] == [("c", "a/f", 2, ["$", "$.more"])]
+    assert J.walk_manifests(spark.createDataFrame([], "json string")).count() == 0
