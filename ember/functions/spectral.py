@@ -103,44 +103,61 @@ def bs_reflectance() -> dict[str, Column]:
     return {f"{when}_{band}": over(as32(f"{when}_{band}"), 10000) for when in ("pre", "post") for band in OPTICAL}
 
 
-def bs_scaled() -> dict[str, Column]:
-    """20 optical, 4 radar and 3 terrain features of a burn-severity pixel."""
+def bs_values() -> dict[str, Column]:
+    """Scaled bands of a burn-severity pixel before non-finite values are replaced."""
     out: dict[str, Column] = {}
     for when in ("pre", "post"):
         for band in OPTICAL:
-            out[f"{when}_{band}"] = finite0(over(as32(f"{when}_{band}"), 10000))
-        out[f"{when}_SCL"] = finite0(over(as32(f"{when}_SCL"), 11))
+            out[f"{when}_{band}"] = over(as32(f"{when}_{band}"), 10000)
+        out[f"{when}_SCL"] = over(as32(f"{when}_SCL"), 11)
     for when in ("pre", "post"):
         for band in SAR:
-            out[f"{when}_{band}_db"] = finite0(over(over(as32(f"{when}_{band}"), 100), 30))
+            out[f"{when}_{band}_db"] = over(over(as32(f"{when}_{band}"), 100), 30)
     for name, divisor in zip(BS_AUX, (1000, 90, 100)):
-        out[name] = finite0(over(as32(name), divisor))
+        out[name] = over(as32(name), divisor)
     return out
 
 
-def bs_deltas() -> dict[str, Column]:
-    """Pre-minus-post differences of reflectance and radar backscatter."""
-    refl = bs_reflectance()
-    out = {f"delta_{band}": finite0(refl[f"pre_{band}"] - refl[f"post_{band}"]) for band in OPTICAL}
+def bs_scaled() -> dict[str, Column]:
+    """20 optical, 4 radar and 3 terrain features of a burn-severity pixel."""
+    return {name: finite0(value) for name, value in bs_values().items()}
+
+
+def bs_gaps(refl: Mapping[str, Column]) -> dict[str, Column]:
+    """Differences before non-finite values are replaced; ``refl`` as of :func:`bs_reflectance`."""
+    out = {f"delta_{band}": refl[f"pre_{band}"] - refl[f"post_{band}"] for band in OPTICAL}
     for band in SAR:
         gap = over(as32(f"pre_{band}"), 100) - over(as32(f"post_{band}"), 100)
-        out[f"delta_{band}_db"] = finite0(over(gap, 20))
+        out[f"delta_{band}_db"] = over(gap, 20)
     return out
 
 
-def bs_indices() -> dict[str, Column]:
-    """NBR, NDVI, NBR2 and NDWI before, after and their drop."""
-    refl = bs_reflectance()
+def bs_deltas() -> dict[str, Column]:
+    """Pre-minus-post differences of reflectance and radar backscatter."""
+    return {name: finite0(gap) for name, gap in bs_gaps(bs_reflectance()).items()}
+
+
+def bs_contrasts(refl: Mapping[str, Column]) -> dict[str, Column]:
+    """NBR, NDVI, NBR2 and NDWI before and after, non-finite values included."""
+    return {f"{when}_{name}": norm_diff(refl[f"{when}_{a}"], refl[f"{when}_{b}"]) for name, (a, b) in INDICES.items() for when in ("pre", "post")}
+
+
+def bs_drops(contrasts: Mapping[str, Column]) -> dict[str, Column]:
+    """The indices and their drop, finite."""
     out: dict[str, Column] = {}
-    for name, (first, second) in INDICES.items():
-        pre = norm_diff(refl[f"pre_{first}"], refl[f"pre_{second}"])
-        post = norm_diff(refl[f"post_{first}"], refl[f"post_{second}"])
+    for name in INDICES:
+        pre, post = contrasts[f"pre_{name}"], contrasts[f"post_{name}"]
         out[f"pre_{name}"] = finite0(pre)
         out[f"post_{name}"] = finite0(post)
         out[f"delta_{name}"] = finite0(pre - post)
     return out
 
 
+def bs_indices() -> dict[str, Column]:
+    """NBR, NDVI, NBR2 and NDWI before, after and their drop."""
+    return bs_drops(bs_contrasts(bs_reflectance()))
+
+
 def bs_observed() -> Column:
     """All optical values finite and neither date classified as unusable."""
     usable = F.lit(True)

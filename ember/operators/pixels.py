@@ -79,13 +79,23 @@ def features_af(px: DataFrame, height: int, width: int, keep: Sequence[str] = ()
 
 
 def features_bs(px: DataFrame, height: int, width: int, keep: Sequence[str] = ()) -> DataFrame:
-    """The 55 burn-severity features in contract order plus ``observed``."""
+    """The 55 burn-severity features in contract order plus ``observed``.
+
+    Scaling, differences and cleansing are three projections: as one, every
+    column repeats its inputs and the generated method outgrows what the JVM
+    compiles, which is slower by an order of magnitude.
+    """
     from ember.functions import spectral as S
     from ember.operators.focal import focal_means
 
     carried = ["chip_id", "rw", "cl", *keep]
-    columns = {**S.bs_scaled(), **S.bs_deltas(), **S.bs_indices()}
-    base = px.select(*carried, *[c.alias(n) for n, c in columns.items()], S.bs_observed().alias("observed"))
+    optical = list(S.bs_reflectance())
+    values, gaps, contrasts = S.bs_values(), S.bs_gaps({n: F.col(n) for n in optical}), S.bs_contrasts({n: F.col(n) for n in optical})
+    radar = {n: gaps.pop(n) for n in [f"delta_{band}_db" for band in S.SAR]}
+    scaled = px.select(*carried, *[c.alias(n) for n, c in {**values, **radar}.items()], S.bs_observed().alias("observed"))
+    apart = scaled.select("*", *[c.alias(n) for n, c in {**gaps, **contrasts}.items()])
+    clean = {**{n: S.finite0(F.col(n)) for n in [*values, *radar, *gaps]}, **S.bs_drops({n: F.col(n) for n in contrasts})}
+    base = apart.select(*carried, *[c.alias(n) for n, c in clean.items()], "observed")
     focal = focal_means(
         base,
         {

@@ -12,13 +12,16 @@ def session(app: str = "ember", master: str | None = None, shuffle_partitions: i
     """Build a session with the settings the operators are designed for.
 
     Adaptive execution sizes shuffles, converts joins to broadcast when the
-    measured side is small enough and splits skewed join partitions.
+    measured side is small enough and splits skewed join partitions.  The JVM
+    does not compile methods above 8000 bytes of code, so a stage that would
+    generate a larger one falls back to expressions split into small methods.
     """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

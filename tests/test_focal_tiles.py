@@ -94,3 +94,30 @@ def test_norm_diff_stays_in_range(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1e30, -1e30), (-3.0, 3.0), (float("nan"), 1.0)], "a float, b float")
     vals = [r.n for r in df.select(S.norm_diff(F.col("a"), F.col("b")).alias("n")).collect()]
     assert vals[0] == 0.0 and vals[1] == 1.0 and -1.0 <= vals[2] < -0.99 and np.isnan(vals[3])
+
+
+def test_focal_means_of_chips_over_several_batches(spark):
+    rng = np.random.default_rng(3)
+    grids = {c: rng.random((6, 7)) for c in ("a", "b", None)}
+    grids["a"][2, 3] = np.nan
+    gone, empty = ("b", 0, 0), (None, 5, 6)  # a missing pixel and one without a value
+    rows = [(c, r, k, None if (c, r, k) == empty else float(g[r, k])) for c, g in grids.items() for r in range(6) for k in range(7) if (c, r, k) != gone]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "chip_id string, rw int, cl int, v double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {(r.chip_id, r.rw, r.cl): r.m for r in W.focal_means(df, {"m": ("v", 3)}, 6, 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(rows)
+    for (c, r, k), value in got.items():
+        lines = []
+        for y in np.clip([r - 1, r, r + 1], 0, 5):
+            cells = [grids[c][y, x] for x in np.clip([k - 1, k, k + 1], 0, 6) if (c, y, x) not in (gone, empty)]
+            if cells:
+                lines.append(np.mean(cells))
+        assert value == pytest.approx(np.mean(lines), nan_ok=True)
+    with pytest.raises(Exception, match="pixel outside"):
+        W.focal_means(df, {"m": ("v", 3)}, 4, 7).count()
+    assert W.focal_means(df.limit(0), {"m": ("v", 3)}, 6, 7).count() == 0
