@@ -4,7 +4,7 @@
 2. Every distinct word is encoded once into the word table.
 3. Words come back to their positions.  The ``hot`` most frequent words, a fixed
    number, are broadcast; all other words are joined by shuffle.  Each document
-   travels as a sequence of word numbers (1-2 bytes a word), not as text.
+   travels as a sequence of word numbers (about 11 bits a word), not as text.
 4. Decoding joins the ids of a row to the id-to-piece table.
 
 Character classes are those of the Unicode version of the ``regex`` package;
@@ -38,6 +38,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+"
 REMEMBERED = 200_000
 #: Most frequent words that are broadcast (about 12 MB); the rest is joined.
 HOT = 1 << 19
+#: Word numbers packed at a time.
+BLOCK = 1 << 16
 
 
 class Splitter:
@@ -160,19 +162,44 @@ def word_table(words: DataFrame, shared) -> DataFrame:
     return stored(words.select("word", "n").mapInArrow(run, "word string, n bigint, ids binary"), "words")
 
 
+def _below(length: np.ndarray) -> np.ndarray:
+    """Which of 32 bits, highest first, come after the leading one of a number of ``length`` bits."""
+    return np.arange(32) > 32 - length.astype(np.int64)[:, None]
+
+
 def _pack(codes: np.ndarray) -> bytes:
-    """Word numbers as three byte planes, compressed."""
+    """Word numbers as their bit lengths, compressed, and the bits after the leading one.
+
+    Numbers are ranks by frequency, so a number says little beyond its length.
+    """
     if len(codes) == 0:
         return b""
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+    numbers = codes.astype(np.int64) + 1
+    length = np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
+    sizes = pa.Codec("brotli", compression_level=4).compress(length.tobytes(), asbytes=True)
+    parts = [len(sizes).to_bytes(4, "little"), sizes]
+    for a in range(0, len(numbers), BLOCK):
+        bits = np.unpackbits(numbers[a : a + BLOCK].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
+        parts.append(np.packbits(bits[_below(length[a : a + BLOCK])]).tobytes())
+    return b"".join(parts)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    planes = np.frombuffer(pa.decompress(data, 3 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(3, n).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    at = 4 + int.from_bytes(data[:4], "little")
+    length = np.frombuffer(pa.decompress(data[4:at], n, codec="brotli", asbytes=True), dtype=np.uint8)
+    out = []
+    for a in range(0, n, BLOCK):
+        part = length[a : a + BLOCK]
+        total = int(part.sum(dtype=np.int64)) - len(part)
+        size = (total + 7) // 8
+        bits = np.zeros((len(part), 32), dtype=np.uint8)
+        bits[_below(part)] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=total)
+        bits[np.arange(len(part)), 32 - part.astype(np.int64)] = 1
+        out.append(np.packbits(bits, axis=1).view(">u4").reshape(-1).astype(np.int64) - 1)
+        at += size
+    return np.concatenate(out)
 
 
 class Numbering(dict):
@@ -216,7 +243,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT, decoded: bool = False) ->
     without a second Python worker beside the first.
 
     ``ids`` is an array, ``packed`` the same ids as little-endian unsigned
-    32-bit integers.  A text may hold up to ``2 ** 24 - hot`` distinct rare words.
+    32-bit integers.  A text may hold up to ``2 ** 32 - 1 - hot`` distinct rare words.
     """
     spark = docs.sparkSession
     vocabulary = read_vocabulary(path)
@@ -263,13 +290,14 @@ def encode(docs: DataFrame, path: str, hot: int = HOT, decoded: bool = False) ->
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc_id", "k", "k2")], words], ["doc_id", "k", "k2", "words"])
 
     def listed(batches):
-        """The rare words of every text as rows."""
+        """The rare words of every text as rows; ``_j`` is the key's second half above the word's place."""
         for batch in batches:
             rare = batch.column("words").field("rare")
             at = pc.list_parent_indices(rare)
             first = np.repeat(rare.offsets.to_numpy()[:-1], np.diff(rare.offsets.to_numpy())) - rare.offsets.to_numpy()[0]
             i = np.arange(len(at)) - first
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("k2").take(at), pa.array(i, pa.int32()), rare.flatten()], ["_k", "_k2", "i", "word"])
+            j = batch.column("k2").to_numpy().astype(np.int64)[at.to_numpy()] << 32 | i
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), pa.array(j, pa.int64()), rare.flatten()], ["_k", "_j", "word"])
 
     def assembled(batches):
         offsets, flat = hot_ids.value
@@ -300,8 +328,9 @@ def encode(docs: DataFrame, path: str, hot: int = HOT, decoded: bool = False) ->
     kind = dict(source.dtypes)["doc_id"]
     # one exchange, read whole by two consumers: for the rare words and for the documents themselves
     coded = source.mapInArrow(numbered, f"doc_id {kind}, k bigint, k2 int, words struct<n int, codes binary, rare array<string>>").repartition("k", "k2")
-    rare = coded.mapInArrow(listed, "_k bigint, _k2 int, i int, word string")
+    rare = coded.mapInArrow(listed, "_k bigint, _j bigint, word string")
     seldom = table.where(F.col("n") <= lowest).select("word", "ids")
-    rare = rare.join(seldom, "word").groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare")).select("_k", "_k2", F.col("rare.ids").alias("rare"))
+    rare = rare.join(seldom, "word").select("_k", F.shiftright("_j", 32).cast("int").alias("_k2"), F.col("_j").bitwiseAND(F.lit(2**32 - 1)).alias("i"), "ids")
+    rare = rare.groupBy("_k", "_k2").agg(F.sort_array(F.collect_set(F.struct("i", "ids"))).alias("rare")).select("_k", "_k2", F.col("rare.ids").alias("rare"))
     both = coded.join(rare, (F.col("k") == F.col("_k")) & (F.col("k2") == F.col("_k2")), "left")
     return both.select("doc_id", "k", "k2", "words", "rare").mapInArrow(assembled, f"doc_id {kind}, n_tokens bigint, ids array<int>, packed binary" + ", decoded string" * decoded)

@@ -395,3 +395,11 @@ def test_decode_of_odd_ids(spark):
     assert got == {1: f"{a} {b} {c}", 2: "", 3: None, 4: f"{a} {c} {a}", 5: ""}
     packed = [(k, None if i is None else bytearray(np.array(i, "<i4").tobytes())) for k, i in rows]
     assert got == {r.k: r.decoded for r in bpe.decode(spark.createDataFrame(packed, "k int, packed binary"), voc, ids="packed").collect()}
+
+
+def test_word_numbers_survive_packing():
+    rng = np.random.default_rng(2)
+    cases = [[], [0], [2**32 - 2], [0, 1, 2, 3, 2**24, 2**24 - 1, 2**31], rng.zipf(1.3, 200_000) % 2**31, np.zeros(70_000), np.arange(65_536)]
+    for case in cases:
+        codes = np.asarray(case, dtype=np.int64)
+        assert np.array_equal(bpe._unpack(bpe._pack(codes), len(codes)), codes)
