@@ -123,22 +123,31 @@ def idempotency(log: DataFrame) -> DataFrame:
     return log.join(first, ["kind", "idem_key"]).withColumn("verdict", tag).drop("_f")
 
 
-def stream_idempotency(log: DataFrame) -> DataFrame:
-    """Streaming form: state holds the first payload hash of a key."""
+def stream_idempotency(log: DataFrame, shards: int = 8192) -> DataFrame:
+    """Streaming form: state holds the first payload hash of a key.
+
+    Keys are dealt by hash to a fixed number of ``shards``, so Python is called
+    once per shard and trigger and not once per key; a shard's state lists its
+    keys.  ``shards`` must stay the same over the life of a stream.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get[0] if state.exists else None
+        kinds, keys, hashes = state.get if state.exists else ((), (), ())
+        known = dict(zip(zip(kinds, keys), hashes))
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
-        for digest in rows["payload_hash"]:
-            if known is None:
-                known = digest
+        for kind, idem_key, digest in zip(rows["kind"], rows["idem_key"], rows["payload_hash"]):
+            first = known.get((kind, idem_key))
+            if first is None:
+                known[kind, idem_key] = digest
                 out.append("new")
             else:
-                out.append("replay" if digest == known else "conflict")
-        state.update((known,))
-        yield pd.DataFrame({"kind": key[0], "idem_key": key[1], "event_id": rows["event_id"], "verdict": out})
-
-    return log.groupBy("kind", "idem_key").applyInPandasWithState(
-        step, "kind string, idem_key string, event_id bigint, verdict string", "hash string", "append", GroupStateTimeout.NoTimeout
+                out.append("replay" if digest == first else "conflict")
+        state.update(([k for k, _ in known], [i for _, i in known], list(known.values())))
+        yield pd.DataFrame({"kind": rows["kind"], "idem_key": rows["idem_key"], "event_id": rows["event_id"], "verdict": out})
+
+    dealt = log.withColumn("shard", F.pmod(F.xxhash64("kind", "idem_key"), F.lit(shards)))
+    held = "kinds array<string>, keys array<string>, hashes array<string>"
+    return dealt.groupBy("shard").applyInPandasWithState(
+        step, "kind string, idem_key string, event_id bigint, verdict string", held, "append", GroupStateTimeout.NoTimeout
     )
