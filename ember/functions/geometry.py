@@ -105,3 +105,21 @@ def edge_hits_box(e: Column, w: Column, s: Column, east: Column, n: Column) -> C
 def box_intersects(edges: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
     """Closed box and polygon share a point."""
     return F.exists(edges, lambda edge: edge_hits_box(edge, w, s, e, n)) | covers(edges, w, s)
+
+
+def box_intersects_few(edges: Column, most: int, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """:func:`box_intersects` for at most ``most`` edges, written out edge by edge.
+
+    Functions over arrays are interpreted; this is compiled, which pays where
+    very many pairs are tested.
+    """
+    each = [F.get(edges, F.lit(i)) for i in range(most)]  # null beyond the end
+    hit = F.coalesce(edge_hits_box(each[0], w, s, e, n), F.lit(False))
+    odd = F.lit(0)
+    for i, edge in enumerate(each):
+        if i:
+            hit = hit | F.coalesce(edge_hits_box(edge, w, s, e, n), F.lit(False))
+        straddles = (edge["y1"] > s) != (edge["y2"] > s)
+        at = (edge["x2"] - edge["x1"]) * (s - edge["y1"]) / F.nullif(edge["y2"] - edge["y1"], F.lit(0.0)) + edge["x1"]
+        odd = odd + F.when(straddles & (w < at), 1).otherwise(0)
+    return hit | (odd % 2 == 1)

@@ -99,15 +99,38 @@ def points_in_cover(points: DataFrame, cover: DataFrame, size: float = 1.0, lon:
     return inside.drop("level", "slab", "tx", "x_from", "x_to", "inside", "edges")
 
 
-def boxes_meeting(boxes: DataFrame, edges: DataFrame, cover: DataFrame, box_key: str, keys: Sequence[str] = ("aoi_id",), size: float = 1.0, edge_tile: float = 4.0) -> DataFrame:
+def boxes_meeting(
+    boxes: DataFrame, edges: DataFrame, cover: DataFrame, box_key: str, keys: Sequence[str] = ("aoi_id",), size: float = 1.0, edge_tile: float = 4.0, few: int = 8
+) -> DataFrame:
     """Distinct pairs ``box_key, keys`` of boxes ``w, s, e, n`` and polygons that share a point.
 
     An edge meets the box, or the box lies inside: then its corner does.
+    Polygons of at most ``few`` edges travel as one row and meet each box once,
+    so their pairs need no distinct and are not exchanged; larger ones are met
+    edge by edge, and through the cover.
     """
-    bounds = {"_ew": F.least("x1", "x2"), "_es": F.least("y1", "y2"), "_ee": F.greatest("x1", "x2"), "_en": F.greatest("y1", "y2")}
-    some = boxes.select(box_key, "w", "s", "e", "n")
-    near = box_join(some, edges.withColumns(bounds), ("w", "s", "e", "n"), ("_ew", "_es", "_ee", "_en"), edge_tile, spread=box_key)
+    keys, bounds = list(keys), ["w", "s", "e", "n"]
+    some = boxes.select(box_key, *bounds)
+    kept = some.groupBy(box_key).agg(F.min(F.struct(*bounds)).alias("_b"), (F.min(F.struct(*bounds)) == F.max(F.struct(*bounds))).alias("_one"))
+    single = kept.where(F.col("_one")).select(box_key, "_b.*")
+    several = some.join(kept.where(~F.col("_one")).select(F.col(box_key).alias("_key")), F.col(box_key).eqNullSafe(F.col("_key")), "left_semi")
     edge = F.struct("x1", "y1", "x2", "y2")
-    touching = near.where(G.edge_hits_box(edge, F.col("w"), F.col("s"), F.col("e"), F.col("n"))).select(box_key, *keys)
-    within = points_in_cover(some.select(box_key, "w", "s"), cover, size, "w", "s").select(box_key, *keys)
-    return touching.unionByName(within).distinct()
+    counted = edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    small = counted.where(F.col("_n") <= few).groupBy(*keys).agg(
+        F.collect_list(edge).alias("edges"), F.min(F.least("x1", "x2")).alias("_ew"), F.min(F.least("y1", "y2")).alias("_es"),
+        F.max(F.greatest("x1", "x2")).alias("_ee"), F.max(F.greatest("y1", "y2")).alias("_en"),
+    )
+    around = ("_ew", "_es", "_ee", "_en")
+
+    def whole(some: DataFrame) -> DataFrame:
+        near = box_join(some, small, bounds, around, edge_tile, spread=box_key)
+        return near.where(G.box_intersects_few(F.col("edges"), few, *map(F.col, bounds))).select(box_key, *keys)
+
+    large = counted.where(F.col("_n") > few).drop("_n")
+    of_large = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    sides = {"_ew": F.least("x1", "x2"), "_es": F.least("y1", "y2"), "_ee": F.greatest("x1", "x2"), "_en": F.greatest("y1", "y2")}
+    near = box_join(some, large.withColumns(sides), bounds, around, edge_tile, spread=box_key)
+    touching = near.where(G.edge_hits_box(edge, *map(F.col, bounds))).select(box_key, *keys)
+    within = points_in_cover(some.select(box_key, "w", "s"), cover.join(of_large, same, "left_semi"), size, "w", "s").select(box_key, *keys)
+    return whole(single).unionByName(touching.unionByName(within).unionByName(whole(several)).distinct())

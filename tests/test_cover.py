@@ -71,6 +71,29 @@ def test_boxes_equal_the_whole_polygons(spark, vertices):
     assert got == want and (201, 2) not in want and len(want) > 50
 
 
+def test_pairs_with_small_polygons_are_not_exchanged(spark, vertices):
+    boxes = spark.createDataFrame([(1, 0.5, 0.5, 0.9, 0.9), (1, 0.5, 0.5, 0.9, 0.9), (2, 3.5, 3.5, 4.5, 4.5), (3, -9.0, -9.0, -8.0, -8.0), (4, 0.5, 0.5, 0.9, 0.9), (4, 3.5, 3.5, 4.5, 4.5)], "scene_id int, w double, s double, e double, n double")
+    edges = V.ring_edges(vertices.where("aoi_id in (2, 3)")).checkpoint()
+    cover = V.aoi_cover(edges).checkpoint()
+    met = V.boxes_meeting(boxes, edges, cover, "scene_id")
+    assert sorted(map(tuple, met.collect())) == [(1, 2), (1, 3), (2, 2), (4, 2), (4, 3)]
+    single = V.boxes_meeting(boxes.where("scene_id = 2"), edges, cover, "scene_id")
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Aggregate" not in plan.splitlines()[1]  # no distinct above the pairs of small polygons
+
+
+@pytest.mark.parametrize("few", [1, 6])
+def test_boxes_meet_whether_polygons_travel_whole_or_not(spark, vertices, few):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*rng.uniform(-4, 5, (2, 80)), *rng.uniform(0.01, 0.9, (2, 80))))]
+    boxes = spark.createDataFrame(rows, "scene_id int, w double, s double, e double, n double")
+    shapes = vertices.where("aoi_id > 1")
+    edges = V.ring_edges(shapes).checkpoint()
+    got = sorted(tuple(r) for r in V.boxes_meeting(boxes, edges, V.aoi_cover(edges).checkpoint(), "scene_id", few=few).collect())
+    want = sorted({(r.scene_id, r.aoi_id) for r in X.footprints_intersecting(boxes, X.polygon_edges(shapes)).collect()})
+    assert got == want and want
+
+
 def test_sizes_are_powers_of_two(spark, vertices):
     with pytest.raises(ValueError):
         V.aoi_cover(V.ring_edges(vertices), size=0.3)
