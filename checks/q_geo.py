@@ -17,6 +17,7 @@ from ember.operators import components as K
 from ember.operators.contracts import strip_closing
 from ember.plans import analysis as Y
 from ember.plans import inference as I
+from ember.session import cut_lineage
 
 # --- Krueger series as text, for the SQL side -------------------------------
 _N = 0.0016792203863837047
@@ -239,7 +240,8 @@ _REGIONS = f"""fire AS (SELECT request_id, gx, gy, cls, ha, scene_id, date_post,
 )
 def l10_visible_contours(inp):
     """Regions of the newest visible class over all chips and scenes of a request."""
-    cells = Y.burned_cells(observed(inp), geo_aoi(inp)).where("inside_ha > 1e-9")
+    # the rounds of the contours read the cells many times: write them once
+    cells = cut_lineage(Y.burned_cells(observed(inp), geo_aoi(inp)).where("inside_ha > 1e-9"))
     regions, _ = Y.burn_contours(cells)
     x, y = F.shiftright("outer", 31) - (1 << 28), F.shiftright("outer", 2).bitwiseAND((1 << 29) - 1) - (1 << 28)
     return longs(
