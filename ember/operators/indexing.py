@@ -45,8 +45,11 @@ def salted_join(
 
     Keys holding more than ``rows_per_task`` left rows get
     ``ceil(rows / rows_per_task)`` salts; only the right rows of those keys are
-    repeated.  ``spread`` is any per-row value used to pick the salt.
+    repeated.  ``spread`` is any per-row value used to pick the salt.  Both
+    sides are dealt to a fixed number of tasks: few bytes may make many pairs,
+    so adaptive execution must not gather them in a few tasks by their bytes.
     """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     hot = (
         left.groupBy(*keys)
@@ -64,7 +67,8 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return spread_left.join(copied_right, [*keys, "_salt"], how).drop("_salt")
+    on = [*keys, "_salt"]
+    return spread_left.repartition(tasks, *on).join(copied_right.repartition(tasks, *on), on, how).drop("_salt")
 
 
 def draw(seed: int, *parts: Column) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ember.operators import joins as J
+from ember.operators.indexing import salted_join
 from ember.streaming import hotspots as H
 from ember.streaming import requests as R
 
@@ -39,3 +40,17 @@ def test_stream_idempotency_keeps_one_state_per_shard(spark, tmp_path, cuts):
     run = R.stream_idempotency(log, shards=4).writeStream.format("memory").queryName(f"verdicts{cuts}").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= 4
+
+
+def test_pairs_are_not_gathered_in_a_few_tasks(spark):
+    left = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("l"))
+    right = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("r"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = salted_join(left, right, ["k"], F.col("l"), rows_per_task=5)
+        assert pairs.count() == 4000
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert pairs.rdd.getNumPartitions() == tasks > 1  # a few kB, which adaptive execution would give one task
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
