@@ -140,8 +140,7 @@ _MOSAIC = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
 
 
 def observed(inp):
-    picks = Y.pick_scenes(geo_requests(inp), geo_scenes(inp))
-    return Y.observations(picks, Y.scene_cells(geo_scenes(inp), geo_pixels(inp)))
+    return Y.newest_observations(geo_requests(inp), geo_scenes(inp), geo_pixels(inp))
 
 
 @query("l7_clip_cells", f"SELECT request_id, gx, gy, {Q.r('ha', 4)} AS inside_ha, scene_id FROM {_MOSAIC} m WHERE ha>1e-9")
@@ -152,7 +151,7 @@ def l7_clip_cells(inp):
 
 @query("l8_hotspots", f"SELECT request_id, scene_id, {Q.r('lon', 5)} AS lon, {Q.r('lat', 5)} AS lat, 0.5::DOUBLE AS score FROM {_SPOTS} s")
 def l8_hotspots(inp):
-    spots = Y.hotspots(observed(inp), geo_aoi(inp), F.lit(HEIGHT), F.lit(WIDTH))
+    spots = Y.seen_hotspots(geo_requests(inp), geo_scenes(inp), geo_pixels(inp), geo_aoi(inp), F.lit(HEIGHT), F.lit(WIDTH))
     return rounded(spots.select("request_id", "scene_id", "lon", "lat", "score"), 5)
 
 
@@ -175,7 +174,8 @@ def f22_coverage(inp):
     rq = geo_requests(inp)
     n = select_scenes(geo_scenes(inp), rq).groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
     wanted = rq.select("request_id", "task").join(geo_aoi(inp).select("request_id", "aoi_ha"), "request_id").join(n, ["request_id", "task"], "left").withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
-    cov = A.coverage(Y.observed_cells(observed(inp), geo_aoi(inp)), wanted, ["request_id", "task"])
+    # read twice below, and small: written once
+    cov = cut_lineage(A.coverage(Y.observed_cells(observed(inp), geo_aoi(inp)), wanted, ["request_id", "task"]))
     return rounded(cov.withColumn("coverage_fraction", F.round("coverage_fraction", 5)), 3).drop("coverage_fraction").join(cov.select("request_id", "task", (F.round("coverage_fraction", 5) + 0.0).alias("coverage_fraction")), ["request_id", "task"])
 
 

@@ -26,8 +26,8 @@ def hotspot_cell(px: DataFrame) -> DataFrame:
     )
 
 
-def dedup_hotspots(px: DataFrame, height: Column, width: Column, carry: Sequence[str] = ("score",)) -> DataFrame:
-    """One winning observation per cell; only fire winners remain.
+def cell_winners(px: DataFrame, height: Column, width: Column, carry: Sequence[str] = ("score",), keys: Sequence[str] = ()) -> DataFrame:
+    """The winning observation of every cell (apart by ``keys``), fire or not, with its rank ``_p``.
 
     The winner is the pixel farthest from its chip's edge, then the smallest
     scene id.  Only valid pixels compete, and background competes only on a
@@ -35,11 +35,16 @@ def dedup_hotspots(px: DataFrame, height: Column, width: Column, carry: Sequence
     very many scenes does not gather in one place.
     """
     context = F.least(F.col("rw") + 1, F.col("cl") + 1, height - F.col("rw"), width - F.col("cl"))
-    cells = hotspot_cell(px.where(F.col("valid"))).where(F.col("shared_grid") | (F.col("cls") == 1))
-    rank = F.struct((-context).alias("p"), F.col("scene_id"))
-    payload = F.struct("scene_id", "observed_at", "rw", "cl", "cls", *carry)
-    winners = cells.groupBy("shared_grid", "cell_owner", "cell_row", "cell_col").agg(F.min_by(payload, rank).alias("_w"))
-    return winners.where(F.col("_w.cls") == 1).select("shared_grid", "cell_owner", "cell_row", "cell_col", "_w.*").drop("cls")
+    cells = hotspot_cell(px.where(F.col("valid"))).where(F.col("shared_grid") | (F.col("cls") == 1)).withColumn("_p", -context)
+    rank = F.struct(F.col("_p").alias("p"), F.col("scene_id"))
+    payload = F.struct("scene_id", "observed_at", "rw", "cl", "cls", "_p", *carry)
+    winners = cells.groupBy("shared_grid", "cell_owner", "cell_row", "cell_col", *keys).agg(F.min_by(payload, rank).alias("_w"))
+    return winners.select("shared_grid", "cell_owner", "cell_row", "cell_col", *keys, "_w.*")
+
+
+def dedup_hotspots(px: DataFrame, height: Column, width: Column, carry: Sequence[str] = ("score",)) -> DataFrame:
+    """One winning observation per cell (:func:`cell_winners`); only fire winners remain."""
+    return cell_winners(px, height, width, carry).where(F.col("cls") == 1).drop("cls", "_p")
 
 
 def hotspot_id(owner: Column, row: Column, col: Column) -> Column:

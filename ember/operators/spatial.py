@@ -56,6 +56,44 @@ def box_join(
     return pairs.where(meets & home).drop("tx", "ty")
 
 
+#: Coarsest tiles of :func:`sized_join` are 2^COARSEST wide.
+COARSEST = 8
+
+
+def sized_join(
+    left: DataFrame, right: DataFrame, left_box: Sequence[str], right_box: Sequence[str], finest: int, keys: Sequence[str] = (), rows_per_task: int = 2_000_000
+) -> DataFrame:
+    """:func:`box_join` of small boxes with boxes of very different sizes.
+
+    A right box takes tiles of a power of two near half its longer side, so it
+    falls into few tiles whatever its size and meets little beyond itself.  Left
+    boxes are dealt to every size that occurs, at most ``COARSEST - finest + 1``
+    (read first); ``2 ** finest`` should not be below the size of a left box.
+    Scaling by powers of two is exact.
+    """
+    w, s, e, n = map(F.col, right_box)
+    level = (F.ceil(F.log2(F.greatest(F.abs(e - w), F.abs(n - s)))) - 1).cast("int")
+    asked = right.withColumn("_level", F.least(F.greatest(F.coalesce(level, F.lit(finest)), F.lit(finest)), F.lit(max(finest, COARSEST))))
+    levels = [F.lit(r["_level"]) for r in asked.select("_level").distinct().collect()]
+    dealt = left.withColumn("_level", F.explode(F.array(*levels).cast("array<int>")))
+    scale = F.pow(F.lit(2.0), -F.col("_level"))
+    scaled = {side: [f"_{side}{i}" for i in range(4)] for side in ("l", "r")}
+    dealt = dealt.withColumns({name: F.col(c) * scale for name, c in zip(scaled["l"], left_box)})
+    asked = asked.withColumns({name: F.col(c) * scale for name, c in zip(scaled["r"], right_box)})
+    pairs = box_join(dealt, asked, scaled["l"], scaled["r"], 1.0, (*keys, "_level"), rows_per_task=rows_per_task)
+    return pairs.drop("_level", *scaled["l"], *scaled["r"])
+
+
+def scene_moment() -> Column:
+    """The time that decides whether a scene lies in a period."""
+    return F.when(F.col("task") == "af", F.col("observed_at")).otherwise(F.col("date_post"))
+
+
+def selectable() -> Column:
+    """Scenes with a time; burn scenes need ``date_pre < date_post``."""
+    return scene_moment().isNotNull() & ((F.col("task") == "af") | (F.col("date_pre") < F.col("date_post")))
+
+
 def select_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000) -> DataFrame:
     """Scenes each request asks for by task, period and area of interest.
 
@@ -65,10 +103,7 @@ def select_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, row
     and optionally ``edges`` (polygon) and ``only_chip``.  Burn scenes need
     ``date_pre < date_post``; the later date decides the period.
     """
-    moment = F.when(F.col("task") == "af", F.col("observed_at")).otherwise(F.col("date_post"))
-    ready = scenes.withColumn("_moment", moment).where(
-        F.col("_moment").isNotNull() & ((F.col("task") == "af") | (F.col("date_pre") < F.col("date_post")))
-    )
+    ready = scenes.withColumn("_moment", scene_moment()).where(selectable())
     pairs = box_join(
         ready, requests, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, keys=("task",), spread="scene_id", rows_per_task=rows_per_task
     ).where(
