@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ember.session import cut_lineage
+
 
 def hotspot_cell(px: DataFrame) -> DataFrame:
     """Identify the ground cell of a fire candidate.
@@ -72,21 +74,102 @@ def top_chips(meta: DataFrame, k: int = 2) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def search_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000) -> DataFrame:
-    """Newest scenes per request: bounds meet, inclusive days, cloud limit.
+#: A search looks back this many times further when a window does not settle it.
+FURTHER = 16
 
-    ``scenes``: scene_id, acquired_at, cloud_percent, w,s,e,n; ``requests``:
-    request_id, date_start, date_end, cloud_max, max_results, aw,as,ae,an.
-    ``truncated`` tells that more scenes matched than the request admits; one
-    row beyond the request's own limit is kept to see that.
-    """
+
+def _micros(moment: Column, zoned: bool) -> Column:
+    """Microseconds in the order of the times; local times are not shifted by a zone."""
+    if zoned:
+        return F.unix_micros(moment.cast("timestamp"))
+    local = moment.cast("timestamp_ntz")
+    minutes = (F.unix_date(local.cast("date")).cast("bigint") * 24 + F.hour(local)) * 60 + F.minute(local)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), local) * 1_000_000).cast("bigint")
+
+
+def _matching(scenes: DataFrame, requests: DataFrame, size: float, keys: Sequence[str], rows_per_task: int) -> DataFrame:
     from ember.operators.spatial import box_join
 
-    pairs = box_join(scenes, requests, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, spread="scene_id", rows_per_task=rows_per_task).where(
+    return box_join(scenes, requests, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, keys=keys, spread="scene_id", rows_per_task=rows_per_task).where(
         (F.col("acquired_at") >= F.col("date_start"))
         & (F.col("acquired_at") < F.date_add(F.col("date_end").cast("date"), 1))
         & (F.col("cloud_percent") <= F.col("cloud_max"))
     )
+
+
+def _buckets(width: int, request: bool) -> Column:
+    """Buckets of ``width`` microseconds: a scene's own one, or the last two of a request's window."""
+    if not request:
+        return F.array(F.floor(F.col("_t") / width).cast("bigint"))
+    last = F.floor((F.col("_high") - 1) / width).cast("bigint")
+    return F.sequence(F.greatest(last - 1, F.floor(F.col("_low") / width).cast("bigint")), last)
+
+
+def search_windows(scenes: DataFrame, requests: DataFrame, size: float, rows_per_task: int) -> tuple[DataFrame, list[int]]:
+    """Requests with ``_step``, the shortest of the returned windows that holds all they can return.
+
+    ``scenes`` carry ``_t``; ``requests`` have one row per ``request_id`` and carry
+    ``_low, _high``.  A window is long enough when it holds more matches than the
+    request admits, or reaches its first day.  Only counts are exchanged.
+    """
+    from ember.operators.spatial import tile_boxes
+
+    def tiles(df: DataFrame, name: str, *box: str) -> DataFrame:
+        return tile_boxes(df.select(*box), *box, size).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias(name))
+
+    near = tiles(scenes, "_s", "w", "s", "e", "n").join(tiles(requests, "_r", "aw", "as", "ae", "an"), ["tx", "ty"]).agg(F.sum(F.col("_s").cast("double") * F.col("_r"))).first()[0]
+    span = scenes.agg(F.min("_t").alias("low"), F.max("_t").alias("high")).first()
+    asked = requests.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_high") - F.col("_low")).alias("longest"), F.avg("max_results").alias("limit")).first()
+    longest = max(1, asked["longest"] or 1)
+    pairs = (near or 0.0) / max(1, asked["n"])
+    reach = ((span["high"] or 0) - (span["low"] or 0) + 1) * 8 * ((asked["limit"] or 0) + 1) / max(1.0, pairs)
+    widths, done, rest = [int(min(max(reach, 1), longest))], None, requests
+    while True:
+        width, step = widths[-1], len(widths) - 1
+        if width >= longest:
+            last = rest.withColumn("_step", F.lit(step))
+            return (last if done is None else done.unionByName(last)), widths
+        met = _matching(scenes.withColumn("_bucket", F.explode(_buckets(width, False))), rest.withColumn("_bucket", F.explode(_buckets(width, True))), size, ("_bucket",), rows_per_task)
+        found = met.groupBy("request_id").agg(F.count(F.lit(1)).alias("_found")).withColumnRenamed("request_id", "_id")
+        counted = rest.join(found, F.col("request_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        reached = F.floor((F.col("_high") - 1) / width) - 1 <= F.floor(F.col("_low") / width)
+        settled = cut_lineage(counted.withColumn("_settled", reached | (F.coalesce("_found", F.lit(0)) > F.col("max_results"))).drop("_found"))
+        now = settled.where("_settled").drop("_settled").withColumn("_step", F.lit(step))
+        done = now if done is None else done.unionByName(now)
+        rest = settled.where("not _settled").drop("_settled")
+        if rest.isEmpty():
+            return done, widths
+        widths.append(int(min(width * FURTHER, longest)))
+
+
+def search_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000) -> DataFrame:
+    """Newest scenes per request: bounds meet, inclusive days, cloud limit.
+
+    ``scenes``: scene_id, acquired_at, cloud_percent, w,s,e,n; ``requests``:
+    request_id, date_start, date_end, cloud_max, max_results, aw,as,ae,an.
+    ``truncated`` tells that more scenes matched than the request admits; one
+    row beyond the request's own limit is kept to see that.  A request meets
+    scenes of a window before its last day only (:func:`search_windows`), so the
+    pairs exchanged grow with what requests admit, not with what matches.
+    """
+    day = 86_400_000_000  # a start may be in another kind of time: a day more loses nothing
+    zoned = dict(scenes.dtypes)["acquired_at"] == "timestamp"
+    timed = scenes.where(F.col("acquired_at").isNotNull()).withColumn("_t", _micros(F.col("acquired_at"), zoned))
+    asked = cut_lineage(requests).withColumns({"_low": _micros(F.col("date_start"), zoned) - day, "_high": _micros(F.date_add(F.col("date_end").cast("date"), 1), zoned)})
+    last = timed.agg((F.max("_t") + 1).alias("_last"))  # one row
+    asked = asked.join(F.broadcast(last), F.lit(True)).withColumn("_high", F.least("_high", "_last")).drop("_last").where("_low < _high")
+    # rows that share an id are ranked together: all they match
+    counted = asked.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("request_id").alias("_id"))
+    several = cut_lineage(counted)
+    same = F.col("request_id").eqNullSafe(F.col("_id"))
+    windows, widths = search_windows(timed, asked.join(several, same, "left_anti"), size, rows_per_task)
+    steps = F.array(*[F.struct(F.lit(k).alias("_step"), F.get(_buckets(w, False), F.lit(0)).alias("_bucket")) for k, w in enumerate(widths)])
+    dealt = timed.withColumn("_at", F.explode(steps)).select("*", "_at.*").drop("_at")
+    own = F.coalesce(*[F.when(F.col("_step") == k, _buckets(w, True)) for k, w in enumerate(widths)])
+    helpers = ["_t", "_low", "_high"]
+    pairs = _matching(dealt, windows.withColumn("_bucket", F.explode(own)), size, ("_step", "_bucket"), rows_per_task).drop("_step", "_bucket", *helpers)
+    if not several.isEmpty():
+        pairs = pairs.unionByName(_matching(timed, asked.join(several, same, "left_semi"), size, (), rows_per_task).drop(*helpers))
     newest = Window.partitionBy("request_id").orderBy(F.desc("acquired_at"), "scene_id")
     ranked = pairs.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= F.col("max_results") + 1)
     more = F.max(F.when(F.col("rank") > F.col("max_results"), 1).otherwise(0)).over(Window.partitionBy("request_id"))

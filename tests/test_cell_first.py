@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ember.operators import areas as A
+from ember.operators import ranking as N
 from ember.plans import analysis as Y
 
 BASE = datetime.datetime(2024, 1, 1)
@@ -59,3 +60,31 @@ def test_cells_first_gives_what_all_observations_give(spark, odd):
         # a row per request, task and ground cell, not per scene that looks at it
         seen = newest.groupBy("request_id", "task", *Y.CELL).count()
         assert newest.count() == seen.count() < every.count() / 2
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_searches_look_back_only_as_far_as_they_must(spark, kind):
+    scenes = [(f"s{i:03d}", BASE + datetime.timedelta(hours=7 * i) if i % 50 else None, float(i * 37 % 100), i % 9 + 0.0, 0.0, i % 9 + 2.0, 2.0) for i in range(1, 600)]
+    scenes += [(f"late{i}", day(300), 5.0, 0.0, 0.0, 1.0, 1.0) for i in range(6)]
+    schema = f"scene_id string, acquired_at {kind}, cloud_percent double, w double, s double, e double, n double"
+    asks = [(1, 0, 400, 80.0, 2, 0.0, 6.0), (2, 0, 400, 80.0, 40, 3.0, 4.0), (3, 100, 120, 10.0, 1, 0.0, 9.0), (4, 0, 400, 80.0, 3, 50.0, 60.0), (None, 0, 90, 80.0, 3, 0.0, 5.0), (6, 0, 50, 99.0, 2, 0.0, 5.0), (6, 40, 80, 99.0, 2, 0.0, 5.0), (7, None, 50, 99.0, 2, 0.0, 5.0)]
+    schema_r = "request_id int, date_start timestamp, date_end date, cloud_max double, max_results int, aw double, `as` double, ae double, an double"
+    sc = spark.createDataFrame(scenes, schema)
+    rq = spark.createDataFrame([(i, None if a is None else day(a), day(b).date(), c, m, w, 0.0, e, 3.0) for i, a, b, c, m, w, e in asks], schema_r)
+    got = sorted(map(tuple, N.search_scenes(sc, rq).select("request_id", "scene_id", "rank", "truncated").collect()), key=repr)
+    found = {}
+    for i, a, b, c, m, w, e in asks:
+        if a is not None:
+            hits = [(t, s) for s, t, cloud, sw, _, se, _ in scenes if t and day(a) <= t < day(b + 1) and cloud <= c and sw <= e and w <= se]
+            found.setdefault(i, []).extend((t, s, m) for t, s in hits)
+    want = []
+    for i, hits in found.items():
+        hits.sort(key=lambda h: (-h[0].timestamp(), h[1]))
+        want += [(i, s, k, len(hits) > m) for k, (_, s, m) in enumerate(hits, 1) if k <= m]
+    # the rows of a repeated request may tie
+    assert [g for g in got if g[0] != 6] == sorted((w for w in want if w[0] != 6), key=repr)
+    assert sorted((g[0], g[1], g[3]) for g in got if g[0] == 6) == sorted((w[0], w[1], w[3]) for w in want if w[0] == 6)
+    timed = sc.where("acquired_at is not null").withColumn("_t", N._micros(F.col("acquired_at"), kind == "timestamp"))
+    once = rq.where("request_id < 6").withColumns({"_low": F.lit(0).cast("bigint"), "_high": (F.unix_micros(F.lit(day(100)).cast("timestamp")))})
+    windows, widths = N.search_windows(timed, once, 5.0, 1000)
+    assert windows.count() == 4 and len(widths) > 1 and windows.agg(F.min("_step")).first()[0] < len(widths) - 1
