@@ -7,6 +7,8 @@ small array and needs no join of points with edges.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,28 @@ def covers(edges: Column, x: Column, y: Column, beyond: Column | None = None) ->
     return odd | F.exists(edges, touches)
 
 
+def edge_parts(e: Column) -> dict[str, Column]:
+    """What :func:`covers_few` reads of an edge; all NaN where there is none."""
+    x1, y1, x2, y2 = (F.coalesce(e[c], F.lit(float("nan"))) for c in ("x1", "y1", "x2", "y2"))
+    return {"x1": x1, "y1": y1, "dx": x2 - x1, "dy": y2 - y1, "xa": F.least(x1, x2), "xb": F.greatest(x1, x2), "ya": F.least(y1, y2), "yb": F.greatest(y1, y2)}
+
+
+def covers_few(edges: Sequence[Mapping[str, Column]], x: Column, y: Column, beyond: Column) -> Column:
+    """:func:`covers_beside` for a few edges in plain columns (``edge_parts``), written out edge by edge.
+
+    Functions over arrays are interpreted; this is compiled, which pays where
+    very many pairs are tested.  The arithmetic is that of the fold; the parts
+    keep the code of some eight edges below the 8000 bytes that the JVM compiles.
+    """
+    odd, hit = beyond, F.lit(False)
+    for e in edges:
+        rise = e["dx"] * (y - e["y1"])
+        beside = (e["ya"] <= y) & (y <= e["yb"])
+        odd = odd != F.when(beside & (y < e["yb"]), x < rise / e["dy"] + e["x1"]).otherwise(False)
+        hit = hit | (beside & (e["xa"] <= x) & (x <= e["xb"]) & (rise - e["dy"] * (x - e["x1"]) == 0))
+    return odd | hit
+
+
 def covers_beside(edges: Column, x: Column, y: Column, beyond: Column) -> Column:
     """:func:`covers` from the edges near a point; ``beyond`` tells whether what lies to their right is inside."""
     return covers(edges, x, y, beyond)

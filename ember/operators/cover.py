@@ -81,22 +81,36 @@ def aoi_cover(edges: DataFrame, keys: Sequence[str] = ("aoi_id",), size: float =
     return pieces.withColumn("tx", F.explode(F.sequence(tile("x_from"), tile("x_to"))))
 
 
-def points_in_cover(points: DataFrame, cover: DataFrame, size: float = 1.0, lon: str = "lon", lat: str = "lat", rows_per_task: int = 2_000_000) -> DataFrame:
+def points_in_cover(
+    points: DataFrame, cover: DataFrame, size: float = 1.0, lon: str = "lon", lat: str = "lat", rows_per_task: int = 2_000_000, few: int = 6
+) -> DataFrame:
     """Pairs of points and polygons that cover them (boundary included): the points' columns and the polygons' keys.
 
     ``cover`` is a written result of :func:`aoi_cover` with the same ``size``;
-    its levels, at most ``FINEST + 1``, are read first.
+    its levels, at most ``FINEST + 1``, are read first.  Gaps and clusters of at
+    most ``few`` edges carry them in plain columns, so their pairs are tested in
+    compiled code inside the join; only larger clusters keep the fold over an array.
     """
     levels = sorted(r["level"] for r in cover.select("level").distinct().collect())
     x, y = F.col(lon), F.col(lat)
     spots = [F.struct(F.lit(v).alias("level"), F.floor(y / (size / 2.0**v)).cast("bigint").alias("slab")) for v in levels]
     none = F.array().cast("array<struct<level:int,slab:bigint>>")
     placed = points.withColumn("_at", F.explode(F.array(*spots) if spots else none)).withColumns({"level": F.col("_at.level"), "slab": F.col("_at.slab"), "tx": F.floor(x / size).cast("bigint")}).drop("_at")
-    pairs = salted_join(placed, cover, ["level", "slab", "tx"], F.xxhash64(*points.columns), rows_per_task)
-    gap = F.col("edges").isNull()
-    here = F.when(gap, (x > F.col("x_from")) & (x < F.col("x_to"))).otherwise(x.between(F.col("x_from"), F.col("x_to")))
-    inside = pairs.where(here).where(gap | G.covers_beside(F.col("edges"), x, y, F.col("inside")))
-    return inside.drop("level", "slab", "tx", "x_from", "x_to", "inside", "edges")
+    own = ["level", "slab", "tx", "x_from", "x_to", "inside"]
+    known = F.forall("edges", lambda e: F.nanvl(e["x1"] + e["y1"] + e["x2"] + e["y2"], F.lit(None).cast("double")).isNotNull())
+    plain = F.coalesce(F.col("edges").isNull() | ((F.size("edges") <= few) & known), F.lit(False))
+
+    def met(pieces: DataFrame) -> DataFrame:
+        return salted_join(placed, pieces, ["level", "slab", "tx"], F.xxhash64(*points.columns), rows_per_task)
+
+    sides = {f"_{i}_{c}": part for i in range(few) for c, part in G.edge_parts(F.get("edges", F.lit(i))).items()}
+    each = [{c.split("_")[2]: F.col(c) for c in sides if c.startswith(f"_{i}_")} for i in range(few)]
+    gap = F.col("_gap")
+    near = met(cover.where(plain).withColumns(sides).withColumn("_gap", F.col("edges").isNull()).drop("edges"))
+    near = near.where((x >= F.col("x_from")) & (x <= F.col("x_to"))).where(~gap | ((x > F.col("x_from")) & (x < F.col("x_to"))))
+    near = near.where(gap | G.covers_few(each, x, y, F.col("inside"))).drop(*own, *sides, "_gap")
+    far = met(cover.where(~plain)).where(x.between(F.col("x_from"), F.col("x_to")))
+    return near.unionByName(far.where(G.covers_beside(F.col("edges"), x, y, F.col("inside"))).drop(*own, "edges"))
 
 
 def boxes_meeting(

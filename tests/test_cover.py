@@ -1,6 +1,7 @@
 """The cover index against the fold over whole polygons."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -99,3 +100,32 @@ def test_sizes_are_powers_of_two(spark, vertices):
         V.aoi_cover(V.ring_edges(vertices), size=0.3)
     empty = V.aoi_cover(V.ring_edges(vertices.limit(0))).cache()
     assert V.points_in_cover(spots(spark, vertices), empty).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 3, 6])
+def test_small_pieces_in_plain_columns_decide_like_the_fold(spark, few):
+    rings = {1: [(0, 0), (2, 0), (3, 1), (2, 2), (0, 2), (-1, 1), (0, 0)], 2: [(0.5, 0), (1, 3), (2, 0), (0.5, 0)], 3: star(9, 2.0)}
+    rows = [(k, 0, 0, i, float(x), float(y)) for k, ring in rings.items() for i, (x, y) in enumerate(ring)]
+    rows += [(4, 0, 0, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, None), (1.0, 1.0), (0.0, 0.0)])] + [(5, 0, 0, i, x, 0.5) for i, x in enumerate([0.0, float("nan"), 0.0])]
+    shapes = spark.createDataFrame(rows, VERTEX)
+    spots = spark.createDataFrame([(i, x / 4, y / 4) for i, (x, y) in enumerate((x, y) for x in range(-8, 13) for y in range(-8, 13))] + [(900, None, 1.0), (901, 1.0, None), (900, 1.0, 1.0), (900, 1.0, 1.0)], "id int, lon double, lat double")
+    cover = V.aoi_cover(V.ring_edges(shapes), per_slab=8).checkpoint()
+    got = sorted(tuple(r) for r in V.points_in_cover(spots, cover, few=few).select("id", "aoi_id").collect())
+    want = sorted((r.id, r.aoi_id) for r in X.points_in_aoi(spots, X.polygon_edges(shapes.where("aoi_id <= 3"))).collect())
+    assert [p for p in got if p[1] <= 3] == want and got.count((900, 1)) == 2
+    assert [p for p in got if p[1] > 3] == sorted(tuple(r) for r in V.points_in_cover(spots, cover, few=-1).where("aoi_id > 3").select("id", "aoi_id").collect())
+
+
+def test_pairs_with_small_pieces_are_tested_in_code_the_jvm_compiles(spark):
+    shapes = spark.createDataFrame([(1, 0, 0, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (2, 0), (3, 1), (2, 2), (0, 2), (-1, 1), (0, 0)])], VERTEX)
+    spots = spark.createDataFrame([(1, 1.0, 1.0)], "id int, lon double, lat double")
+    met = V.points_in_cover(spots, V.aoi_cover(V.ring_edges(shapes)).checkpoint())
+    joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and "lambda" not in joins[0] and "lambda" in joins[1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = V.points_in_cover(spots, V.aoi_cover(V.ring_edges(shapes)).checkpoint())._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
