@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,86 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, name, size_bytes, sha256, mtime_utc``, hashed where the bytes are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.select(
+#: Larger files are read in splits; one row holds at most 2 GB.
+WHOLE = 1 << 28
+#: Endings that the reader of splits would unpack; such files are read whole.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+_BLOCK = 1 << 14
+_BOM = b"\xef\xbb\xbf"
+
+
+def _blocks(batches):
+    """Lines in reading order to blocks of at least ``_BLOCK`` bytes per split."""
+    at, held, size, seq = None, [], 0, 0
+
+    def block():
+        return pa.RecordBatch.from_pylist([{"path": at[0], "size": at[1], "start": at[2], "seq": seq, "bytes": b"\n".join([*held, b""])}], _BLOCKS)
+
+    for batch in batches:
+        for *key, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at or size >= _BLOCK:
+                if held:
+                    yield block()
+                seq, held, size, at = seq + 1 if key == at else 0, [], 0, key
+            held.append(line)
+            size += len(line) + 1
+    if held:
+        yield block()
+
+
+def _sha256(batches):
+    """Blocks sorted by path, start and seq to one digest per path; a batch is held at a time."""
+    path = size = done = last = None
+    plain = marked = hashlib.sha256()
+
+    def digest():
+        # the reader drops a leading byte order mark, and adds a line end where the last line has none
+        for hashed, full in ((plain, size), (marked, size - len(_BOM))):
+            if done + len(last) - full in (0, 1):
+                hashed.update(last[: full - done])
+                return pa.RecordBatch.from_pylist([{"path": path, "sha256": hashed.hexdigest()}])
+        raise ValueError(f"{path}: read {done + len(last)} of {size} bytes")
+
+    for batch in batches:
+        for name, length, data in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "bytes"))):
+            if name != path:
+                if path is not None:
+                    yield digest()
+                path, size, done, last, plain, marked = name, length, 0, b"", hashlib.sha256(), hashlib.sha256(_BOM)
+            plain.update(last)
+            marked.update(last)
+            done, last = done + len(last), data
+    if path is not None:
+        yield digest()
+
+
+_BLOCKS = pa.schema([("path", pa.string()), ("size", pa.int64()), ("start", pa.int64()), ("seq", pa.int64()), ("bytes", pa.binary())])
+
+
+def file_digests(spark: SparkSession, root: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """``path, name, size_bytes, sha256, mtime_utc``.
+
+    Files up to ``whole`` bytes are hashed where the bytes are.  Larger ones are
+    read in splits, as lines, and their blocks hashed in order: SHA-256 takes a
+    file's bytes one after the other, so one task hashes a file, a batch of blocks
+    at a time.
+    """
+    below = {"recursiveFileLookup": "true", "pathGlobFilter": glob}
+    files = spark.read.format("binaryFile").options(**below).load(root)
+    at_once = (F.col("_metadata.file_size") <= whole) | F.lower("_metadata.file_path").rlike(PACKED)  # known from the listing, so other files stay unread
+    meta = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.options(**below, lineSep="\n").text(root).where(~at_once)
+    blocks = lines.select(*meta, F.col("value").cast("binary").alias("bytes")).mapInArrow(_blocks, "path string, size bigint, start bigint, seq bigint, bytes binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = blocks.repartition(tasks, "path").sortWithinPartitions("path", "start", "seq").mapInArrow(_sha256, "path string, sha256 string")
+    listed = ["path", "length", "modificationTime"]
+    small = files.where(at_once).select(*listed, F.sha2("content", 256).alias("sha256"))
+    large = files.where(~at_once).select(*listed, F.col("_metadata.file_path").alias("_uri")).join(hashed.withColumnRenamed("path", "_uri"), "_uri").drop("_uri")
+    return small.unionByName(large).select(
         "path",
         base_name(F.col("path")).alias("name"),
         F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        "sha256",
         F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mtime_utc"),
     )
 

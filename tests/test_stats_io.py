@@ -1,4 +1,5 @@
 import datetime
+import gzip
 import json
 
 import numpy as np
@@ -113,6 +114,28 @@ def test_files_and_checksums(spark, tmp_path):
     assert {r.name: r.state for r in A.checksum_audit(manifest, digests).collect()} == {names[0]: "ok", names[1]: "corrupt", "gone": "missing", "../x": "escaping"}
 
 
+def test_large_files_are_hashed_split_by_split(spark, tmp_path):
+    import hashlib
+
+    noise = np.random.default_rng(2).bytes(300_000)
+    kept = {"a b é.bin": noise, "end.bin": noise + b"\n", "open.txt": b"x\r\n\r\ny", "mark.csv": b"\xef\xbb\xbfa\nb\n", "mark_open.csv": b"\xef\xbb\xbfa\nb", "lines.txt": b"\n" * 5000, "packed.gz": gzip.compress(noise), "one.txt": b"1"}
+    (tmp_path / "sub").mkdir()
+    for i, (n, data) in enumerate(kept.items()):
+        (tmp_path / ("sub" if i % 2 else ".") / n).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")  # many splits of one file
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "400000")
+    try:
+        for whole in (0, 1, 1000, 1 << 28):
+            got = A.file_digests(spark, str(tmp_path), whole=whole).collect()
+            assert sorted((r.name, r.size_bytes, r.sha256) for r in got) == sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in kept.items()), whole
+        (tmp_path / "long.bin").write_bytes(noise * 2)  # does not fit in a row
+        got = {r.name: r.sha256 for r in A.file_digests(spark, str(tmp_path), whole=350_000).collect()}
+        assert got["long.bin"] == hashlib.sha256(noise * 2).hexdigest() and len(got) == len(kept) + 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_metadata_csv_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "meta.csv"
     path.write_bytes("﻿chip_id,kind,epsg\nAF_1,af,EPSG:32637\nBS_2,bs,32638.0\n".encode("utf-8"))
