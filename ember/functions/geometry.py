@@ -131,19 +131,30 @@ def box_intersects(edges: Column, w: Column, s: Column, e: Column, n: Column) ->
     return F.exists(edges, lambda edge: edge_hits_box(edge, w, s, e, n)) | covers(edges, w, s)
 
 
-def box_intersects_few(edges: Column, most: int, w: Column, s: Column, e: Column, n: Column) -> Column:
-    """:func:`box_intersects` for at most ``most`` edges, written out edge by edge.
+BOX_PARTS = ("x1", "y1", "x2", "y2", "dx", "dy")
+
+
+def box_parts(e: Column) -> dict[str, Column]:
+    """What :func:`box_intersects_few` reads of an edge; all NaN where there is none."""
+    x1, y1, x2, y2 = (F.coalesce(e[c], F.lit(float("nan"))) for c in BOX_PARTS[:4])
+    return {"x1": x1, "y1": y1, "x2": x2, "y2": y2, "dx": x2 - x1, "dy": y2 - y1}
+
+
+def box_intersects_few(edges: Sequence[Mapping[str, Column]], w: Column, s: Column, e: Column, n: Column) -> Column:
+    """:func:`box_intersects` for a few edges in plain columns (``box_parts``), written out edge by edge.
 
     Functions over arrays are interpreted; this is compiled, which pays where
-    very many pairs are tested.
+    very many pairs are tested.  Rounded sums and products keep the order of
+    their operands, so the least of the four corners' sides comes from the least
+    and greatest terms; this keeps the code of some seven edges below the 8000
+    bytes that the JVM compiles.
     """
-    each = [F.get(edges, F.lit(i)) for i in range(most)]  # null beyond the end
-    hit = F.coalesce(edge_hits_box(each[0], w, s, e, n), F.lit(False))
-    odd = F.lit(0)
-    for i, edge in enumerate(each):
-        if i:
-            hit = hit | F.coalesce(edge_hits_box(edge, w, s, e, n), F.lit(False))
-        straddles = (edge["y1"] > s) != (edge["y2"] > s)
-        at = (edge["x2"] - edge["x1"]) * (s - edge["y1"]) / F.nullif(edge["y2"] - edge["y1"], F.lit(0.0)) + edge["x1"]
-        odd = odd + F.when(straddles & (w < at), 1).otherwise(0)
-    return hit | (odd % 2 == 1)
+    hit, odd = F.lit(False), F.lit(False)
+    for edge in edges:
+        x1, y1, x2, y2, dx, dy = (edge[c] for c in BOX_PARTS)
+        low, high = (F.when(dx >= 0, a).otherwise(b) for a, b in ((s, n), (n, s)))
+        left, right = (F.when(dy >= 0, a).otherwise(b) for a, b in ((w, e), (e, w)))
+        overlap = ((x1 <= e) | (x2 <= e)) & ((x1 >= w) | (x2 >= w)) & ((y1 <= n) | (y2 <= n)) & ((y1 >= s) | (y2 >= s))
+        hit = hit | (overlap & (dx * (low - y1) - dy * (right - x1) <= 0) & (dx * (high - y1) - dy * (left - x1) >= 0))
+        odd = odd != (((y1 > s) != (y2 > s)) & (w < dx * (s - y1) / dy + x1))
+    return hit | odd

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ember.functions import geometry as G
 from ember.operators.indexing import salted_join
-from ember.operators.spatial import box_join
+from ember.operators.spatial import blocked_join, box_join
 
 #: Narrowest slabs are 2^-FINEST of a tile.
 FINEST = 12
@@ -114,14 +114,15 @@ def points_in_cover(
 
 
 def boxes_meeting(
-    boxes: DataFrame, edges: DataFrame, cover: DataFrame, box_key: str, keys: Sequence[str] = ("aoi_id",), size: float = 1.0, edge_tile: float = 4.0, few: int = 8
+    boxes: DataFrame, edges: DataFrame, cover: DataFrame, box_key: str, keys: Sequence[str] = ("aoi_id",), size: float = 1.0, edge_tile: float = 4.0, few: int = 6
 ) -> DataFrame:
     """Distinct pairs ``box_key, keys`` of boxes ``w, s, e, n`` and polygons that share a point.
 
     An edge meets the box, or the box lies inside: then its corner does.
-    Polygons of at most ``few`` edges travel as one row and meet each box once,
-    so their pairs need no distinct and are not exchanged; larger ones are met
-    edge by edge, and through the cover.
+    Polygons of at most ``few`` edges travel as one row and meet blocks of boxes
+    (``w <= e``, ``s <= n``) once, so their pairs need no distinct and are not
+    exchanged; larger ones, and those with unknown coordinates, are met edge by
+    edge, and through the cover.
     """
     keys, bounds = list(keys), ["w", "s", "e", "n"]
     some = boxes.select(box_key, *bounds)
@@ -129,16 +130,22 @@ def boxes_meeting(
     single = kept.where(F.col("_one")).select(box_key, "_b.*")
     several = some.join(kept.where(~F.col("_one")).select(F.col(box_key).alias("_key")), F.col(box_key).eqNullSafe(F.col("_key")), "left_semi")
     edge = F.struct("x1", "y1", "x2", "y2")
-    counted = edges.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    unknown = F.nanvl(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2"), F.lit(None).cast("double")).isNull()
+    of = Window.partitionBy(*keys)
+    counted = edges.withColumn("_n", F.when(F.max(unknown).over(of), few + 1).otherwise(F.count(F.lit(1)).over(of)))
+    around = ("_ew", "_es", "_ee", "_en")
     small = counted.where(F.col("_n") <= few).groupBy(*keys).agg(
         F.collect_list(edge).alias("edges"), F.min(F.least("x1", "x2")).alias("_ew"), F.min(F.least("y1", "y2")).alias("_es"),
         F.max(F.greatest("x1", "x2")).alias("_ee"), F.max(F.greatest("y1", "y2")).alias("_en"),
     )
-    around = ("_ew", "_es", "_ee", "_en")
+    names = [{c: f"_{i}_{c}" for c in G.BOX_PARTS} for i in range(few)]
+    flat = [v.alias(names[i][c]) for i in range(few) for c, v in G.box_parts(F.get("edges", F.lit(i))).items()]
+    small = small.select(*keys, *around, *flat)
+    each = [{c: F.col(name) for c, name in one.items()} for one in names]
 
     def whole(some: DataFrame) -> DataFrame:
-        near = box_join(some, small, bounds, around, edge_tile, spread=box_key)
-        return near.where(G.box_intersects_few(F.col("edges"), few, *map(F.col, bounds))).select(box_key, *keys)
+        near = blocked_join(some, small, bounds, around, edge_tile)
+        return near.where(G.box_intersects_few(each, *map(F.col, bounds))).select(box_key, *keys)
 
     large = counted.where(F.col("_n") > few).drop("_n")
     of_large = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys]).distinct()

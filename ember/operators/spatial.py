@@ -9,15 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ember.functions import geometry as G
 from ember.operators.indexing import salted_join
 
 
+def _floor(value: Column) -> Column:
+    return F.floor(value).cast("bigint")
+
+
 def _tile(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("bigint")
+    return _floor(value / F.lit(float(size)))
 
 
 def tile_boxes(df: DataFrame, w: str, s: str, e: str, n: str, size: float) -> DataFrame:
@@ -56,6 +60,92 @@ def box_join(
     return pairs.where(meets & home).drop("tx", "ty")
 
 
+def _cell(x: Column, y: Column, bits: int) -> Column:
+    """Z-order number of the cell, ``2 ** bits`` an axis, that holds a place given in tiles."""
+    at = [F.floor((c - F.floor(c)) * (1 << bits)).cast("int") for c in (x, y)]
+    parts = [F.shiftleft(F.shiftright(c, i).bitwiseAND(1), 2 * i + axis) for axis, c in enumerate(at) for i in range(bits)]
+    return sum(parts[1:], parts[0])
+
+
+def blocked_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_box: Sequence[str],
+    right_box: Sequence[str],
+    size: float,
+    keys: Sequence[str] = (),
+    moment: str | None = None,
+    period: Sequence[str] = (),
+    rows_per_task: int = 2_000_000,
+    per_block: int = 32,
+    per_book: int = 4096,
+) -> DataFrame:
+    """Pairs of :func:`box_join` (touching), found by blocks of left boxes.
+
+    A left box lies in the one tile that holds its lower-left corner, right
+    boxes take every tile in which such a corner can be; left boxes much above
+    ``size`` get tiles of their own, doubled in width (their sizes, a few rows,
+    are read first).  Up to ``per_block`` neighbours of a tile travel as one row
+    and meet a right box together; only boxes of blocks that reach it are tested
+    one by one.  With ``moment`` (a left column) and ``period`` (start and end of
+    a right row, half-open, null: open) a pair must agree in time, too.
+    Columns of the two sides must differ except for ``keys``.  Tiles of more than
+    ``rows_per_task`` left rows are salted, those of more than ``per_book`` right
+    rows are cut into books, so that a block makes a bounded number of pairs at a time.
+    """
+    keys, tasks = list(keys), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (w, s, e, n), (rw, rs, re, rn) = map(F.col, left_box), map(F.col, right_box)
+    width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    level = F.greatest(F.coalesce(F.ceil(F.log2(F.greatest(e - w, n - s) / float(size))), F.lit(0)), F.lit(0)).cast("int")
+    placed = left.where(w.isNotNull() & s.isNotNull() & e.isNotNull() & n.isNotNull()).withColumn("_level", level)
+    sides = placed.groupBy("_level").agg(F.max(e - w).alias("x"), F.max(n - s).alias("y")).collect()
+    placed = placed.withColumns({"tx": _floor(w / width), "ty": _floor(s / width)})
+    reach = F.array(*[F.struct(F.lit(r["_level"]).alias("_level"), F.lit(float(r["x"])).alias("_x"), F.lit(float(r["y"])).alias("_y")) for r in sides])
+    asked = right.select("*", F.inline(reach if sides else reach.cast("array<struct<_level:int,_x:double,_y:double>>")))
+
+    def tiles(low: Column, high: Column, side: Column) -> Column:
+        first = _floor((low - side - (F.abs(low) + F.abs(side)) * 2.0**-40) / width)  # a little early: differences are rounded
+        return F.when(first <= _floor(high / width), F.sequence(first, _floor(high / width)))
+
+    asked = asked.withColumn("tx", F.explode(tiles(rw, re, F.col("_x")))).withColumn("ty", F.explode(tiles(rs, rn, F.col("_y")))).drop("_x", "_y")
+    tile = [*keys, "_level", "tx", "ty"]
+
+    def parts(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*tile, F.ceil(F.col("_n") / most).cast("int").alias(name))
+
+    def drawn(df: DataFrame, of: DataFrame, total: str, name: str) -> DataFrame:
+        return df.withColumn(name, F.when(F.col(total).isNull(), 0).otherwise(F.pmod(F.xxhash64(*of.columns), F.col(total)).cast("int"))).drop(total)
+
+    def copied(df: DataFrame, total: str, name: str) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(total), F.lit(1)) - 1))).drop(total)
+
+    salts, books = parts(placed, rows_per_task, "_salts"), parts(asked, per_book, "_books")
+    spread = drawn(placed.join(salts, tile, "left"), left, "_salts", "_salt")
+    near = [_cell(w / width, s / width, 2 if moment else 5), F.col(moment) if moment else w]
+    number = F.row_number().over(Window.partitionBy(*tile, "_salt").orderBy(*near))
+    rest = [c for c in left.columns if c not in keys]
+    ends = {"_w": F.min(w), "_s": F.min(s), "_e": F.max(e), "_n": F.max(n)}
+    if moment:
+        ends |= {"_first": F.min(moment), "_last": F.max(moment)}
+    blocks = spread.withColumn("_block", F.floor((number - 1) / per_block)).groupBy(*tile, "_salt", "_block").agg(
+        F.collect_list(F.struct(*rest)).alias("_members"), *[v.alias(k) for k, v in ends.items()]
+    ).drop("_block")
+    blocks = copied(blocks.join(books, tile, "left"), "_books", "_book")
+    asked = copied(drawn(asked.join(books, tile, "left"), right, "_books", "_book").join(salts, tile, "left"), "_salts", "_salt")
+
+    def agree(w: Column, s: Column, e: Column, n: Column, first: str | None, last: str | None) -> Column:
+        meets = (w <= re) & (rw <= e) & (s <= rn) & (rs <= n)
+        if not moment:
+            return meets
+        start, end = map(F.col, period)
+        return meets & (start.isNull() | (F.col(last) >= start)) & (end.isNull() | (F.col(first) < end))
+
+    on = [*tile, "_salt", "_book"]
+    met = blocks.repartition(tasks, *on).join(asked.repartition(tasks, *on), on).where(agree(*map(F.col, ("_w", "_s", "_e", "_n")), "_first", "_last"))
+    others = [c for c in right.columns if c not in keys]
+    return met.select(*keys, *others, F.inline("_members")).where(agree(w, s, e, n, moment, moment)).select(*keys, *rest, *others)
+
+
 #: Coarsest tiles of :func:`sized_join` are 2^COARSEST wide.
 COARSEST = 8
 
@@ -175,8 +265,6 @@ def overlap_report(meta: DataFrame, split: DataFrame, size: float = 10_240.0) ->
 
 def polygon_edges(vertices: DataFrame, keys: Sequence[str] = ("aoi_id",)) -> DataFrame:
     """Closed rings (``part, ring, seq, lon, lat``) to one edge array and bounds per AOI."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, "part", "ring").orderBy("seq")
     step = vertices.withColumn("_x2", F.lead("lon").over(w)).withColumn("_y2", F.lead("lat").over(w))
     edge = F.when(
