@@ -23,6 +23,18 @@ def test_bundles_meet_requests_without_counting_pairs(spark):
     assert "Aggregate" not in above  # nothing is grouped above the join that makes the pairs
 
 
+def test_pairs_of_bundles_follow_list_by_list(spark):
+    requests = spark.range(1000).select(F.col("id").alias("request_id"), F.array(F.lit("af")).alias("tasks"))
+    requests = requests.unionByName(spark.createDataFrame([(None, ["af"])], "request_id bigint, tasks array<string>"))
+    bundles = spark.range(4000).select((F.col("id") * 50).alias("bundle_id"), F.lit("ready").alias("status"), F.array(F.lit("af"), F.lit("bs")).alias("tasks"))
+    pairs = J.capable_bundles(requests, bundles)
+    assert pairs.count() == 1001 * 4000 == pairs.distinct().count()
+    rows = [tuple(r) for r in pairs.limit(128 * 64).collect()]
+    assert len({b for _, b in rows}) <= 2 * 128  # not all 4000: a file's next rows repeat the list of the last ones
+    small = J.capable_bundles(requests.where("request_id < 7"), bundles.where("bundle_id < 500"), rows_per_task=2, per_list=3, per_group=2, per_book=2)
+    assert sorted(map(tuple, small.collect())) == [(r, b) for r in range(7) for b in range(0, 500, 50)]
+
+
 @pytest.mark.parametrize("cuts", [1, 3])
 def test_stream_idempotency_keeps_one_state_per_shard(spark, tmp_path, cuts):
     rows = [(i, BASE + datetime.timedelta(seconds=i // 2), ["get", "put", None][i % 3], f"k{i % 40}", f"h{(i * i) % 7}") for i in range(300)]
