@@ -75,7 +75,7 @@ _SELECTED = f"""SELECT r.request_id, s.scene_id FROM fx_scene s JOIN fx_request
 
 @query("e5_select_scenes", _SELECTED)
 def e5_select_scenes(inp):
-    return X.select_scenes(scenes(inp), requests(inp)).select("request_id", "scene_id")
+    return X.select_scenes(scenes(inp), requests(inp), columns=("request_id", "scene_id"))
 
 
 _TRAIN_VAL = """SELECT a.epsg, a.x_min AS tx, a.y_min AS ty, v.x_min AS vx, v.y_min AS vy FROM (SELECT DISTINCT epsg,x_min,y_min,x_max,y_max FROM fx_meta WHERE split='train') a JOIN (SELECT DISTINCT epsg,x_min,y_min,x_max,y_max FROM fx_meta WHERE split='val') v

@@ -184,26 +184,29 @@ def selectable() -> Column:
     return scene_moment().isNotNull() & ((F.col("task") == "af") | (F.col("date_pre") < F.col("date_post")))
 
 
-def select_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000) -> DataFrame:
+def select_scenes(scenes: DataFrame, requests: DataFrame, size: float = 5.0, rows_per_task: int = 2_000_000, columns: Sequence[str] | None = None) -> DataFrame:
     """Scenes each request asks for by task, period and area of interest.
 
     ``scenes``: scene_id, task, observed_at (AF) or date_pre/date_post (BS) and
     bounds ``w,s,e,n``; optional ``chip_id``.  ``requests``: request_id, task
     (one row per requested task), start, end (half-open), bounds ``aw,as,ae,an``
     and optionally ``edges`` (polygon) and ``only_chip``.  Burn scenes need
-    ``date_pre < date_post``; the later date decides the period.
+    ``date_pre < date_post``; the later date decides the period.  ``columns``
+    names those to return (all if not given); others do not travel.
     """
+    only, shaped = "only_chip" in requests.columns, "edges" in requests.columns
     ready = scenes.withColumn("_moment", scene_moment()).where(selectable())
-    pairs = box_join(
-        ready, requests, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, keys=("task",), spread="scene_id", rows_per_task=rows_per_task
-    ).where(
-        (F.col("start").isNull() | (F.col("_moment") >= F.col("start"))) & (F.col("end").isNull() | (F.col("_moment") < F.col("end")))
+    if columns is not None:
+        ready = ready.select([c for c in ready.columns if c in {*columns, "task", "_moment", "w", "s", "e", "n", *(["chip_id"] if only else [])}])
+        requests = requests.select([c for c in requests.columns if c in {*columns, "task", "start", "end", "aw", "as", "ae", "an", "edges", "only_chip"}])
+    pairs = blocked_join(
+        ready, requests, ("w", "s", "e", "n"), ("aw", "as", "ae", "an"), size, keys=("task",), moment="_moment", period=("start", "end"), rows_per_task=rows_per_task
     )
-    if "only_chip" in requests.columns:
+    if only:
         pairs = pairs.where(F.col("only_chip").isNull() | (F.col("chip_id") == F.col("only_chip")))
-    if "edges" in requests.columns:
+    if shaped:
         pairs = pairs.where(G.box_intersects(F.col("edges"), F.col("w"), F.col("s"), F.col("e"), F.col("n")))
-    return pairs.drop("_moment")
+    return pairs.drop("_moment") if columns is None else pairs.select(*columns)
 
 
 def split_grids(meta: DataFrame, split: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ BUCKETS = 4096
 
 def pick_scenes(requests: DataFrame, scenes: DataFrame) -> DataFrame:
     """``(request_id, task, scene_id)`` of selected scenes with the AOI bounds."""
-    return select_scenes(scenes, requests).select("request_id", "task", "scene_id", "aw", "as", "ae", "an")
+    return select_scenes(scenes, requests, columns=("request_id", "task", "scene_id", "aw", "as", "ae", "an"))
 
 
 def scene_cells(scenes: DataFrame, px: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -75,8 +75,8 @@ def irregular(asked: DataFrame, scenes: DataFrame) -> DataFrame:
     frames = scenes.select("scene_id", "task", "chip_id", scene_moment().alias("_moment"), "w", "s", "e", "n").distinct()
     twice = cut_lineage(frames.groupBy("scene_id", "task").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("scene_id", "task"))
     if not twice.isEmpty():
-        seen = select_scenes(scenes.join(twice, ["scene_id", "task"], "left_semi"), asked.drop("_from", "_to"))
-        several = several.unionByName(seen.select(*name))
+        seen = select_scenes(scenes.join(twice, ["scene_id", "task"], "left_semi"), asked.drop("_from", "_to"), columns=name)
+        several = several.unionByName(seen)
     return several.distinct()
 
 
@@ -252,7 +252,7 @@ def analyse(requests: DataFrame, scenes: DataFrame, px: DataFrame, aoi: DataFram
     """
     # several products read both: write them once
     requests, scenes = cut_lineage(requests), cut_lineage(scenes)
-    chosen = select_scenes(scenes, requests).groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
+    chosen = select_scenes(scenes, requests, columns=("request_id", "task")).groupBy("request_id", "task").agg(F.count(F.lit(1)).alias("observation_count"))
     wanted_scenes = cut_lineage(scenes.join(pick_scenes(requests, scenes).select("scene_id").distinct(), "scene_id", "left_semi"))
     newest = newest_observations(requests, wanted_scenes, px)
     spots = seen_hotspots(requests, wanted_scenes, px, aoi, height, width).groupBy("request_id").agg(F.count(F.lit(1)).alias("hotspot_count")).withColumn("task", F.lit("af"))

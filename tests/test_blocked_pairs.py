@@ -68,3 +68,24 @@ def test_polygons_with_unknown_corners_are_met_edge_by_edge(spark):
     boxes = spark.createDataFrame([(1, -1.0, -1.0, 1.0, 1.0), (2, 9.0, 9.0, 10.0, 10.0), (3, 3.0, 3.5, 3.5, 4.5)], "scene_id int, w double, s double, e double, n double")
     met = V.boxes_meeting(boxes, edges, V.aoi_cover(edges).checkpoint(), "scene_id")
     assert sorted(tuple(r) for r in met.collect()) == [(1, 1), (3, 1)]
+
+
+def test_scenes_meet_requests_by_blocks_in_space_and_time(spark):
+    day = lambda c: f"timestamp_ntz '2020-01-01' + make_dt_interval({c})"
+    scenes = spark.range(300).selectExpr(
+        "id as scene_id", "if(id % 3 = 0, 'af', 'bs') as task", f"if(id % 3 = 0, {day('cast(id as int)')}, null) as observed_at", f"{day('cast(id - id % 4 as int)')} as date_pre",
+        f"{day('cast(id as int)')} as date_post", "double(id % 17) as w", "double(id % 13) as s", "double(id % 17 + 2) as e", "double(id % 13 + 1) as n",
+    )
+    requests = spark.range(40).selectExpr(
+        "id as request_id", "if(id % 2 = 0, 'af', 'bs') as task", f"if(id % 5 = 0, null, {day('cast(id as int)')}) as start", f"if(id % 7 = 0, null, {day('cast(4 * id + 60 as int)')}) as end",
+        "double(id % 11) as aw", "double(id % 9) as as", "double(id % 11 + 3) as ae", "double(id % 9 + 3) as an",
+    )
+    some = X.select_scenes(scenes, requests, columns=("request_id", "scene_id"))
+    moment = "if(s.task = 'af', observed_at, date_post)"
+    want = scenes.alias("s").join(requests.alias("r")).where(
+        f"s.task = r.task and w <= ae and aw <= e and s <= an and as <= n and (s.task = 'af' or date_pre < date_post) and (start is null or {moment} >= start) and (end is null or {moment} < end)"
+    ).select("request_id", "scene_id")
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+    assert sorted(map(tuple, X.select_scenes(scenes, requests).select("request_id", "scene_id").collect())) == sorted(map(tuple, want.collect()))
+    join = next(line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
+    assert "_last" in join and "start" in join and "_w" in join  # a block out of reach or out of the period makes no pair
