@@ -7,6 +7,7 @@ import pytest
 
 from ember.operators import cover as V
 from ember.operators import spatial as X
+from ember.session import compilable, cut_lineage
 
 
 def method_sizes(spark, df, capsys):
@@ -89,3 +90,17 @@ def test_scenes_meet_requests_by_blocks_in_space_and_time(spark):
     assert sorted(map(tuple, X.select_scenes(scenes, requests).select("request_id", "scene_id").collect())) == sorted(map(tuple, want.collect()))
     join = next(line for line in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line)
     assert "_last" in join and "start" in join and "_w" in join  # a block out of reach or out of the period makes no pair
+
+
+@pytest.mark.parametrize("before", ["65535", "4000"])
+def test_written_stages_are_compilable_in_any_session(spark, before):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, before)
+    try:
+        with compilable(spark):
+            assert int(spark.conf.get(limit)) <= 8000
+        assert spark.conf.get(limit) == before
+        assert cut_lineage(spark.range(3)).count() == 3 and spark.conf.get(limit) == before
+    finally:
+        spark.conf.set(limit, usual)
